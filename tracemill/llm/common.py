@@ -41,6 +41,6 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
 
 
-def crc_part(col: str | Column, parts: int) -> Column:
-    """crc32 of the decimal text, modulo parts: the split into folds that the contracts fix."""
-    return F.crc32(F.col(col).cast("string").cast("binary") if isinstance(col, str) else col) % parts
+def crc_part(col: str, parts: int) -> Column:
+    """crc32 of the column as text, modulo parts: the split into folds that the contracts fix."""
+    return F.crc32(F.col(col).cast("string").cast("binary")) % parts
