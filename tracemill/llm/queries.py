@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import langid, quality, simhash, substring_dedup, suffix_dedup
+from tracemill.llm import langid, quality, simhash, substring_dedup, suffix_dedup, topk
 from tracemill.llm.common import crc_part, table
 from tracemill.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from tracemill.llm.packing import pack
@@ -56,6 +56,23 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+OP9_SQL = f"""
+with v as (
+  select vec_id, [cast(floor({topk.SCALE} * cast(x as double)) as bigint) for x in embedding] v from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0 and len(embedding) > 0
+), pairs as (
+  select q.vec_id query_id, c.vec_id, cast(list_sum([z[1] * z[2] for z in list_zip(q.v, c.v)]) as bigint) score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0
+), ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) "rank" from pairs)
+select query_id, "rank", vec_id, score from ranked where "rank" <= {topk.K}
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_part("doc_id", 5) == 0)
     dictionaries = langid.fit(docs.filter("not held_out"))
@@ -69,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op9_exact_top_k": OP9_SQL}
