@@ -61,7 +61,7 @@ def build_context(history: DataFrame, prompts: DataFrame, keys: tuple[str, ...]
     message; what stood before that one is dropped. Without one the prompt comes first; without a prompt nothing changes.
     Adds pos, from 1."""
     firsts = history.groupBy(*keys).agg(F.min(F.when(F.col("role") == "system", F.col("seq"))).alias("first"))
-    told = prompts.join(firsts, [*keys])  # one row per prompt
+    told = prompts.join(firsts, [*keys], "left")  # one row per prompt
     kept = history.join(told.select(*keys, F.col("first")), [*keys], "left").filter(F.col("first").isNull() | (F.col("seq") >= F.col("first")))
     own = kept.select(*keys, F.col("seq").alias("a"), F.lit(0).alias("b"), "role", "content")
     memory = told.select(*keys, F.coalesce("first", F.lit(-1)).cast("long").alias("a"), F.lit(1).alias("b"), F.lit("system").alias("role"), F.col("prompt").alias("content"))
