@@ -26,7 +26,7 @@ ANSWERED = "batch long, part int, codes binary"
 
 
 def batch_count(docs: DataFrame, total_bytes: int) -> int:
-    return max(2 * partitions(docs.sparkSession), -(-total_bytes // BATCH_BYTES))
+    return max(partitions(docs.sparkSession), -(-total_bytes // BATCH_BYTES))
 
 
 def batched(docs: DataFrame, count: int) -> DataFrame:

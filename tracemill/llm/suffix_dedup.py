@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if gram < 8:
         raise ValueError("strings of at least 8 bytes are looked for")
     total = text_bytes(docs)
-    parts = max(2 * partitions(docs.sparkSession), -(-total // PART_BYTES))
+    parts = max(partitions(docs.sparkSession), -(-total // PART_BYTES))
     splitters = _splitters(docs, parts, total)
     batches = X.batched(docs, X.batch_count(docs, total))
 
