@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,7 +38,7 @@ def _kind(text: str | None) -> str | None:
     return names.get(type(value), "number")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_kind(texts: pd.Series) -> pd.Series:
     """object, array, string, number, boolean, null, or invalid where strict JSON doesn't allow the text."""
     return texts.map(_kind, na_action="ignore").astype("object")

@@ -21,10 +21,11 @@ def read_sse(spark: SparkSession, path: str, files_per_trigger: int = 1) -> Data
     return spark.readStream.schema("stream_id string, seq long, line string").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def assemble_messages_streaming(lines: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def assemble_messages_streaming(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(stream_id, role, content, complete) when a stream's [DONE] is there, or after ``idle_ms`` without lines (then not
-    complete). Chunks may come in any order and batch: state keeps those before [DONE] by seq, and goes once it is sent.
-    [DONE] waits for no lower seq that is still missing; seqs needn't be gapless."""
+    complete; without ``idle_ms`` a stream waits for its [DONE] for ever). Lines may come in any order up to the batch of
+    [DONE]; state keeps them by seq and goes once the message is sent. Seqs needn't be gapless, so a line that comes in a
+    batch after [DONE] can't be waited for: it counts as a stream of its own that has no [DONE]."""
     data = data_lines(lines)
     marked = data.withColumn("data", F.when(F.trim("data") == DONE, F.lit('{"choices":[{"delta":{},"finish_reason":"[DONE]"}]}')).otherwise(F.col("data")))
     chunks = parse_chunks(marked).select("stream_id", "seq", "role", "content", (F.coalesce("finish_reason", F.lit("")) == DONE).alias("done"))
@@ -43,7 +44,8 @@ def assemble_messages_streaming(lines: DataFrame, idle_ms: int = 600_000) -> Dat
                     contents.append(content)
         if end is None and not late:
             state.update((seqs, roles, contents, None))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
             return
         if state.exists:
             state.remove()
@@ -51,7 +53,8 @@ def assemble_messages_streaming(lines: DataFrame, idle_ms: int = 600_000) -> Dat
         role = next((r for _, r, _ in reversed(own) if r), "" if own else "assistant")
         yield pd.DataFrame({"stream_id": [key[0]], "role": [role], "content": ["".join(c for _, _, c in own)], "complete": [end is not None]})
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("stream_id").applyInPandasWithState(fold, OUT, STATE, "append", timeout)
 
 
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
