@@ -97,7 +97,7 @@ def p11_merge_replan(spark, d):
     old = frame(spark, d, "tasks").filter("ord = 1").select("plan_id", F.array(F.named_struct(*[x for k, v in (("id", F.col("id")), ("description", F.lit("old")), ("state", F.lit("failed")), ("error", F.lit("boom"))) for x in (F.lit(k), v)])).alias("o"))
     task = lambda t: F.struct(t["id"].alias("id"), t["description"].alias("description"), F.array().cast("array<string>").alias("inputs"), F.array().cast("array<string>").alias("outputs"), t["state"].alias("state"), F.lit(None).cast("map<string,string>").alias("result"), t["error"].alias("error"))
     plans = texts.join(old, "plan_id").select("plan_id", "goal", F.transform("o", task).cast(f"array<{P.TASK}>").alias("tasks"), F.lit("task_1").alias("failed_id"), "raw")
-    out = P.merge_replan(plans).select("plan_id", "goal", F.explode("tasks").alias("t"))
+    out = P.merge_replan(plans).select("plan_id", "goal", F.explode_outer("tasks").alias("t")).filter("t is not null")
     return out.select("plan_id", "goal", "t.id", "t.description", "t.state", F.coalesce("t.error", F.lit("")).alias("error"))
 
 

@@ -39,7 +39,8 @@ def parse_plans(answers: DataFrame) -> DataFrame:
 
 def explode_tasks(plans: DataFrame) -> DataFrame:
     """One row per task, ord from 1, all pending."""
-    rows = plans.select("plan_id", F.posexplode("tasks").alias("i", "t"))
+    # outer: else the optimizer tests the size of tasks first, and parses the answers twice
+    rows = plans.select("plan_id", F.posexplode_outer("tasks").alias("i", "t")).filter("i is not null")
     listed = lambda c: F.coalesce(F.col(f"t.{c}"), F.array().cast("array<string>")).alias(c)
     return rows.select("plan_id", (F.col("i") + 1).alias("ord"), "t.id", "t.description", listed("inputs"), listed("outputs"), F.lit("pending").alias("state"))
 

@@ -34,8 +34,10 @@ def cut_done(data: DataFrame) -> DataFrame:
 def parse_chunks(data: DataFrame) -> DataFrame:
     """(stream_id, seq, role, content, reasoning_content, tool_calls, finish_reason, usage) of the first choice; lines
     that aren't JSON objects of the right types, and those without choices, are skipped."""
-    parsed = data.withColumn("c", F.from_json("data", CHUNK, {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}))
-    kept = parsed.filter(F.col("c").isNotNull() & F.col("c._bad").isNull() & (F.size("c.choices") > 0)).select("stream_id", "seq", F.col("c.choices")[0].alias("c"))
+    parsed = F.from_json("data", CHUNK, {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
+    good = F.filter(F.array(parsed), lambda c: c.isNotNull() & c["_bad"].isNull() & (F.size(c["choices"]) > 0))
+    # a filter on what from_json gives would be pushed below it and parse each line twice; an outer generator parses once
+    kept = data.select("stream_id", "seq", F.explode_outer(F.transform(good, lambda c: c["choices"][0])).alias("c")).filter("c is not null")
     blank = lambda c: F.coalesce(F.col(f"c.delta.{c}"), F.lit("")).alias(c)
     return kept.select("stream_id", "seq", blank("role"), blank("content"), blank("reasoning_content"), F.col("c.delta.tool_calls").alias("tool_calls"), "c.finish_reason", "c.usage")
 

@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def parse_arguments(calls: DataFrame, arguments: str = "arguments") -> DataFrame
 def execute_calls(calls: DataFrame, registry: DataFrame, handlers: dict[str, Column | Callable[[dict], object]]) -> DataFrame:
     """(session_id, seq, call_id, content, is_error), one for each call. An unknown tool comes first, then bad arguments,
     then the handler's own error. Handlers that are columns (over ``arguments``) run as such; Python ones, only for the
-    calls that get that far, in mapInPandas with every exception kept to its row."""
+    calls that get that far, in one mapInPandas pass with every exception kept to its row."""
     checked = parse_arguments(resolve_calls(calls, registry))
     native = {k: h for k, h in handlers.items() if isinstance(h, Column)}
     python = {k: h for k, h in handlers.items() if not isinstance(h, Column)}
@@ -68,19 +69,17 @@ def execute_calls(calls: DataFrame, registry: DataFrame, handlers: dict[str, Col
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            contents, errors = [], []
-            for name, arguments in zip(frame["name"], frame["arguments"]):
+            contents, errors = frame["content"].tolist(), frame["is_error"].tolist()
+            for i in np.flatnonzero(frame["__python"].to_numpy()).tolist():
                 try:
-                    contents.append(json.dumps(python[name](json.loads(arguments)), ensure_ascii=False, allow_nan=False))
-                    errors.append(False)
+                    contents[i] = json.dumps(python[frame["name"].iat[i]](json.loads(frame["arguments"].iat[i])), ensure_ascii=False, allow_nan=False)
                 except Exception as e:  # a handler's failure is that call's result
-                    contents.append(json.dumps({"error": str(e)}, ensure_ascii=False))
-                    errors.append(True)
+                    contents[i], errors[i] = json.dumps({"error": str(e)}, ensure_ascii=False), True
             yield frame[keys].assign(content=contents, is_error=errors)
 
-    by_python = good & F.col("name").isin(list(python))
-    ran = done.filter(by_python).select(*keys, "name", "arguments").mapInPandas(run, done.select(*keys, "content", "is_error").schema)
-    return done.filter(~F.coalesce(by_python, F.lit(False))).select(*keys, "content", "is_error").unionByName(ran)
+    by_python = F.coalesce(good & F.col("name").isin(list(python)), F.lit(False)).alias("__python")
+    asked = done.select(*keys, "content", "is_error", F.when(by_python, F.col("name")).alias("name"), F.when(by_python, F.col("arguments")).alias("arguments"), by_python)
+    return asked.mapInPandas(run, done.select(*keys, "content", "is_error").schema)
 
 
 def screen_commands(commands: DataFrame, command: str = "command") -> DataFrame:
