@@ -201,7 +201,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed
     """The documents of docs that are the first of their component; rows with a null doc_id stay."""
     found = written(components(docs, shingle, radius, seed).filter("doc_id = component_id").groupBy("doc_id").count())
     once = found.select(F.col("doc_id").alias("__sh_id"), (F.col("count") > 1).alias("__sh_more"))
-    kept = docs.join(once, F.col("doc_id").cast("long") == F.col("__sh_id"), "left").filter(F.col("doc_id").isNull() | F.col("__sh_id").isNotNull())
+    # the same join at every size: ids of all documents aren't to be broadcast
+    kept = docs.join(once.hint("merge"), F.col("doc_id").cast("long") == F.col("__sh_id"), "left").filter(F.col("doc_id").isNull() | F.col("__sh_id").isNotNull())
     if not found.filter("count > 1").limit(1).count():
         return kept.drop("__sh_id", "__sh_more")
     again = kept.filter("__sh_more").withColumn("__sh_row", F.row_number().over(Window.partitionBy("__sh_id").orderBy(F.xxhash64(*docs.columns)))).filter("__sh_row = 1")
