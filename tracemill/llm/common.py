@@ -1,27 +1,16 @@
-"""What the operators share: the shared folder, written intermediate tables, sizes and stable internal names."""
+"""What the operators share: written intermediate tables, sizes and folds."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
+from tracemill.sources.shared import shared_dir
+from tracemill.sources.tables import table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset and Spark runs on one machine, a temporary folder."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tracemill-"))
+__all__ = ["crc_part", "partitions", "table", "text_bytes", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:
