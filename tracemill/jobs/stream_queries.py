@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tracemill.jobs.fixtures import sse_lines, tool_deltas
 from tracemill.operators import streams as S
+from tracemill.sources.shared import shared_dir
 from tracemill.sources.tables import table
 from tracemill.streaming import assemble
 
@@ -53,8 +53,7 @@ def s8_cut_stream(spark, d):
 
 
 def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracemill-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def s9_assemble_messages_streaming(spark, d):
