@@ -25,8 +25,19 @@ SENT = "batch long, part int, payload binary"
 ANSWERED = "batch long, part int, codes binary"
 
 
+def grown(size: int, total_bytes: int, most: int) -> int:
+    """``size`` up to 1 GiB of text, then growing with its square root, up to ``most`` times: rows between batches and
+    parts stay fewer than their product would be. At 100 TB a batch holds 64 MB of text and a part 256 MB; a task needs
+    about ten times that."""
+    return int(size * max(1.0, min(most, (total_bytes / (1 << 30)) ** 0.5)))
+
+
 def batch_count(docs: DataFrame, total_bytes: int) -> int:
-    return max(partitions(docs.sparkSession), -(-total_bytes // BATCH_BYTES))
+    return max(partitions(docs.sparkSession), -(-total_bytes // grown(BATCH_BYTES, total_bytes, 16)))
+
+
+def part_count(docs: DataFrame, total_bytes: int, part_bytes: int, least: int = 1) -> int:
+    return max(least * partitions(docs.sparkSession), -(-total_bytes // grown(part_bytes, total_bytes, 40)))
 
 
 def batched(docs: DataFrame, count: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import exchange as X
 from tracemill.llm import hashing as H
-from tracemill.llm.common import partitions, text_bytes
+from tracemill.llm.common import text_bytes
 
 WINDOW = 20
 PREFIXES = (1, 2, 4, 8)
@@ -107,7 +107,7 @@ def _parts(runs: _Runs, of: np.ndarray, full: dict[int, np.ndarray], parts: int)
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space."""
     total = text_bytes(docs)
-    parts = max(2 * partitions(docs.sparkSession), -(-total // PART_BYTES))
+    parts = X.part_count(docs, total, PART_BYTES, 2)
     full = full_prefixes(docs, window, max(1, total // 6 // parts // 4))
     batches = X.batched(docs, X.batch_count(docs, total))
 

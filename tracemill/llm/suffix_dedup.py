@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import exchange as X
 from tracemill.llm import hashing as H
-from tracemill.llm.common import partitions, text_bytes
+from tracemill.llm.common import text_bytes
 
 LENGTH = 400
 GRAM = 32
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if gram < 8:
         raise ValueError("strings of at least 8 bytes are looked for")
     total = text_bytes(docs)
-    parts = max(partitions(docs.sparkSession), -(-total // PART_BYTES))
+    parts = X.part_count(docs, total, PART_BYTES)
     splitters = _splitters(docs, parts, total)
     batches = X.batched(docs, X.batch_count(docs, total))
 
