@@ -56,6 +56,22 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP6_SQL = f"""
+with listed as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
+words as (select doc_id, unnest(ws) word, generate_subscripts(ws, 1) pos from listed),
+runs as (
+  select doc_id, pos, string_agg(word, ' ') over w run, count(*) over w n from words
+  window w as (partition by doc_id order by pos rows between current row and {substring_dedup.WINDOW - 1} following)
+), ranked as (select doc_id, pos, row_number() over (partition by run order by doc_id, pos) k from runs where n = {substring_dedup.WINDOW}),
+gone as (select distinct doc_id, unnest(range(pos, pos + {substring_dedup.WINDOW})) pos from ranked where k > 1),
+kept as (
+  select w.doc_id, count(*) n_words, count(g.pos) n_removed, string_agg(word, ' ' order by w.pos) filter (g.pos is null) rest
+  from words w left join gone g on g.doc_id = w.doc_id and g.pos = w.pos group by w.doc_id
+)
+select doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(rest, '')) kept_sha256 from listed left join kept using (doc_id)
+"""
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -100,4 +116,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op9_exact_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
