@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill.sources.shared import shared_dir
 from tracemill.sources.tables import table
 
-__all__ = ["crc_part", "partitions", "table", "text_bytes", "written"]
+__all__ = ["crc_part", "partitions", "spread", "table", "text_bytes", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -25,6 +25,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that comes in fewer parts than there are cores (such as one row group), dealt out; others as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: one narrow scan with a partial sum in each task."""
     return docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0

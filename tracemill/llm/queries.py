@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontam, langid, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk
-from tracemill.llm.common import crc_part, table
+from tracemill.llm.common import crc_part, spread, table
 from tracemill.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from tracemill.llm.packing import pack
 
@@ -32,22 +32,22 @@ from marked group by doc_id, source
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return token_counts.count(docs.withColumn("edits", token_counts.sample_edits()))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_part("doc_id", 4) == 2)
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("held_out", crc_part("doc_id", 4) == 2)
     model = quality.fit(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
     return quality.score(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.components(table(spark, sf_dir, "documents"))
+    out = simhash.components(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -73,7 +73,7 @@ select doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, s
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ select query_id, "rank", vec_id, score from ranked where "rank" <= {topk.K}
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_part("doc_id", 5) == 0)
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("held_out", crc_part("doc_id", 5) == 0)
     dictionaries = langid.fit(docs.filter("not held_out"))
     return langid.predict(docs.select("doc_id", "held_out", "text"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
