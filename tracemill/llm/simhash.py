@@ -10,11 +10,8 @@ own: nothing is dropped, and no task gets the whole. Within a bucket, bit planes
 carry-save counters add one plane to all distances at once, and words whose 64 distances all exceed the radius are left.
 A bucket sends the spanning stars of its links only, never all pairs.
 
-``keep_one`` takes a ``similarity`` besides: documents whose sets of five-word shingles are that much alike are often more
-than three bits apart, so fingerprints are also compared at ``WIDE`` bits in tables of sampled bits, whose number follows
-from the number of fingerprints (``tables``: a pair eight bits apart meets with a chance of 0.95). Of a bucket's near pairs
-each member keeps two, and a link is taken only if the shingle sketches of its two documents bear the similarity out
-(exact up to 128 distinct shingles, and within a few hundredths beyond).
+With a ``similarity``, ``components`` and ``keep_one`` go by ``near`` instead: fingerprints three bits apart don't tell
+whether documents share that much of their shingles, and many that do are further apart.
 
 Defined cases: letters A-Z are lowered, nothing else; words are split at space and 0x09-0x0D; fewer words than a shingle
 are one shingle; no words or a null text give fingerprint zero, which links like any other; rows with a null doc_id get a
@@ -24,8 +21,6 @@ fingerprint and a null component_id; repeated rows share fingerprint and compone
 
 from __future__ import annotations
 
-import math
-import random
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -36,13 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm import hashing as H
+from tracemill.llm import near
 from tracemill.llm.common import written
 from tracemill.llm.components import stars
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-WIDE = 12
 WIDE_SHINGLE = 5
 SKETCH = 128
 _BUCKET = 512
@@ -88,17 +83,15 @@ def alike(a: bytes, b: bytes, size: int = SKETCH) -> float:
     return float((np.isin(both, x) & np.isin(both, y)).sum() / len(both)) if len(both) else 1.0
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, sketches: bool = False) -> DataFrame:
-    """(doc_id, fp) and, if asked for, sketch"""
-    more = [("sketch", pa.binary())] * sketches
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(1)]
-            prints = pa.array([fingerprint(x, shingle, seed) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints, *(pa.array([sketch(x) for x in texts], t) for _, t in more)], ["doc_id", "fp", *(n for n, _ in more)])
+            prints = pa.array([fingerprint(x.as_py() or b"", shingle, seed) for x in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("data")).mapInArrow(run, "doc_id long, fp long" + ", sketch binary" * sketches)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("data")).mapInArrow(run, "doc_id long, fp long")
 
 
 def planes(prints: np.ndarray) -> np.ndarray:
@@ -172,16 +165,14 @@ def _group_pairs(prints: np.ndarray, nodes: np.ndarray, radius: int) -> list[tup
     return out
 
 
-def _links(radius: int, direct: bool = False):
-    """Rows sorted by bucket -> edges. Small buckets are compared together, by distance in the sorted order. With
-    ``direct``, every edge is a near pair itself."""
-    group = _group_pairs if direct else _group_stars
+def _links(radius: int):
+    """Rows sorted by bucket -> edges. Small buckets are compared together, by distance in the sorted order."""
 
     def some(bucket: np.ndarray, prints: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
         edges, new = [], np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         size = np.diff(np.append(new, len(bucket)))
         for at, n in zip(new[size > _SMALL].tolist(), size[size > _SMALL].tolist()):
-            edges += group(prints[at : at + n], nodes[at : at + n], radius)
+            edges += _group_stars(prints[at : at + n], nodes[at : at + n], radius)
         small = np.repeat(size <= _SMALL, size)
         for step in range(1, min(_SMALL, int(size.max()))):
             i = np.flatnonzero(small[:-step] & (bucket[step:] == bucket[:-step]))
@@ -219,20 +210,9 @@ def _masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(own, 2))]
 
 
-def tables(n: int, distance: int = 8, recall: float = 0.95, seed: int = SEED) -> list[int]:
-    """Masks of sampled bits: about four of n random fingerprints to a bucket, and so many tables that two fingerprints
-    ``distance`` apart share one with the chance ``recall``."""
-    bits = min(40, max(14, round(math.log2(max(4, n) / 4))))
-    meet = math.comb(64 - distance, bits) / math.comb(64, bits)
-    draw = random.Random(seed)
-    masks = [sum(1 << b for b in draw.sample(range(64), bits)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - meet)))]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def links(nodes: DataFrame, radius: int = RADIUS, masks: list[int] | None = None) -> DataFrame:
-    """nodes (fp distinct, node) -> edges (u, v) that connect what links connect. With ``masks``, near pairs that share
-    the bits of one of them."""
-    each = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks or _masks(radius))))
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """nodes (fp distinct, node) -> edges (u, v) that connect what links connect."""
+    each = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks(radius))))
     keyed = nodes.select("fp", "node", F.explode(each).alias("b")).select("fp", "node", "b.t", "b.key")
     hot = written(keyed.groupBy("t", "key").count().filter(F.col("count") > _BUCKET).select("t", "key", F.ceil(F.col("count") / _BUCKET).cast("int").alias("chunks")))
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
@@ -242,32 +222,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, masks: list[int] | None = None
         .withColumn("p", F.explode(F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(mates)))
         .select(F.xxhash64("t", "key", "p.i", "p.j").alias("bucket"), "fp", "node")
     )
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_links(radius, masks is not None), "u long, v long")
-
-
-def similar(nodes: DataFrame, similarity: float, wide: int = WIDE) -> DataFrame:
-    """nodes (fp, node, sketch) -> edges (u, v) between nodes whose sketches are that much alike."""
-    pairs = links(nodes, wide, tables(nodes.count())).filter("u <> v")
-    pairs = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sketches = written(nodes.groupBy("node").agg(F.min("sketch").alias("sketch")))
-    one, two = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(s)) for c, s in (("u", "a"), ("v", "b")))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [alike(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_links(radius), "u long, v long")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp (signed long), component_id: the least doc_id that links lead to. With ``similarity``, links are also
-    those of ``similar``."""
-    prints = written(fingerprints(docs, shingle, seed, similarity is not None))
-    own = [F.min_by("sketch", "doc_id").alias("sketch")] * (similarity is not None)
-    nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), *own))
-    edges = links(nodes, radius)
-    roots = stars(edges if similarity is None else edges.union(similar(nodes, similarity)))
+    """doc_id, fp (signed long), component_id: the least doc_id that links lead to. With ``similarity``, (doc_id,
+    component_id) by the links of ``near`` alone."""
+    if similarity is not None:
+        return near.components(docs, similarity)
+    prints = written(fingerprints(docs, shingle, seed))
+    nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    roots = stars(links(nodes, radius))
     named = written(nodes.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").select("fp", F.coalesce("v", "node").alias("component_id")))
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
