@@ -47,6 +47,22 @@ def test_a_star_of_1000_copies_with_the_original_in_the_middle(spark):
     assert [r[0] for r in simhash.keep_one(docs, similarity=0.8).select("doc_id").collect()] == [0]
 
 
+def test_recall_of_the_bands_does_not_depend_on_the_number_of_documents():
+    """Pairs at 0.8 or little more share a key, and one band is shared as often as five minima are."""
+    rng = np.random.default_rng(1)
+    met, hits = [], []
+    for _ in range(3000):
+        both = rng.integers(0, 1 << 63, 160, dtype=np.uint64)
+        a, b = (np.unique(np.append(both, rng.integers(0, 1 << 63, 20, dtype=np.uint64))) for _ in range(2))
+        assert near.alike(a, b) == 0.8
+        same = near.keys(a) == near.keys(b)
+        met.append(same.any())
+        hits.append(same.mean())
+    assert all(met) and abs(np.mean(hits) - 0.8**5) < 0.01
+    apart = [near.keys(rng.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(2)]
+    assert not (apart[0] == apart[1]).any() and (apart[0] % near.BANDS == np.arange(near.BANDS)).all()
+
+
 def test_forest_connects_what_links_connect(monkeypatch, spark):
     """Whatever the sizes of buckets and chunks, and with labels given before."""
     rng = np.random.default_rng(3)
