@@ -63,6 +63,25 @@ def test_recall_of_the_bands_does_not_depend_on_the_number_of_documents():
     assert not (apart[0] == apart[1]).any() and (apart[0] % near.BANDS == np.arange(near.BANDS)).all()
 
 
+def test_links_hold_exactly_at_the_limit(spark):
+    """On both sides of 0.8, long texts and short; and a shingle repeated over half of a text doesn't make it a copy."""
+    rng = np.random.default_rng(2)
+    texts, n = {}, 0
+    for size in (5, 8, 9, 60, 400, 2000):
+        for k in range(1, 1 + min(12, size // 3)):
+            words = [f"s{x}" for x in rng.integers(0, 10**9, size)]
+            cut = max(1, round(size * (0.17 + 0.006 * k)))
+            texts[n], texts[n + 1] = " ".join(words), " ".join(words[cut // 2 :] + [f"q{x}" for x in rng.integers(0, 10**9, cut // 5)])
+            n += 2
+    for k in range(3):
+        texts[n + k] = "again " * 300 + " ".join(f"o{x}" for x in rng.integers(0, 10**9, 120))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len({r[1] for r in simhash.components(docs.filter(f"doc_id >= {n}")).select("doc_id", "component_id").collect()}) == 1
+    got = {r[0]: r[1] for r in simhash.components(docs, similarity=0.8).select("doc_id", "component_id").collect()}
+    want = brute_labels(texts)
+    assert got == want and 10 < len(set(want.values())) < len(want)
+
+
 def test_forest_connects_what_links_connect(monkeypatch, spark):
     """Whatever the sizes of buckets and chunks, and with labels given before."""
     rng = np.random.default_rng(3)
