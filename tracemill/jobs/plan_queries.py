@@ -38,8 +38,15 @@ def a4_file_inventory(spark, d):
 
 def a5_read_bounded_text(spark, d):
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    table(spark, d, "documents").select(F.concat_ws(" ", "doc_id", F.regexp_replace("text", "\n", " ")).alias("value")).repartition(2).write.text(folder)
-    lines = files.read_bounded_text(spark, folder, 1 << 30).select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
+    rows = table(spark, d, "documents").select(F.concat_ws(" ", "doc_id", F.regexp_replace("text", "\n", " ")).alias("value"))
+    # a file has a sixteenth of the limit on average, and only a single document near the limit raises it
+    length = F.octet_length("value").cast("long") + 1
+    size, longest = (x or 0 for x in rows.agg(F.sum(length), F.max(length)).first())
+    limit = files.MAX_BYTES if longest <= files.MAX_BYTES // 2 else files.MAX_BYTES + longest
+    rows.repartition(max(2, -(-16 * size // files.MAX_BYTES))).write.text(folder)
+    refused = F.raise_error(F.concat_ws(": ", "error", "path")).cast("string")
+    read = files.read_bounded_text(spark, folder, limit).select(F.when(F.col("error").isNull(), F.col("content")).otherwise(refused).alias("content"))
+    lines = read.select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
     return lines.select(F.split("line", " ")[0].cast("long").alias("doc_id"), F.md5(F.regexp_replace("line", "^[0-9]+ ", "")).alias("text_md5"))
 
 
