@@ -91,3 +91,37 @@ def test_query_on_whole_tables(spark):
             if len(text[d]) < 3000 or (d, i) in got:
                 e = least_edits(x, text[d])
                 assert ((d, i) in got) == (e <= decontam.budget(len(x))) and got.get((d, i), e) == e
+
+
+def test_no_pair_is_aligned_twice(monkeypatch):
+    """Overlapping bands are one region: a text that holds an edited item once gives one alignment, an exact one none."""
+    rng = np.random.default_rng(8)
+    item = bytes(rng.integers(97, 123, 200, dtype=np.uint8))
+    edited_item = item[:50] + b"#" + item[51:120] + item[122:]
+    seen = []
+    least = decontam.least_edits
+    monkeypatch.setattr(decontam, "least_edits", lambda items, texts, low, high, most: seen.extend(zip(texts, items)) or least(items, texts, low, high, most))
+    index = decontam.Index([(1, item)])
+    pad = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(0, 300, 40)]
+    got = list(decontam.search(index, [a + edited_item + b for a, b in zip(pad, pad[::-1])]))
+    assert len(seen) == len(set(seen)) == 40 and [g[2] for g in got] == [3] * 40
+    assert [g[3:] for g in got] == [(len(a), len(a) + len(edited_item)) for a in pad]
+    seen.clear()
+    assert [g[2] for g in decontam.search(index, [a + item for a in pad])] == [0] * 40 and not seen
+
+
+def test_repeated_grams_count_once():
+    """A text that repeats one q-gram of an item on one diagonal band doesn't reach the bound by it."""
+    item = b"abcdefgh" + b"xyzuvwrst" * 3
+    index = decontam.Index([(1, item)])
+    data = np.frombuffer(b"zzzzzzzz".join([item[:8]] * 60), np.uint8)
+    assert not len(index.regions(data, np.zeros(len(data), np.int64)))
+
+
+def test_long_items(spark):
+    rng = np.random.default_rng(9)
+    item = bytes(rng.integers(97, 123, 6000, dtype=np.uint8))
+    text = bytearray(b"head " + item + b" tail")
+    for k in range(60):
+        text[30 + 90 * k] = 35
+    assert [g[2] for g in decontam.search(decontam.Index([(1, item)]), [bytes(text)])] == [60]

@@ -7,7 +7,8 @@ diagonal bands of 2 (e + 1), one every e + 1, so one band holds them all. Bands
 alignment within the band.
 
 Scale: one pass over the documents, no shuffle and no join. The index of the items goes with the tasks in shards of at
-most ``SHARD`` bytes of item text; more items mean more shards, each with a pass of its own, so its size has a bound.
+most ``SHARD`` bytes of item text (or one longer item). More items mean more shards, each with a pass of its own that is
+run and written before the next shard is fetched, so neither the driver nor a plan ever holds two of them.
 
 Defined cases: null and empty texts hold nothing; null or empty items are not looked for; items of under q bytes, and the
 part of the budget that would make the bound less than one, are exact; the same text under two item_ids gives both; repeated
@@ -16,19 +17,24 @@ rows are reported each; empty tables give empty results; ``clean`` keeps all col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import text_bytes, written
+
 Q = 8
 RATE = 0.1
 SHARD = 1 << 20
 FOUND = "doc_id long, item_id long, edits int, start long, end long"
 _STEP = 1 << 18
 _BITS = 20
+_RUN = 8
+_CELLS = 1 << 18
+_FAR = 1 << 28
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,48 +89,114 @@ class Index:
         posting = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - self.first[k], times)
         return np.repeat(at, times), self.item[posting], self.place[posting]
 
-    def regions(self, data: np.ndarray, piece: np.ndarray, pieces: int) -> Iterator[tuple[int, int, int, int]]:
-        """(piece, item, lowest and highest diagonal) of the bands that reach the bound. piece: of each byte."""
+    def regions(self, data: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Rows (piece, item, lowest and highest diagonal) of the bands that reach the bound; bands that overlap are one
+        region, up to ``_RUN`` bands. piece: of each byte. A band counts each q-gram of the item once, however often the
+        text repeats it."""
         at, item, place = self.hits(data)
-        step = self.budget[item] + 1
-        band = (at - place + self.reach) // step
-        key = (piece[at].astype(np.int64) * len(self.items) + item) << 32
-        both, n = np.unique(np.concatenate([key | band, (key | band) - (band > 0)]), return_counts=True)
-        item = (both >> 32) % max(1, len(self.items))
-        good = n >= self.need[item]
-        for k, i in zip(both[good].tolist(), item[good].tolist()):
-            s, b = int(self.budget[i]) + 1, k & 0xFFFFFFFF
-            yield (k >> 32) // len(self.items), i, b * s - self.reach, (b + 2) * s - 1 - self.reach
-
-
-def align(item: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """Least edits (with where they start and end) between item and a substring of text that lies between the diagonals
-    low and high, or None over ``most``. Rows are the item's bytes; the row holds the band's columns."""
-    width, m, n = high - low + 1 + 2 * most, len(item), len(text)
-    low -= most
-    data = np.full(width + m, 256, np.int64)  # text[low : low + width + m], 256 outside
-    a, b = max(0, low), min(n, low + width + m)
+        band = (at - place + self.reach) // (self.budget[item] + 1)
+        key = (piece[at].astype(np.int64) * max(1, len(self.items)) + item) << 32
+        lower = np.flatnonzero(band > 0)
+        key, place = np.concatenate([key | band, (key | band)[lower] - 1]), np.concatenate([place, place[lower]])
+        keys, of, n = np.unique(key, return_inverse=True, return_counts=True)
+        item_of = lambda k: (k >> 32) % max(1, len(self.items))
+        many = (n >= self.need[item_of(keys)])[of]
+        of, place = of[many], place[many]
+        of, place = of[order := np.lexsort((place, of))], place[order]
+        once = np.ones(len(of), bool)
+        once[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1])
+        good = keys[np.bincount(of[once], minlength=len(keys)) >= self.need[item_of(keys)]] if len(keys) else keys
+        if not len(good):
+            return np.zeros((0, 4), np.int64)
+        run = np.concatenate([[0], np.cumsum(good[1:] != good[:-1] + 1)])
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        inside = np.arange(len(good)) - first[run]
+        first = np.flatnonzero(inside % _RUN == 0)
+        last = np.append(first[1:], len(good)) - 1
+        i, low, high = item_of(good[first]), good[first] & 0xFFFFFFFF, good[last] & 0xFFFFFFFF
+        step = self.budget[i] + 1
+        return np.stack([(good[first] >> 32) // len(self.items), i, low * step - self.reach, (high + 2) * step - 1 - self.reach], 1)
+
+
+def _band(text: bytes, low: int, size: int) -> np.ndarray:
+    """text[low : low + size], 256 outside of it."""
+    data = np.full(size, 256, np.int32)
+    a, b = max(0, low), min(len(text), low + size)
     if b > a:
         data[a - low : b - low] = np.frombuffer(text, np.uint8, b - a, a)
-    far, ramp = 1 << 20, np.arange(width + 1)
-    column = low + ramp  # cell k of row i ends before text position low + i + k
-    cost = np.where((column >= 0) & (column <= n), 0, far)
-    origin = column.copy()
+    return data
+
+
+def least_edits(items: list[bytes], texts: list[bytes], low: np.ndarray, high: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each item its least edits to a substring of its text between the diagonals low and high; over ``most`` where
+    there is none within it. One banded alignment for all: rows are the items' bytes, a row holds every band's columns."""
+    m = np.array([len(x) for x in items])
+    order = np.argsort(-m, kind="stable")
+    width = int((high - low + 1 + 2 * most).max())
+    kind, far = (np.int16, np.int16(1 << 13)) if width < 1 << 12 else (np.int32, np.int32(_FAR))
+    low = low - most
+    data = np.stack([_band(texts[j], int(low[j]), width + int(m.max())) for j in order]).astype(kind)
+    pattern = np.zeros((len(items), int(m.max())), kind)
+    for r, j in enumerate(order):
+        pattern[r, : m[j]] = np.frombuffer(items[j], np.uint8)
+    out = most + 1
+    ramp = np.arange(width + 1, dtype=kind)
+    column = low[order][:, None] + ramp  # cell k of row i ends before text position low + i + k
+    cost = np.where((column >= 0) & (column <= np.array([len(texts[j]) for j in order])[:, None]), 0, far).astype(kind)
+    outside = np.where(data > 255, far, 0).astype(kind)
+    size, limit = m[order], most[order]
+    for i in range(int(m.max())):
+        while len(order) and size[-1] == i:  # the shortest items end first
+            out[order[-1]] = min(int(cost[-1].min()), int(limit[-1]) + 1)
+            order, size, limit, cost, data, pattern, outside = (x[:-1] for x in (order, size, limit, cost, data, pattern, outside))
+        if i % 8 == 0 and not (alive := cost.min(1) <= limit).all():
+            order, size, limit, cost, data, pattern, outside = (x[alive] for x in (order, size, limit, cost, data, pattern, outside))
+        if not len(order):
+            return out
+        best = np.full_like(cost, far)
+        np.add(cost[:, :-1], data[:, i : i + width] != pattern[:, i : i + 1], out=best[:, :-1])
+        best[:, :-1] += outside[:, i : i + width]
+        np.minimum(best[:, :-1], cost[:, 1:] + kind(1), out=best[:, :-1])  # the item's byte has no partner
+        best -= ramp
+        cost = np.minimum(np.minimum.accumulate(best, axis=1) + ramp, far)  # text bytes without partner, from the left
+    for r, j in enumerate(order):
+        out[j] = min(int(cost[r].min()), int(limit[r]) + 1)
+    return out
+
+
+def align(item: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int, int]:
+    """Least edits, with where they start and end, of a pair that ``least_edits`` has found to be within ``most``."""
+    width, m = high - low + 1 + 2 * most, len(item)
+    low -= most
+    data = _band(text, low, width + m)
+    ramp = np.arange(width + 1)
+    origin = low + ramp
+    cost = np.where((origin >= 0) & (origin <= len(text)), 0, _FAR)
     for i, byte in enumerate(item):
-        step = np.append(data[i : i + width] != byte, True)[: width + 1]
-        over = np.append(cost[1:], far) + 1  # the item's byte has no partner
-        take = cost + np.append(step[:width], True)
-        # cells outside the text stay far
-        best, start = np.where(take <= over, take, over), np.where(take <= over, origin, np.append(origin[1:], 0))
-        place = column + i + 1
-        best = np.where((place >= 0) & (place <= n), best, far)
-        run = np.minimum.accumulate((best - ramp) * (width + 2) + ramp)  # text bytes without partner, from the left
-        k = run % (width + 2)
-        cost, origin = best[k] + ramp - k, start[k]
-        if cost.min() > most:
-            return None
+        piece = data[i : i + width]
+        take, over = cost[:-1] + (piece != byte) + np.where(piece > 255, _FAR, 0), cost[1:] + 1
+        best, start = np.append(np.minimum(take, over), _FAR), np.append(np.where(take <= over, origin[:-1], origin[1:]), 0)
+        k = np.minimum.accumulate((best - ramp) * (width + 2) + ramp) % (width + 2)
+        cost, origin = np.minimum(best[k] + ramp - k, _FAR), start[k]
     end = int(np.argmin(cost))
-    return (int(cost[end]), int(origin[end]), int(low + m + end)) if cost[end] <= most else None
+    return int(cost[end]), int(origin[end]), int(low + m + end)
+
+
+def _verified(index: Index, regions: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, int] | None]:
+    """Of each region (text, item, low, high) the least edits, start and end, or None."""
+    low, high = np.array([r[2] for r in regions]), np.array([r[3] for r in regions])
+    most = index.budget[[r[1] for r in regions]]
+    items = [index.items[r[1]][1] for r in regions]
+    order = np.lexsort(([len(x) for x in items], high - low))
+    found = np.zeros(len(regions), np.int64)
+    at = 0
+    while at < len(order):
+        cells = (high - low + 1 + 2 * most)[order[at:]].cumsum() + np.array([len(items[j]) for j in order[at:]]).cumsum()
+        chosen = order[at : at + max(1, int(np.searchsorted(cells, _CELLS)))]
+        found[chosen] = least_edits([items[j] for j in chosen], [regions[j][0] for j in chosen], low[chosen], high[chosen], most[chosen])
+        at += len(chosen)
+    for j, (text, _, a, b) in enumerate(regions):
+        yield align(items[j], text, a, b, int(most[j])) if found[j] <= most[j] else None
 
 
 def search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -139,8 +211,8 @@ def search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, in
         data = np.frombuffer(b"\0".join(p for _, _, p in group), np.uint8)
         size = np.array([len(p) for _, _, p in group]) + 1
         base = np.cumsum(size) - size
-        piece = np.repeat(np.arange(len(group)), size)
-        for j, i, low, high in index.regions(data, piece, len(group)):
+        doubtful = []
+        for j, i, low, high in index.regions(data, np.repeat(np.arange(len(group)), size)).tolist():
             k, at, text = group[j]
             item, most = index.items[i][1], int(index.budget[i])
             low, high = low - int(base[j]), high - int(base[j])
@@ -148,8 +220,10 @@ def search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, in
             found = text.find(item, a, max(a, high + most + len(item)))
             if found >= 0:
                 keep(k, i, (0, at + found, at + found + len(item)))
-            elif got := align(item, text, low, high, most):
-                keep(k, i, (got[0], at + got[1], at + got[2]))
+            elif most:
+                doubtful.append((k, at, (text, i, low, high)))
+        for (k, at, region), got in zip(doubtful, _verified(index, [r for *_, r in doubtful])):
+            keep(k, region[1], got and (got[0], at + got[1], at + got[2]))
 
     group: list[tuple[int, int, bytes]] = []
     held = 0
@@ -171,7 +245,7 @@ def search(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, in
 
 
 def shards(benchmark: DataFrame, q: int = Q, rate: float = RATE) -> Iterator[Index]:
-    """Indexes of the items, one shard at a time; the driver never holds more."""
+    """Indexes of the items, one shard at a time."""
     items, size = [], 0
     for item_id, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null").toLocalIterator():
         if item := normal(text):
@@ -184,6 +258,11 @@ def shards(benchmark: DataFrame, q: int = Q, rate: float = RATE) -> Iterator[Ind
         yield Index(items, q, rate)
 
 
+def _done(benchmark: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Writes a pass where there are more; a single one stays a part of its caller's plan."""
+    return written if text_bytes(benchmark) > SHARD else lambda df: df
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, edits, start, end (bytes of the normal text): one row for each document and item it holds."""
 
@@ -200,8 +279,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RAT
 
     asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], FOUND)
+    done = _done(benchmark)
     for index in shards(benchmark, q, rate):
-        out = out.union(asked.mapInArrow(finder(index), FOUND))
+        out = out.union(done(asked.mapInArrow(finder(index), FOUND)))
     return out
 
 
@@ -216,6 +296,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE)
 
         return run
 
+    done = _done(benchmark)
     for index in shards(benchmark, q, rate):
-        docs = docs.mapInArrow(sieve(index, docs.columns.index("text")), docs.schema)
+        docs = done(docs.mapInArrow(sieve(index, docs.columns.index("text")), docs.schema))
     return docs
