@@ -78,7 +78,7 @@ def test_stream_rules(spark):
     chunks = S.parse_sse(feed)
     assert [(r["role"], r["content"]) for r in S.sticky_role(chunks).orderBy("seq").collect()] == [("", "a"), ("assistant", "b"), ("assistant", "c")]
     out = S.assemble_messages(chunks, feed.union(lines(spark, "").withColumn("stream_id", F.lit("empty")))).orderBy("stream_id").collect()
-    assert [tuple(r) for r in out] == [("empty", "assistant", "", "", 0), ("s", "assistant", "abc", "", 3)]
+    assert [tuple(r) for r in out] == [("empty", "assistant", "", "", [], 0), ("s", "assistant", "abc", "", [], 3)]
 
 
 def test_tool_parts(spark):

@@ -117,10 +117,23 @@ def pieces(text: str, size: int):
 
 
 def sse_lines(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
-    """(stream_id, seq, line): assistant messages in chunks, with noise, [DONE], and a line too late."""
-    chat = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.concat_ws("_", "conv_id", "turn").alias("stream_id"), "text")
-    cut = chat.select("stream_id", F.posexplode(pieces("text", size)).alias("i", "piece"))
-    delta = F.struct(F.when(F.col("i") == 0, F.lit("assistant")).alias("role"), F.col("piece").alias("content"))
+    """(stream_id, seq, line): assistant messages in chunks, with noise, [DONE], and a line too late. Every third chunk has
+    reasoning; every fifth conversation changes the role at its third chunk; every fourth has deltas of two tool calls,
+    which start at index 0 or, with a gap before them, at 2."""
+    chat = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", F.concat_ws("_", "conv_id", "turn").alias("stream_id"), "text")
+    cut = chat.select("conv_id", "stream_id", F.posexplode(pieces("text", size)).alias("i", "piece"))
+    role = F.when(F.col("i") == 0, "assistant").when((F.col("i") == 2) & (F.col("conv_id") % 5 == 0), "critic")
+    reason = F.when(F.col("i") % 3 == 0, F.substring("piece", 1, 3))
+    top = F.when(F.col("conv_id") % 8 == 1, 0).otherwise(2)
+    part = lambda index, id_, type_, name, args: F.struct(index.alias("index"), id_.cast("string").alias("id"), F.lit(type_).cast("string").alias("type"), F.struct(F.lit(name).cast("string").alias("name"), F.lit(args).alias("arguments")).alias("function"))
+    given = lambda prefix: F.concat(F.lit(prefix), "stream_id")
+    asks = (F.col("conv_id") % 4 == 1) & F.col("i").between(1, 3)
+    calls = (
+        F.when(asks & (F.col("i") == 1), F.array(part(top, given("call_"), "function", "search", '{"q":')))
+        .when(asks & (F.col("i") == 2), F.array(part(top, F.lit(None), None, None, "7"), part(top + 1, given("more_"), "function", "lookup", "{}")))
+        .when(asks, F.array(part(top, given("last_"), None, None, "}")))
+    )
+    delta = F.struct(role.alias("role"), F.col("piece").alias("content"), reason.alias("reasoning_content"), calls.alias("tool_calls"))
     usage = F.when(F.col("i") == 0, F.struct(F.lit(3).alias("prompt_tokens"), F.length("piece").alias("completion"), (F.length("piece") + 3).alias("total_tokens")))
     chunk = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), delta.alias("delta"), usage.alias("usage"))).alias("choices")))
     noise = F.element_at(F.array(F.lit(""), F.lit(": ping"), F.lit("data: {bad"), F.lit('data: {"choices":[]}')), (F.col("i") % 4 + 1).cast("int"))

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tracemill.jobs.fixtures import ctes, frame, plan_texts
+from tracemill.jobs.fixtures import ctes, frame, plan_texts, sse_lines
 from tracemill.operators import plans as P
+from tracemill.operators.streams import data_lines
 from tracemill.sources import files
 from tracemill.sources.shared import shared_dir
-from tracemill.sources.tables import table
+from tracemill.sources.tables import read_sse_lines, table, write_sse_lines
 
 
 def _tasks(spark, d):
@@ -24,10 +25,9 @@ def _plans(spark, d):
 
 
 def a3_read_sse_lines(spark, d):
-    from tracemill.jobs.fixtures import sse_lines
-    from tracemill.operators.streams import data_lines
-
-    return data_lines(sse_lines(spark, d).withColumn("line", F.concat("line", F.lit("\r")))).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_data"))
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    write_sse_lines(sse_lines(spark, d).withColumn("line", F.concat("line", F.lit("\r"))), folder)
+    return data_lines(read_sse_lines(spark, folder)).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_data"))
 
 
 def a4_file_inventory(spark, d):

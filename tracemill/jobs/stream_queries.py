@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tracemill.jobs.fixtures import sse_lines, tool_deltas
+from tracemill.jobs.fixtures import frame, sse_lines, tool_deltas
+from tracemill.operators import memory, messages, tools
 from tracemill.operators import streams as S
 from tracemill.sources.shared import shared_dir
-from tracemill.sources.tables import table
+from tracemill.sources.tables import read_sse_lines, table, write_sse_lines
 from tracemill.streaming import assemble
 
 
@@ -17,8 +18,14 @@ def _chunks(spark, d):
     return S.parse_sse(sse_lines(spark, d))
 
 
+def _flat(df):
+    """tool_calls as text: id/name/arguments of each, with ; between."""
+    one = lambda c: F.concat_ws("/", c["id"], c["function"]["name"], c["function"]["arguments"])
+    return df.withColumns({"n_calls": F.size("tool_calls").cast("long"), "calls": F.array_join(F.transform("tool_calls", one), ";")}).drop("tool_calls")
+
+
 def s1_parse_sse(spark, d):
-    return _chunks(spark, d).select("stream_id", "seq", "role", "content")
+    return _chunks(spark, d).select("stream_id", "seq", "role", "content", "reasoning_content", F.coalesce(F.size("tool_calls"), F.lit(0)).cast("long").alias("n_parts"))
 
 
 def s2_cut_done(spark, d):
@@ -35,12 +42,12 @@ def s4_merge_tool_deltas(spark, d):
 
 
 def s5_chunk_states(spark, d):
-    return S.chunk_states(_chunks(spark, d)).select("stream_id", "seq", "role", "content", "is_tool_call")
+    return _flat(S.chunk_states(_chunks(spark, d)).select("stream_id", "seq", "role", "content", "reasoning_content", "is_tool_call", "tool_calls"))
 
 
 def s6_assemble_messages(spark, d):
     lines = sse_lines(spark, d)
-    return S.assemble_messages(S.parse_sse(lines), lines)
+    return _flat(S.assemble_messages(S.parse_sse(lines), lines))
 
 
 def s7_stream_usage(spark, d):
@@ -59,27 +66,56 @@ def _folder(spark):
 def s9_assemble_messages_streaming(spark, d):
     folder = _folder(spark)
     lines = sse_lines(spark, d)
-    for low, high in ((0, 41), (41, 201), (201, 1001), (1001, 1 << 62)):  # as they would come in, in four files
-        lines.filter((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
-    assemble.run_once(assemble.assemble_messages_streaming(assemble.read_sse(spark, f"{folder}/feed")), f"{folder}/out", f"{folder}/state")
-    return spark.read.schema(assemble.OUT).parquet(f"{folder}/out")
+    for low, high in ((0, 5), (5, 41), (41, 1001), (1001, 1 << 62)):  # as they would come in, in four deliveries
+        write_sse_lines(lines.filter((F.col("seq") >= low) & (F.col("seq") < high)), f"{folder}/feed", "append")
+    assemble.run_once(assemble.assemble_messages_streaming(read_sse_lines(spark, f"{folder}/feed", live=True)), f"{folder}/out", f"{folder}/state")
+    return _flat(spark.read.schema(assemble.OUT).parquet(f"{folder}/out"))
 
 
 def s10_fan_out(spark, d):
     folder = _folder(spark)
-    sse_lines(spark, d).repartition(2).write.parquet(f"{folder}/feed")
+    write_sse_lines(sse_lines(spark, d), f"{folder}/feed")
     to = lambda name: lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/{name}/batch={k}")
-    assemble.fan_out(S.data_lines(assemble.read_sse(spark, f"{folder}/feed")), [to("one"), to("two")], f"{folder}/state").awaitTermination()
+    assemble.fan_out(S.data_lines(read_sse_lines(spark, f"{folder}/feed", live=True)), [to("one"), to("two")], f"{folder}/state").awaitTermination()
     one, two = (spark.read.parquet(f"{folder}/{x}").select("stream_id", F.lit(x).alias("sink")) for x in ("one", "two"))
     return one.union(two).groupBy("sink", "stream_id").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (s1_parse_sse, s2_cut_done, s3_sticky_role, s4_merge_tool_deltas, s5_chunk_states, s6_assemble_messages, s7_stream_usage, s8_cut_stream, s9_assemble_messages_streaming, s10_fan_out)}
+def w2_stream_to_history(spark, d):
+    """Streamed answers to full messages, their calls to results, and both behind the users' messages of the conversation."""
+    said = S.assemble_messages(_chunks(spark, d)).withColumn("session_id", F.split("stream_id", "_")[0]).withColumn("turn", F.split("stream_id", "_")[1].cast("long") * 10_000)
+    calls = tools.explode_tool_calls(said.select("stream_id", "tool_calls")).select(F.col("stream_id").alias("session_id"), F.col("ord").cast("long").alias("seq"), "call.id", "call.function.name", "call.function.arguments")
+    registry = spark.createDataFrame([("search",)], "name string")
+    results = tools.execute_calls(calls.withColumnRenamed("id", "call_id"), registry, {"search": F.concat(F.lit('{"got":'), "arguments", F.lit("}"))})
+    answers = messages.tool_results_to_messages(results).join(said.select(F.col("stream_id").alias("session_id"), F.col("session_id").alias("conv"), "turn"), "session_id")
+    columns = ["session_id", "seq", "role", "content", "reasoning_content", "name"]
+    new = said.select("session_id", F.col("turn").alias("seq"), "role", "content", "reasoning_content", F.lit("").alias("name")).union(answers.select("conv", F.col("turn") + 1 + F.col("seq"), "role", "content", F.lit(""), "name"))
+    history = frame(spark, d, "messages").filter("role = 'user'").withColumn("name", F.lit("")).select(*columns)
+    return memory.append_messages(history, new)
+
+
+QUERIES = {f.__name__: f for f in (s1_parse_sse, s2_cut_done, s3_sticky_role, s4_merge_tool_deltas, s5_chunk_states, s6_assemble_messages, s7_stream_usage, s8_cut_stream, s9_assemble_messages_streaming, s10_fan_out, w2_stream_to_history)}
+
+_CHAT = """chat as (select concat(conv_id, '_', turn) stream_id, conv_id, turn, text, cast(ceil(length(text) / 16.0) as bigint) n, conv_id % 4 = 1 asks, conv_id % 5 = 0 critic,
+    case when conv_id % 8 = 1 then '' else '//;//;' end gap from conversations where role = 'assistant')"""
+_PIECES = f"""{_CHAT}, cut as (select * exclude (piece_), piece_ piece, case when i % 3 = 0 then substr(piece_, 1, 3) else '' end reason, case when i = 0 then 'assistant' when i = 2 and critic then 'critic' else '' end said
+    from (select *, substr(text, cast(i * 16 + 1 as int), 16) piece_ from (select *, unnest(range(0, n)) i from chat)))"""
+
+
+def _calls_sql(i: str) -> str:
+    """The calls that are known after chunk i, as ``_flat`` writes them."""
+    first = f"concat(case when {i} > 2 then 'last_' else 'call_' end, stream_id, '/search/{{\"q\":', case when {i} > 1 then '7' else '' end, case when {i} > 2 then '}}' else '' end)"
+    return f"case when not asks or {i} < 1 then '' else concat(gap, {first}, case when {i} > 1 then concat(';more_', stream_id, '/lookup/{{}}') else '' end) end"
+
+
+def _n_calls_sql(i: str) -> str:
+    return f"cast(case when not asks or {i} < 1 then 0 else case when gap = '' then 0 else 2 end + case when {i} > 1 then 2 else 1 end end as bigint)"
+
 
-_CHAT = "chat as (select concat(conv_id, '_', turn) stream_id, text, cast(ceil(length(text) / 16.0) as bigint) n from conversations where role = 'assistant')"
-_PIECES = f"{_CHAT}, cut as (select stream_id, i, substr(text, cast(i * 16 + 1 as int), 16) piece, text, n from (select *, unnest(range(0, n)) i from chat))"
+_MESSAGES = f"""said as (select stream_id, any_value(conv_id) conv_id, any_value(turn) turn, case when any_value(critic) and any_value(n) > 2 then 'critic' else 'assistant' end "role", any_value(text) "content",
+    string_agg(reason, '' order by i) reasoning_content, any_value({_calls_sql("n - 1")}) calls, any_value({_n_calls_sql("n - 1")}) n_calls, any_value(n) n_chunks, any_value(asks) asks, any_value(gap) gap from cut group by stream_id)"""
 ORACLE_SQL = {
-    "s1_parse_sse": f"with {_PIECES} select stream_id, i * 2 seq, case when i = 0 then 'assistant' else '' end \"role\", piece \"content\" from cut",
+    "s1_parse_sse": f"with {_PIECES} select stream_id, i * 2 seq, said \"role\", piece \"content\", reason reasoning_content, cast(case when asks and i in (1, 3) then 1 when asks and i = 2 then 2 else 0 end as bigint) n_parts from cut",
     "s2_cut_done": f"""with {_PIECES} select stream_id, cast(sum(1 + case when i % 4 >= 2 then 1 else 0 end) as bigint) n_lines,
       max(case when i % 4 >= 2 then i * 2 + 1 else i * 2 end) last_seq from cut group by stream_id""",
     "s3_sticky_role": """select cast(user_id as varchar) stream_id, event_id seq, coalesce(last_value(case when event_id % 4 = 0 then event_type end ignore nulls)
@@ -89,12 +125,23 @@ ORACLE_SQL = {
         case when idx = top then 'function' else '' end "type", case when idx = top and length(props) > 4 then event_type else '' end "name",
         case when idx = top then props else '' end args
       from (select *, unnest(range(0, top + 1)) idx from e)""",
-    "s5_chunk_states": f"with {_PIECES} select stream_id, i * 2 seq, 'assistant' \"role\", piece \"content\", false is_tool_call from cut",
-    "s6_assemble_messages": f"with {_CHAT} select stream_id, 'assistant' \"role\", text \"content\", '' reasoning_content, n n_chunks from chat",
+    "s5_chunk_states": f"with {_PIECES} select stream_id, i * 2 seq, case when critic and i > 1 then 'critic' else 'assistant' end \"role\", piece \"content\", reason reasoning_content, asks and i > 0 is_tool_call, {_calls_sql('i')} calls, {_n_calls_sql('i')} n_calls from cut",
+    "s6_assemble_messages": f"with {_PIECES}, {_MESSAGES} select stream_id, \"role\", \"content\", reasoning_content, calls, n_calls, n_chunks from said",
     "s7_stream_usage": f"with {_PIECES} select stream_id, cast(3 as bigint) prompt_tokens, cast(length(piece) as bigint) completion, cast(length(piece) + 3 as bigint) total_tokens from cut where i = 0",
     "s8_cut_stream": f"""with {_PIECES}, stops as (select stream_id, min(i) filter (contains(piece, 'th')) stop from cut group by stream_id)
       select stream_id, max(i) * 2 last_seq, count(*) n_chunks, max(stop is not null) cancelled from cut join stops using (stream_id) where stop is null or i <= stop group by stream_id""",
-    "s9_assemble_messages_streaming": f"with {_CHAT} select stream_id, 'assistant' \"role\", text \"content\", true complete from chat",
+    "s9_assemble_messages_streaming": f"with {_PIECES}, {_MESSAGES} select stream_id, \"role\", \"content\", reasoning_content, calls, n_calls, n_chunks, true complete from said",
     "s10_fan_out": f"""with {_PIECES}, counted as (select stream_id, cast(sum(1 + case when i % 4 >= 2 then 1 else 0 end) + 2 as bigint) n_lines from cut group by stream_id)
       select sink, stream_id, n_lines from counted cross join (values ('one'), ('two')) s(sink)""",
+    "w2_stream_to_history": f"""with {_PIECES}, {_MESSAGES},
+      called as (select conv_id, turn, stream_id, n_chunks, gap, unnest(range(0, n_calls)) k from said where n_calls > 0),
+      named as (select *, k - case when gap = '' then 0 else 2 end j from called),
+      new as (
+        select conv_id, turn * 10000 o, "role", "content", reasoning_content, '' "name" from said
+        union all select conv_id, turn * 10000 + 1 + k, 'tool', case when j = 0 and n_chunks > 3 then '{{"got":{{"q":7}}}}' when j = 0 then '{tools.BAD_ARGUMENTS}'
+          when j = 1 then '{{"error": "tool lookup not found"}}' else '{{"error": "tool  not found"}}' end, '',
+          case when j = 0 then concat(case when n_chunks > 3 then 'last_' else 'call_' end, stream_id) when j = 1 then concat('more_', stream_id) else '' end from named),
+      last as (select conv_id, max(turn) last from conversations where role = 'user' group by conv_id)
+      select cast(conv_id as varchar) session_id, turn seq, role, text "content", '' reasoning_content, '' "name" from conversations where role = 'user'
+      union all select cast(conv_id as varchar), coalesce(last, -1) + row_number() over (partition by conv_id order by o), "role", "content", reasoning_content, "name" from new left join last using (conv_id)""",
 }

@@ -3,6 +3,8 @@
 Rows carry (stream_id, seq); nothing relies on the order of lines in a file. All steps group by stream_id, so the rows of
 a stream shuffle once. ``assemble_messages`` folds with partial, order-aware aggregates; ``chunk_states`` repeats the
 state of every earlier chunk and is quadratic in a stream's chunks: it is there to look at streams, not to fold them.
+
+The index of a part of a tool call comes from a model: parts outside 0 to ``MAX_CALLS`` - 1 are left out.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import ordered_text
+from tracemill.sources.tables import CALL
 
 PREFIX = "data: "
 DONE = "[DONE]"
-_CALLS = "array<struct<index:int,id:string,type:string,function:struct<name:string,arguments:string>>>"
+MAX_CALLS = 1024
+PARTS = "array<struct<index:int,id:string,type:string,function:struct<name:string,arguments:string>>>"
 USAGE = "struct<prompt_tokens:long,completion:long,total_tokens:long>"
-CHUNK = f"struct<choices:array<struct<index:int,delta:struct<role:string,content:string,reasoning_content:string,tool_calls:{_CALLS}>,finish_reason:string,usage:{USAGE}>>,_bad:string>"
+CHUNK = f"struct<choices:array<struct<index:int,delta:struct<role:string,content:string,reasoning_content:string,tool_calls:{PARTS}>,finish_reason:string,usage:{USAGE}>>,_bad:string>"
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
@@ -26,8 +30,8 @@ def data_lines(lines: DataFrame) -> DataFrame:
 
 
 def cut_done(data: DataFrame) -> DataFrame:
-    """Without [DONE] and what follows it in its stream."""
-    end = F.min(F.when(F.trim("data") == DONE, F.col("seq"))).over(Window.partitionBy("stream_id"))
+    """Without [DONE] (that text alone) and what follows it in its stream."""
+    end = F.min(F.when(F.col("data") == DONE, F.col("seq"))).over(Window.partitionBy("stream_id"))
     return data.withColumn("__end", end).filter(F.col("__end").isNull() | (F.col("seq") < F.col("__end"))).drop("__end")
 
 
@@ -68,18 +72,34 @@ def merge_tool_deltas(parts: DataFrame) -> DataFrame:
     """(stream_id, idx, id, type, name, args), one row per call from 0 to the stream's largest index; gaps are empty
     calls. Arguments are concatenated in order, the rest is the latest that isn't empty."""
     order = F.struct("seq", "ord")
-    merged = parts.groupBy("stream_id", "idx").agg(_latest("id", order), _latest("type", order), _latest("name", order), ordered_text(order, F.col("args")).alias("args"))
+    merged = parts.filter(F.col("idx").between(0, MAX_CALLS - 1)).groupBy("stream_id", "idx").agg(_latest("id", order), _latest("type", order), _latest("name", order), ordered_text(order, F.col("args")).alias("args"))
     calls = merged.groupBy("stream_id").agg(F.max("idx").alias("n"), F.map_from_entries(F.collect_list(F.struct("idx", F.struct("id", "type", "name", "args")))).alias("calls"))
     filled = calls.select("stream_id", F.explode(F.sequence(F.lit(0), "n")).alias("idx"), "calls").withColumn("c", F.col("calls")[F.col("idx")])
     return filled.select("stream_id", "idx", *[F.coalesce(F.col(f"c.{x}"), F.lit("")).alias(x) for x in ("id", "type", "name", "args")])
 
 
+def fold_calls(parts: Column) -> Column:
+    """The calls that an array of parts, in order, adds up to: from 0 to the largest index, gaps are empty calls."""
+    index = lambda p: F.coalesce(p["index"], F.lit(0))
+    able = lambda p: index(p).between(0, MAX_CALLS - 1)
+
+    def call(i: Column) -> Column:
+        own = F.filter(parts, lambda p: index(p) == i)
+        latest = lambda of: F.coalesce(F.try_element_at(F.filter(F.transform(own, of), lambda x: x != ""), F.lit(-1)), F.lit(""))
+        arguments = F.array_join(F.transform(own, lambda p: F.coalesce(p["function"]["arguments"], F.lit(""))), "")
+        function = F.struct(latest(lambda p: p["function"]["name"]).alias("name"), arguments.alias("arguments"))
+        return F.struct(latest(lambda p: p["id"]).alias("id"), latest(lambda p: p["type"]).alias("type"), function.alias("function"))
+
+    top = F.array_max(F.transform(F.filter(parts, able), index))
+    return F.when(top.isNotNull(), F.transform(F.sequence(F.lit(0), top), call)).otherwise(F.array().cast(f"array<{CALL}>"))
+
+
 def chunk_states(chunks: DataFrame) -> DataFrame:
-    """Every chunk with its sticky role, its own deltas, whether calls were seen so far, and how many."""
+    """Every chunk with its sticky role, its own deltas, the calls merged so far, and whether there are any yet."""
     so_far = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    highest = F.coalesce(F.array_max(F.transform("tool_calls", lambda t: F.coalesce(t["index"], F.lit(0)) + 1)), F.lit(0))
-    counted = sticky_role(chunks).withColumn("n_calls", F.max(highest).over(so_far))
-    return counted.withColumn("is_tool_call", F.col("n_calls") > 0).drop("tool_calls")
+    listed = sticky_role(chunks).withColumn("__parts", F.collect_list("tool_calls").over(so_far))
+    merged = listed.withColumn("tool_calls", fold_calls(F.flatten("__parts"))).drop("__parts")
+    return merged.withColumn("is_tool_call", F.size("tool_calls") > 0)
 
 
 def stream_usage(chunks: DataFrame) -> DataFrame:
@@ -89,15 +109,21 @@ def stream_usage(chunks: DataFrame) -> DataFrame:
 
 
 def assemble_messages(chunks: DataFrame, streams: DataFrame | None = None) -> DataFrame:
-    """(stream_id, role, content, reasoning_content, n_chunks): deltas concatenated, the role the latest one given. With
-    ``streams``, those without chunks are empty assistant messages."""
+    """(stream_id, role, content, reasoning_content, tool_calls, n_chunks): deltas concatenated, the role the latest one
+    given, calls as ``fold_calls`` merges them. With ``streams``, those without chunks are empty assistant messages."""
     order = F.col("seq")
-    folded = chunks.groupBy("stream_id").agg(_latest("role", order), ordered_text(order, F.col("content")).alias("content"), ordered_text(order, F.col("reasoning_content")).alias("reasoning_content"), F.count(F.lit(1)).alias("n_chunks"))
+    parts = F.sort_array(F.collect_list(F.when(F.size("tool_calls") > 0, F.struct("seq", "tool_calls"))))
+    folded = chunks.groupBy("stream_id").agg(
+        _latest("role", order), ordered_text(order, F.col("content")).alias("content"), ordered_text(order, F.col("reasoning_content")).alias("reasoning_content"),
+        F.flatten(F.transform(parts, lambda r: r["tool_calls"])).alias("__parts"), F.count(F.lit(1)).alias("n_chunks"),
+    )
+    folded = folded.select("stream_id", "role", "content", "reasoning_content", fold_calls(F.col("__parts")).alias("tool_calls"), "n_chunks")
     if streams is None:
         return folded
     full = streams.select("stream_id").distinct().join(folded, "stream_id", "left")
     blank = {"role": "assistant", "content": "", "reasoning_content": ""}
-    return full.select("stream_id", *[F.when(F.col("n_chunks").isNull(), F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in blank.items()], F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"))
+    calls = F.coalesce("tool_calls", F.array().cast(f"array<{CALL}>")).alias("tool_calls")
+    return full.select("stream_id", *[F.when(F.col("n_chunks").isNull(), F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in blank.items()], calls, F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"))
 
 
 def cut_stream(chunks: DataFrame, stop: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 CALL = "struct<id:string,type:string,function:struct<name:string,arguments:string>>"
 RESULT = "struct<call_id:string,content:string,is_error:boolean>"
+MAX_LINE = 1 << 20
 MESSAGES = "id string, session_id string, seq long, role string, content string, reasoning_content string, ts long"
 CHAT = f"session_id string, seq long, role string, content string, reasoning_content string, name string, partial boolean, tool_calls array<{CALL}>, tool_results array<{RESULT}>"
 
@@ -58,3 +59,27 @@ def write_chat_json(messages: DataFrame, path: str) -> None:
 
 def read_chat_json(spark: SparkSession, path: str) -> DataFrame:
     return from_chat_json(spark.read.text(path))
+
+
+def read_sse_lines(spark: SparkSession, path: str, live: bool = False, files_per_trigger: int = 8) -> DataFrame:
+    """(stream_id, seq, line) of a captured log: text files whose lines are ``stream_id<TAB>seq<TAB>event line``. The order of
+    lines in files means nothing. Lines without a number in second place are left out. ``live``: a stream of new files."""
+    rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path) if live else spark.read.text(path)
+    part = F.split("value", "\t", 3)
+    return rows.select(F.get(part, F.lit(0)).alias("stream_id"), F.get(part, F.lit(1)).try_cast("long").alias("seq"), F.get(part, F.lit(2)).alias("line")).filter("seq is not null and line is not null")
+
+
+def read_sse_files(spark: SparkSession, path: str, live: bool = False, files_per_trigger: int = 8) -> DataFrame:
+    """(stream_id, seq, line) of files that hold the event lines of one response each; the file's name is the stream. A
+    line over ``MAX_LINE`` bytes ends its stream."""
+    rows = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if live else spark.read).option("wholetext", "true").text(path)
+    named = rows.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("stream_id"), F.split("value", "\n", -1).alias("lines"))
+    long = F.array_position(F.transform("lines", lambda x: F.octet_length(x) > MAX_LINE), True)
+    kept = named.select("stream_id", F.when(long > 0, F.slice("lines", F.lit(1), (long - 1).cast("int"))).otherwise(F.col("lines")).alias("lines"))
+    return kept.select("stream_id", F.posexplode("lines").alias("seq", "line")).withColumn("seq", F.col("seq").cast("long"))
+
+
+def write_sse_lines(lines: DataFrame, path: str, mode: str = "error") -> None:
+    """The reverse of ``read_sse_lines``; the rows of a stream go to one file."""
+    text = F.concat_ws("\t", "stream_id", F.col("seq").cast("string"), "line")
+    lines.repartition("stream_id").select(text.alias("value")).write.mode(mode).text(path)

@@ -5,56 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracemill.operators.streams import DONE, data_lines, parse_chunks
+from tracemill.operators.streams import DONE, PARTS, data_lines, fold_calls, parse_chunks
+from tracemill.sources.tables import CALL
 
-OUT = "stream_id string, role string, content string, complete boolean"
-STATE = "seqs array<long>, roles array<string>, contents array<string>, end long"
-
-
-def read_sse(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A feed of Parquet files of (stream_id, seq, line)."""
-    return spark.readStream.schema("stream_id string, seq long, line string").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+OUT = f"stream_id string, role string, content string, reasoning_content string, tool_calls array<{CALL}>, n_chunks long, complete boolean"
+FOLDED = "stream_id string, role string, content string, reasoning_content string, parts string, n_chunks long, complete boolean"
+STATE = "seqs array<long>, roles array<string>, contents array<string>, reasons array<string>, parts array<string>, end long"
 
 
 def assemble_messages_streaming(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """(stream_id, role, content, complete) when a stream's [DONE] is there, or after ``idle_ms`` without lines (then not
-    complete; without ``idle_ms`` a stream waits for its [DONE] for ever). Lines may come in any order up to the batch of
+    """The message of ``assemble_messages`` and ``complete`` when a stream's [DONE] is there, or after ``idle_ms`` without
+    lines (then not complete; without ``idle_ms`` a stream waits for its [DONE] for ever). Lines may come in any order up to the batch of
     [DONE]; state keeps them by seq and goes once the message is sent. Seqs needn't be gapless, so a line that comes in a
     batch after [DONE] can't be waited for: it counts as a stream of its own that has no [DONE]."""
     data = data_lines(lines)
-    marked = data.withColumn("data", F.when(F.trim("data") == DONE, F.lit('{"choices":[{"delta":{},"finish_reason":"[DONE]"}]}')).otherwise(F.col("data")))
-    chunks = parse_chunks(marked).select("stream_id", "seq", "role", "content", (F.coalesce("finish_reason", F.lit("")) == DONE).alias("done"))
+    marked = data.withColumn("data", F.when(F.col("data") == DONE, F.lit('{"choices":[{"delta":{},"finish_reason":"[DONE]"}]}')).otherwise(F.col("data")))
+    chunks = parse_chunks(marked).select("stream_id", "seq", "role", "content", "reasoning_content", F.to_json("tool_calls").alias("parts"), (F.coalesce("finish_reason", F.lit("")) == DONE).alias("done"))
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, roles, contents, end = state.get if state.exists else ([], [], [], None)
-        seqs, roles, contents = list(seqs), list(roles), list(contents)
+        *lists, end = state.get if state.exists else ([], [], [], [], [], None)
+        seqs, roles, contents, reasons, parts = map(list, lists)
         late = state.hasTimedOut
         for frame in [] if late else frames:
-            for seq, role, content, is_end in zip(frame["seq"], frame["role"], frame["content"], frame["done"]):
+            for seq, role, content, reason, part, is_end in zip(*(frame[c] for c in ("seq", "role", "content", "reasoning_content", "parts", "done"))):
                 if is_end:
                     end = int(seq) if end is None else min(end, int(seq))
                 else:
                     seqs.append(int(seq))
                     roles.append(role)
                     contents.append(content)
+                    reasons.append(reason)
+                    parts.append(part if isinstance(part, str) else "[]")
         if end is None and not late:
-            state.update((seqs, roles, contents, None))
+            state.update((seqs, roles, contents, reasons, parts, None))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
             return
         if state.exists:
             state.remove()
-        own = sorted(x for x in zip(seqs, roles, contents) if end is None or x[0] < end)
-        role = next((r for _, r, _ in reversed(own) if r), "" if own else "assistant")
-        yield pd.DataFrame({"stream_id": [key[0]], "role": [role], "content": ["".join(c for _, _, c in own)], "complete": [end is not None]})
+        own = sorted(x for x in zip(seqs, roles, contents, reasons, parts) if end is None or x[0] < end)
+        role = next((r for _, r, *_ in reversed(own) if r), "" if own else "assistant")
+        text = lambda k: "".join(x[k] for x in own)
+        listed = ",".join(x[4][1:-1] for x in own if len(x[4]) > 2)
+        yield pd.DataFrame({"stream_id": [key[0]], "role": [role], "content": [text(2)], "reasoning_content": [text(3)], "parts": [f"[{listed}]"], "n_chunks": [len(own)], "complete": [end is not None]})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return chunks.groupBy("stream_id").applyInPandasWithState(fold, OUT, STATE, "append", timeout)
+    folded = chunks.groupBy("stream_id").applyInPandasWithState(fold, FOLDED, STATE, "append", timeout)
+    calls = fold_calls(F.from_json("parts", PARTS)).cast(f"array<{CALL}>").alias("tool_calls")
+    return folded.select("stream_id", "role", "content", "reasoning_content", calls, "n_chunks", "complete")
 
 
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
