@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,39 +21,49 @@ def contains_like(text: Column, query: Column) -> Column:
     return F.call_function("like", fold(text), pattern)
 
 
-def _kind(text: str | None) -> str | None:
-    if text is None:
-        return None
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def refuse(name: str) -> None:
-        raise ValueError(name)
 
-    try:
-        value = json.loads(text, parse_constant=refuse)
-    except (ValueError, RecursionError):
-        return "invalid"
-    names = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}
-    return names.get(type(value), "number")
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
 
 
-@F.pandas_udf(T.StringType())
-def json_kind(texts: pd.Series) -> pd.Series:
-    """object, array, string, number, boolean, null, or invalid where strict JSON doesn't allow the text."""
-    return texts.map(_kind, na_action="ignore").astype("object")
+def json_kind(text: Column) -> Column:
+    """object, array, string, number, boolean, null, or invalid where strict JSON doesn't allow the text; null for null.
+
+    The parser reads one value and ignores what comes behind it. So the text is read as the only element of a list, which
+    a comma behind the value would spoil, and as the first field of an object, which a bracket behind it would: only a
+    text that is one value passes both.
+    """
+
+    def kind(x: Column) -> Column:
+        alone = F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>", _STRICT)
+        first = F.from_json(F.concat(F.lit('{"value":'), x, F.lit(',"end":1}')), "struct<end:int,_bad:string>", _STRICT)
+        start = F.substring(F.ltrim(F.translate(x, "\t\n\r", "   ")), 1, 1)
+        names = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
+        named = F.coalesce(F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[start], F.lit("number"))
+        valid = (F.size(alone) == 1) & first["_bad"].isNull() & (first["end"] == 1)
+        return F.when(x.isNotNull(), F.when(valid, named).otherwise("invalid"))
+
+    return let(text, kind)
 
 
 def trim_json_wrapper(raw: Column) -> Column:
     """The JSON part of a model's answer: without code fences, from the first { to the last }, else from [ to ]."""
-    trimmed = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    opened = F.regexp_replace(trimmed, r"(?iU)^\s*```\s*(?:json)?\s*", "")
-    closed = F.regexp_replace(F.regexp_replace(opened, r"(?U)\s*```\s*$", ""), r"(?U)^\s+|\s+$", "")
+    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+    def unfenced(x: Column) -> Column:
+        return trim(F.regexp_replace(F.regexp_replace(trim(x), r"(?iU)^\s*```\s*(?:json)?\s*", ""), r"(?U)\s*```\s*$", ""))
+
+    def body(x: Column) -> Column:
+        def span(a: str, b: str) -> Column:
+            first, last = F.instr(x, a), F.length(x) - F.instr(F.reverse(x), b) + 1
+            return F.when((first > 0) & (last > first) & (last <= F.length(x)), F.substring(x, first, last - first + 1))
 
-    def span(a: str, b: str) -> Column:
-        first, back = F.instr(closed, a), F.instr(F.reverse(closed), b)
-        last = F.length(closed) - back + 1
-        return F.when((first > 0) & (back > 0) & (last > first), F.substring(closed, first, last - first + 1))
+        return F.coalesce(span("{", "}"), span("[", "]"), x)
 
-    return F.coalesce(span("{", "}"), span("[", "]"), closed)
+    return let(unfenced(raw), body)
 
 
 def fold_path(path: Column) -> Column:
