@@ -12,6 +12,7 @@ from tracemill.operators import plans as P
 from tracemill.operators import streams as S
 from tracemill.operators import tools as T
 from tracemill.sources import files, tables
+from tracemill.streaming import assemble
 
 MSG = "id string, session_id string, seq long, role string, content string, reasoning_content string, ts long"
 
@@ -195,3 +196,67 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
         assert [r["content"] for r in M.get_sessions(m).orderBy("pos").collect()] == [f"x{i}" for i in range(30)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_folded_calls_live_and_batch(spark, tmp_path):
+    """Bad indexes are left out, gaps are empty calls, the latest id and name win, and the live fold is the batch fold."""
+    parts = [
+        [{"index": 1, "id": "a", "type": "function", "function": {"name": "f", "arguments": "{"}}, {"index": -1, "id": "bad"}],
+        [{"index": 2_000_000_000, "id": "bad"}, {"index": 1, "id": "b", "function": {"arguments": "}"}}],
+    ]
+    feed = lines(spark, chunk(role="assistant", reasoning_content="hm"), chunk(content="x", tool_calls=parts[0]), chunk(tool_calls=parts[1], reasoning_content="m"), "data:  [DONE] ", chunk(content="y"), "data: [DONE]", chunk(content="late"))
+    chunks = S.parse_sse(feed)
+    want = [("", "", ("", "")), ("b", "function", ("f", "{}"))]
+    plain = lambda calls: [(c["id"], c["type"], tuple(c["function"])) for c in calls]
+    out = S.assemble_messages(chunks).first()
+    assert plain(out["tool_calls"]) == want and (out["role"], out["content"], out["reasoning_content"], out["n_chunks"]) == ("assistant", "xy", "hmm", 4)
+    states = S.chunk_states(chunks).orderBy("seq").collect()
+    assert [plain(r["tool_calls"])[1:] for r in states] == [[], [("a", "function", ("f", "{"))], want[1:], want[1:]] and [r["is_tool_call"] for r in states] == [False, True, True, True]
+    assert [(r["idx"], r["args"]) for r in S.merge_tool_deltas(S.tool_parts(chunks)).orderBy("idx").collect()] == [(0, ""), (1, "{}")]
+    tables.write_sse_lines(feed, f"file://{tmp_path}/feed")
+    assemble.run_once(assemble.assemble_messages_streaming(tables.read_sse_lines(spark, f"file://{tmp_path}/feed", live=True)), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    live = spark.read.schema(assemble.OUT).parquet(f"file://{tmp_path}/out").first()
+    assert plain(live["tool_calls"]) == want and [live[c] for c in out.asDict() if c != "tool_calls"] == [out[c] for c in out.asDict() if c != "tool_calls"] and live["complete"]
+
+
+def test_event_text(spark, tmp_path, monkeypatch):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.txt").write_text("s\t1\tdata: x\ty\nno number\ns\tq\tz\ns\t0\t\n")
+    assert sorted(tuple(r) for r in tables.read_sse_lines(spark, str(tmp_path / "log")).collect()) == [("s", 0, ""), ("s", 1, "data: x\ty")]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "r1").write_text(f"{chunk(content='a')}\r\n\n{chunk(content='b')}\ndata: [DONE]\n")
+    (tmp_path / "one" / "r2").write_text(f"{chunk(content='c')}\n{chunk(content='d' * 200)}\n{chunk(content='e')}")
+    monkeypatch.setattr(tables, "MAX_LINE", 150)
+    out = S.assemble_messages(S.parse_sse(tables.read_sse_files(spark, str(tmp_path / "one"))))
+    assert {r["stream_id"]: r["content"] for r in out.collect()} == {"r1": "ab", "r2": "c"}
+
+
+def test_transcripts_of_nothing(spark):
+    rows = spark.createDataFrame([("s", 0, None, None), ("s", 1, "user", "hi"), ("n", 0, None, None)], "session_id string, seq long, role string, content string")
+    got = {r["session_id"]: r["transcript"] for r in C.format_transcript(rows, spark.createDataFrame([("s",), ("n",), ("e",)], "session_id string")).collect()}
+    assert C.NUMBER + "2" in got["s"] and C.NUMBER + "1" not in got["s"] and got["n"] == C.RULE and got["e"] == C.NONE
+
+
+def test_saved_metadata(spark):
+    old = msgs(spark, [("user", "a")]).withColumn("metadata", F.lit("null"))
+    call = F.array(F.struct(F.lit("i").alias("id")))
+    new = msgs(spark, [("user", "b"), ("assistant", "c")]).withColumns({"write_seq": F.lit(1), "tool_calls": F.when(F.col("seq") == 1, call)})
+    assert sorted((r["content"], r["metadata"]) for r in M.save_turns(old, new).collect()) == [("b", "null"), ("c", '[{"id":"i"}]')]
+
+
+def test_bounded_replay(spark):
+    m = msgs(spark, [("user" if i % 2 == 0 else "assistant", f"x{i}") for i in range(9)])
+    whole, some = M.replay_prompts(m), M.replay_prompts(m, max_history=100)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, some.collect()))
+    last = M.replay_prompts(m, max_history=3).filter("turn_seq = 8").orderBy("pos").collect()
+    assert [r["content"] for r in last] == ["x5", "x6", "x7", "x8", "x8"]
+
+
+def test_requested_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("abc")
+    (tmp_path / "in" / "b.txt").write_text("x" * 50)
+    (tmp_path / "out.txt").write_text("secret")
+    asked = spark.createDataFrame([("a.txt",), ("./q/../a.txt",), ("b.txt",), ("../out.txt",), ("none",)], "path string")
+    got = {r["path"]: (r["content"], r["error"]) for r in files.read_requested(spark, asked, f"file://{tmp_path}/in", 10).collect()}
+    assert got == {"a.txt": ("abc", None), "./q/../a.txt": ("abc", None), "b.txt": (None, "file too large: 50 bytes (max 10 bytes)"), "../out.txt": (None, "path access denied: ../out.txt"), "none": (None, "file not found: none")}

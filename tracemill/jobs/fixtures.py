@@ -17,11 +17,11 @@ SQL = {
     "messages": """
         select concat(conv_id, '_', turn) id, cast(conv_id as varchar(20)) session_id, turn seq, role, text content,
           case when role = 'assistant' then substr(text, 1, 24) else '' end reasoning_content,
-          1704067200 + conv_id * 60 + cast(floor(turn / 2) as bigint) ts
+          1704067200 + conv_id * 60 + cast(floor(turn / 2) as bigint) ts, 'null' metadata
         from {conversations}""",
     "shifted": """
         select m.id, m.session_id, case when cast(m.session_id as bigint) % 3 = 0 then (m.seq + 2) % n.n else m.seq end seq,
-          m.role, m.content, m.reasoning_content, m.ts
+          m.role, m.content, m.reasoning_content, m.ts, m.metadata
         from {messages} m join (select session_id, count(*) n from {messages} group by session_id) n on n.session_id = m.session_id""",
     "recall_queries": """
         select m.session_id, m.seq q_seq, case cast(m.session_id as bigint) % 10 when 0 then '%' when 1 then '' else substr(m.content, 1, 3) end q

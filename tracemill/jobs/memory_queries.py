@@ -33,8 +33,10 @@ def a2_chat_json_round_trip(spark, d):
 
 
 def m1_save_turns(spark, d):
-    old = _messages(spark, d).drop("write_seq")
-    return M.save_turns(old, frame(spark, d, "updates"))
+    id_ = F.concat(F.lit("c"), F.col("seq").cast("string"))
+    call = F.array(F.struct(id_.alias("id"), F.lit("function").alias("type"), F.struct(F.lit("f").alias("name"), F.lit('{"a":"\\n"}').alias("arguments")).alias("function")))
+    new = frame(spark, d, "updates").withColumn("tool_calls", F.when(F.col("seq") % 2 == 1, call))
+    return M.save_turns(_messages(spark, d), new)
 
 
 def m2_recall_topk(spark, d):
@@ -67,6 +69,10 @@ def m8_replay_prompts(spark, d):
     return M.replay_prompts(_messages(spark, d))
 
 
+def m8_replay_prompts_bounded(spark, d):
+    return M.replay_prompts(_messages(spark, d), max_history=2)
+
+
 def m9_keep_system(spark, d):
     return M.keep_system(frame(spark, d, "shifted")).select("session_id", "seq", "content")
 
@@ -81,15 +87,31 @@ def m11_replace_messages(spark, d):
     return M.replace_messages(m, m.filter("role = 'system'")).select("session_id", "seq", "role", "content")
 
 
-QUERIES = {f.__name__: f for f in (a1_read_messages, a2_chat_json_round_trip, m1_save_turns, m2_recall_topk, m3_get_session, m4_get_session_with_reasoning, m5_clear_sessions, m6_memory_prompt, m7_build_context, m8_replay_prompts, m9_keep_system, m11_append_messages, m11_replace_messages)}
+QUERIES = {f.__name__: f for f in (a1_read_messages, a2_chat_json_round_trip, m1_save_turns, m2_recall_topk, m3_get_session, m4_get_session_with_reasoning, m5_clear_sessions, m6_memory_prompt, m7_build_context, m8_replay_prompts, m8_replay_prompts_bounded, m9_keep_system, m11_append_messages, m11_replace_messages)}
 
 _REPLAY_HIT = f"({_FOLD.format('m.content')} like '%' || {_FOLD.format('u.content')} || '%' or {_FOLD.format('m.reasoning_content')} like '%' || {_FOLD.format('u.content')} || '%')"
+_REPLAY = f"""with {ctes("messages")}, placed_ as (select *, row_number() over (partition by session_id order by seq) pos from messages),
+      turns as (select session_id, seq turn_seq, content, pos from placed_ where role = 'user'),
+      recalled as (select * from (select u.session_id, u.turn_seq, m.role, m.content,
+          row_number() over (partition by u.session_id, u.turn_seq order by m.ts desc, m.seq desc) rn
+        from turns u join placed_ m on m.session_id = u.session_id and m.seq < u.turn_seq and {_REPLAY_HIT} and NEAR) where rn <= 3),
+      prompts as (select session_id, turn_seq, concat('{M.HEADER}', chr(10), string_agg('[' || role || ']: ' || content, chr(10) order by rn), chr(10), '{M.FOOTER}') prompt
+        from recalled group by session_id, turn_seq),
+      history as (select u.session_id, u.turn_seq, m.seq, m.role, m.content from turns u join placed_ m on m.session_id = u.session_id and m.seq <= u.turn_seq and NEAR),
+      firsts as (select session_id, turn_seq, min(seq) filter (role = 'system') first from history group by session_id, turn_seq),
+      placed as (
+        select h.session_id, h.turn_seq, h.seq a, 0 b, h.role, h.content from history h join firsts f using (session_id, turn_seq) left join prompts p using (session_id, turn_seq)
+        where p.prompt is null or f.first is null or h.seq >= f.first
+        union all select session_id, turn_seq, coalesce(first, -1), 1, 'system', prompt from prompts join firsts using (session_id, turn_seq)
+        union all select session_id, turn_seq, 1000000000, 2, 'user', content from turns)
+      select session_id, turn_seq, cast(row_number() over (partition by session_id, turn_seq order by a, b) as int) pos, role, content from placed"""
 ORACLE_SQL = {
     "a1_read_messages": f"with {ctes('messages')} select * from messages",
     "a2_chat_json_round_trip": f"with {ctes('messages')} select session_id, seq, role, content, reasoning_content, seq % 2 = 1 partial, cast(0 as bigint) n_calls from messages",
     "m1_save_turns": f"""with {ctes("messages", "updates")}, every as (
-        select *, 0 write_seq from messages union all select id, session_id, seq, role, content, reasoning_content, ts, write_seq from updates)
-      select id, session_id, seq, role, content, reasoning_content, ts from every qualify row_number() over (partition by id order by write_seq desc) = 1""",
+        select *, 0 write_seq from messages union all select id, session_id, seq, role, content, reasoning_content, ts,
+          case when seq % 2 = 1 then concat('[{{"id":"c', seq, '","type":"function","function":{{"name":"f","arguments":"{{\\"a\\":\\"\\\\n\\"}}"}}}}]') else 'null' end metadata, write_seq from updates)
+      select id, session_id, seq, role, content, reasoning_content, ts, metadata from every qualify row_number() over (partition by id order by write_seq desc) = 1""",
     "m2_recall_topk": f"with {ctes('messages', 'recall_queries')}, {_RECALLED} select session_id, q_seq, rn, role, content, reasoning_content from recalled",
     "m3_get_session": f"with {ctes('messages')} select session_id, cast(row_number() over (partition by session_id order by ts, seq) as int) pos, role, content from messages",
     "m4_get_session_with_reasoning": f"with {ctes('messages')} select session_id, cast(row_number() over (partition by session_id order by ts, seq) as int) pos, role, content, reasoning_content from messages",
@@ -103,21 +125,8 @@ ORACLE_SQL = {
         union all
         select session_id, coalesce(first, -1) a, 1 b, 'system' as "role", prompt content from prompts join firsts using (session_id))
       select session_id, cast(row_number() over (partition by session_id order by a, b) as int) pos, role, content from placed""",
-    "m8_replay_prompts": f"""with {ctes("messages")},
-      turns as (select session_id, seq turn_seq, content from messages where role = 'user'),
-      recalled as (select * from (select u.session_id, u.turn_seq, m.role, m.content,
-          row_number() over (partition by u.session_id, u.turn_seq order by m.ts desc, m.seq desc) rn
-        from turns u join messages m on m.session_id = u.session_id and m.seq < u.turn_seq and {_REPLAY_HIT}) where rn <= 3),
-      prompts as (select session_id, turn_seq, concat('{M.HEADER}', chr(10), string_agg('[' || role || ']: ' || content, chr(10) order by rn), chr(10), '{M.FOOTER}') prompt
-        from recalled group by session_id, turn_seq),
-      history as (select u.session_id, u.turn_seq, m.seq, m.role, m.content from turns u join messages m on m.session_id = u.session_id and m.seq <= u.turn_seq),
-      firsts as (select session_id, turn_seq, min(seq) filter (role = 'system') first from history group by session_id, turn_seq),
-      placed as (
-        select h.session_id, h.turn_seq, h.seq a, 0 b, h.role, h.content from history h join firsts f using (session_id, turn_seq) left join prompts p using (session_id, turn_seq)
-        where p.prompt is null or f.first is null or h.seq >= f.first
-        union all select session_id, turn_seq, coalesce(first, -1), 1, 'system', prompt from prompts join firsts using (session_id, turn_seq)
-        union all select session_id, turn_seq, 1000000000, 2, 'user', content from turns)
-      select session_id, turn_seq, cast(row_number() over (partition by session_id, turn_seq order by a, b) as int) pos, role, content from placed""",
+    "m8_replay_prompts": _REPLAY.replace("NEAR", "true"),
+    "m8_replay_prompts_bounded": _REPLAY.replace("NEAR", "m.pos >= u.pos - 2"),
     "m9_keep_system": f"with {ctes('messages', 'shifted')} select session_id, seq, content from shifted where role = 'system'",
     "m11_append_messages": f"""with {ctes("messages")}, last as (select session_id, max(seq) last from messages group by session_id)
       select session_id, seq, role, content from messages

@@ -31,9 +31,13 @@ def a3_read_sse_lines(spark, d):
 
 
 def a4_file_inventory(spark, d):
+    """The files of every user's events, by user: as many as there are users."""
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    _plans(spark, d).select("goal").repartition(3).write.text(folder)
-    return files.file_inventory(spark, folder)
+    events = table(spark, d, "events").select("user_id", F.concat_ws(" ", "event_type", "props").alias("value"))
+    events.repartition("user_id").write.partitionBy("user_id").text(folder)
+    found = files.file_inventory(spark, folder).withColumn("user_id", F.regexp_extract("path", "/user_id=([0-9]+)/", 1).cast("long"))
+    dated = F.every(F.col("mod_time").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$")).alias("dated")
+    return found.filter(F.col("name").endswith(".txt")).groupBy("user_id", "type").agg(F.sum(F.col("size").cast("long")).alias("n_bytes"), dated)
 
 
 def a5_read_bounded_text(spark, d):
@@ -43,11 +47,18 @@ def a5_read_bounded_text(spark, d):
     length = F.octet_length("value").cast("long") + 1
     size, longest = (x or 0 for x in rows.agg(F.sum(length), F.max(length)).first())
     limit = files.MAX_BYTES if longest <= files.MAX_BYTES // 2 else files.MAX_BYTES + longest
-    rows.repartition(max(2, -(-16 * size // files.MAX_BYTES))).write.text(folder)
-    refused = F.raise_error(F.concat_ws(": ", "error", "path")).cast("string")
-    read = files.read_bounded_text(spark, folder, limit).select(F.when(F.col("error").isNull(), F.col("content")).otherwise(refused).alias("content"))
-    lines = read.select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
-    return lines.select(F.split("line", " ")[0].cast("long").alias("doc_id"), F.md5(F.regexp_replace("line", "^[0-9]+ ", "")).alias("text_md5"))
+    rows.repartition(max(2, -(-16 * size // files.MAX_BYTES))).write.text(f"{folder}/docs")
+    spark.range(1).select(F.repeat(F.lit("x"), limit)).coalesce(1).write.text(f"{folder}/large")
+    root = f"{folder}/"
+    found = files.file_inventory(spark, folder).filter(F.col("name").endswith(".txt")).select(F.substring_index("path", root.rsplit("/", 2)[1] + "/", -1).alias("path"))
+    wrong = spark.createDataFrame([("docs/../../outside.txt",), ("docs/none.txt",)], "path string")
+    read = files.read_requested(spark, found.union(wrong), folder, limit)
+    told = F.regexp_replace("error", "[0-9]+ bytes.*", "refused")
+    lines = read.select("error", told.alias("told"), "path", F.explode_outer(F.split("content", "\n")).alias("line")).filter("error is not null or line <> ''")
+    # a refused part of the documents is a failure of the query, any other refusal a row
+    lost = F.raise_error(F.concat_ws(": ", "error", "path")).cast("string")
+    good = F.when(F.col("error").isNotNull() & F.col("path").rlike("^docs/part-"), lost).when(F.col("error").isNull(), F.md5(F.regexp_replace("line", "^[0-9]+ ", ""))).otherwise(F.col("told"))
+    return lines.select(F.split("line", " ")[0].cast("long").alias("doc_id"), good.alias("text_md5"))
 
 
 def p1_trim_json_wrapper(spark, d):
@@ -161,7 +172,9 @@ _K = "cast(plan_id as bigint) % 6"
 ORACLE_SQL = {
     "a3_read_sse_lines": """with chat as (select concat(conv_id, '_', turn) stream_id, cast(ceil(length(text) / 16.0) as bigint) n from conversations where role = 'assistant'),
       cut as (select stream_id, unnest(range(0, n)) i from chat) select stream_id, cast(sum(1 + case when i % 4 >= 2 then 1 else 0 end) + 2 as bigint) n_data from cut group by stream_id""",
-    "a5_read_bounded_text": "select doc_id, md5(replace(text, chr(10), ' ')) text_md5 from documents",
+    "a4_file_inventory": """select user_id, 'file' "type", cast(sum(strlen(event_type) + 1 + coalesce(strlen(props), -1) + 1) as bigint) n_bytes, true dated from events group by user_id""",
+    "a5_read_bounded_text": """select doc_id, md5(replace(text, chr(10), ' ')) text_md5 from documents
+      union all select null, unnest(['path access denied: docs/../../outside.txt', 'file not found: docs/none.txt', 'file too large: refused'])""",
     "p1_trim_json_wrapper": f"select event_id, case event_id % 6 when 4 then concat('[1, ', event_id, ']') when 5 then 'none' else {_EVENT_JSON} end body from events",
     "p2_parse_plans": f"with {_T} select plan_id, concat('goal ', plan_id) goal, case when {_K} = 5 then 'error' else 'ok' end status, case when {_K} = 5 then 0 else count(*) end n_tasks from tasks group by plan_id",
     "p3_explode_tasks": f"with {_T} select plan_id, ord, id, description, coalesce(input, '') inputs, output outputs, 'pending' state from tasks where {_K} <> 5",
@@ -180,6 +193,9 @@ ORACLE_SQL = {
       union all select plan_id, concat('goal ', plan_id), id, 'old', 'pending', '' from tasks where {_K} = 5 and ord = 1""",
     "p12_synthesize_results": f"""with {_T} select plan_id, concat('{P.REPORT[0]}goal ', plan_id, '{P.REPORT[1]}', chr(10), string_agg(concat(case when state = 'failed' then '✗' else '✓' end, ' ', description, ': map[',
       case when state = 'success' then concat('a:x b:', id) else '' end, ']'), chr(10) order by ord)) report from tasks group by plan_id""",
+    "p13_plan_state_json": f"""with {_T} select plan_id, concat('{{"goal":"goal ', plan_id, '","tasks":', case when {_K} = 5 then 'null' else concat('[', string_agg(concat('{{"id":"', id, '","description":"', description,
+        '","inputs":[', case when input is null then '' else concat('"', input, '"') end, '],"outputs":["', output, '"],"state":null,"result":null,"error":null}}'), ',' order by ord), ']') end, '}}') state
+      from tasks group by plan_id""",
     "p14_resolve_slots": f"with {_TS}, {_SLOTS} select * from resolved",
     "p15_route_rows": "select event_id, case when event_id % 5 > 0 and value > 50 then 'high' else 'low' end route from events",
     "p16_barrier_complete": f"with {_TS}, {_SLOTS} select plan_id workflow_id, bool_and(exists (select 1 from resolved r where r.workflow_id = t.plan_id and r.slot = t.output)) complete from tasks t where ord <= 2 group by plan_id",

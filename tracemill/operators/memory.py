@@ -18,8 +18,16 @@ HEADER = "以下是与当前问题相关的历史记忆："
 FOOTER = "请结合这些记忆回答。"
 
 
+def call_metadata(tool_calls: str = "tool_calls") -> Column:
+    """What is saved of a message's tool calls: their JSON, ``null`` without any."""
+    return F.coalesce(F.to_json(F.when(F.size(tool_calls) > 0, F.col(tool_calls))), F.lit("null"))
+
+
 def save_turns(old: DataFrame, new: DataFrame, key: str = "id", order: str = "write_seq") -> DataFrame:
-    """old with the rows of new: the last write of a key wins. Only new is ranked; old is anti-joined, not re-sorted."""
+    """old with the rows of new: the last write of a key wins. Only new is ranked; old is anti-joined, not re-sorted. Where
+    old has ``metadata`` and new has ``tool_calls`` instead, those are saved as it."""
+    if "metadata" in old.columns and "metadata" not in new.columns:
+        new = new.withColumn("metadata", call_metadata() if "tool_calls" in new.columns else F.lit("null"))
     newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     latest = new.withColumn("__rn", newest).filter("__rn = 1").select(*old.columns)
     return old.join(latest.select(key), key, "left_anti").select(*old.columns).unionByName(latest)
@@ -69,15 +77,31 @@ def build_context(history: DataFrame, prompts: DataFrame, keys: tuple[str, ...]
     return own.unionByName(memory).select(*keys, pos.alias("pos"), "role", "content")
 
 
-def replay_prompts(messages: DataFrame, k: int = RECALL) -> DataFrame:
+def _before_turns(messages: DataFrame, most: int) -> DataFrame:
+    """Each user turn (turn_seq, q) with itself and the ``most`` messages before it, one row each: a window's frame, so the
+    rows are turns x most at the most, whatever the length of a session."""
+    frame = Window.partitionBy("session_id").orderBy("seq").rowsBetween(-most, 0)
+    held = messages.withColumn("m", F.collect_list(F.struct("seq", "role", "content", "reasoning_content", "ts")).over(frame)).filter("role = 'user'")
+    return held.select("session_id", F.col("seq").alias("turn_seq"), F.col("content").alias("q"), F.explode("m").alias("m")).select("session_id", "turn_seq", "q", "m.*")
+
+
+def replay_prompts(messages: DataFrame, k: int = RECALL, max_history: int | None = None) -> DataFrame:
     """For every user turn, the messages that are sent: earlier history and the turn with its memories (recalled from
-    what was saved before), then the turn once more. session_id, turn_seq, pos, role, content."""
+    what was saved before), then the turn once more. session_id, turn_seq, pos, role, content. Without ``max_history`` the
+    rows grow with the square of a session; with it, history and memories come from that many messages before the turn."""
     turns = messages.filter("role = 'user'").select("session_id", F.col("seq").alias("turn_seq"), F.col("content").alias("q"))
     keys = ("session_id", "turn_seq")
-    recalled = recall_topk(messages, turns, k, keys, F.col("m.seq") < F.col("q.turn_seq"))
+    if max_history is None:
+        recalled = recall_topk(messages, turns, k, keys, F.col("m.seq") < F.col("q.turn_seq"))
+        pairs = messages.alias("h").join(turns.alias("u"), (F.col("h.session_id") == F.col("u.session_id")) & (F.col("h.seq") <= F.col("u.turn_seq")))
+        history = pairs.select("h.session_id", "u.turn_seq", "h.seq", "h.role", "h.content")
+    else:
+        held = _before_turns(messages, max_history)
+        hit = held.filter((F.col("seq") < F.col("turn_seq")) & (contains_like(F.col("content"), F.col("q")) | contains_like(F.col("reasoning_content"), F.col("q"))))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("seq")))
+        recalled = hit.withColumn("rn", rank).filter(F.col("rn") <= k)
+        history = held.select(*keys, "seq", "role", "content")
     prompts = memory_prompt(recalled, keys)
-    pairs = messages.alias("h").join(turns.alias("u"), (F.col("h.session_id") == F.col("u.session_id")) & (F.col("h.seq") <= F.col("u.turn_seq")))
-    history = pairs.select("h.session_id", "u.turn_seq", "h.seq", "h.role", "h.content")
     sent = build_context(history, prompts, keys)
     again = turns.select(*keys, F.lit(1 << 30).alias("pos"), F.lit("user").alias("role"), F.col("q").alias("content"))
     pos = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.text import indent
 from tracemill.operators.streams import USAGE
+from tracemill.sources.tables import CALL
 
-# fixed values: the lines of a transcript
+# fixed values: the lines and labels of a transcript
 RULE = "────────────────────────────────────────────────────────────────"
 NONE, EMPTY = "📭 无消息", "(空)"
+NUMBER, ROLE, NAME, PARTIAL = "📨 消息 #", "🎭 角色: ", " | 🏷️ 名称: ", " | ⏳ [未完成]"
+CONTENT, REASONING = "📝 内容:", "💭 思考内容:"
+CALLS, CALL_ID, CALL_TYPE, CALL_NAME, CALL_ARGUMENTS = "🔧 工具调用:", "🆔 ID: ", "📌 类型: ", "📦 函数: ", "📋 参数:"
+RESULTS, RESULT_ID, RESULT_ERROR, YES, NO, RESULT_CONTENT = "📊 工具结果:", "🔗 调用ID: ", "⚠️ 错误: ", "❌ 是", "✅ 否", "📄 内容:"
+TOKENS = ("💰 Token 使用: 提示=", ", 完成=", ", 总计=")
 
-CHAT_RESPONSE = f"struct<id:string,model:string,created:long,choices:array<struct<index:int,message:struct<role:string,content:string,reasoning_content:string>,finish_reason:string>>,usage:{USAGE},_bad:string>"
+CHAT_RESPONSE = f"struct<id:string,model:string,created:long,choices:array<struct<index:int,message:struct<role:string,content:string,reasoning_content:string,tool_calls:array<{CALL}>>,finish_reason:string>>,usage:{USAGE},_bad:string>"
 CLAUDE_RESPONSE = "struct<content:array<struct<type:string,text:string,id:string,name:string,input:string>>,_bad:string>"
 GEMINI_RESPONSE = "struct<candidates:array<struct<content:struct<role:string,parts:array<struct<text:string,functionCall:struct<name:string,args:string>>>>>>,_bad:string>"
 _STRICT = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
@@ -22,6 +28,10 @@ def _blank(c: str | Column) -> Column:
     return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def _call(id_: Column, name: Column, arguments: Column) -> Column:
+    return F.struct(id_.alias("id"), F.lit("function").alias("type"), F.struct(name.alias("name"), arguments.alias("arguments")).alias("function"))
+
+
 def to_openai_messages(messages: DataFrame) -> DataFrame:
     """messages (.., role, content, reasoning_content, name, tool_calls, tool_results) with those columns replaced by role,
     content, reasoning_content, tool_calls (assistant only) and tool_call_id (tool only: its name). A tool message's
@@ -47,12 +57,13 @@ def build_chat_requests(api: DataFrame, model: str, tools: list[dict] | None = N
 
 
 def parse_chat_responses(responses: DataFrame) -> DataFrame:
-    """responses (.., body) -> id, model, created, role, content, finish_reason, usage columns and ``error``."""
+    """responses (.., body) -> id, model, created, role, content, reasoning_content, tool_calls, finish_reason, usage
+    columns and ``error``; the message is the first choice's, whole."""
     r = responses.withColumn("r", F.from_json("body", CHAT_RESPONSE, _STRICT))
     first = F.get("r.choices", F.lit(0))
     error = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "bad JSON").when(F.coalesce(F.size("r.choices"), F.lit(0)) < 1, "empty choices")
     keys = [c for c in responses.columns if c != "body"]
-    return r.select(*keys, error.alias("error"), "r.id", "r.model", "r.created", first["message"]["role"].alias("role"), first["message"]["content"].alias("content"), first["finish_reason"].alias("finish_reason"), "r.usage.prompt_tokens", "r.usage.completion", "r.usage.total_tokens")
+    return r.select(*keys, error.alias("error"), "r.id", "r.model", "r.created", first["message"]["role"].alias("role"), *[first["message"][c].alias(c) for c in ("content", "reasoning_content", "tool_calls")], first["finish_reason"].alias("finish_reason"), "r.usage.prompt_tokens", "r.usage.completion", "r.usage.total_tokens")
 
 
 def to_claude_messages(messages: DataFrame) -> DataFrame:
@@ -68,24 +79,24 @@ def to_claude_messages(messages: DataFrame) -> DataFrame:
 
 
 def from_claude_responses(responses: DataFrame) -> DataFrame:
-    """responses (.., body) -> role, content (text blocks joined), calls (id, name, arguments as written) and ``error``."""
+    """responses (.., body) -> role, content (text blocks joined), tool_calls (arguments as written) and ``error``."""
     r = responses.withColumn("r", F.from_json("body", CLAUDE_RESPONSE, _STRICT))
     content = F.array_join(F.transform(F.filter("r.content", lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "")
-    calls = F.transform(F.filter("r.content", lambda b: b["type"] == "tool_use"), lambda b: F.struct(b["id"].alias("id"), b["name"].alias("name"), b["input"].alias("arguments")))
+    calls = F.transform(F.filter("r.content", lambda b: b["type"] == "tool_use"), lambda b: _call(b["id"], b["name"], b["input"]))
     error = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "bad JSON")
     keys = [c for c in responses.columns if c != "body"]
-    return r.select(*keys, F.lit("assistant").alias("role"), content.alias("content"), calls.alias("calls"), error.alias("error"))
+    return r.select(*keys, F.lit("assistant").alias("role"), content.alias("content"), calls.alias("tool_calls"), error.alias("error"))
 
 
 def from_gemini_responses(responses: DataFrame) -> DataFrame:
-    """responses (.., body) -> role, content and calls of the first candidate; nulls without one. A call's id is its name
+    """responses (.., body) -> role, content and tool_calls of the first candidate; nulls without one. A call's id is its name
     and its number among the calls."""
     r = responses.withColumn("r", F.from_json("body", GEMINI_RESPONSE, _STRICT)).withColumn("p", F.get("r.candidates", F.lit(0))["content"]["parts"])
     content = F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    calls = F.transform(F.filter("p", lambda x: x["functionCall"].isNotNull()), lambda x, i: F.struct(F.concat(F.lit("gemini-"), x["functionCall"]["name"], F.lit("-"), i.cast("string")).alias("id"), x["functionCall"]["name"].alias("name"), x["functionCall"]["args"].alias("arguments")))
+    calls = F.transform(F.filter("p", lambda x: x["functionCall"].isNotNull()), lambda x, i: _call(F.concat(F.lit("gemini-"), x["functionCall"]["name"], F.lit("-"), i.cast("string")), x["functionCall"]["name"], x["functionCall"]["args"]))
     some = F.coalesce(F.size("r.candidates"), F.lit(0)) > 0
     keys = [c for c in responses.columns if c != "body"]
-    return r.select(*keys, F.when(some, "assistant").alias("role"), F.when(some, content).alias("content"), F.when(some, calls).alias("calls"))
+    return r.select(*keys, F.when(some, "assistant").alias("role"), F.when(some, content).alias("content"), F.when(some, calls).alias("tool_calls"))
 
 
 def tool_results_to_messages(results: DataFrame) -> DataFrame:
@@ -94,30 +105,38 @@ def tool_results_to_messages(results: DataFrame) -> DataFrame:
     return results.select(*keys, F.lit("tool").alias("role"), F.col("call_id").alias("name"), "content", F.array(F.struct("call_id", "content", "is_error")).alias("tool_results"))
 
 
-def format_transcript(messages: DataFrame, calls: str = "tool_calls", results: str = "tool_results") -> DataFrame:
+def format_transcript(messages: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """(session_id, transcript) of messages (session_id, seq, role, content, ...); optional columns: reasoning_content,
-    name, partial, tool_calls, tool_results, usage. Messages are numbered from 1 by seq."""
+    name, partial, tool_calls, tool_results, usage. Messages are numbered from 1 by seq. A row without role and content is
+    a null message: it has a number but no text. With ``sessions``, those without messages get the line for that."""
     has = set(messages.columns)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     or_empty = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.lit(EMPTY)).otherwise(c)
-    parts = [F.lit("🎭 角色: "), F.col("role")]
-    if "name" in has:
-        parts.append(F.when(F.col("name") != "", F.concat(F.lit(" | 🏷️ 名称: "), "name")).otherwise(""))
-    if "partial" in has:
-        parts.append(F.when(F.col("partial"), F.lit(" | ⏳ [未完成]")).otherwise(""))
-    parts += [F.lit("\n📝 内容:\n"), indent(or_empty(F.col("content")), "  "), F.lit("\n")]
-    if "reasoning_content" in has:
-        parts.append(F.when(F.col("reasoning_content") != "", F.concat(F.lit("💭 思考内容:\n"), indent(F.col("reasoning_content"), "  "), F.lit("\n"))).otherwise(""))
-    if calls in has:
-        one = lambda c, j: F.concat(F.lit("  #"), (j + 1).cast("string"), F.lit("\n    🆔 ID: "), c["id"], F.lit("\n    📌 类型: "), c["type"], F.lit("\n    📦 函数: "), c["function"]["name"], F.lit("\n    📋 参数:\n"), indent(or_empty(c["function"]["arguments"]), "      "), F.lit("\n"))
-        parts.append(F.when(F.size(calls) > 0, F.concat(F.lit("🔧 工具调用:\n"), F.array_join(F.transform(calls, one), ""))).otherwise(""))
-    if results in has:
-        one = lambda r, j: F.concat(F.lit("  #"), (j + 1).cast("string"), F.lit("\n    🔗 调用ID: "), r["call_id"], F.lit("\n    ⚠️ 错误: "), F.when(r["is_error"], "❌ 是").otherwise("✅ 否"), F.lit("\n    📄 内容:\n"), indent(or_empty(r["content"]), "      "), F.lit("\n"))
-        parts.append(F.when(F.size(results) > 0, F.concat(F.lit("📊 工具结果:\n"), F.array_join(F.transform(results, one), ""))).otherwise(""))
-    if "usage" in has:
-        u = F.col("usage")
-        parts.append(F.when(u.isNotNull(), F.concat(F.lit("💰 Token 使用: 提示="), u["prompt_tokens"].cast("string"), F.lit(", 完成="), u["completion"].cast("string"), F.lit(", 总计="), u["total_tokens"].cast("string"), F.lit("\n"))).otherwise(""))
-    body = F.concat(*[F.coalesce(p, F.lit("")) for p in parts], F.lit("\n"))
-    rows = F.sort_array(F.collect_list(F.struct("seq", body.alias("b"))))
-    numbered = F.transform(rows, lambda r, i: F.concat(F.lit(RULE + "\n📨 消息 #"), (i + 1).cast("string"), F.lit("\n" + RULE + "\n"), r["b"]))
-    return messages.groupBy("session_id").agg(F.concat(F.array_join(numbered, ""), F.lit(RULE)).alias("transcript"))
-
+    number = lambda j: text("  #", (j + 1).cast("string"), "\n    ")
+
+    def call(c: Column, j: Column) -> Column:
+        f = c["function"]
+        return text(number(j), CALL_ID, c["id"], "\n    " + CALL_TYPE, c["type"], "\n    " + CALL_NAME, f["name"], f"\n    {CALL_ARGUMENTS}\n", indent(or_empty(f["arguments"]), "      "), "\n")
+
+    def result(r: Column, j: Column) -> Column:
+        return text(number(j), RESULT_ID, r["call_id"], "\n    " + RESULT_ERROR, F.when(r["is_error"], YES).otherwise(NO), f"\n    {RESULT_CONTENT}\n", indent(or_empty(r["content"]), "      "), "\n")
+
+    listed = lambda c, title, one: F.when(F.size(c) > 0, text(title + "\n", F.array_join(F.transform(c, one), "")))
+    u = F.col("usage")
+    optional = {
+        "name": F.when(F.col("name") != "", text(NAME, F.col("name"))),
+        "partial": F.when(F.col("partial"), PARTIAL),
+        "content": text(f"\n{CONTENT}\n", indent(or_empty(F.col("content")), "  "), "\n"),
+        "reasoning_content": F.when(F.col("reasoning_content") != "", text(REASONING + "\n", indent(F.col("reasoning_content"), "  "), "\n")),
+        "tool_calls": listed("tool_calls", CALLS, call),
+        "tool_results": listed("tool_results", RESULTS, result),
+        "usage": F.when(u.isNotNull(), text(TOKENS[0], u["prompt_tokens"].cast("string"), TOKENS[1], u["completion"].cast("string"), TOKENS[2], u["total_tokens"].cast("string"), "\n")),
+    }
+    body = text(ROLE, F.coalesce("role", F.lit("")), *[F.coalesce(c, F.lit("")) for k, c in optional.items() if k in has], "\n")
+    some = F.when(F.col("role").isNotNull() | F.col("content").isNotNull(), body)
+    rows = F.sort_array(F.collect_list(F.struct("seq", some.alias("b"))))
+    numbered = F.filter(F.transform(rows, lambda r, i: F.concat(F.lit(f"{RULE}\n{NUMBER}"), (i + 1).cast("string"), F.lit(f"\n{RULE}\n"), r["b"])), lambda x: x.isNotNull())
+    told = messages.groupBy("session_id").agg(F.concat(F.array_join(numbered, ""), F.lit(RULE)).alias("transcript"))
+    if sessions is None:
+        return told
+    return sessions.select("session_id").distinct().join(told, "session_id", "left").select("session_id", F.coalesce("transcript", F.lit(NONE)).alias("transcript"))

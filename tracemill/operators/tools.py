@@ -114,6 +114,20 @@ def check_arguments(calls: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.coalesce("command", F.lit("")) == "", F.lit("command must be a non-empty string")))
 
 
+def check_file_arguments(calls: DataFrame, content: bool = False, default: str | None = None) -> DataFrame:
+    """calls (arguments: JSON text) with ``path``, with ``content`` where it is asked for, and ``error``. The path is a string
+    that isn't empty, or else ``default`` (an error where there is none); the content is a string, which may be empty."""
+    value = F.try_parse_json("arguments")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant"))
+    text = lambda k: F.when(kind(k) == "STRING", F.try_variant_get(value, f"$.{k}", "string"))
+    out = calls.withColumn("path", F.coalesce(F.nullif(text("path"), F.lit("")), F.lit(default)))
+    error_ = F.when(F.col("path").isNull(), "path must be a non-empty string")
+    if content:
+        out = out.withColumn("content", text("content"))
+        error_ = error_.when(F.col("content").isNull(), "content must be a string")
+    return out.withColumn("error", error_)
+
+
 def join_calls_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """(session_id, call_id, name, content, is_error, status): answered, unanswered, or an orphan result."""
     both = calls.select("session_id", "call_id", "name", F.lit(True).alias("a")).join(results.select("session_id", "call_id", "content", "is_error", F.lit(True).alias("b")), ["session_id", "call_id"], "full_outer")

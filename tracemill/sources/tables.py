@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 CALL = "struct<id:string,type:string,function:struct<name:string,arguments:string>>"
 RESULT = "struct<call_id:string,content:string,is_error:boolean>"
 MAX_LINE = 1 << 20
-MESSAGES = "id string, session_id string, seq long, role string, content string, reasoning_content string, ts long"
+MESSAGES = "id string, session_id string, seq long, role string, content string, reasoning_content string, ts long, metadata string"
 CHAT = f"session_id string, seq long, role string, content string, reasoning_content string, name string, partial boolean, tool_calls array<{CALL}>, tool_results array<{RESULT}>"
 
 
@@ -72,7 +72,7 @@ def read_sse_lines(spark: SparkSession, path: str, live: bool = False, files_per
 def read_sse_files(spark: SparkSession, path: str, live: bool = False, files_per_trigger: int = 8) -> DataFrame:
     """(stream_id, seq, line) of files that hold the event lines of one response each; the file's name is the stream. A
     line over ``MAX_LINE`` bytes ends its stream."""
-    rows = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if live else spark.read).option("wholetext", "true").text(path)
+    rows = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if live else spark.read).text(path, wholetext=True)
     named = rows.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("stream_id"), F.split("value", "\n", -1).alias("lines"))
     long = F.array_position(F.transform("lines", lambda x: F.octet_length(x) > MAX_LINE), True)
     kept = named.select("stream_id", F.when(long > 0, F.slice("lines", F.lit(1), (long - 1).cast("int"))).otherwise(F.col("lines")).alias("lines"))
