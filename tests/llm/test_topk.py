@@ -29,7 +29,8 @@ def rows_of(n=400, dim=12, seed=0):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "SLAB", 150)
+    monkeypatch.setattr(topk.nearest, "__defaults__", (64,))
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     rows = rows_of()
     vectors = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, slab int, score int")
@@ -47,7 +48,34 @@ def test_empty_and_repeated(spark):
     assert topk.search(vectors, vectors.limit(0), 5).count() == 0
 
 
+def slab_of(v, ids):
+    low, width, cells = topk.approximate(v)
+    return topk.Slab(v.shape[1], *(x.tobytes() for x in (ids, v, low, width, cells)))
+
+
 def test_cells_bound_their_vectors():
     v = np.random.default_rng(0).integers(-5000, 5000, (300, 9))
-    middle, half = topk.approximate(v, 16)
-    assert (np.abs(v - middle) <= half).all()
+    q = np.random.default_rng(1).integers(-300, 300, (20, 9))
+    assert topk.approximate(v)[2].max() < topk.CELLS
+    centre, slack = slab_of(v, np.arange(300)).bounds(q, 40, 250)
+    assert (np.abs(q @ v[40:250].T - centre) <= slack[:, None]).all()
+
+
+def test_few_exact_vectors_are_read():
+    """The cells settle most candidates, and the kth score of earlier blocks those of later ones."""
+    rng = np.random.default_rng(2)
+    v, q = rng.integers(-500, 500, (8192, 16)), rng.integers(-500, 500, (10, 16))
+    slab = slab_of(v, np.arange(8192))
+    read = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            read.append(len(key))
+            return np.asarray(self)[key]
+
+    slab.vectors = slab.vectors.view(Counted)
+    got = list(topk.nearest(q, np.full(10, -1), slab, 5, 1024))
+    assert sum(read) < 0.05 * 8192 * 10
+    for i, ids, scores in got:
+        want = sorted((-int(s), j) for j, s in enumerate(v @ q[i]))[:5]
+        assert [(-s, j) for j, s in zip(ids.tolist(), scores.tolist())] == want

@@ -1,24 +1,24 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Vectors become integers floor(scale * x). Candidates are dealt into blocks by a hash of their id; a block is one row that
-holds its vectors and their approximation: each dimension cut into at most ``CELLS`` cells of equal width. Queries are
-blocks too. A query block meets a slab of candidate blocks by an equi-join on the slab: a stated query set against all
-rows, in blocks. For a pair of blocks the scan of cells gives every candidate's distance bounds; exact vectors are then
-read in order of the upper bound until it falls below the kth exact score, which makes the block's answer certain. Each
-pair sends k rows a query at most, and a window keeps the best k.
+Vectors become integers floor(scale * x). Candidates are dealt into slabs by a hash of their id; a slab is one row that
+holds its vectors and, made once, their approximation: each dimension cut into at most ``CELLS`` cells of equal width, one
+byte a component. Queries are blocks. A query block meets each slab by an equi-join on the slab's number: a stated query set
+against all rows, in blocks. The scan of a slab's cells gives every candidate's bounds; exact vectors are then read in order
+of the upper bound until the kth exact score so far is above it, which makes the query's answer for the slab certain. A slab
+sends at most k rows a query, and a window keeps the best k.
 
-Scale: blocks bound every task's memory; the work is queries x candidates, as the contract asks; nothing is broadcast.
+Scale: slabs and blocks bound every task's memory; the work is queries x candidates, as the contract asks; nothing is
+broadcast; rows between stages are at most k x queries x slabs.
 
 Defined cases: null vectors, empty vectors, and vectors with null or non-finite components take no part; vectors meet
 only vectors of the same number of dimensions; ties go to the smaller id; fewer candidates than k give all; a query isn't
-its own candidate: rows with its id are left out; repeated rows are candidates each, and one
-query; integers are meant to
-stay under 2**31 and scores under 2**63; null ids take no part; an empty table gives an empty table.
+its own candidate: rows with its id are left out; repeated rows are candidates each, and one query; integers are meant to
+stay under 2**31 and scores under 2**63; null ids take no part; an empty table gives an empty table; other columns, also
+ones called ``rank``, ``score``, ``dim`` or ``slab``, are ignored.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 K = 20
 SCALE = 64
+SLAB = 16384
 BLOCK = 2048
 QUERY_BLOCK = 256
 CELLS = 64
+NAMES = ["dim", "slab", "ids", "exact", "low", "width", "cells"]
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -45,81 +47,92 @@ def usable(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFram
     return kept.select(F.col(vec_id).cast("long").alias("id"), integers(vector, scale).alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
-    """(dim, block, data): ids and vectors of a block as bytes."""
+def _slabs(rows: DataFrame, size: int, count: int) -> DataFrame:
+    """(dim, slab, ids, exact, low, width, cells): the vectors of a slab and their approximation, as bytes of one row."""
 
     def pack(table: pa.Table) -> pa.Table:
         ids, dim = table.column("id").to_numpy(), table.column("dim")[0].as_py()
         vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        low, width, cells = approximate(vectors)
         kind = "<i4" if np.abs(vectors).max() < 1 << 31 else "<i8"
-        data = struct.pack("<II", len(ids), int(kind[2])) + ids[order].astype("<i8").tobytes() + vectors[order].astype(kind).tobytes()
-        return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([table.column("block")[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+        data = (ids.astype("<i8"), vectors.astype(kind), low.astype("<i8"), width.astype("<i8"), cells)
+        return pa.table([pa.array([dim], pa.int32()), pa.array([table.column("slab")[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in data)], NAMES)
 
-    blocks = max(1, -(-count // size))
-    dealt = rows.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"))
-    return dealt.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, data binary")
+    slabs = max(1, -(-count // size))
+    dealt = rows.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(slabs)).cast("int").alias("slab"))
+    return dealt.groupBy("dim", "slab").applyInArrow(pack, f"dim int, slab int, {', '.join(f'{c} binary' for c in NAMES[2:])}")
 
 
-def _unpack(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    n, kind = struct.unpack_from("<II", data)
-    return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, f"<i{kind}", n * dim, 8 + 8 * n).astype(np.int64).reshape(n, dim)
+class Slab:
+    """A slab read back: ids ascend; vectors stay as they were written until they are asked for."""
 
+    def __init__(self, dim: int, ids: bytes, exact: bytes, low: bytes, width: bytes, cells: bytes):
+        self.ids = np.frombuffer(ids, "<i8")
+        self.vectors = np.frombuffer(exact, f"<i{len(exact) // max(1, len(self.ids) * dim)}").reshape(-1, dim)
+        self.low, self.width = np.frombuffer(low, "<i8"), np.frombuffer(width, "<i8")
+        self.cells = np.frombuffer(cells, np.uint8).reshape(-1, dim)
 
-def approximate(vectors: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Middle of each component's cell, and half the cells' width by dimension."""
+    def bounds(self, queries: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the middles of the cells of vectors a to b, and how far from these the scores may be, by query."""
+        half = (self.width - 1) / 2
+        middle = self.low + self.cells[a:b] * self.width.astype(np.float64) + half
+        return queries @ middle.T, np.abs(queries) @ (half + 1e-9 * np.abs(middle).max(0))  # and what rounding may hide
+
+
+def approximate(vectors: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each dimension where its cells begin and their width, and the cell of each component."""
     low, high = vectors.min(0), vectors.max(0)
     width = np.maximum(1, -(-(high - low + 1) // cells))
-    start = low + (vectors - low) // width * width
-    return start + (width - 1) / 2, (width - 1) / 2
-
-
-def nearest(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best of a block: index, ids, scores. ids ascend."""
-    middle, half = approximate(vectors)
-    centre = queries @ middle.T
-    slack = np.abs(queries) @ (half + 1e-9 * np.abs(middle).max(0))  # and what rounding may hide
-    for i, query in enumerate(queries):
-        others = np.flatnonzero(ids != own[i])
-        if not len(others):
-            continue
-        # bounds of a candidate: centre - slack, centre + slack
-        upper = centre[i][others] + slack[i]
-        if len(others) > k:
-            certain = np.partition(upper, len(others) - k)[len(others) - k] - 2 * slack[i]
-            others, upper = others[upper >= certain], upper[upper >= certain]
-        order = np.argsort(-upper, kind="stable")
-        others, upper = others[order], upper[order]
-        scores, done = np.zeros(0, np.int64), 0
-        while done < len(others):
-            step = others[done : done + 4 * k]
-            scores = np.append(scores, vectors[step] @ query)
-            done += len(step)
-            if done < len(others) and done >= k and np.partition(scores, done - k)[done - k] > upper[done]:
-                break
-        seen = others[:done]
-        best = np.lexsort((ids[seen], -scores))[:k]
-        yield i, ids[seen[best]], scores[best]
+    return low, width, ((vectors - low) // width).astype(np.uint8)
+
+
+def nearest(queries: np.ndarray, own: np.ndarray, slab: Slab, k: int, step: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its k best of a slab: index, ids, scores. The cells are scanned ``step`` vectors at a time; the kth
+    score so far bounds what is read of the rest."""
+    ids = [np.zeros(0, np.int64)] * len(queries)
+    scores = [np.zeros(0, np.int64)] * len(queries)
+    for a in range(0, len(slab.ids), step):
+        b = min(len(slab.ids), a + step)
+        centre, slack = slab.bounds(queries, a, b)
+        for i, query in enumerate(queries):
+            upper = centre[i] + slack[i]
+            others = slab.ids[a:b] != own[i]
+            least = [scores[i].min()] if len(scores[i]) == k else []
+            if others.sum() > k:
+                certain = upper[others]
+                least.append(np.partition(certain, len(certain) - k)[len(certain) - k] - 2 * slack[i])
+            left = np.flatnonzero(others & (upper >= max(least)) if least else others)
+            left = left[np.argsort(-upper[left], kind="stable")]
+            done = 0
+            while done < len(left) and not (len(scores[i]) == k and scores[i].min() > upper[left[done]]):
+                read = left[done : done + 4 * k] + a
+                done += len(read)
+                found, score = np.append(ids[i], slab.ids[read]), np.append(scores[i], slab.vectors[read].astype(np.int64) @ query)
+                best = np.lexsort((found, -score))[:k]
+                ids[i], scores[i] = found[best], score[best]
+    yield from ((i, ids[i], scores[i]) for i in range(len(queries)) if len(ids[i]))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest inner products of each row of queries among vectors."""
     rows, asked = usable(vectors, vec_id, vector, scale), usable(queries, vec_id, vector, scale).distinct()
     n, m = rows.count(), asked.count()
-    slabs = max(1, -(-n // (8 * BLOCK)))
-    blocks = _blocks(rows, BLOCK, n).withColumn("slab", F.pmod("block", F.lit(slabs)))
-    copies = _blocks(asked, QUERY_BLOCK, m).select("dim", F.col("block").alias("q"), F.col("data").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"))
+    slabs = _slabs(rows, SLAB, n)
+    last = max(1, -(-n // SLAB)) - 1
+    blocks = _slabs(asked, QUERY_BLOCK, m).select("dim", F.col("ids").alias("own"), F.col("exact").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("slab"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, data, other in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                own, wanted = _unpack(other.as_py(), dim)
-                ids, exact = _unpack(data.as_py(), dim)
-                found = list(nearest(wanted, own, ids, exact, k))
+            for dim, own, asked, *slab in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                own = np.frombuffer(own.as_py(), "<i8")
+                wanted = np.frombuffer(raw := asked.as_py(), f"<i{len(raw) // (len(own) * dim)}").astype(np.int64).reshape(-1, dim)
+                found = list(nearest(wanted, own, Slab(dim, *(x.as_py() for x in slab)), k))
                 if found:
                     query = np.repeat(own[[f[0] for f in found]], [len(f[1]) for f in found])
                     yield pa.RecordBatch.from_pydict({"query_id": query, "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
-    found = blocks.join(copies, ["dim", "slab"]).select("dim", "data", "asked").mapInArrow(meet, FOUND)
+    found = slabs.join(blocks, ["dim", "slab"]).select("dim", "own", "asked", *NAMES[2:]).mapInArrow(meet, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
