@@ -17,7 +17,7 @@ def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: computed once, with a short lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,5 +37,5 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def crc_part(col: str, parts: int) -> Column:
-    """crc32 of the column as text, modulo parts: the split into folds that the contracts fix."""
-    return F.crc32(F.col(col).cast("string").cast("binary")) % parts
+    """crc32 of the column as text, modulo parts: the split into folds that the contracts fix. A null is an empty text."""
+    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % parts
