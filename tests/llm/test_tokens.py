@@ -127,3 +127,28 @@ def test_count_cases(spark):
     got = {(r["doc_id"], r["n_tokens"], r["n_tokens_edited"]) for r in token_counts.count(token_counts.attach(docs, edits)).collect()}
     assert got == {(1, 0, 2), (2, 0, 0), (3, len(ids("some words")), len(ids("Other words")))}
     assert token_counts.count(token_counts.attach(docs.limit(0), edits)).count() == 0
+
+
+def test_kept_trees(spark, monkeypatch):
+    """Trees that were written take edits from a table, twice; leaves that no edit touches aren't encoded."""
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choices(["some", "words", "and", "don't", "12", "naïve"], k=400)) for i in range(6)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trees = token_counts.save_trees(docs, 64)
+    assert trees.columns == ["doc_id", "leaves", "chars", "tokens"]
+    rows = [(0, 1, 5, 9, "XX"), (0, 2, 900, 900, " new part "), (3, 1, 0, 100, None), (9, 1, 0, 1, "none")]
+    edits = spark.createDataFrame(rows, "doc_id long, edit_no int, start long, stop long, replacement string")
+    for _ in range(2):
+        trees = token_counts.apply_edits(token_counts.attach(trees, edits), 64)
+        for i, _, a, b, new in rows[:3]:
+            texts[i] = texts[i][:a] + (new or "") + texts[i][b:]
+        for r in trees.collect():
+            assert "".join(r["leaves"]) == texts[r["doc_id"]] and r["n_tokens_edited"] == r["tokens"][1] == len(ids(texts[r["doc_id"]]))
+            assert (r["n_edits"], r["n_chars_encoded_again"] > 0) == ({0: 2, 3: 1}.get(r["doc_id"], 0), r["doc_id"] in (0, 3))
+    seen = []
+    tree = token_counts.TokenTree(texts[1], lambda x: seen.append(x) or len(ids(x)), 64)
+    kept = token_counts.TokenTree.kept(list(tree.leaves), list(tree.chars), list(tree.tokens), tree.count, 64)
+    seen.clear()
+    kept.edit(700, 703, "abc")
+    assert len(seen) == 1 and len(seen[0]) < 200 and kept.total == len(ids(texts[1][:700] + "abc" + texts[1][703:]))
+    assert token_counts.apply_edits(token_counts.save_trees(docs.limit(0))).count() == 0

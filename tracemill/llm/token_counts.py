@@ -5,13 +5,16 @@ A document's text is cut where a space follows a visible character, which always
 descending the character sums; only the leaves it touches, with two characters of context on either side, are joined,
 edited and encoded again, and the sums on their paths updated. The root is the count of the whole text at any time.
 
-Scale: one pass over the documents without a shuffle; a task holds one document's tree at a time. ``attach`` joins an
-edit table by doc_id where the edits aren't in the rows already.
+Trees are kept: ``save_trees`` gives a table with one row a document, which holds its leaves and the sums of every node;
+``apply_edits`` reads such rows, encodes again only what edits touch, and gives the new trees and counts. ``count`` does both.
+
+Scale: each step is one pass without a shuffle where the edits are in the rows; a task holds one document's tree at a time.
+``attach`` joins a table of edits by doc_id where they aren't.
 
 Defined cases: null texts count as empty, 0 tokens; edits apply in order to the text as it then is; positions are
 characters, clamped to the text, and a stop before its start is the start; a null replacement is empty; null positions
 are 0 (start) and the start (stop); null edits change nothing; repeated rows are counted each; empty tables give empty
-results; other columns are ignored.
+results; other columns are ignored; very long texts are one row, and their tree is held whole by one task.
 """
 
 from __future__ import annotations
@@ -24,19 +27,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import tokens
+from tracemill.llm.common import written
 
 LEAF = 512
-COUNTED = "doc_id long, n_tokens long, n_tokens_edited long, n_edits int, n_leaves int, n_chars_encoded_again long"
+COUNTED = "n_tokens long, n_tokens_edited long, n_edits int, n_leaves int, n_chars_encoded_again long"
+TREES = "doc_id long, leaves array<string>, chars array<long>, tokens array<long>"
 EDITS = "array<struct<start:long,stop:long,replacement:string>>"
 _CUT = re.compile(r"(?<=[\w!-~]) ")
 
 
 class TokenTree:
+    """A tree over a text; ``chars`` and ``tokens`` hold the sums of node i at i, its children at 2 i and 2 i + 1."""
+
     def __init__(self, text: str, count: Callable[[str], int], leaf: int = LEAF):
         self.count, self.leaf, self.encoded = count, leaf, 0
         self.leaves = self._cut(text)
         self._build([count(x) for x in self.leaves])
 
+    @classmethod
+    def kept(cls, leaves: list[str], chars: list[int], tokens_: list[int], count: Callable[[str], int], leaf: int = LEAF) -> TokenTree:
+        """A tree as it was saved; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.count, tree.leaf, tree.encoded = count, leaf, 0
+        tree.leaves, tree.chars, tree.tokens, tree.width = leaves, chars, tokens_, len(chars) // 2
+        return tree
+
     def _cut(self, text: str) -> list[str]:
         out, at = [], 0
         while at < len(text):
@@ -100,11 +115,12 @@ class TokenTree:
         self._set(first, new, self.count(new))
 
 
-def attach(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """doc_id, text, edits: an edit table (doc_id, edit_no, start, stop, replacement) as an array per document."""
+def attach(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """rows (doc_id and a text or a tree) with an edit table (doc_id, edit_no, start, stop, replacement) as ``edits``."""
     own = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("edit_no", "start", "stop", "replacement"))).alias("e"))
     listed = F.transform("e", lambda e: F.struct(e["start"].cast("long").alias("start"), e["stop"].cast("long").alias("stop"), e["replacement"].alias("replacement")))
-    return docs.select("doc_id", "text").join(own.select("doc_id", listed.alias("edits")), "doc_id", "left")
+    kept = [c for c in rows.columns if c in ("doc_id", "text", "leaves", "chars", "tokens")]
+    return rows.select(*kept).join(own.select("doc_id", listed.alias("edits")), "doc_id", "left")
 
 
 def sample_edits(text: str = "text") -> Column:
@@ -116,23 +132,52 @@ def sample_edits(text: str = "text") -> Column:
     return F.when(size > 0, edits)
 
 
-def count(docs: DataFrame, leaf: int = LEAF, paths: tuple[str, str] | None = None) -> DataFrame:
-    """docs with doc_id, text and edits (see ``EDITS``) -> token counts before and after the edits."""
+def save_trees(docs: DataFrame, leaf: int = LEAF, paths: tuple[str, str] | None = None) -> DataFrame:
+    """docs with doc_id, text and, if any, edits (see ``EDITS``) -> ``TREES``, and the edits as they are. Every leaf is
+    encoded once."""
+    paths = paths or tokens.byte_bpe_paths()
+    carried = ["edits"] if "edits" in docs.columns else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [TokenTree(x.as_py() or "", lambda x: len(tokens.encode(x, paths)), leaf) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(trees), *batch.columns[2:]], ["doc_id", "leaves", "chars", "tokens", *carried])
+
+    asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast(EDITS).alias(c) for c in carried])
+    return asked.mapInArrow(run, TREES + (f", edits {EDITS}" if carried else ""))
+
+
+def _columns(trees: list[TokenTree]) -> list[pa.Array]:
+    longs = pa.list_(pa.int64())
+    return [pa.array([t.leaves for t in trees], pa.list_(pa.string())), pa.array([t.chars for t in trees], longs), pa.array([t.tokens for t in trees], longs)]
+
+
+def apply_edits(trees: DataFrame, leaf: int = LEAF, paths: tuple[str, str] | None = None, keep: bool = True) -> DataFrame:
+    """``TREES`` with edits -> the trees after the edits (``keep``) and the counts ``COUNTED``."""
     paths = paths or tokens.byte_bpe_paths()
+    keys = ["doc_id", "leaves", "chars", "tokens"] if keep else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, edits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                tree = TokenTree(text.as_py() or "", lambda x: len(tokens.encode(x, paths)), leaf)
+            done, rows = [], []
+            for leaves, chars, sums, edits in zip(*batch.columns[1:5]):
+                tree = TokenTree.kept(leaves.as_py(), chars.as_py(), sums.as_py(), lambda x: len(tokens.encode(x, paths)), leaf)
                 before, edits = tree.total, [e for e in edits.as_py() or [] if e]
                 for e in edits:
                     start = e["start"] or 0
                     tree.edit(start, start if e["stop"] is None else e["stop"], e["replacement"] or "")
-                rows.append((doc_id, before, tree.total, len(edits), len(tree.leaves), tree.encoded))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                names = ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_leaves", "n_chars_encoded_again"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                rows.append((before, tree.total, len(edits), len(tree.leaves), tree.encoded))
+                if keep:
+                    done.append(tree)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            counts = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_columns(done) if keep else []), *counts], [*keys, *(x.split()[0] for x in COUNTED.split(", "))])
+
+    edits = F.col("edits").cast(EDITS) if "edits" in trees.columns else F.lit(None).cast(EDITS)
+    return trees.select("doc_id", "leaves", "chars", "tokens", edits.alias("edits")).mapInArrow(run, f"{TREES if keep else 'doc_id long'}, {COUNTED}")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits").cast(EDITS)).mapInArrow(run, COUNTED)
+
+def count(docs: DataFrame, leaf: int = LEAF, paths: tuple[str, str] | None = None) -> DataFrame:
+    """docs with doc_id, text and edits -> doc_id and token counts before and after the edits. The trees are written to the
+    shared folder in between."""
+    return apply_edits(written(save_trees(docs, leaf, paths)), leaf, paths, keep=False)
