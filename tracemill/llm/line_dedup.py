@@ -10,7 +10,7 @@ sort-merge join on the host, which adaptive execution may split for a hot host.
 
 Defined cases: a null text stays null and its page counts in the total; a null host is a host of its own; blank lines
 (nothing but spaces) are never counted and never dropped; a page that repeats a line counts once; repeated rows are pages
-of their own; line ends are ``\\n``; a page may end up empty; an empty table gives an empty table. Internal columns start
+of their own; a text is one row, however long; line ends are ``\\n``; a page may end up empty; an empty table gives an empty table. Internal columns start
 with ``__ld_``; input columns called ``lines_total`` or ``lines_dropped`` are replaced when ``counts`` is set.
 """
 
@@ -59,14 +59,11 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
 def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host: str = "source", text: str = "text", counts: bool = True) -> DataFrame:
     """docs without boilerplate lines in ``text``; with ``counts``, also lines_total and lines_dropped (null texts: 0)."""
     drop = written(boilerplate(docs, ratio, min_pages, host, text))
-    keep = F.when(F.col("__ld_lines").isNull(), F.col(text)).otherwise(
-        F.array_join(F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__ld_lines"), _digest(x))), "\n")
-    )
-    out = docs.withColumn("__ld_host", _host(host)).join(drop, "__ld_host", "left").withColumn("__ld_kept", keep)
-    if counts:
-        size = lambda c: F.coalesce(F.size(F.split(c, "\n", -1)), F.lit(0)).cast("long")
-        left = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__ld_lines"), _digest(x)))
-        dropped = F.when(F.col("__ld_lines").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(text)) - F.size(left)).cast("long")
-        out = out.withColumns({"lines_total": F.when(F.col(text).isNull(), F.lit(0)).otherwise(size(F.col(text))).cast("long"), "lines_dropped": dropped})
-    out = out.withColumn(text, F.col("__ld_kept"))
-    return out.select(*[f"`{c}`" for c in docs.columns if c not in ("lines_total", "lines_dropped") or not counts], *(["lines_total", "lines_dropped"] if counts else []))
+    kept = F.filter("__ld_all", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__ld_lines"), _digest(x)))
+    lines = F.when(F.col("__ld_lines").isNotNull(), _lines(text)) if not counts else _lines(text)
+    out = docs.withColumn("__ld_host", _host(host)).join(drop, "__ld_host", "left").withColumn("__ld_all", lines)
+    out = out.withColumn("__ld_kept", F.when(F.col("__ld_lines").isNotNull(), kept))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    numbers = {"lines_total": size("__ld_all"), "lines_dropped": F.when(F.col("__ld_kept").isNull(), F.lit(0).cast("long")).otherwise(size("__ld_all") - size("__ld_kept"))}
+    out = out.withColumns({**(numbers if counts else {}), text: F.when(F.col("__ld_kept").isNull(), F.col(text)).otherwise(F.array_join("__ld_kept", "\n"))})
+    return out.select(*[f"`{c}`" for c in docs.columns if c not in numbers or not counts], *(numbers if counts else []))

@@ -19,15 +19,17 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = f"""
-with lines as (
-  select doc_id, source, text, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos from documents
-), totals as (select source, count(*) total from documents group by source),
-counted as (select source, line, count(distinct doc_id) n from lines where trim(line) <> '' group by source, line),
-drops as (select source, line from counted join totals using (source) where n >= {MIN_PAGES} and n / total > {RATIO}),
-marked as (select l.*, d.line is not null gone from lines l left join drops d on d.source = l.source and d.line = l.line)
-select doc_id, source, cast(count(*) as bigint) lines_total, cast(count(*) filter (gone) as bigint) lines_dropped,
-  md5(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_md5
-from marked group by doc_id, source
+with pages_ as (select row_number() over () page, doc_id, source, text, string_split(text, chr(10)) ls from documents),
+lines as (select page, source, unnest(ls) line, generate_subscripts(ls, 1) pos from pages_ where text is not null),
+totals as (select source, count(*) total from pages_ group by source),
+counted as (select source, line, count(distinct page) n from lines where trim(line) <> '' group by source, line),
+drops as (select c.source, line from counted c join totals t on t.source is not distinct from c.source where n >= {MIN_PAGES} and n / total > {RATIO}),
+kept as (
+  select l.page, count(*) n, count(d.line) gone, string_agg(l.line, chr(10) order by pos) filter (d.line is null) rest
+  from lines l left join drops d on d.source is not distinct from l.source and d.line = l.line group by l.page
+)
+select doc_id, source, coalesce(n, 0) lines_total, coalesce(gone, 0) lines_dropped, case when text is not null then md5(coalesce(rest, '')) end kept_md5
+from pages_ left join kept using (page)
 """
 
 
