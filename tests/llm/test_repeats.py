@@ -4,9 +4,11 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from tracemill.llm import exchange, queries, substring_dedup, suffix_dedup
+from tracemill.llm import anchors, exchange, hashing, queries, substring_dedup, suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -64,29 +66,111 @@ def batch_bytes(request, monkeypatch):
     monkeypatch.setattr(exchange, "BATCH_BYTES", request.param)
     monkeypatch.setattr(substring_dedup, "PART_BYTES", request.param)
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", request.param)
+    return request.param
+
+
+def local(steps, rows, batches):
+    """The exchange without Spark: rows by batch, answers by part."""
+    tables = {}
+    for b in range(batches):
+        own = [(i, None if x is None else x.encode()) for i, x in rows if hash(i) % batches == b]
+        if own:
+            tables[b] = pa.table({"batch": pa.array([b] * len(own), pa.int64()), "doc_id": pa.array([r[0] for r in own], pa.int64()), "data": pa.array([r[1] for r in own], pa.binary())})
+
+    def told(sent, answer):
+        codes = {b: {} for b in tables}
+        whole = pa.concat_tables(sent)
+        for p in sorted(set(whole.column("part").to_pylist())):
+            for b, q, c in zip(*(col.to_pylist() for col in answer(p, whole.filter(pc.equal(whole.column("part"), p))).columns)):
+                codes[b][q] = c
+        return codes
+
+    first = told([steps.ask_texts(b, t) for b, t in tables.items()], lambda p, t: steps.answer_texts(t))
+    second = told([steps.ask_windows(b, t, first[b]) for b, t in tables.items()], steps.answer_windows)
+    done = [steps.finish(t, *steps.flagged(t, first[b], second[b])) for b, t in tables.items()]
+    return sorted((tuple(r.values()) for t in done for r in t.to_pylist()), key=repr)
+
+
+def no_prefixes():
+    return {w: np.zeros(substring_dedup._BINS, bool) for w in (1, 2)}
+
+
+@pytest.mark.parametrize("hot", [0, 1, 2, 4096])
+@pytest.mark.parametrize("step", [1 << 18, 97])
+def test_every_way_through_the_exchange(monkeypatch, hot, step):
+    """Hot grams and others, one batch and many, few parts and many, long documents in pieces."""
+    monkeypatch.setattr(anchors, "_STEP", step)
+    for seed, batches, parts in ((3, 1, 1), (4, 5, 3), (5, 40, 50)):
+        rows = small(seed)
+        rows += [(900, " ".join(r[1] or "" for r in rows[5:40])), (901, "!" + " ".join(r[1] or "" for r in rows[5:40]))]
+        assert local(substring_dedup.exchange(no_prefixes(), parts, 6, 3, hot), rows, batches) == brute_words(rows, 6)
+        cuts = np.sort(np.random.default_rng(seed).integers(0x2000000000000000, 0x7800000000000000, parts - 1).astype(np.uint64))
+        assert local(suffix_dedup.exchange(cuts, parts, 60, 16, hot), rows, batches) == brute_bytes(rows, 60)
+
+
+def test_weak_hashes_merge_nothing(monkeypatch):
+    """Windows whose hashes are all the same are told apart by their bytes."""
+    monkeypatch.setattr(hashing, "range_hashes", lambda data, start, end, step=0: np.zeros(len(start), np.uint64))
+    rows = small(7)
+    assert local(substring_dedup.exchange(no_prefixes(), 3, 6, 3), rows, 4) == brute_words(rows, 6)
+    assert local(suffix_dedup.exchange(np.zeros(0, np.uint64), 1, 60, 16), rows, 4) == brute_bytes(rows, 60)
+
+
+def test_nodes_are_those_of_the_tree():
+    """Sorted windows, and runs of equal ones as the internal nodes of that depth with all their leaves."""
+    rng = np.random.default_rng(1)
+    data = np.frombuffer(bytes(rng.choice(list(b"ab"), 3000)), np.uint8)
+    start = np.arange(len(data) - 12)
+    order, node = anchors.nodes(data, start, np.full(len(start), 12))
+    leaves = {}
+    for i, n in zip(order.tolist(), node.tolist()):
+        leaves.setdefault(n, []).append(i)
+    want = {}
+    for i in start.tolist():
+        want.setdefault(data[i : i + 12].tobytes(), []).append(i)
+    assert sorted(map(sorted, leaves.values())) == sorted(want.values()) and max(map(len, want.values())) > 2
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(2)
+    symbols = [rng.integers(0, 4, 500).astype(np.uint64) for _ in range(4)]
+    order, run = anchors.multikey(symbols)
+    keys = list(zip(*(s.tolist() for s in symbols)))
+    got = [keys[i] for i in order]
+    assert got == sorted(keys) and [a == b for a, b in zip(got, got[1:])] == (run[1:] == run[:-1]).tolist()
+
+
+def test_equal_grams_never_lie_across_a_boundary():
+    """A lead that fills several ranges is cut by its gram; between different leads the splitters decide."""
+    cuts = np.array([5, 9, 9, 9, 12], np.uint64)
+    lead = np.repeat(np.array([1, 5, 9, 9, 10, 20], np.uint64), 1000)
+    gram = np.random.default_rng(3).integers(0, 1 << 63, 6000).astype(np.uint64) * np.uint64(2)
+    part = suffix_dedup.range_of(cuts, lead, gram)
+    assert (part == suffix_dedup.range_of(cuts, lead, gram)).all() and set(part[lead == 9].tolist()) == {1, 2, 3, 4}
+    assert set(part[lead == 1].tolist()) == {0} and set(part[lead == 5].tolist()) == {0, 1} and set(part[lead == 10].tolist()) == {4} and set(part[lead == 20].tolist()) == {5}
+
+
+def test_prefixes_grow_until_a_group_fits(spark):
+    words = [f"w{i}" for i in range(400)]
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(["a", "b"] * 30 if i % 2 else rng.choice(words, 60))) for i in range(200)], "doc_id long, text string")
+    full = substring_dedup.full_prefixes(docs, 20, 8, 500)
+    assert list(full) == [1, 2, 4, 8] and all(x.sum() in (1, 2) for x in full.values())
+    own = substring_dedup._Words([b"a b a b a b a b a b", b"w1 w2 w3 w4 w5 w6 w7 w8"])
+    group = substring_dedup.group_of(own, np.array([0, 1, 10]), np.array([1 << 40, 2 << 40, 3 << 40], np.uint64), full, 1000003)
+    assert group[:2].tolist() == [(1 << 20) % 1000003, (2 << 20) % 1000003] and group[2] == int(hashing.mix(np.array([own.bins(1, np.array([10]))[0] * 64 + 1], np.uint64))[0] % np.uint64(1000003))
 
 
 def frame(spark, rows):
     return spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, batch int, part string")
 
 
-def test_words_small(spark, batch_bytes):
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_small(spark, batch_bytes, hot):
     rows = small()
-    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(frame(spark, rows), 6).collect()), key=repr)
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(frame(spark, rows), 6, 3, hot).collect()), key=repr)
     assert got == brute_words(rows, 6)
-
-
-def test_bytes_small(spark, batch_bytes):
-    rows = small(5)
-    got = [(*r[:4], bytes(r[4])) for r in suffix_dedup.remove_repeats(frame(spark, rows), 60, 16).collect()]
-    assert sorted(got, key=repr) == brute_bytes(rows, 60)
-
-
-def test_bytes_of_long_documents(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "_STEP", 512)
-    rows = small(6)
-    rows += [(900, " ".join(r[1] or "" for r in rows[5:40])), (901, "!" + " ".join(r[1] or "" for r in rows[5:40]))]
-    got = [(*r[:4], bytes(r[4])) for r in suffix_dedup.remove_repeats(frame(spark, rows), 60, 16).collect()]
+    got = [(*r[:4], bytes(r[4])) for r in suffix_dedup.remove_repeats(frame(spark, rows), 60, 16, hot).collect()]
     assert sorted(got, key=repr) == brute_bytes(rows, 60)
 
 

@@ -48,8 +48,12 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return _BYTES[data]
+
+
 def byte_prefix(data: np.ndarray) -> np.ndarray:
-    return prefix(_BYTES[data])
+    return prefix(byte_values(data))
 
 
 def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -58,6 +62,18 @@ def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """Hashes of byte ranges whose starts ascend. Prefix sums are made for about ``step`` bytes at a time."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + step, "left")))
+        low = int(start[i])
+        out[i:j] = ranges(byte_prefix(data[low : int(end[i:j].max())]), start[i:j] - low, end[i:j] - low)
+        i = j
+    return out
+
+
 def windows(sums: np.ndarray, size: int, first: int = 0, last: int | None = None) -> np.ndarray:
     """The hash of every window of ``size`` that starts in [first, last)."""
     last = max(first, len(sums) - size) if last is None else last

@@ -1,28 +1,22 @@
 """Exact substring dedup over bytes by range-partitioned suffixes.
 
-Every suffix is ordered by its first ``length`` bytes; a string of that length repeats where equal neighbours meet. To
-sort each suffix of 100 TB would write the input hundreds of times, so suffixes are gathered into blocks: the anchor of a
-suffix is the leftmost least-hashed 32-byte gram among its first ``length`` bytes, and a block is a run of suffixes with
-one anchor. Equal strings have equal anchors at the same distance, so:
+Every suffix is ordered by its first ``length`` bytes; a string of that length repeats where equal neighbours meet. Suffixes
+travel in blocks that share an anchor (see ``anchors``), since each by itself would be written hundreds of times the input.
+Sampled splitters range-partition the blocks by the leading eight bytes of their anchors, and a range's suffixes are sorted by
+multikey quicksort: two symbols of eight bytes, a hash of the rest, and a comparison of neighbours byte by byte.
 
-1. a block whose anchor gram is nowhere else holds no repeat (and is done);
-2. a block whose whole text, from the first to the end of its last suffix, is elsewhere too holds repeats only; one of
-   its copies stands for all;
-3. the suffixes of the other blocks, and of the copies that stand for their text, are sorted one by one.
-
-Sampled splitters range-partition suffixes by their leading eight bytes; where one lead fills several ranges, they are
-cut by the hash of the string, so equal strings never lie across a boundary and none needs a comparison across it.
-Buckets sort locally by (range, hash): the bytes after the lead are compared by a 64-bit hash of the string, within a
-range. A batch of documents sends each distinct string once, so a passage of a third of all documents is no hot key.
+Boundaries: equal strings have equal anchors, and a lead that fills several ranges is cut by the hash of its gram, so all
+blocks of a gram are in one range and equal strings never lie on both sides of a boundary: none is left to compare there. The
+suffixes of hot grams are dealt by a 128-bit hash of the string instead.
 
 Defined cases: null and empty texts have no bytes; texts under ``length`` bytes keep all; overlapping repeats within a
-document count; repeated rows are copies of each other; an empty table gives an empty table; other columns are ignored.
-Kept bytes may cut a character in two, so they are binary.
+document count; repeated rows are copies of each other; an empty table gives an empty table; other columns are ignored; a
+very long text is one row, and its task needs about thirty times its size. Kept bytes may cut a character in two, so they are
+binary.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,219 +24,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm import anchors as A
 from tracemill.llm import exchange as X
 from tracemill.llm import hashing as H
 from tracemill.llm.common import text_bytes
 
 LENGTH = 400
-GRAM = 32
+GRAM = 128
 PART_BYTES = 8 << 20
-_STEP = 1 << 18
+SAMPLES = 16
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-class _Chunk:
-    """Some neighbouring documents, or a part of a long one: its blocks and hashes."""
-
-    def __init__(self, data: np.ndarray, doc: np.ndarray, base: np.ndarray, ok: np.ndarray, length: int, gram: int):
-        """doc and base: of each byte, its document and where that begins in the chunk; ok: where suffixes start."""
-        self.data, self.length, self.gram = data, length, gram
-        self.sums = H.byte_prefix(data)
-        grams = H.windows(self.sums, gram)
-        low = np.uint64((1 << 21) - 1)
-        least = H.sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
-        at = np.flatnonzero(ok[: len(least)])
-        anchor = (least[at] & low).astype(np.int64)
-        new = np.ones(len(at), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[at[1:]] != doc[at[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at))[: len(first)] - 1
-        self.first, self.last, self.anchor = at[first], at[last], anchor[first]
-        self.doc = doc[self.first]
-        self.offset = self.first - base[self.first]  # in the document
-        self.gram_hash = grams[self.anchor]
-        whole = H.ranges(self.sums, self.first, self.last + length)
-        self.text_hash = H.mix(whole + (self.anchor - self.first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def lead(self, at: np.ndarray) -> np.ndarray:
-        eight = np.lib.stride_tricks.as_strided(self.data, (len(self.data) - 7, 8), (1, 1))[at]
-        return np.ascontiguousarray(eight).view(">u8").reshape(-1).astype(np.uint64)
-
-    def suffixes(self, blocks: np.ndarray) -> np.ndarray:
-        """Starts of the suffixes of some blocks."""
-        size = self.last[blocks] - self.first[blocks] + 1
-        return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.first[blocks], size)
-
-
-def _chunks(texts: list[bytes], length: int, gram: int) -> Iterator[_Chunk]:
-    group: list[tuple[int, int, bytes]] = []  # document, where the piece begins in it, bytes
-
-    def made() -> _Chunk:
-        sizes = np.array([len(x[2]) for x in group])
-        starts = np.cumsum(sizes) - sizes
-        doc = np.repeat(np.array([x[0] for x in group]), sizes)
-        base = np.repeat(starts - np.array([x[1] for x in group]), sizes)
-        ok = np.arange(sizes.sum()) + length <= np.repeat(starts + sizes, sizes)
-        return _Chunk(np.frombuffer(b"".join(x[2] for x in group), np.uint8), doc, base, ok, length, gram)
-
-    size = 0
-    for i, text in enumerate(texts):
-        for at in range(0, max(0, len(text) - length + 1), _STEP):
-            piece = text[at : at + _STEP + length - 1]
-            if size + len(piece) > 2 * _STEP:
-                yield made()
-                group, size = [], 0
-            group.append((i, at, piece))
-            size += len(piece)
-    if group:
-        yield made()
-
-
-def _splitters(docs: DataFrame, parts: int, total: int) -> np.ndarray:
-    """Leading bytes of about 16 suffixes a part, drawn by hash in proportion to length; parts - 1 of their quantiles."""
+def _blocks(texts: list[bytes], length: int, gram: int) -> A.Blocks:
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return A.Blocks(data, lambda a, b: H.byte_values(data[a:b]), np.cumsum([len(x) for x in texts], dtype=np.int64), length, gram)
+
+
+def splitters(docs: DataFrame, parts: int, total: int, length: int, gram: int) -> np.ndarray:
+    """Leads of the anchors of about ``SAMPLES`` windows a part, drawn by hash in proportion to length; parts - 1 of their
+    quantiles. They are drawn from what is routed by them."""
     data, size = F.encode(F.col("text").cast("string"), "UTF-8"), F.octet_length("text")
     lucky = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor(size * (16.0 * parts / max(1, total)) + lucky).cast("int")
-    drawn = docs.filter(size >= 8).withColumn("times", times).filter("times > 0").select(data.alias("data"), size.alias("size"), "doc_id", F.explode(F.sequence(F.lit(1), "times")).alias("k"))
-    at = F.pmod(F.xxhash64("doc_id", "k", "size"), F.col("size") - 7).cast("int") + 1
-    leads = np.sort(np.array([int.from_bytes(r[0], "big") for r in drawn.select(F.substring("data", at, F.lit(8))).collect()], np.uint64))
-    return leads[np.linspace(0, len(leads), parts + 1)[1:-1].astype(np.int64)] if len(leads) else leads
+    times = F.floor(size * (float(SAMPLES) * parts / max(1, total)) + lucky).cast("int")
+    drawn = docs.filter(size >= length).withColumn("times", times).filter("times > 0").select(data.alias("data"), size.alias("size"), "doc_id", F.explode(F.sequence(F.lit(1), "times")).alias("k"))
+    at = F.pmod(F.xxhash64("doc_id", "k", "size"), F.col("size") - (length - 1)).cast("int") + 1
 
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [int(b.lead(np.arange(1))[0]) for x in batch.column(0) for b in [_blocks([x.as_py()], length, gram)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], ["lead"])
 
-def _part(splitters: np.ndarray, lead: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    low, high = np.searchsorted(splitters, lead, "left"), np.searchsorted(splitters, lead, "right")
+    found = np.sort(np.array([r[0] for r in drawn.select(F.substring("data", at, F.lit(length)).alias("w")).mapInArrow(leads, "lead long").collect()], np.int64).view(np.uint64))
+    return found[np.linspace(0, len(found), parts + 1)[1:-1].astype(np.int64)] if len(found) else found
+
+
+def range_of(cuts: np.ndarray, lead: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """The range of each lead; where one lead fills several, the hash chooses among them."""
+    low, high = np.searchsorted(cuts, lead, "left"), np.searchsorted(cuts, lead, "right")
     return low + ((hashed >> np.uint64(40)).astype(np.int64) * (high - low + 1) >> 24)
 
 
-def _distinct(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first entry of each hash, whether it has more, and of each entry the index among these."""
-    _, first, inverse, n = np.unique(hashed, return_index=True, return_inverse=True, return_counts=True)
-    return first, n > 1, inverse
-
-
-def _payload(hashed: np.ndarray, more: np.ndarray):
-    return lambda i: struct.pack("<I", len(i)) + np.packbits(more[i]).tobytes() + hashed[i].astype("<u8").tobytes()
-
-
-def _resolve(table: pa.Table) -> pa.Table:
-    """Two bits for each hash: whether it is elsewhere too, and whether this batch is the first that has it."""
-    hashes, mores, counts = [], [], []
-    for x in table.column("payload"):
-        x = x.as_buffer().to_pybytes()
-        n = struct.unpack_from("<I", x)[0]
-        mores.append(np.unpackbits(np.frombuffer(x, np.uint8, -(-n // 8), 4))[:n])
-        hashes.append(np.frombuffer(x, "<u8", n, 4 + -(-n // 8)))
-        counts.append(n)
-    hashed, more = np.concatenate(hashes), np.concatenate(mores)
-    batch = np.repeat(table.column("batch").to_numpy(), counts)
-    _, inverse, n = np.unique(hashed, return_inverse=True, return_counts=True)
-    repeated = (n + np.bincount(inverse, more, len(n)) > 1)[inverse]
-    least = np.full(len(n), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, batch)
-    return X.answer(table, counts, repeated, least[inverse] == batch)
-
-
-def _told(codes: dict[int, bytes], part: np.ndarray) -> np.ndarray:
-    return X.answers(codes, part, 2)
-
-
-class _Batch:
-    """The blocks of a batch of documents, and what to ask about them."""
-
-    def __init__(self, table: pa.Table, length: int, gram: int):
-        self.rows = X.rows_of(table)
-        self.chunks = list(_chunks([r[1] or b"" for r in self.rows], length, gram))
-
-    def blocks(self, splitters: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct hashes of anchor grams and of block texts, more, part; and of each block its two entries."""
-        join = lambda f: np.concatenate([f(c) for c in self.chunks]) if self.chunks else np.zeros(0, np.uint64)
-        grams, texts = join(lambda c: c.gram_hash), join(lambda c: c.text_hash)
-        gram_lead, text_lead = join(lambda c: c.lead(c.anchor)), join(lambda c: c.lead(c.first))
-        a, more_a, of_a = _distinct(grams)
-        b, more_b, of_b = _distinct(texts)
-        hashed = np.concatenate([H.mix(grams[a] + np.uint64(1)), texts[b]])
-        part = _part(splitters, np.concatenate([gram_lead[a], text_lead[b]]), hashed)
-        return hashed, np.concatenate([more_a, more_b]), part, of_a, of_b + len(a), b
-
-    def ask(self, splitters: np.ndarray, codes: dict[int, bytes], length: int) -> tuple[np.ndarray, ...]:
-        """After the first answers: which blocks are repeats throughout, which are open, and the suffixes to sort."""
-        hashed, more, part, of_gram, of_text, first = self.blocks(splitters)
-        repeated, least = _told(codes, part)
-        whole = repeated[of_text] if len(of_text) else np.zeros(0, bool)
-        is_open = repeated[of_gram] & ~whole if len(of_gram) else whole
-        stands = np.zeros(len(whole), bool)
-        stands[first] = True
-        stands &= whole & least[of_text] if len(of_text) else whole
-        cuts = np.cumsum([0, *(len(c.first) for c in self.chunks)])
-        asked = [(c, np.flatnonzero((is_open | stands)[a:b])) for c, a, b in zip(self.chunks, cuts, cuts[1:])]
-        starts = [c.suffixes(k) for c, k in asked]
-        label = [H.ranges(c.sums, s, s + length) for (c, _), s in zip(asked, starts)]
-        lead = [c.lead(s) for (c, _), s in zip(asked, starts)]
-        label, lead = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (label, lead))
-        at, more, of = _distinct(label)
-        return whole, is_open, cuts, asked, label[at], more, _part(splitters, lead[at], label[at]), of
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def exchange(cuts: np.ndarray, parts: int, length: int = LENGTH, gram: int = GRAM, hot: int = A.HOT) -> A.Repeats:
+    """The steps on batches and ranges, as functions of their rows."""
+
+    def made(table: pa.Table) -> tuple[A.Blocks, np.ndarray]:
+        rows = X.rows_of(table)
+        blocks = _blocks([r[1] or b"" for r in rows], length, gram)
+        return blocks, np.zeros(len(blocks.first), np.int64)
+
+    def part(blocks: A.Blocks, of: np.ndarray) -> np.ndarray:
+        return range_of(cuts, blocks.lead(of), blocks.gram[of])
+
+    def window_bytes(data: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = A.spans(np.cumsum(size) - size, n)
+        return start, np.full(len(start), length)
+
+    def finish(table: pa.Table, blocks: A.Blocks, starts: np.ndarray) -> pa.Table:
+        rows = X.rows_of(table)
+        n = len(blocks.data) + 1
+        gone = np.cumsum(np.bincount(starts, minlength=n) - np.bincount(starts + length, minlength=n)) > 0
+        out, at = [], 0
+        for doc_id, data in rows:
+            n = len(data or b"")
+            own = gone[at : at + n]
+            spans = int(own[:1].sum()) + int((own[1:] & ~own[:-1]).sum())
+            out.append((doc_id, n, int(own.sum()), spans, blocks.data[at : at + n][~own].tobytes() if spans else data or b""))
+            at += n
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return A.Repeats(made, part, window_bytes, finish, parts, False, hot)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = A.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the kept bytes."""
     gram = min(gram, length)
     if gram < 8:
         raise ValueError("strings of at least 8 bytes are looked for")
     total = text_bytes(docs)
     parts = X.part_count(docs, total, PART_BYTES)
-    splitters = _splitters(docs, parts, total)
-    batches = X.batched(docs, X.batch_count(docs, total))
-
-    def codes_of(told: pa.Table, step: int) -> dict[int, bytes]:
-        rows = zip(told.column("step").to_pylist(), told.column("part").to_pylist(), told.column("codes").to_pylist())
-        return {p: c for s, p, c in rows if s == step}
-
-    def emit_blocks(key: tuple, table: pa.Table) -> pa.Table:
-        hashed, more, part, *_ = _Batch(table, length, gram).blocks(splitters)
-        return X.send(key[0].as_py(), part, _payload(hashed, more))
-
-    def emit_suffixes(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        *_, label, more, part, _of = _Batch(table, length, gram).ask(splitters, codes_of(told, 1), length)
-        return X.send(key[0].as_py(), part, _payload(label, more))
-
-    def finish(table: pa.Table, told: pa.Table) -> pa.Table:
-        batch = _Batch(table, length, gram)
-        whole, is_open, cuts, asked, label, more, part, of = batch.ask(splitters, codes_of(told, 1), length)
-        repeated = _told(codes_of(told, 2), part)[0][of] if len(part) else np.zeros(0, bool)
-        spans: list[list[np.ndarray]] = [[] for _ in batch.rows]
-        used = 0
-        for c, a, b, (_, blocks) in zip(batch.chunks, cuts, cuts[1:], asked):
-            starts = c.suffixes(blocks)
-            hit = repeated[used : used + len(starts)]
-            used += len(starts)
-            size = c.last[blocks] - c.first[blocks] + 1
-            block = np.repeat(blocks, size)[hit]
-            place = starts[hit] - c.first[block] + c.offset[block]
-            k = np.flatnonzero(whole[a:b])
-            doc = np.concatenate([c.doc[block], c.doc[k]])
-            low = np.concatenate([place, c.offset[k]])
-            high = np.concatenate([place, c.offset[k] + c.last[k] - c.first[k]]) + length
-            order = np.argsort(doc, kind="stable")
-            doc, low, high = doc[order], low[order], high[order]
-            edges = np.flatnonzero(np.diff(doc, prepend=-1)).tolist() if len(doc) else []
-            for i, j in zip(edges, [*edges[1:], len(doc)]):
-                spans[doc[i]].append(np.stack([low[i:j], high[i:j]]))
-        out = []
-        for (doc_id, data), own in zip(batch.rows, spans):
-            data = data or b""
-            if not own:
-                out.append((doc_id, len(data), 0, 0, data))
-                continue
-            low, high = np.concatenate(own, axis=1)
-            cover = np.bincount(low, minlength=len(data) + 1) - np.bincount(high, minlength=len(data) + 1)
-            gone = np.cumsum(cover[:-1]) > 0
-            runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            out.append((doc_id, len(data), int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        columns = list(zip(*out)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    blocks = batches.groupBy("batch").applyInArrow(emit_blocks, X.SENT).groupBy("part").applyInArrow(_resolve, X.ANSWERED).withColumn("step", F.lit(1))
-    sent = batches.groupBy("batch").cogroup(blocks.groupBy("batch")).applyInArrow(emit_suffixes, X.SENT)
-    suffixes = sent.groupBy("part").applyInArrow(_resolve, X.ANSWERED).withColumn("step", F.lit(2))
-    return batches.groupBy("batch").cogroup(blocks.union(suffixes).groupBy("batch")).applyInArrow(finish, KEPT)
+    cuts = splitters(docs, parts, total, length, gram)
+    return exchange(cuts, parts, length, gram, hot).run(X.batched(docs, X.batch_count(docs, total)), KEPT)
