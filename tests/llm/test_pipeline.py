@@ -16,6 +16,30 @@ from tests.llm.test_tokens import ids
 DATA = "/root/testdata/sf0.001"
 
 
+def test_very_long_texts(spark):
+    """A text of some megabytes among short ones goes whole through every operator."""
+    from tracemill.llm import langid, near, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts
+
+    long = " ".join(f"w{i * 7919 % 100003}" for i in range(400_000)) + "\nlast line"
+    rows = [(1, "s", long, "en"), (2, "s", long + " and more", "en"), (3, "s", "short text here", "en"), (4, "s", None, "en"), (5, "s", "", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").repartition(2)
+    by = lambda df: {r["doc_id"]: r for r in df.collect()}
+    assert by(line_dedup.drop_boilerplate(docs, 0.1, 3))[1]["text"] == long and by(line_dedup.drop_boilerplate(docs, 0.1, 2))[2]["text"] == "last line and more"
+    whole = {i: len(ids(t or "")) + 1 for i, _, t, _ in rows}
+    assert {r["doc_id"]: r["n"] for r in packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == whole
+    counted = by(token_counts.count(docs.withColumn("edits", token_counts.sample_edits())))
+    assert all(counted[i]["n_tokens"] == n - 1 for i, n in whole.items())
+    scored = by(quality.score(docs, quality.train([(b"a b c", 1), (b"### ###", 0)])))
+    assert abs(scored[1]["score"] - scored[2]["score"]) < 1e-3 and scored[4]["score"] == scored[5]["score"]
+    assert by(simhash.components(docs))[2]["component_id"] == by(near.components(docs, 0.8))[2]["component_id"] == 1
+    assert by(substring_dedup.remove_repeats(docs))[2]["n_removed"] == len(long.split())
+    assert by(suffix_dedup.remove_repeats(docs))[1]["n_removed"] == len(long)
+    made = langid.fit(docs)
+    assert sorted(made) == ["en"] and by(langid.predict(docs, made))[1]["lang_pred"] == "en"
+    item = spark.createDataFrame([(7, long[1_500_000:1_500_300])], "item_id long, text string")
+    assert sorted(r[0] for r in decontam.matches(docs, item).collect()) == [1, 2] and sorted(r["doc_id"] for r in decontam.clean(docs, item).collect()) == [3, 4, 5]
+
+
 def brute_lines(rows, ratio, least):
     """rows: (doc_id, host, text) -> texts"""
     totals, counts = {}, {}

@@ -82,20 +82,6 @@ def test_edge_cases_and_keeping_one(spark):
     assert simhash.components(docs.limit(0)).count() == 0
 
 
-def test_sketches_bear_out_similarity():
-    rng = np.random.default_rng(3)
-    for n in (40, 100, 400, 3000):
-        words = [f"w{x}" for x in rng.integers(0, 10**9, n)]
-        other = list(words)
-        for k in rng.choice(n, max(1, n // 60), replace=False):
-            other[k] = "changed"
-        sets = [{tuple(x[i : i + 5]) for i in range(n - 4)} for x in (words, other)]
-        true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-        got = simhash.alike(*(simhash.sketch(" ".join(x).encode()) for x in (words, other)))
-        assert abs(got - true) < (1e-9 if n <= 100 else 0.12)
-    assert simhash.alike(simhash.sketch(b"A b"), simhash.sketch(b"a  B")) == 1.0 == simhash.alike(b"", b"")
-
-
 def test_keep_one_of_similar_documents(spark):
     """Nearly all pairs of 0.8 or more meet, and what goes has a partner that is much alike."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
@@ -121,13 +107,3 @@ def test_keep_one_of_similar_documents(spark):
     assert all(label[i] == label[c] for i, c in exact.items())
     kept = {r[0] for r in simhash.keep_one(docs, similarity=0.8).collect()}
     assert kept == {i for i, c in label.items() if i == c}
-
-
-def test_near_pairs_of_large_buckets():
-    rng = np.random.default_rng(5)
-    prints = rng.integers(0, 1 << 62, dtype=np.uint64) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(300)], np.uint64)
-    nodes = np.arange(300) * 2
-    pairs = simhash._group_pairs(prints, nodes, 5)
-    apart = lambda a, b: bin(int(prints[a // 2] ^ prints[b // 2])).count("1")
-    assert all(apart(a, b) <= 5 for a, b in pairs)
-    assert {a for a, _ in pairs} == {2 * i for i in range(300) if any(apart(2 * i, 2 * j) <= 5 for j in range(i))}

@@ -13,7 +13,8 @@ connect yet is checked, chunk against chunk, by tasks that hold the sets of two
 links they found, never all pairs.
 
 Defined cases: letters A-Z are lowered, nothing else; words are split at space and 0x09-0x0D; fewer words than a shingle
-are one shingle; texts without words, and null texts, have the empty set, and equal sets are alike; rows with a null doc_id
+are one shingle; texts without words, and null texts, have the empty set, and equal sets are alike; repeated rows are one node; a very long text is hashed whole by one task; an
+empty table gives an empty table; other columns are ignored; rows with a null doc_id
 get a null component_id.
 """
 

@@ -11,7 +11,8 @@ plan is made on the driver and has a bounded size. Pieces then get a rank within
 in the plan. Token ids are made once; the pieces, without ids, are written to the shared folder.
 
 Defined cases: null and empty texts are the end id alone; repeated rows and repeated doc_ids are packed like others;
-doc_id may be null; an empty table gives no pieces; other columns are ignored.
+doc_id may be null; a very long text is encoded whole by one task; an empty table gives no pieces; other columns, also ones
+called ``piece``, ``rank`` or ``bucket``, are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ one feature. Training is numpy stochastic gradient descent over a bounded, docum
 of a mean is the mean of one number per bucket, so every text is scored whole by table lookups, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no features and score the bias alone; labels that are null, neither 0 nor 1, or
-differ for one doc_id are left out; without both labels in the sample every score is 0.5; repeated rows score alike; an
-empty table gives an empty table; columns called ``score`` or ``predicted`` are replaced.
+differ for one doc_id are left out; without both labels in the sample every score is 0.5; repeated rows score alike; a
+very long text is scored whole, a slice at a time; an empty table gives an empty table; columns called ``score`` or ``predicted`` are replaced.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ whether documents share that much of their shingles, and many that do are furthe
 
 Defined cases: letters A-Z are lowered, nothing else; words are split at space and 0x09-0x0D; fewer words than a shingle
 are one shingle; no words or a null text give fingerprint zero, which links like any other; rows with a null doc_id get a
-fingerprint and a null component_id; repeated rows share fingerprint and component; other columns are ignored by
+fingerprint and a null component_id; a very long text is hashed whole by one task, 65,536 shingles at a time; repeated rows share fingerprint and component; other columns are ignored by
 ``components`` and kept by ``keep_one``.
 """
 
@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm import hashing as H
 from tracemill.llm import near
 from tracemill.llm.common import written
 from tracemill.llm.components import stars
@@ -38,8 +37,6 @@ from tracemill.llm.components import stars
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-WIDE_SHINGLE = 5
-SKETCH = 128
 _BUCKET = 512
 _SMALL = 24
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -65,24 +62,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def sketch(text: bytes, shingle: int = WIDE_SHINGLE, size: int = SKETCH) -> bytes:
-    """The smallest hashes of the distinct shingles, ascending, four bytes each."""
-    _, _, words = H.word_hashes(np.frombuffer(text.translate(_LOWER), np.uint8))
-    if not len(words):
-        return b""
-    hashes = H.windows(H.prefix(words), min(shingle, len(words)))
-    return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:size].tobytes()
-
-
-def alike(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity of the shingles behind two sketches; exact where both hold all of theirs."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)
-    if max(len(x), len(y)) >= size:
-        both = both[:size]
-    return float((np.isin(both, x) & np.isin(both, y)).sum() / len(both)) if len(both) else 1.0
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp)"""
 
@@ -153,18 +132,6 @@ def _group_stars(prints: np.ndarray, nodes: np.ndarray, radius: int) -> list[tup
     return [(int(nodes[i]), int(least[label[i]])) for i in ends if nodes[i] != least[label[i]]]
 
 
-def _group_pairs(prints: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Of each member, the first and the last near one before it: pairs that are near themselves."""
-    out: list[tuple[int, int]] = []
-    vertical = planes(prints)
-    for i in range(0, len(prints), 256):
-        near = np.unpackbits(sliced_within(vertical, prints[i : i + 256], radius).view(np.uint8), axis=1, bitorder="little")[:, : len(prints)]
-        for j, row in enumerate(near, i):
-            if len(own := np.flatnonzero(row[:j])):
-                out += [(int(nodes[j]), int(nodes[k])) for k in {own[0], own[-1]}]
-    return out
-
-
 def _links(radius: int):
     """Rows sorted by bucket -> edges. Small buckets are compared together, by distance in the sorted order."""
 
