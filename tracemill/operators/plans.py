@@ -193,6 +193,7 @@ def classify_loops(log: DataFrame) -> DataFrame:
     n = F.col("iterations").cast("string")
     hit = (F.col("max_iterations") > 0) & (F.col("iterations") >= F.col("max_iterations"))
     status = F.when(F.col("timed_out"), "timeout").when(F.col("cancelled"), "cancelled").when(hit, "max_iterations").otherwise("completed")
+    # fixed values: the messages
     text = (
         F.when(F.col("status") == "timeout", F.concat(F.lit("timeout: executed "), n, F.lit(" iterations")))
         .when(F.col("status") == "cancelled", F.lit("cancelled: context canceled"))
