@@ -43,7 +43,7 @@ def json_kind(text: Column) -> Column:
         start = F.substring(F.ltrim(F.translate(x, "\t\n\r", "   ")), 1, 1)
         names = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
         named = F.coalesce(F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[start], F.lit("number"))
-        valid = (F.size(alone) == 1) & first["_bad"].isNull() & (first["end"] == 1)
+        valid = (F.size(alone) == 1) & let(first, lambda f: f["_bad"].isNull() & (f["end"] == 1))
         return F.when(x.isNotNull(), F.when(valid, named).otherwise("invalid"))
 
     return let(text, kind)

@@ -31,13 +31,13 @@ def a3_read_sse_lines(spark, d):
 
 
 def a4_file_inventory(spark, d):
-    """The files of every user's events, by user: as many as there are users."""
+    """The files of events, one for every 16 users."""
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    events = table(spark, d, "events").select("user_id", F.concat_ws(" ", "event_type", "props").alias("value"))
-    events.repartition("user_id").write.partitionBy("user_id").text(folder)
-    found = files.file_inventory(spark, folder).withColumn("user_id", F.regexp_extract("path", "/user_id=([0-9]+)/", 1).cast("long"))
+    events = table(spark, d, "events").select(F.expr("user_id div 16").alias("group"), F.concat_ws(" ", "event_type", "props").alias("value"))
+    events.repartition("group").write.partitionBy("group").text(folder)
+    found = files.file_inventory(spark, folder).withColumn("group", F.regexp_extract("path", "/group=([0-9]+)/", 1).cast("long"))
     dated = F.every(F.col("mod_time").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$")).alias("dated")
-    return found.filter(F.col("name").endswith(".txt")).groupBy("user_id", "type").agg(F.sum(F.col("size").cast("long")).alias("n_bytes"), dated)
+    return found.filter(F.col("name").endswith(".txt")).groupBy("group", "type").agg(F.sum(F.col("size").cast("long")).alias("n_bytes"), dated)
 
 
 def a5_read_bounded_text(spark, d):
@@ -172,7 +172,7 @@ _K = "cast(plan_id as bigint) % 6"
 ORACLE_SQL = {
     "a3_read_sse_lines": """with chat as (select concat(conv_id, '_', turn) stream_id, cast(ceil(length(text) / 16.0) as bigint) n from conversations where role = 'assistant'),
       cut as (select stream_id, unnest(range(0, n)) i from chat) select stream_id, cast(sum(1 + case when i % 4 >= 2 then 1 else 0 end) + 2 as bigint) n_data from cut group by stream_id""",
-    "a4_file_inventory": """select user_id, 'file' "type", cast(sum(strlen(event_type) + 1 + coalesce(strlen(props), -1) + 1) as bigint) n_bytes, true dated from events group by user_id""",
+    "a4_file_inventory": """select user_id // 16 "group", 'file' "type", cast(sum(strlen(event_type) + 1 + coalesce(strlen(props), -1) + 1) as bigint) n_bytes, true dated from events group by user_id // 16""",
     "a5_read_bounded_text": """select doc_id, md5(replace(text, chr(10), ' ')) text_md5 from documents
       union all select null, unnest(['path access denied: docs/../../outside.txt', 'file not found: docs/none.txt', 'file too large: refused'])""",
     "p1_trim_json_wrapper": f"select event_id, case event_id % 6 when 4 then concat('[1, ', event_id, ']') when 5 then 'none' else {_EVENT_JSON} end body from events",
