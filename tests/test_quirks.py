@@ -163,6 +163,13 @@ def test_waves_and_stuck(spark):
     frame = spark.createDataFrame(tasks, "plan_id string, id string, inputs array<string>, outputs array<string>")
     assert {(r["id"], r["level"]) for r in P.execution_levels(frame).collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert {(r["id"], r["reason"]) for r in P.stuck_tasks(frame).collect()} == {("d", "missing input"), ("e", "blocked"), ("f", "blocked"), ("h", "blocked")}
+    audit = P.audit_plans(frame.withColumn("ord", F.lit(1))).first().asDict()
+    assert audit == {"plan_id": "p", "n_tasks": 7, "ids_ok": False, "size_ok": True, "n_missing": 1, "n_blocked": 3}
+    # null keys are given by nothing, null plans are one plan, plan_id keeps its type
+    odd = spark.createDataFrame([(1, "a", None, [None]), (1, "b", [None, "q"], []), (None, "c", ["z"], None), (None, "d", [], ["z"]), (None, None, ["no"], [])], "plan_id long, id string, inputs array<string>, outputs array<string>")
+    assert {tuple(r) for r in P.stuck_tasks(odd).collect()} == {(1, "b", "missing input"), (None, None, "missing input")}
+    assert {tuple(r) for r in P.execution_levels(odd).collect()} == {(1, "a", 0), (None, "d", 0), (None, "c", 1)}
+    assert P.stuck_tasks(odd.limit(0)).collect() == [] and P.audit_plans(odd.withColumn("ord", F.lit(1)).limit(0)).collect() == []
 
 
 def test_replan_and_slots(spark):

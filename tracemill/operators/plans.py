@@ -1,13 +1,13 @@
 """Plans of tasks as tables: parse, dependencies, readiness, state, re-plans and reports.
 
 Tasks are rows (plan_id, ord, id, description, inputs array, outputs array, state, ...). Everything groups by plan_id;
-logs fold with partial aggregates. ``execution_levels`` gathers each plan's tasks into one row, as the answer that they came
-from was, and orders them there.
+logs fold with partial aggregates. Levels, stuck tasks and audits gather each plan's tasks into one row, as the answer that
+they came from was, and order them there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,7 @@ from tracemill.functions.text import json_kind, let, ordered_text, trim_json_wra
 TASK = "struct<id:string,description:string,inputs:array<string>,outputs:array<string>,state:string,result:map<string,string>,error:string>"
 PLAN = f"struct<goal:string,tasks:array<{TASK}>,_bad:string>"
 MIN_TASKS, MAX_TASKS = 3, 8
+MISSING, BLOCKED = "missing input", "blocked"
 # fixed values: the words of reports and prompts
 REPORT, DONE, FAILED = ("目标「", "」已完成，执行结果："), "✓", "✗"
 PLACE = ("<", "的结果>")
@@ -97,28 +98,42 @@ def waves(tasks: list[dict]) -> Iterator[tuple[str, int]]:
                     now.append(i)
 
 
-def execution_levels(tasks: DataFrame) -> DataFrame:
-    """(plan_id, id, level): the earliest wave a task can run in, from 0; tasks that never can are left out. A plan comes
-    from one answer of a model, so its tasks fit in a row: one shuffle, no rounds."""
+def stuck(tasks: list[dict]) -> Iterator[tuple[str, str]]:
+    """(id, reason) of one plan's tasks that would wait for ever."""
+    runs = {i for i, _ in waves(tasks)}
+    made = {k for t in tasks for k in t["outputs"] or () if k is not None}
+    missing = {t["id"] for t in tasks if not made.issuperset(t["inputs"] or ())}
+    yield from ((t["id"], MISSING if t["id"] in missing else BLOCKED) for t in tasks if t["id"] not in runs)
+
+
+def _gathered() -> Column:
+    return F.collect_list(F.struct("id", "inputs", "outputs")).alias("tasks")
+
+
+def _each_plan(tasks: DataFrame, rule: Callable[[list[dict]], Iterator[tuple]], name: str, kind: str) -> DataFrame:
+    """The rows (plan_id, id, ``name``) that ``rule`` gives for each plan's tasks. A plan comes from one answer of a model,
+    so its tasks fit in a row: one shuffle, no joins or rounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(plan, *x) for plan, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in waves(own)]
+            rows = [(plan, *x) for plan, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in rule(own)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32()))], ["plan_id", "id", "level"])
+                kinds = (batch.schema.field(0).type, pa.string(), pa.int32() if kind == "integer" else pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["plan_id", "id", name])
+
+    plans = tasks.groupBy("plan_id").agg(_gathered())
+    return plans.mapInArrow(run, plans.select("plan_id").schema.add("id", "string").add(name, kind))
 
-    plans = tasks.groupBy(F.col("plan_id").cast("string").alias("plan_id")).agg(F.collect_list(F.struct("id", "inputs", "outputs")).alias("tasks"))
-    return plans.mapInArrow(run, "plan_id string, id string, level int")
+
+def execution_levels(tasks: DataFrame) -> DataFrame:
+    """(plan_id, id, level): the earliest wave a task can run in, from 0; tasks that never can are left out."""
+    return _each_plan(tasks, waves, "level", "integer")
 
 
-def stuck_tasks(tasks: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+def stuck_tasks(tasks: DataFrame) -> DataFrame:
     """(plan_id, id, reason) of tasks that would wait for ever: an own input that nothing gives, or else what they wait
-    for is in or behind a cycle or such a task."""
-    levels = execution_levels(tasks) if levels is None else levels
-    made = tasks.select("plan_id", F.explode("outputs").alias("key")).distinct()
-    missing = tasks.select("plan_id", "id", F.explode("inputs").alias("key")).join(made, ["plan_id", "key"], "left_anti").select("plan_id", "id", F.lit(True).alias("missing")).distinct()
-    waiting = tasks.select("plan_id", "id").join(levels.select("plan_id", "id"), ["plan_id", "id"], "left_anti")
-    return waiting.join(missing, ["plan_id", "id"], "left").select("plan_id", "id", F.when(F.col("missing"), "missing input").otherwise("blocked").alias("reason"))
+    for is in or behind a cycle or such a task. A null plan_id is a plan of its own; a null key is given by nothing."""
+    return _each_plan(tasks, stuck, "reason", "string")
 
 
 def fold_task_events(tasks: DataFrame, events: DataFrame) -> DataFrame:
@@ -217,9 +232,16 @@ def task_prompts(tasks: DataFrame, slots: DataFrame) -> DataFrame:
     return tasks.select("plan_id", "id", template.alias("output_template")).join(told, ["plan_id", "id"]).select("plan_id", "id", "inputs_text", "output_template")
 
 
-def audit_plans(tasks: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+def audit_plans(tasks: DataFrame) -> DataFrame:
     """(plan_id, n_tasks, ids_ok, size_ok, n_missing, n_blocked): the rules that planners are told but nothing checks."""
-    stuck = stuck_tasks(tasks, levels).groupBy("plan_id").agg(F.sum(F.when(F.col("reason") == "missing input", 1).otherwise(0)).alias("n_missing"), F.sum(F.when(F.col("reason") == "blocked", 1).otherwise(0)).alias("n_blocked"))
-    own = tasks.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_tasks"), F.every(F.coalesce(F.col("id") == F.concat(F.lit("task_"), F.col("ord").cast("string")), F.lit(False))).alias("ids_ok"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return own.join(stuck, "plan_id", "left").select("plan_id", "n_tasks", "ids_ok", F.col("n_tasks").between(MIN_TASKS, MAX_TASKS).alias("size_ok"), zero("n_missing"), zero("n_blocked"))
+    ids_ok = F.every(F.coalesce(F.col("id") == F.concat(F.lit("task_"), F.col("ord").cast("string")), F.lit(False)))
+    plans = tasks.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_tasks"), ids_ok.alias("ids_ok"), _gathered())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reasons = [[r for _, r in stuck(own)] for own in batch.column(3).to_pylist()]
+            counts = [pa.array([r.count(x) for r in reasons], pa.int64()) for x in (MISSING, BLOCKED)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *counts], [*batch.schema.names[:3], "n_missing", "n_blocked"])
+
+    out = plans.mapInArrow(run, plans.drop("tasks").schema.add("n_missing", "long").add("n_blocked", "long"))
+    return out.select("plan_id", "n_tasks", "ids_ok", F.col("n_tasks").between(MIN_TASKS, MAX_TASKS).alias("size_ok"), "n_missing", "n_blocked")
