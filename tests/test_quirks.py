@@ -31,16 +31,22 @@ def test_like(spark, text, query, hit):
     assert one(row, X.contains_like(F.col("t"), F.col("q"))) is hit
 
 
-@pytest.mark.parametrize("text,kind", [('{"a":1,}', "invalid"), ('{"a":NaN}', "invalid"), ("{'a':1}", "invalid"), ('{"a":1} x', "invalid"), ("", "invalid"), ("null", "null"), ('{"a":1,"a":2}', "object"), ("[1]", "array"), ("5", "number"), ("true", "boolean"), (None, None)])
+@pytest.mark.parametrize("text,kind", [('{"a":1,}', "invalid"), ('{"a":NaN}', "invalid"), ("{'a':1}", "invalid"), ('{"a":1} x', "invalid"), ("", "invalid"), ("null", "null"), ('{"a":1,"a":2}', "object"), ("[1]", "array"), ("5", "number"), ("true", "boolean"), (None, None), ("1,2", "invalid"), ('1,"end":1}', "invalid"), ("1],[2", "invalid"), ('"\x01"', "invalid"), (" {} ", "object")])
 def test_json_kind(spark, text, kind):
     assert one(spark.createDataFrame([(text,)], "t string"), X.json_kind(F.col("t"))) == kind
 
 
-@pytest.mark.parametrize("raw,body", [("```JSON\n{\"a\": 1}\n```", '{"a": 1}'), ("", ""), ("    ", ""), ("Here {a} and } done", "{a} and }"), ("x [1] y", "[1]"), ("plain", "plain"), ("} {", "} {"), ("```\n[1, 2]```", "[1, 2]")])
+@pytest.mark.parametrize("raw,body", [("```JSON\n{\"a\": 1}\n```", '{"a": 1}'), ("", ""), ("    ", ""), ("Here {a} and } done", "{a} and }"), ("x [1] y", "[1]"), ("plain", "plain"), ("} {", "} {"), ("```\n[1, 2]```", "[1, 2]"), ("\u00a0```json\u2003x \u3000```\n", "x"), ("```````", "`"), ("```", ""), ("a```b", "a```b"), (None, None)])
 def test_trim_json(spark, raw, body):
     assert one(spark.createDataFrame([(raw,)], "t string"), X.trim_json_wrapper(F.col("t"))) == body
 
 
+@pytest.mark.parametrize("raw,status", [('{"tasks": []}', "ok"), ('{"tasks": "x"}', "error"), ('{"tasks": null} {}', "error"), ('{"tasks": [], "n": NaN}', "error"), ('{"tasks": []},"end":1}', "error"), ('[{"tasks": []}]', "ok"), ("[1]", "empty"), (None, "empty")])
+def test_plan_texts(spark, raw, status):
+    plans = P.parse_plans(spark.createDataFrame([("p", "g", raw)], "plan_id string, goal string, raw string"))
+    assert [(r["status"], r["tasks"]) for r in plans.collect()] == [(status, [])]
+
+
 def test_recall_ties_and_limit(spark):
     m = msgs(spark, [("user", "aa"), ("assistant", "ab"), ("user", "ba"), ("user", "zz"), ("user", "a")])
     q = spark.createDataFrame([("s", 9, "a"), ("none", 1, "a")], "session_id string, q_seq long, q string")

@@ -26,24 +26,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
+#: Reads JSON as the standard has it; a struct that it fills needs a field ``_bad``.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
+# fixed values: the characters that are white space in Unicode
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-def json_kind(text: Column) -> Column:
-    """object, array, string, number, boolean, null, or invalid where strict JSON doesn't allow the text; null for null.
+def json_value(text: Column, kind: str) -> Column:
+    """The text's JSON value as ``value``, of the type ``kind``; ``_bad`` is set or ``end`` isn't 1 where it isn't one.
 
-    The parser reads one value and ignores what comes behind it. So the text is read as the only element of a list, which
-    a comma behind the value would spoil, and as the first field of an object, which a bracket behind it would: only a
-    text that is one value passes both.
+    The parser reads one value and ignores what comes behind it, so the text is read as the first field of an object, which
+    a bracket behind it would spoil. A comma behind it would not: see ``alone``.
     """
+    return F.from_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":1}')), f"struct<value:{kind},end:int,_bad:string>", STRICT)
+
+
+def alone(text: Column) -> Column:
+    """Whether a text is no more than one value, by counting it as an element of a list."""
+    return F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+
+
+def json_kind(text: Column) -> Column:
+    """object, array, string, number, boolean, null, or invalid where strict JSON doesn't allow the text; null for null."""
 
     def kind(x: Column) -> Column:
-        alone = F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>", _STRICT)
-        first = F.from_json(F.concat(F.lit('{"value":'), x, F.lit(',"end":1}')), "struct<end:int,_bad:string>", _STRICT)
+        first = F.from_json(F.concat(F.lit('{"value":'), x, F.lit(',"end":1}')), "struct<end:int,_bad:string>", STRICT)
         start = F.substring(F.ltrim(F.translate(x, "\t\n\r", "   ")), 1, 1)
         names = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
         named = F.coalesce(F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[start], F.lit("number"))
-        valid = (F.size(alone) == 1) & let(first, lambda f: f["_bad"].isNull() & (f["end"] == 1))
+        valid = alone(x) & let(first, lambda f: f["_bad"].isNull() & (f["end"] == 1))
         return F.when(x.isNotNull(), F.when(valid, named).otherwise("invalid"))
 
     return let(text, kind)
@@ -51,19 +62,18 @@ def json_kind(text: Column) -> Column:
 
 def trim_json_wrapper(raw: Column) -> Column:
     """The JSON part of a model's answer: without code fences, from the first { to the last }, else from [ to ]."""
-    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-
-    def unfenced(x: Column) -> Column:
-        return trim(F.regexp_replace(F.regexp_replace(trim(x), r"(?iU)^\s*```\s*(?:json)?\s*", ""), r"(?U)\s*```\s*$", ""))
+    fence = "```"
+    opened = lambda x: F.when(x.startswith(fence), F.regexp_replace(x, r"(?iU)^```\s*(?:json)?\s*", "")).otherwise(x)
+    closed = lambda x: F.when(x.endswith(fence), F.rtrim(F.substring(x, F.lit(1), F.length(x) - len(fence)), F.lit(WHITE))).otherwise(x)
 
     def body(x: Column) -> Column:
         def span(a: str, b: str) -> Column:
-            first, last = F.instr(x, a), F.length(x) - F.instr(F.reverse(x), b) + 1
-            return F.when((first > 0) & (last > first) & (last <= F.length(x)), F.substring(x, first, last - first + 1))
+            ends = F.struct(F.instr(x, a).alias("first"), (F.length(x) - F.length(F.substring_index(x, b, -1))).alias("last"))
+            return let(ends, lambda e: F.when((e["first"] > 0) & (e["last"] > e["first"]), F.substring(x, e["first"], e["last"] - e["first"] + 1)))
 
         return F.coalesce(span("{", "}"), span("[", "]"), x)
 
-    return let(unfenced(raw), body)
+    return let(let(let(F.btrim(raw, F.lit(WHITE)), opened), closed), body)
 
 
 def fold_path(path: Column) -> Column:

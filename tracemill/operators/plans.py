@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import json_kind, let, ordered_text, trim_json_wrapper
+from tracemill.functions.text import alone, json_kind, json_value, let, ordered_text, trim_json_wrapper
 
 TASK = "struct<id:string,description:string,inputs:array<string>,outputs:array<string>,state:string,result:map<string,string>,error:string>"
-PLAN = f"struct<goal:string,tasks:array<{TASK}>,_bad:string>"
+PLAN = f"struct<goal:string,tasks:array<{TASK}>>"
 MIN_TASKS, MAX_TASKS = 3, 8
 MISSING, BLOCKED = "missing input", "blocked"
 # fixed values: the words of reports and prompts
@@ -24,15 +24,19 @@ REPORT, DONE, FAILED = ("目标「", "」已完成，执行结果："), "✓", "
 PLACE = ("<", "的结果>")
 
 
-def _bad(parsed: Column, body: Column) -> Column:
-    return parsed.isNull() | parsed["_bad"].isNotNull() | ~F.coalesce(json_kind(body) == "object", F.lit(False))
+def _parsed(answers: DataFrame) -> DataFrame:
+    """answers with the JSON part of ``raw`` as ``body``, its plan ``p``, and whether it is ``wrong``: not one object of the
+    right types. The text is read once."""
+    read = answers.withColumn("body", trim_json_wrapper(F.col("raw"))).withColumn("__read", json_value(F.col("body"), PLAN))
+    right = F.col("__read._bad").isNull() & (F.col("__read.end") == 1) & F.col("body").startswith("{") & alone(F.col("body"))
+    return read.withColumn("wrong", ~F.coalesce(right, F.lit(False))).withColumn("p", F.col("__read.value")).drop("__read")
 
 
 def parse_plans(answers: DataFrame) -> DataFrame:
     """answers (plan_id, goal, raw) -> plan_id, goal, status (ok, empty, error), tasks. The goal is the caller's; text that
     can't be parsed is an error where it speaks of "tasks", and else an empty plan."""
-    body = answers.withColumn("body", trim_json_wrapper(F.col("raw")))
-    parsed = body.withColumn("p", F.from_json("body", PLAN, {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})).withColumn("wrong", _bad(F.col("p"), F.col("body")))
+    parsed = _parsed(answers)
+
     def speaks(rest: Column) -> Column:  # what stands behind the first brace: "tasks", and a closing brace behind that
         at = F.instr(rest, '"tasks"')
         return (at > 0) & (F.instr(F.substr(rest, at + 7), "}") > 0)
@@ -158,8 +162,7 @@ def merge_replan(plans: DataFrame) -> DataFrame:
     """plans (plan_id, goal, tasks, failed_id, raw: the new plan's text) -> plan_id, goal, tasks. The new list replaces the
     old, or the old stays where the text can't be parsed; the failed task is pending again without its error, tasks
     without a state are pending, others keep theirs."""
-    body = plans.withColumn("body", trim_json_wrapper(F.col("raw")))
-    parsed = body.withColumn("p", F.from_json("body", PLAN, {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})).withColumn("wrong", _bad(F.col("p"), F.col("body")))
+    parsed = _parsed(plans)
     tasks = F.when(F.col("wrong"), F.col("tasks")).otherwise(F.coalesce("p.tasks", F.array().cast(f"array<{TASK}>")))
 
     def reset(t: Column) -> Column:
