@@ -33,6 +33,14 @@ def test_quality_ignores_ids_and_other_columns(spark):
     assert quality.score(docs.limit(0), none).count() == 0
 
 
+def test_quality_draws_repeated_rows_once(spark):
+    docs = spark.createDataFrame([(7, "bb"), (7, "a"), (7, "b")] * 50 + [(i, f"text {i}") for i in range(1, 6)] + [(None, "x"), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 10)] + [(None, 1)], "doc_id long, quality int")
+    assert quality.sample(docs, labels, 10) == [(f"text {i}".encode(), i % 2) for i in range(1, 6)] + [(b"a", 1)]
+    assert len(quality.sample(docs, labels, 2)) == 4
+    assert [len(x) for x, _ in quality.sample(docs, labels, 10, 2 * 64)] == [1]  # texts of at most 2 bytes
+
+
 def test_features_do_not_depend_on_slices(monkeypatch):
     text = ("Some words, ééé and more " * 40).encode()
     whole = sorted(x for f in quality.features(text, 1 << 17, (3, 5)) for x in f.tolist())

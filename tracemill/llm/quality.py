@@ -7,8 +7,9 @@ one feature. Training is numpy stochastic gradient descent over a bounded, docum
 of a mean is the mean of one number per bucket, so every text is scored whole by table lookups, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no features and score the bias alone; labels that are null, neither 0 nor 1, or
-differ for one doc_id are left out; without both labels in the sample every score is 0.5; repeated rows score alike; a
-very long text is scored whole, a slice at a time; an empty table gives an empty table; columns called ``score`` or ``predicted`` are replaced.
+differ for one doc_id are left out; without both labels in the sample every score is 0.5; repeated rows score alike, and
+of rows that share a doc_id the shortest (then least) text is learned from, once; a very long text is scored whole, a slice at
+a time; an empty table gives an empty table; columns called ``score`` or ``predicted`` are replaced.
 """
 
 from __future__ import annotations
@@ -91,20 +92,21 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_b
     """Texts and labels to train on; the bounds hold whatever the tables' size. Whole texts only."""
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("q_id")).agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other").select("q_id", F.col("label").cast("int").alias("label"))
     text = F.encode(F.col("text").cast("string"), "UTF-8")
-    drawn = docs.filter("text is not null").select(F.col("doc_id"), F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("h"))
-    drawn = drawn.filter(F.col("size") <= max_bytes // 64).join(known, drawn["doc_id"] == known["q_id"]).select("doc_id", "size", "h", "label")
+    short = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes // 64)).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"), text.alias("data"))
+    # repeated rows are drawn once, so that many of one document don't take the places of others
+    drawn = short.join(known, short["doc_id"] == known["q_id"]).groupBy("doc_id", "label").agg(F.min("size").alias("size")).withColumn("h", F.xxhash64("doc_id"))
+    first = [drawn.filter(F.col("label") == label).orderBy("h", "doc_id").limit(per_class) for label in (0, 1)]
     picked: dict[int, int] = {}
-    for label in (0, 1):
-        room = max_bytes // 2
-        for r in drawn.filter(F.col("label") == label).orderBy("h", "doc_id", "size").limit(per_class).collect():
-            if r["size"] <= room and r["doc_id"] not in picked:
-                room -= r["size"]
-                picked[r["doc_id"]] = label
+    room = [max_bytes // 2] * 2
+    for r in sorted(first[0].union(first[1]).collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if r["size"] <= room[r["label"]]:
+            room[r["label"]] -= r["size"]
+            picked[r["doc_id"]] = r["label"]
     if not picked:
         return []
-    rows = docs.filter(F.col("doc_id").isin(list(picked)) & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes // 64)).select("doc_id", text.alias("data"))
-    found = {r[0]: bytes(r[1]) for r in rows.sort("doc_id", "data").toLocalIterator()}
-    return [(found[i], picked[i]) for i in sorted(found)]
+    own = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(list(picked), pa.int64())})))  # at most per_class ids a label
+    found = short.join(own, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("size", "data")).alias("least")).select("doc_id", "least.data")
+    return [(bytes(data), picked[i]) for i, data in found.sort("doc_id").toLocalIterator()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
