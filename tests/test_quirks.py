@@ -47,6 +47,12 @@ def test_plan_texts(spark, raw, status):
     assert [(r["status"], r["tasks"]) for r in plans.collect()] == [(status, [])]
 
 
+def test_task_outputs_keep_keys(spark):
+    answers = spark.createDataFrame([(1, "b", 2, "w", 'so {"a": 1, "b": null}'), (2, "c", 3, "v", "[1]"), (3, None, None, None, None), (4, "d", 5, "u", "{}")], "id long, body string, p long, wrong string, raw string")
+    rows = P.parse_task_outputs(answers).orderBy("id", "slot").collect()
+    assert [tuple(r) for r in rows] == [(1, "b", 2, "w", "a", "1", None), (1, "b", 2, "w", "b", None, None), (2, "c", 3, "v", None, None, "not a JSON object"), (3, None, None, None, None, None, "not a JSON object")]
+
+
 def test_recall_ties_and_limit(spark):
     m = msgs(spark, [("user", "aa"), ("assistant", "ab"), ("user", "ba"), ("user", "zz"), ("user", "a")])
     q = spark.createDataFrame([("s", 9, "a"), ("none", 1, "a")], "session_id string, q_seq long, q string")

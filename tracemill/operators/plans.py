@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import alone, json_kind, json_value, let, ordered_text, trim_json_wrapper
+from tracemill.functions.text import alone, json_value, let, ordered_text, trim_json_wrapper
 
 TASK = "struct<id:string,description:string,inputs:array<string>,outputs:array<string>,state:string,result:map<string,string>,error:string>"
 PLAN = f"struct<goal:string,tasks:array<{TASK}>>"
@@ -24,27 +24,27 @@ REPORT, DONE, FAILED = ("目标「", "」已完成，执行结果："), "✓", "
 PLACE = ("<", "的结果>")
 
 
-def _parsed(answers: DataFrame) -> DataFrame:
-    """answers with the JSON part of ``raw`` as ``body``, its plan ``p``, and whether it is ``wrong``: not one object of the
-    right types. The text is read once."""
-    read = answers.withColumn("body", trim_json_wrapper(F.col("raw"))).withColumn("__read", json_value(F.col("body"), PLAN))
-    right = F.col("__read._bad").isNull() & (F.col("__read.end") == 1) & F.col("body").startswith("{") & alone(F.col("body"))
-    return read.withColumn("wrong", ~F.coalesce(right, F.lit(False))).withColumn("p", F.col("__read.value")).drop("__read")
+def _parsed(answers: DataFrame, kind: str) -> DataFrame:
+    """answers with the JSON part of ``raw`` as ``__body``, its ``__value`` of the type ``kind``, and whether it is
+    ``__wrong``: not one object of that type. The text is read once."""
+    read = answers.withColumn("__body", trim_json_wrapper(F.col("raw"))).withColumn("__read", json_value(F.col("__body"), kind))
+    right = F.col("__read._bad").isNull() & (F.col("__read.end") == 1) & F.col("__body").startswith("{") & alone(F.col("__body"))
+    return read.withColumn("__wrong", ~F.coalesce(right, F.lit(False))).withColumn("__value", F.col("__read.value")).drop("__read")
 
 
 def parse_plans(answers: DataFrame) -> DataFrame:
     """answers (plan_id, goal, raw) -> plan_id, goal, status (ok, empty, error), tasks. The goal is the caller's; text that
     can't be parsed is an error where it speaks of "tasks", and else an empty plan."""
-    parsed = _parsed(answers)
+    parsed = _parsed(answers, PLAN)
 
     def speaks(rest: Column) -> Column:  # what stands behind the first brace: "tasks", and a closing brace behind that
         at = F.instr(rest, '"tasks"')
         return (at > 0) & (F.instr(F.substr(rest, at + 7), "}") > 0)
 
-    behind = F.when(F.instr("body", "{") > 0, F.substr(F.col("body"), F.instr("body", "{") + 1))
-    status = F.when(~F.col("wrong"), "ok").when(let(behind, speaks), "error").otherwise("empty")
+    behind = F.when(F.instr("__body", "{") > 0, F.substr(F.col("__body"), F.instr("__body", "{") + 1))
+    status = F.when(~F.col("__wrong"), "ok").when(let(behind, speaks), "error").otherwise("empty")
     none = F.array().cast(f"array<{TASK}>")
-    return parsed.select("plan_id", "goal", status.alias("status"), F.when(~F.col("wrong"), F.coalesce("p.tasks", none)).otherwise(none).alias("tasks"))
+    return parsed.select("plan_id", "goal", status.alias("status"), F.when(~F.col("__wrong"), F.coalesce("__value.tasks", none)).otherwise(none).alias("tasks"))
 
 
 def explode_tasks(plans: DataFrame) -> DataFrame:
@@ -59,11 +59,8 @@ def parse_task_outputs(answers: DataFrame) -> DataFrame:
     """answers (keys.., raw) -> keys.., slot, value: one row per key of the answer's JSON object; where it isn't one, a row
     with ``error``."""
     keys = [c for c in answers.columns if c != "raw"]
-    body = answers.withColumn("body", trim_json_wrapper(F.col("raw")))
-    ok = F.coalesce(json_kind(F.col("body")) == "object", F.lit(False))
-    values = F.from_json("body", "map<string,string>")
-    rows = body.withColumn("ok", ok).withColumn("m", F.when(F.col("ok"), values))
-    return rows.select(*keys, F.explode_outer("m").alias("slot", "value"), F.when(~F.col("ok"), "not a JSON object").alias("error")).filter(F.col("slot").isNotNull() | F.col("error").isNotNull())
+    rows = _parsed(answers, "map<string,string>").withColumn("__map", F.when(~F.col("__wrong"), F.col("__value")))
+    return rows.select(*keys, F.explode_outer("__map").alias("slot", "value"), F.when(F.col("__wrong"), "not a JSON object").alias("error")).filter(F.col("slot").isNotNull() | F.col("error").isNotNull())
 
 
 def task_edges(tasks: DataFrame) -> DataFrame:
@@ -162,8 +159,8 @@ def merge_replan(plans: DataFrame) -> DataFrame:
     """plans (plan_id, goal, tasks, failed_id, raw: the new plan's text) -> plan_id, goal, tasks. The new list replaces the
     old, or the old stays where the text can't be parsed; the failed task is pending again without its error, tasks
     without a state are pending, others keep theirs."""
-    parsed = _parsed(plans)
-    tasks = F.when(F.col("wrong"), F.col("tasks")).otherwise(F.coalesce("p.tasks", F.array().cast(f"array<{TASK}>")))
+    parsed = _parsed(plans, PLAN)
+    tasks = F.when(F.col("__wrong"), F.col("tasks")).otherwise(F.coalesce("__value.tasks", F.array().cast(f"array<{TASK}>")))
 
     def reset(t: Column) -> Column:
         failed = F.coalesce(t["id"] == F.col("failed_id"), F.lit(False))
