@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontam, langid, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from tracemill.llm import decontam, importance, langid, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk
 from tracemill.llm.common import crc_part, spread, table
 from tracemill.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from tracemill.llm.packing import pack
@@ -106,6 +106,42 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(spread(table(spark, sf_dir, "documents")), spread(table(spark, sf_dir, "benchmark")))
+
+
+OP13_SQL = f"""
+with crc_table as (
+  select list(c order by i) t from (
+    select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) r(i))
+), texts as (select 0 side, row_number() over () row_id, doc_id, text from documents union all select 1, row_number() over (), item_id, text from benchmark),
+split as (
+  select side, row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws from texts
+), features as (
+  select side, row_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) feature from split
+), counted as (select side, row_id, feature, count(*) n from features group by all),
+names as (select distinct feature from counted),
+bytes as (select feature, [cast('0x' || substr(hex(encode(feature)), 2 * i + 1, 2) as bigint) for i in range(strlen(feature))] b from names),
+buckets as (
+  select feature, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % {importance.BUCKETS} bucket from bytes, crc_table
+), sides as (select bucket, coalesce(sum(n) filter (side = 0), 0) s, coalesce(sum(n) filter (side = 1), 0) t from counted join buckets using (feature) group by bucket),
+totals as (select coalesce(sum(s), 0) s_all, coalesce(sum(t), 0) t_all from sides),
+gains as (
+  select bucket, cast(floor(1000 * ln((cast(t as double) + 1) * (cast(s_all as double) + {importance.BUCKETS}) / ((cast(s as double) + 1) * (cast(t_all as double) + {importance.BUCKETS})))) as bigint) gain from sides, totals
+), weights as (
+  select row_id, sum(n) n_features, cast(floor(cast(sum(n * gain) as decimal(38, 0)) / sum(n)) as bigint) weight
+  from counted join buckets using (feature) join gains using (bucket) where side = 0 group by row_id
+), scored as (
+  select row_id, doc_id, len(ws) n_words, cast(coalesce(n_features, 0) as bigint) n_features, coalesce(weight, 0) weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('{importance.SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) score
+  from split left join weights using (row_id) where side = 0
+), ranked as (
+  select row_id, row_number() over (order by score desc, doc_id) r, count(*) over () n from scored where n_words >= {importance.MIN_WORDS}
+)
+select doc_id, n_features, weight, score, case when r <= {importance.SHARE} * n // 100 then r end "rank" from scored left join ranked using (row_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -117,5 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "op13_importance_resampling": OP13_SQL}
