@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontam, importance, langid, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from tracemill.llm import decontam, fingerprints, importance, langid, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk
 from tracemill.llm.common import crc_part, spread, table
 from tracemill.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from tracemill.llm.packing import pack
@@ -106,6 +106,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(spread(table(spark, sf_dir, "documents")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spread(table(spark, sf_dir, "documents")), spread(table(spark, sf_dir, "benchmark")))
 
@@ -153,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "op13_importance_resampling": OP13_SQL}
