@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontam, fingerprints, importance, langid, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from tracemill.llm import decontam, fingerprints, importance, langid, quality, ranked, simhash, substring_dedup, suffix_dedup, token_counts, topk
 from tracemill.llm.common import crc_part, spread, table
 from tracemill.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from tracemill.llm.packing import pack
@@ -106,6 +106,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build(spread(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+with held as (select row_id, doc_id, ts, len(ts) n from (select row_number() over () row_id, doc_id, {_TERMS} ts from documents) where len(ts) > 0),
+totals as (select count(*) n_all, cast(sum(n) as bigint) l_all from held),
+tfs as (select row_id, term, count(*) tf from (select row_id, unnest(ts) term from held) group by all),
+dfs as (select term, count(*) df from tfs group by term),
+asked as (
+  select item_id, term, count(*) times from (select item_id, unnest({_TERMS}) term from (select distinct item_id, text from benchmark where item_id is not null)) group by all
+), weights as (
+  select item_id, term, times * cast(floor(1000 * ln(cast(2 * n_all + 2 as double) / (2 * df + 1))) as bigint) w from asked join dfs using (term), totals
+), scores as (
+  select item_id, row_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // l_all)))) as bigint) score
+  from weights join tfs using (term) join held using (row_id), totals group by all
+), ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) "rank" from scores where score > 0)
+select item_id, "rank", doc_id, score from ranked where "rank" <= {ranked.K}
+"""
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(spread(table(spark, sf_dir, "documents")))
 
@@ -120,7 +142,7 @@ with crc_table as (
     select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) r(i))
 ), texts as (select 0 side, row_number() over () row_id, doc_id, text from documents union all select 1, row_number() over (), item_id, text from benchmark),
 split as (
-  select side, row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws from texts
+  select side, row_id, doc_id, {_TERMS} ws from texts
 ), features as (
   select side, row_id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) feature from split
 ), counted as (select side, row_id, feature, count(*) n from features group by all),
@@ -157,7 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
     "op12_document_fingerprints": op12_document_fingerprints,
     "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "op11_ranked_search": OP11_SQL, "op13_importance_resampling": OP13_SQL}
