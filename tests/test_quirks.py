@@ -91,7 +91,7 @@ def test_stream_rules(spark):
     chunks = S.parse_sse(feed)
     assert [(r["role"], r["content"]) for r in S.sticky_role(chunks).orderBy("seq").collect()] == [("", "a"), ("assistant", "b"), ("assistant", "c")]
     out = S.assemble_messages(chunks, feed.union(lines(spark, "").withColumn("stream_id", F.lit("empty")))).orderBy("stream_id").collect()
-    assert [tuple(r) for r in out] == [("empty", "assistant", "", "", [], 0), ("s", "assistant", "abc", "", [], 3)]
+    assert [tuple(r) for r in out] == [("empty", "assistant", "", "", [], 0, 0), ("s", "assistant", "abc", "", [], 3, 0)]
 
 
 def test_tool_parts(spark):
@@ -218,7 +218,7 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
 
 
 def test_folded_calls_live_and_batch(spark, tmp_path):
-    """Bad indexes are left out, gaps are empty calls, the latest id and name win, and the live fold is the batch fold."""
+    """Parts with bad indexes are counted, gaps are empty calls, the latest id and name win, and the live fold is the batch fold."""
     parts = [
         [{"index": 1, "id": "a", "type": "function", "function": {"name": "f", "arguments": "{"}}, {"index": -1, "id": "bad"}],
         [{"index": 2_000_000_000, "id": "bad"}, {"index": 1, "id": "b", "function": {"arguments": "}"}}],
@@ -232,22 +232,22 @@ def test_folded_calls_live_and_batch(spark, tmp_path):
     states = S.chunk_states(chunks).orderBy("seq").collect()
     assert [plain(r["tool_calls"])[1:] for r in states] == [[], [("a", "function", ("f", "{"))], want[1:], want[1:]] and [r["is_tool_call"] for r in states] == [False, True, True, True]
     assert [(r["idx"], r["args"]) for r in S.merge_tool_deltas(S.tool_parts(chunks)).orderBy("idx").collect()] == [(0, ""), (1, "{}")]
+    assert out["refused"] == 2 and [tuple(r)[3:4] + (r["error"],) for r in S.refused_parts(S.tool_parts(chunks)).orderBy("seq").collect()] == [(-1, "negative index of a call"), (2_000_000_000, "more than 1024 calls")]
     tables.write_sse_lines(feed, f"file://{tmp_path}/feed")
     assemble.run_once(assemble.assemble_messages_streaming(tables.read_sse_lines(spark, f"file://{tmp_path}/feed", live=True)), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
     live = spark.read.schema(assemble.OUT).parquet(f"file://{tmp_path}/out").first()
     assert plain(live["tool_calls"]) == want and [live[c] for c in out.asDict() if c != "tool_calls"] == [out[c] for c in out.asDict() if c != "tool_calls"] and live["complete"]
 
 
-def test_event_text(spark, tmp_path, monkeypatch):
+def test_event_text(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "a.txt").write_text("s\t1\tdata: x\ty\nno number\ns\tq\tz\ns\t0\t\n")
-    assert sorted(tuple(r) for r in tables.read_sse_lines(spark, str(tmp_path / "log")).collect()) == [("s", 0, ""), ("s", 1, "data: x\ty")]
+    assert sorted(tuple(r)[:3] for r in tables.read_sse_lines(spark, str(tmp_path / "log")).collect()) == [("s", 0, ""), ("s", 1, "data: x\ty")]
     (tmp_path / "one").mkdir()
     (tmp_path / "one" / "r1").write_text(f"{chunk(content='a')}\r\n\n{chunk(content='b')}\ndata: [DONE]\n")
-    (tmp_path / "one" / "r2").write_text(f"{chunk(content='c')}\n{chunk(content='d' * 200)}\n{chunk(content='e')}")
-    monkeypatch.setattr(tables, "MAX_LINE", 150)
+    (tmp_path / "one" / "r2").write_text(f"{chunk(content='c')}\n{chunk(content='d' * (2 << 20))}\n{chunk(content='e')}")
     out = S.assemble_messages(S.parse_sse(tables.read_sse_files(spark, str(tmp_path / "one"))))
-    assert {r["stream_id"]: r["content"] for r in out.collect()} == {"r1": "ab", "r2": "c"}
+    assert {r["stream_id"]: r["content"] for r in out.collect()} == {"r1": "ab", "r2": "c" + "d" * (2 << 20) + "e"}
 
 
 def test_transcripts_of_nothing(spark):

@@ -81,6 +81,21 @@ SQL = {
           event_id % 11 = 0 timed_out, event_id % 13 = 0 cancelled
         from {events}""",
 }
+#: Texts that a strict reader doesn't take for chunks.
+BAD_CHUNKS = (
+    "{bad",
+    '{"choices":[{"delta":{"content":"X"}}]} junk',
+    '{"choices":[{"delta":{"content":"X"}}]}{"choices":[]}',
+    '{"choices":[{"delta":{"content":NaN}}]}',
+    '{"choices":[{"delta":{"content":7}}]}',
+    '{"choices":[{"delta":{"role":["X"],"content":"X"}}]}',
+    '{"choices":[{"delta":{"content":"X"}}]},{"choices":[]}',
+    '{"choices":[{"delta":{"content":"X","tool_calls":[{"index":0,"function":{"name":5}}]}}]}',
+    '{"choices":[{"delta":{"content":"X"},"usage":{"prompt_tokens":-1}}]}',
+    '{"choices":[{"delta":{"content":"X"}},{"delta":{"content":{}}}]}',
+    "{'choices':[{'delta':{'content':'X'}}]}",
+    '[{"delta":{"content":"X"}}]',
+)
 TABLES = ("conversations", "events", "pages", "lineitem")
 
 
@@ -119,7 +134,8 @@ def pieces(text: str, size: int):
 def sse_lines(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
     """(stream_id, seq, line): assistant messages in chunks, with noise, [DONE], and a line too late. Every third chunk has
     reasoning; every fifth conversation changes the role at its third chunk; every fourth has deltas of two tool calls,
-    which start at index 0 or, with a gap before them, at 2."""
+    which start at index 0 or, with a gap before them, at 2, and two parts that no call can take. The noise holds lines that
+    are nearly chunks."""
     chat = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", F.concat_ws("_", "conv_id", "turn").alias("stream_id"), "text")
     cut = chat.select("conv_id", "stream_id", F.posexplode(pieces("text", size)).alias("i", "piece"))
     role = F.when(F.col("i") == 0, "assistant").when((F.col("i") == 2) & (F.col("conv_id") % 5 == 0), "critic")
@@ -131,12 +147,13 @@ def sse_lines(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
     calls = (
         F.when(asks & (F.col("i") == 1), F.array(part(top, given("call_"), "function", "search", '{"q":')))
         .when(asks & (F.col("i") == 2), F.array(part(top, F.lit(None), None, None, "7"), part(top + 1, given("more_"), "function", "lookup", "{}")))
-        .when(asks, F.array(part(top, given("last_"), None, None, "}")))
+        .when(asks, F.array(part(top, given("last_"), None, None, "}"), part(F.lit(-1), given("minus_"), None, "x", "x"), part(F.lit(2000), given("far_"), None, "x", "x")))
     )
     delta = F.struct(role.alias("role"), F.col("piece").alias("content"), reason.alias("reasoning_content"), calls.alias("tool_calls"))
     usage = F.when(F.col("i") == 0, F.struct(F.lit(3).alias("prompt_tokens"), F.length("piece").alias("completion"), (F.length("piece") + 3).alias("total_tokens")))
     chunk = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), delta.alias("delta"), usage.alias("usage"))).alias("choices")))
-    noise = F.element_at(F.array(F.lit(""), F.lit(": ping"), F.lit("data: {bad"), F.lit('data: {"choices":[]}')), (F.col("i") % 4 + 1).cast("int"))
+    broken = F.get(F.array(*[F.lit(x) for x in BAD_CHUNKS]), (F.floor(F.col("i") / 4) % len(BAD_CHUNKS)).cast("int"))
+    noise = F.get(F.array(F.lit(""), F.lit(": ping"), F.concat(F.lit("data: "), broken), F.lit('data: {"choices":[]}')), (F.col("i") % 4).cast("int"))
     data = cut.select("stream_id", (F.col("i") * 2).cast("long").alias("seq"), F.concat(F.lit("data: "), chunk).alias("line"))
     noisy = cut.select("stream_id", (F.col("i") * 2 + 1).cast("long").alias("seq"), noise.alias("line"))
     end = chat.select("stream_id", F.lit(1 << 40).alias("seq"), F.lit("data: [DONE]").alias("line"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemill.jobs.fixtures import ctes, frame, plan_texts, sse_lines
@@ -11,7 +12,7 @@ from tracemill.operators import plans as P
 from tracemill.operators.streams import data_lines
 from tracemill.sources import files
 from tracemill.sources.shared import shared_dir
-from tracemill.sources.tables import read_sse_lines, table, write_sse_lines
+from tracemill.sources.tables import read_sse_files, read_sse_lines, table, write_sse_lines
 
 
 def _tasks(spark, d):
@@ -30,6 +31,16 @@ def a3_read_sse_lines(spark, d):
     return data_lines(read_sse_lines(spark, folder)).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_data"))
 
 
+def a3_read_sse_files(spark, d):
+    """A file of event lines for each type of event; a line holds its own number."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    number = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    numbered = table(spark, d, "events").select("event_type", number.alias("n"), F.concat_ws(" ", F.lit("data:"), number.cast("string"), "event_id", "props").alias("value"))
+    numbered.repartition("event_type").sortWithinPartitions("event_type", "n").select("event_type", "value").write.partitionBy("event_type").text(folder)
+    kind = F.regexp_extract("_metadata.file_path", "/event_type=([^/]*)/", 1)
+    return read_sse_files(spark, folder, name=kind).select("stream_id", "seq", "line")
+
+
 def a4_file_inventory(spark, d):
     """The files of events, one for every 16 users."""
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -155,7 +166,7 @@ def p19_audit_plans(spark, d):
     return P.audit_plans(_tasks(spark, d))
 
 
-_ALL = (a3_read_sse_lines, a4_file_inventory, a5_read_bounded_text, p1_trim_json_wrapper, p2_parse_plans, p3_explode_tasks, p4_parse_task_outputs, p5_task_edges, p6_ready_tasks, p7_execution_levels, p8_stuck_tasks, p9_fold_task_events, p10_plan_status, p11_merge_replan, p12_synthesize_results, p13_plan_state_json, p14_resolve_slots, p15_route_rows, p16_barrier_complete, p17_classify_loops, p18_task_prompts, p19_audit_plans)
+_ALL = (a3_read_sse_lines, a3_read_sse_files, a4_file_inventory, a5_read_bounded_text, p1_trim_json_wrapper, p2_parse_plans, p3_explode_tasks, p4_parse_task_outputs, p5_task_edges, p6_ready_tasks, p7_execution_levels, p8_stuck_tasks, p9_fold_task_events, p10_plan_status, p11_merge_replan, p12_synthesize_results, p13_plan_state_json, p14_resolve_slots, p15_route_rows, p16_barrier_complete, p17_classify_loops, p18_task_prompts, p19_audit_plans)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _T = ctes("tasks")
@@ -172,6 +183,8 @@ _K = "cast(plan_id as bigint) % 6"
 ORACLE_SQL = {
     "a3_read_sse_lines": """with chat as (select concat(conv_id, '_', turn) stream_id, cast(ceil(length(text) / 16.0) as bigint) n from conversations where role = 'assistant'),
       cut as (select stream_id, unnest(range(0, n)) i from chat) select stream_id, cast(sum(1 + case when i % 4 >= 2 then 1 else 0 end) + 2 as bigint) n_data from cut group by stream_id""",
+    "a3_read_sse_files": """select event_type stream_id, n seq, concat_ws(' ', 'data:', n, event_id, props) line
+      from (select *, row_number() over (partition by event_type order by event_id) - 1 n from events)""",
     "a4_file_inventory": """select user_id // 16 "group", 'file' "type", cast(sum(strlen(event_type) + 1 + coalesce(strlen(props), -1) + 1) as bigint) n_bytes, true dated from events group by user_id // 16""",
     "a5_read_bounded_text": """select doc_id, md5(replace(text, chr(10), ' ')) text_md5 from documents
       union all select null, unnest(['path access denied: docs/../../outside.txt', 'file not found: docs/none.txt', 'file too large: refused'])""",

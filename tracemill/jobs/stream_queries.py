@@ -54,6 +54,10 @@ def s7_stream_usage(spark, d):
     return S.stream_usage(_chunks(spark, d))
 
 
+def s4_refused_parts(spark, d):
+    return S.refused_parts(S.tool_parts(_chunks(spark, d))).select("stream_id", "seq", "idx", "id", "error")
+
+
 def s8_cut_stream(spark, d):
     cut = S.cut_stream(_chunks(spark, d), F.col("content").contains("th"))
     return cut.groupBy("stream_id").agg(F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n_chunks"), F.max("cancelled").alias("cancelled"))
@@ -63,13 +67,32 @@ def _folder(spark):
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def s9_assemble_messages_streaming(spark, d):
+def _delivered(spark, d, folder, first, last):
+    """Deliveries of the feed, one after another, as timed lines: seqs below 5, 41, 1001, all others, and what comes after
+    [DONE] two hours later. Every seventh conversation's streams just stop, without [DONE] and what comes after it."""
+    seq, ends = F.col("seq"), F.split("stream_id", "_")[0].cast("long") % 7 != 3
+    number = F.when(seq < 5, 0).when(seq < 41, 1).when(seq < 1001, 2).when(seq <= 1 << 40, 3).otherwise(4)
+    lines = sse_lines(spark, d).filter(ends | (seq < 1 << 40)).withColumn("k", number)
+    timed = lines.withColumn("time", F.timestamp_seconds(1704067200 + F.when(F.col("k") == 4, 7200).otherwise(F.col("k") * 60)))
+    for k in range(first, last):
+        write_sse_lines(timed.filter(F.col("k") == k), f"{folder}/feed", "append", timed=True)
+
+
+def _live(spark, d, **options):
+    """The live fold over two starts; what comes after [DONE] is there for the second one only."""
     folder = _folder(spark)
-    lines = sse_lines(spark, d)
-    for low, high in ((0, 5), (5, 41), (41, 1001), (1001, 1 << 62)):  # as they would come in, in four deliveries
-        write_sse_lines(lines.filter((F.col("seq") >= low) & (F.col("seq") < high)), f"{folder}/feed", "append")
-    assemble.run_once(assemble.assemble_messages_streaming(read_sse_lines(spark, f"{folder}/feed", live=True)), f"{folder}/out", f"{folder}/state")
-    return _flat(spark.read.schema(assemble.OUT).parquet(f"{folder}/out"))
+    for first, last in ((0, 4), (4, 5)):
+        _delivered(spark, d, folder, first, last)
+        assemble.run_once(assemble.assemble_messages_streaming(read_sse_lines(spark, f"{folder}/feed", live=True, timed=True), **options), f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(assemble.OUT).parquet(f"{folder}/out")
+
+
+def s9_assemble_messages_streaming(spark, d):
+    return _flat(_live(spark, d)).drop("last_seq")
+
+
+def s8_cut_stream_live(spark, d):
+    return _live(spark, d, stop=F.col("content").contains("th")).select("stream_id", "last_seq", "n_chunks", "cancelled")
 
 
 def s10_fan_out(spark, d):
@@ -94,7 +117,7 @@ def w2_stream_to_history(spark, d):
     return memory.append_messages(history, new)
 
 
-QUERIES = {f.__name__: f for f in (s1_parse_sse, s2_cut_done, s3_sticky_role, s4_merge_tool_deltas, s5_chunk_states, s6_assemble_messages, s7_stream_usage, s8_cut_stream, s9_assemble_messages_streaming, s10_fan_out, w2_stream_to_history)}
+QUERIES = {f.__name__: f for f in (s1_parse_sse, s2_cut_done, s3_sticky_role, s4_merge_tool_deltas, s4_refused_parts, s5_chunk_states, s6_assemble_messages, s7_stream_usage, s8_cut_stream, s8_cut_stream_live, s9_assemble_messages_streaming, s10_fan_out, w2_stream_to_history)}
 
 _CHAT = """chat as (select concat(conv_id, '_', turn) stream_id, conv_id, turn, text, cast(ceil(length(text) / 16.0) as bigint) n, conv_id % 4 = 1 asks, conv_id % 5 = 0 critic,
     case when conv_id % 8 = 1 then '' else '//;//;' end gap from conversations where role = 'assistant')"""
@@ -114,8 +137,9 @@ def _n_calls_sql(i: str) -> str:
 
 _MESSAGES = f"""said as (select stream_id, any_value(conv_id) conv_id, any_value(turn) turn, case when any_value(critic) and any_value(n) > 2 then 'critic' else 'assistant' end "role", any_value(text) "content",
     string_agg(reason, '' order by i) reasoning_content, any_value({_calls_sql("n - 1")}) calls, any_value({_n_calls_sql("n - 1")}) n_calls, any_value(n) n_chunks, any_value(asks) asks, any_value(gap) gap from cut group by stream_id)"""
+_REFUSED = "cast(case when asks and n_chunks > 3 then 2 else 0 end as bigint) refused"
 ORACLE_SQL = {
-    "s1_parse_sse": f"with {_PIECES} select stream_id, i * 2 seq, said \"role\", piece \"content\", reason reasoning_content, cast(case when asks and i in (1, 3) then 1 when asks and i = 2 then 2 else 0 end as bigint) n_parts from cut",
+    "s1_parse_sse": f"with {_PIECES} select stream_id, i * 2 seq, said \"role\", piece \"content\", reason reasoning_content, cast(case when asks and i in (1, 2, 3) then i else 0 end as bigint) n_parts from cut",
     "s2_cut_done": f"""with {_PIECES} select stream_id, cast(sum(1 + case when i % 4 >= 2 then 1 else 0 end) as bigint) n_lines,
       max(case when i % 4 >= 2 then i * 2 + 1 else i * 2 end) last_seq from cut group by stream_id""",
     "s3_sticky_role": """select cast(user_id as varchar) stream_id, event_id seq, coalesce(last_value(case when event_id % 4 = 0 then event_type end ignore nulls)
@@ -125,12 +149,14 @@ ORACLE_SQL = {
         case when idx = top then 'function' else '' end "type", case when idx = top and length(props) > 4 then event_type else '' end "name",
         case when idx = top then props else '' end args
       from (select *, unnest(range(0, top + 1)) idx from e)""",
+    "s4_refused_parts": f"""with {_PIECES} select stream_id, i * 2 seq, cast(idx as int) idx, concat(case when idx < 0 then 'minus_' else 'far_' end, stream_id) id,
+      case when idx < 0 then 'negative index of a call' else 'more than 1024 calls' end "error" from cut cross join (values (-1), (2000)) t(idx) where asks and i = 3""",
     "s5_chunk_states": f"with {_PIECES} select stream_id, i * 2 seq, case when critic and i > 1 then 'critic' else 'assistant' end \"role\", piece \"content\", reason reasoning_content, asks and i > 0 is_tool_call, {_calls_sql('i')} calls, {_n_calls_sql('i')} n_calls from cut",
-    "s6_assemble_messages": f"with {_PIECES}, {_MESSAGES} select stream_id, \"role\", \"content\", reasoning_content, calls, n_calls, n_chunks from said",
+    "s6_assemble_messages": f"with {_PIECES}, {_MESSAGES} select stream_id, \"role\", \"content\", reasoning_content, calls, n_calls, n_chunks, {_REFUSED} from said",
     "s7_stream_usage": f"with {_PIECES} select stream_id, cast(3 as bigint) prompt_tokens, cast(length(piece) as bigint) completion, cast(length(piece) + 3 as bigint) total_tokens from cut where i = 0",
-    "s8_cut_stream": f"""with {_PIECES}, stops as (select stream_id, min(i) filter (contains(piece, 'th')) stop from cut group by stream_id)
-      select stream_id, max(i) * 2 last_seq, count(*) n_chunks, max(stop is not null) cancelled from cut join stops using (stream_id) where stop is null or i <= stop group by stream_id""",
-    "s9_assemble_messages_streaming": f"with {_PIECES}, {_MESSAGES} select stream_id, \"role\", \"content\", reasoning_content, calls, n_calls, n_chunks, true complete from said",
+    **dict.fromkeys(("s8_cut_stream", "s8_cut_stream_live"), f"""with {_PIECES}, stops as (select stream_id, min(i) filter (contains(piece, 'th')) stop from cut group by stream_id)
+      select stream_id, max(i) * 2 last_seq, count(*) n_chunks, max(stop is not null) cancelled from cut join stops using (stream_id) where stop is null or i <= stop group by stream_id"""),
+    "s9_assemble_messages_streaming": f"with {_PIECES}, {_MESSAGES} select stream_id, \"role\", \"content\", reasoning_content, calls, n_calls, n_chunks, {_REFUSED}, conv_id % 7 <> 3 complete, false cancelled from said",
     "s10_fan_out": f"""with {_PIECES}, counted as (select stream_id, cast(sum(1 + case when i % 4 >= 2 then 1 else 0 end) + 2 as bigint) n_lines from cut group by stream_id)
       select sink, stream_id, n_lines from counted cross join (values ('one'), ('two')) s(sink)""",
     "w2_stream_to_history": f"""with {_PIECES}, {_MESSAGES},

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CALL = "struct<id:string,type:string,function:struct<name:string,arguments:string>>"
 RESULT = "struct<call_id:string,content:string,is_error:boolean>"
-MAX_LINE = 1 << 20
 MESSAGES = "id string, session_id string, seq long, role string, content string, reasoning_content string, ts long, metadata string"
 CHAT = f"session_id string, seq long, role string, content string, reasoning_content string, name string, partial boolean, tool_calls array<{CALL}>, tool_results array<{RESULT}>"
 
@@ -61,25 +63,51 @@ def read_chat_json(spark: SparkSession, path: str) -> DataFrame:
     return from_chat_json(spark.read.text(path))
 
 
-def read_sse_lines(spark: SparkSession, path: str, live: bool = False, files_per_trigger: int = 8) -> DataFrame:
-    """(stream_id, seq, line) of a captured log: text files whose lines are ``stream_id<TAB>seq<TAB>event line``. The order of
-    lines in files means nothing. Lines without a number in second place are left out. ``live``: a stream of new files."""
+def read_sse_lines(spark: SparkSession, path: str, live: bool = False, files_per_trigger: int = 8, timed: bool = False) -> DataFrame:
+    """(stream_id, seq, line, time) of a captured log: text files whose lines are ``stream_id<TAB>seq<TAB>event line``, or with
+    ``timed`` ``stream_id<TAB>seq<TAB>milliseconds<TAB>event line``; else time is that of the file. The order of lines in
+    files means nothing. Lines without numbers in their places are left out. ``live``: a stream of new files."""
     rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path) if live else spark.read.text(path)
-    part = F.split("value", "\t", 3)
-    return rows.select(F.get(part, F.lit(0)).alias("stream_id"), F.get(part, F.lit(1)).try_cast("long").alias("seq"), F.get(part, F.lit(2)).alias("line")).filter("seq is not null and line is not null")
-
-
-def read_sse_files(spark: SparkSession, path: str, live: bool = False, files_per_trigger: int = 8) -> DataFrame:
-    """(stream_id, seq, line) of files that hold the event lines of one response each; the file's name is the stream. A
-    line over ``MAX_LINE`` bytes ends its stream."""
-    rows = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if live else spark.read).text(path, wholetext=True)
-    named = rows.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("stream_id"), F.split("value", "\n", -1).alias("lines"))
-    long = F.array_position(F.transform("lines", lambda x: F.octet_length(x) > MAX_LINE), True)
-    kept = named.select("stream_id", F.when(long > 0, F.slice("lines", F.lit(1), (long - 1).cast("int"))).otherwise(F.col("lines")).alias("lines"))
-    return kept.select("stream_id", F.posexplode("lines").alias("seq", "line")).withColumn("seq", F.col("seq").cast("long"))
-
-
-def write_sse_lines(lines: DataFrame, path: str, mode: str = "error") -> None:
+    part = F.split("value", "\t", 4 if timed else 3)
+    number = lambda i: F.get(part, F.lit(i)).try_cast("long")
+    time = F.timestamp_millis(number(2)) if timed else F.col("_metadata.file_modification_time")
+    named = rows.select(F.get(part, F.lit(0)).alias("stream_id"), number(1).alias("seq"), F.get(part, F.lit(3 if timed else 2)).alias("line"), time.alias("time"))
+    return named.filter("seq is not null and line is not null and time is not null")
+
+
+def read_sse_files(spark: SparkSession, path: str, live: bool = False, files_per_trigger: int = 8, name: Column | None = None) -> DataFrame:
+    """(stream_id, seq, line, time) of files that hold the event lines of one response each, however large: a file is read in
+    splits, by as many tasks. The stream is the file's name, or ``name``, a column of ``_metadata``; time is the file's.
+
+    seq is the number of the line in the file, from 0: lines are counted by split, and the counts, one row a split, tell each
+    split where to begin. ``live``, where counts of other splits can't be waited for, it is the place where the line's split begins
+    plus the number of the line in it: not gapless, but in the order of lines, since no line is shorter than a byte."""
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1) if name is None else name
+    rows = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if live else spark.read).text(path)
+    placed = rows.select(name.alias("stream_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_modification_time").alias("time"), F.col("value").alias("line"))
+    if live:
+        return placed.mapInArrow(_number_lines, placed.schema).select("stream_id", F.col("start").alias("seq"), "line", "time")
+    numbered = placed.withColumn("n", F.monotonically_increasing_id())
+    splits = numbered.groupBy("file", "start").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("lines"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select("file", "start", (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return numbered.join(begins, ["file", "start"]).select("stream_id", (F.col("n") + F.col("shift")).alias("seq"), "line", "time")
+
+
+def _number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to ``start`` the number of the row among those of its split, which come one after another."""
+    at, n = None, 0
+    for batch in batches:
+        splits = list(zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()))
+        out = []
+        for split in splits:
+            at, n = (at, n + 1) if split == at else (split, 0)
+            out.append(split[1] + n)
+        columns = {c: pa.array(out, pa.int64()) if c == "start" else batch.column(c) for c in batch.schema.names}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def write_sse_lines(lines: DataFrame, path: str, mode: str = "error", timed: bool = False) -> None:
     """The reverse of ``read_sse_lines``; the rows of a stream go to one file."""
-    text = F.concat_ws("\t", "stream_id", F.col("seq").cast("string"), "line")
-    lines.repartition("stream_id").select(text.alias("value")).write.mode(mode).text(path)
+    time = [F.unix_millis("time").cast("string")] if timed else []
+    lines.repartition("stream_id").select(F.concat_ws("\t", "stream_id", F.col("seq").cast("string"), *time, "line").alias("value")).write.mode(mode).text(path)

@@ -4,60 +4,110 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from tracemill.operators.streams import DONE, PARTS, data_lines, fold_calls, parse_chunks
+from tracemill.operators.streams import DONE, MAX_CALLS, PARTS, chunk, count_refused, data_lines, fold_calls
 from tracemill.sources.tables import CALL
 
-OUT = f"stream_id string, role string, content string, reasoning_content string, tool_calls array<{CALL}>, n_chunks long, complete boolean"
-FOLDED = "stream_id string, role string, content string, reasoning_content string, parts string, n_chunks long, complete boolean"
-STATE = "seqs array<long>, roles array<string>, contents array<string>, reasons array<string>, parts array<string>, end long"
-
-
-def assemble_messages_streaming(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """The message of ``assemble_messages`` and ``complete`` when a stream's [DONE] is there, or after ``idle_ms`` without
-    lines (then not complete; without ``idle_ms`` a stream waits for its [DONE] for ever). Lines may come in any order up to the batch of
-    [DONE]; state keeps them by seq and goes once the message is sent. Seqs needn't be gapless, so a line that comes in a
-    batch after [DONE] can't be waited for: it counts as a stream of its own that has no [DONE]."""
-    data = data_lines(lines)
-    marked = data.withColumn("data", F.when(F.col("data") == DONE, F.lit('{"choices":[{"delta":{},"finish_reason":"[DONE]"}]}')).otherwise(F.col("data")))
-    chunks = parse_chunks(marked).select("stream_id", "seq", "role", "content", "reasoning_content", F.to_json("tool_calls").alias("parts"), (F.coalesce("finish_reason", F.lit("")) == DONE).alias("done"))
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *lists, end = state.get if state.exists else ([], [], [], [], [], None)
-        seqs, roles, contents, reasons, parts = map(list, lists)
-        late = state.hasTimedOut
-        for frame in [] if late else frames:
-            for seq, role, content, reason, part, is_end in zip(*(frame[c] for c in ("seq", "role", "content", "reasoning_content", "parts", "done"))):
-                if is_end:
-                    end = int(seq) if end is None else min(end, int(seq))
-                else:
-                    seqs.append(int(seq))
-                    roles.append(role)
-                    contents.append(content)
-                    reasons.append(reason)
-                    parts.append(part if isinstance(part, str) else "[]")
-        if end is None and not late:
-            state.update((seqs, roles, contents, reasons, parts, None))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-            return
-        if state.exists:
-            state.remove()
-        own = sorted(x for x in zip(seqs, roles, contents, reasons, parts) if end is None or x[0] < end)
-        role = next((r for _, r, *_ in reversed(own) if r), "" if own else "assistant")
-        text = lambda k: "".join(x[k] for x in own)
-        listed = ",".join(x[4][1:-1] for x in own if len(x[4]) > 2)
-        yield pd.DataFrame({"stream_id": [key[0]], "role": [role], "content": [text(2)], "reasoning_content": [text(3)], "parts": [f"[{listed}]"], "n_chunks": [len(own)], "complete": [end is not None]})
+OUT = f"stream_id string, role string, content string, reasoning_content string, tool_calls array<{CALL}>, n_chunks long, refused long, last_seq long, complete boolean, cancelled boolean"
+FOLDED = "stream_id string, role string, content string, reasoning_content string, parts string, n_chunks long, last_seq long, complete boolean, cancelled boolean"
+KEPT = "seq long, role string, content string, reasoning_content string, parts string, stop boolean"
+STATUS = "open boolean, last long, due long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MINUTE = 60_000
+
+
+class _Fold(StatefulProcessor):
+    """An open stream has its chunks in a list that grows by what comes in, and a timer that its newest line moves. Once its
+    message is sent, a mark stays in place of the list, so that later lines are known to be late, until its own timer."""
+
+    def __init__(self, idle_ms: int, keep_ms: int):
+        self.idle_ms, self.keep_ms = idle_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.status = handle.getValueState("status", STATUS)
+        self.chunks = handle.getListState("chunks", KEPT)
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    folded = chunks.groupBy("stream_id").applyInPandasWithState(fold, FOLDED, STATE, "append", timeout)
-    calls = fold_calls(F.from_json("parts", PARTS)).cast(f"array<{CALL}>").alias("tool_calls")
-    return folded.select("stream_id", "role", "content", "reasoning_content", calls, "n_chunks", "complete")
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        found = self.status.get()
+        is_open, last, due = found or (True, 0, None)
+        if not is_open:
+            return
+        new, end, stopped = [], None, False
+        for r in rows:
+            last = max(last, int(r.time.timestamp() * 1000))
+            if r.done:
+                end = r.seq if end is None else min(end, r.seq)
+            elif r.role is not None:
+                new.append((r.seq, r.role, r.content, r.reasoning_content, r.parts, r.stop))
+                stopped = stopped or r.stop
+        if end is None and not stopped:
+            if new:
+                self.chunks.appendList(new)
+            self._wait(True, last, last + self.idle_ms, due)
+            return
+        yield self._message(key[0], (list(self.chunks.get()) if found else []) + new, end)
+        self._close(last, due, bool(found))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
+        is_open, last, due = self.status.get() or (False, 0, None)
+        if is_open:
+            yield self._message(key[0], list(self.chunks.get()), None)
+            self._close(last + self.idle_ms, None, True)
+        else:
+            self.status.clear()
+
+    def _wait(self, is_open: bool, last: int, due: int, before: int | None) -> None:
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+        self.status.update((is_open, last, due))
+
+    def _close(self, at: int, due: int | None, stored: bool) -> None:
+        if stored:
+            self.chunks.clear()
+        self._wait(False, at, at + self.keep_ms, due)
+
+    @staticmethod
+    def _message(stream_id: str, rows: list[tuple], end: int | None) -> Row:
+        own = sorted((tuple(r) for r in rows if end is None or r[0] < end), key=lambda r: r[0])
+        at = next((i for i, r in enumerate(own) if r[5]), None)
+        own = own if at is None else own[: at + 1]
+        role = next((r[1] for r in reversed(own) if r[1]), "" if own else "assistant")
+        parts = ",".join(r[4][1:-1] for r in own if r[4] and len(r[4]) > 2)
+        last = own[-1][0] if own else None
+        return Row(stream_id=stream_id, role=role, content="".join(r[2] for r in own), reasoning_content="".join(r[3] for r in own), parts=f"[{parts}]", n_chunks=len(own), last_seq=last, complete=at is None and end is not None, cancelled=at is not None)
+
+
+def assemble_messages_streaming(
+    lines: DataFrame, idle_ms: int = 10 * MINUTE, keep_ms: int = 60 * MINUTE, delay: str = "10 minutes", stop: Column | None = None, max_calls: int = MAX_CALLS
+) -> DataFrame:
+    """The message of ``assemble_messages`` for each stream of ``lines`` (stream_id, seq, line, time), sent once:
+
+    - when its [DONE] is there: ``complete``. Lines may come in any order up to the batch of [DONE];
+    - when a chunk is there for which ``stop``, a condition on the columns of ``parse_chunks``, holds: ``cancelled``, with the
+      chunks up to that one;
+    - when event time passes its newest line by ``idle_ms``: neither.
+
+    Lines that come later are ignored, as a reader that has gone doesn't read them: a mark of a few bytes stays for
+    ``keep_ms`` of event time. After that, a line of the same stream begins a new one, so ``keep_ms`` should span how late
+    lines come. Event time is the newest ``time`` of all streams less ``delay``; lines older than it are dropped by the engine.
+    All timers are on event time, so a query that is triggered for what is available now ends. State holds the chunks of open
+    streams, each written once, and marks; it needs RocksDB (see ``run_once``).
+    """
+    rows = data_lines(lines, "time").withWatermark("time", delay).withColumn("c", chunk(F.col("data")))
+    halted = F.when(F.col("c").isNotNull(), F.coalesce(stop, F.lit(False))) if stop is not None else F.lit(False)
+    flat = rows.select("stream_id", "seq", "time", F.col("data"), *(F.col(f"c.{c}").alias(c) for c in ("role", "content", "reasoning_content", "tool_calls", "finish_reason", "usage")), "c")
+    chunks = flat.select("stream_id", "seq", "time", (F.col("data") == DONE).alias("done"), "role", "content", "reasoning_content", F.to_json("tool_calls").alias("parts"), F.coalesce(halted, F.lit(False)).alias("stop"))
+    folded = chunks.groupBy("stream_id").transformWithState(_Fold(idle_ms, keep_ms), FOLDED, "Append", "EventTime")
+    parts = F.from_json("parts", PARTS)
+    calls = fold_calls(parts, max_calls).cast(f"array<{CALL}>").alias("tool_calls")
+    return folded.select("stream_id", "role", "content", "reasoning_content", calls, "n_chunks", count_refused(parts, max_calls).alias("refused"), "last_seq", "complete", "cancelled")
 
 
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
@@ -75,7 +125,19 @@ def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], ch
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Writes what a stream gives for the input that is there now."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def start_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Starts writing what a stream gives for the input that is there now, with state in RocksDB. A later start with the same
+    folders goes on with what has come in since."""
+    spark: SparkSession = stream.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)  # a query takes the session's settings when it starts
+    try:
+        return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
+
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """``start_once``, and waits for its end."""
+    start_once(stream, path, checkpoint).awaitTermination()
