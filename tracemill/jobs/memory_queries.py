@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracemill.jobs.fixtures import ctes, frame
 from tracemill.operators import memory as M
 from tracemill.sources import tables
+from tracemill.sources.shared import shared_dir
+from tracemill.sources.store import MessageStore
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _HIT = f"({_FOLD.format('m.content')} like '%' || {_FOLD.format('q.q')} || '%' or {_FOLD.format('m.reasoning_content')} like '%' || {_FOLD.format('q.q')} || '%')"
@@ -22,21 +26,38 @@ def _messages(spark, d):
     return frame(spark, d, "messages")
 
 
+def _folder(spark):
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def a1_read_messages(spark, d):
-    return _messages(spark, d)
+    """Written in buckets of sessions and read back."""
+    folder = _folder(spark)
+    tables.write_messages(_messages(spark, d), folder, buckets=16)
+    return tables.read_messages(spark, folder)
 
 
 def a2_chat_json_round_trip(spark, d):
-    extra = {"name": F.lit(""), "partial": F.col("seq") % 2 == 1, "tool_calls": F.array().cast(f"array<{tables.CALL}>"), "tool_results": F.array().cast(f"array<{tables.RESULT}>")}
-    back = tables.from_chat_json(tables.chat_json(_messages(spark, d).withColumns(extra)))
-    return back.select("session_id", "seq", "role", "content", "reasoning_content", "partial", F.size("tool_calls").cast("long").alias("n_calls"))
+    """Messages with calls and results, as JSON lines in files, and read back."""
+    call = F.struct(F.concat(F.lit("c"), "seq").alias("id"), F.lit("function").alias("type"), F.struct(F.lit("f").alias("name"), F.to_json(F.struct("content")).alias("arguments")).alias("function"))
+    result = F.struct(F.lit("c").alias("call_id"), "content", (F.col("seq") % 6 == 0).alias("is_error"))
+    listed = lambda wanted, x, kind: F.when(wanted, F.array(x)).otherwise(F.array()).cast(f"array<{kind}>")
+    extra = {"name": F.when(F.col("seq") % 4 == 0, "n").otherwise(""), "partial": F.col("seq") % 2 == 1, "tool_calls": listed(F.col("seq") % 2 == 0, call, tables.CALL), "tool_results": listed(F.col("seq") % 3 == 0, result, tables.RESULT)}
+    folder = _folder(spark)
+    tables.write_chat_json(_messages(spark, d).withColumns(extra), folder)
+    back, first = tables.read_chat_json(spark, folder), lambda c: F.get(c, F.lit(0))
+    made, got = first("tool_calls"), first("tool_results")
+    return back.select("session_id", "seq", "role", "content", "reasoning_content", "name", "partial", made["id"].alias("call_id"), made["function"]["arguments"].alias("arguments"), got["content"].alias("result"), got["is_error"].alias("is_error"))
 
 
 def m1_save_turns(spark, d):
+    """Two saves into a stored table, which is then read: all messages, then new and changed ones, some of them twice."""
     id_ = F.concat(F.lit("c"), F.col("seq").cast("string"))
     call = F.array(F.struct(id_.alias("id"), F.lit("function").alias("type"), F.struct(F.lit("f").alias("name"), F.lit('{"a":"\\n"}').alias("arguments")).alias("function")))
-    new = frame(spark, d, "updates").withColumn("tool_calls", F.when(F.col("seq") % 2 == 1, call))
-    return M.save_turns(_messages(spark, d), new)
+    store = MessageStore(spark, _folder(spark), buckets=16)
+    store.save(_messages(spark, d).withColumn("write_seq", F.lit(0)))
+    store.save(frame(spark, d, "updates").withColumn("tool_calls", F.when(F.col("seq") % 2 == 1, call)))
+    return store.read()
 
 
 def m2_recall_topk(spark, d):
@@ -107,7 +128,9 @@ _REPLAY = f"""with {ctes("messages")}, placed_ as (select *, row_number() over (
       select session_id, turn_seq, cast(row_number() over (partition by session_id, turn_seq order by a, b) as int) pos, role, content from placed"""
 ORACLE_SQL = {
     "a1_read_messages": f"with {ctes('messages')} select * from messages",
-    "a2_chat_json_round_trip": f"with {ctes('messages')} select session_id, seq, role, content, reasoning_content, seq % 2 = 1 partial, cast(0 as bigint) n_calls from messages",
+    "a2_chat_json_round_trip": f"""with {ctes('messages')} select session_id, seq, role, content, reasoning_content, case when seq % 4 = 0 then 'n' else '' end "name", seq % 2 = 1 partial,
+      case when seq % 2 = 0 then concat('c', seq) end call_id, case when seq % 2 = 0 then concat('{{"content":', to_json(content), '}}') end arguments,
+      case when seq % 3 = 0 then content end result, case when seq % 3 = 0 then seq % 6 = 0 end is_error from messages""",
     "m1_save_turns": f"""with {ctes("messages", "updates")}, every as (
         select *, 0 write_seq from messages union all select id, session_id, seq, role, content, reasoning_content, ts,
           case when seq % 2 = 1 then concat('[{{"id":"c', seq, '","type":"function","function":{{"name":"f","arguments":"{{\\"a\\":\\"\\\\n\\"}}"}}}}]') else 'null' end metadata, write_seq from updates)

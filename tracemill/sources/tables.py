@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """A stored message table."""
-    return spark.read.schema(MESSAGES).parquet(path)
+    """A table of ``write_messages``, whether in buckets or not."""
+    return spark.read.schema(MESSAGES).parquet(path).select(*T.StructType.fromDDL(MESSAGES).names)
 
 
 def write_messages(messages: DataFrame, path: str, buckets: int = 0) -> None:
