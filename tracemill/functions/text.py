@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,6 +49,61 @@ def alone(text: Column) -> Column:
     return F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
 
 
+def _read_as(kind: T.DataType) -> T.DataType:
+    """The type that from_json reads a part as, so that nothing is turned into a text unseen."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _read_as(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_read_as(kind.elementType))
+    return {T.StringType: T.VariantType(), T.BinaryType: T.StringType(), T.DecimalType: T.LongType()}.get(type(kind), kind)
+
+
+def _wrong(value: Column, kind: T.DataType) -> Column:
+    """Whether a value read is of another type than ``kind`` says."""
+    if isinstance(kind, T.StructType):
+        return reduce(or_, [_wrong(value[f.name], f.dataType) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.exists(value, lambda x: _wrong(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.StringType):
+        return value.isNotNull() & ~F.schema_of_variant(value).isin("STRING", "VOID")
+    return F.coalesce(value < 0, F.lit(False)) if isinstance(kind, T.DecimalType) else F.lit(False)
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_typed(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _typed(x, kind.elementType))
+    return F.try_variant_get(value, "$", "string") if isinstance(kind, T.StringType) else value
+
+
+def strict_json(text: Column, kind: str) -> Column:
+    """``ok``, whether a text is one JSON value of the type ``kind`` (or null) and nothing else, and the ``value``. A string
+    has to be one: numbers and objects aren't texts. In ``kind``, binary stands for any JSON as it is written, and decimal for
+    a whole number of 0 or more. Unknown fields are ignored, and of equal keys the last one counts."""
+    want = T.DataType.fromDDL(kind)
+
+    def judged(read: Column) -> Column:
+        good = read["_bad"].isNull() & (read["end"] == 1) & ~_wrong(read["value"], want)
+        return let(F.coalesce(good, F.lit(False)), lambda ok: F.struct(ok.alias("ok"), F.when(ok, _typed(read["value"], want)).alias("value")))
+
+    none = F.struct(F.lit(False).alias("ok"), F.lit(None).alias("value"))
+    return F.when(alone(text), let(json_value(text, _read_as(want).simpleString()), judged)).otherwise(none)
+
+
+def json_object(text: Column) -> Column:
+    """The JSON object of a text as a VARIANT; null where it isn't one. Of equal keys the last one counts; in objects inside
+    of it, equal keys need ``spark.sql.variant.allowDuplicateKeys``, without which there is no value."""
+
+    def last(m: Column) -> Column:
+        keys, n = F.map_keys(m), F.size(m)
+        latest = F.filter(F.map_entries(m), lambda e, i: F.array_position(F.slice(keys, i + 2, n), e["key"]) == 0)
+        return F.when(F.size(F.array_distinct(keys)) == n, m).otherwise(F.map_from_entries(latest))
+
+    read = json_value(text, "map<string,variant>")
+    return F.when(alone(text), let(read, lambda r: F.when(r["_bad"].isNull() & (r["end"] == 1) & r["value"].isNotNull(), F.to_variant_object(last(r["value"])))))
+
+
 def json_kind(text: Column) -> Column:
     """object, array, string, number, boolean, null, or invalid where strict JSON doesn't allow the text; null for null."""
 

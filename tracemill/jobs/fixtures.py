@@ -27,6 +27,10 @@ SQL = {
         select m.session_id, m.seq q_seq, case cast(m.session_id as bigint) % 10 when 0 then '%' when 1 then '' else substr(m.content, 1, 3) end q
         from {messages} m join (select session_id, max(seq) seq from {messages} where role = 'user' group by session_id) l
           on l.session_id = m.session_id and l.seq = m.seq""",
+    "long_queries": """
+        select session_id, seq q_seq, case seq % 5 when 0 then concat(substr(content, 3, 4), '%', substr(content, 12, 3)) when 1 then upper(substr(content, 5, 7)) when 2 then substr(content, 2, 2)
+          when 3 then concat(substr(content, 1, 3), '_', substr(content, 5, 4)) else concat(substr(content, 1, 5), 'zzz') end q
+        from {messages}""",
     "updates": """
         select id, session_id, seq, role, concat(content, '!') content, reasoning_content, ts + 5 ts, 1 write_seq from {messages} where seq % 3 = 0
         union all

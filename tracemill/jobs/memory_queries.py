@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracemill.jobs.fixtures import ctes, frame
 from tracemill.operators import memory as M
+from tracemill.operators.recall_index import build_recall_index, recall_indexed
 from tracemill.sources import tables
 from tracemill.sources.shared import shared_dir
 from tracemill.sources.store import MessageStore
@@ -64,6 +65,13 @@ def m2_recall_topk(spark, d):
     return M.recall_topk(_messages(spark, d), frame(spark, d, "recall_queries"))
 
 
+def m2_recall_indexed(spark, d):
+    """The same, by way of a stored index of trigrams; every fifth query has wildcards between the literal parts."""
+    folder = _folder(spark)
+    build_recall_index(_messages(spark, d)).write.parquet(folder)
+    return recall_indexed(spark.read.parquet(folder), _messages(spark, d), frame(spark, d, "long_queries"))
+
+
 def m3_get_session(spark, d):
     return M.get_sessions(_messages(spark, d))
 
@@ -108,7 +116,7 @@ def m11_replace_messages(spark, d):
     return M.replace_messages(m, m.filter("role = 'system'")).select("session_id", "seq", "role", "content")
 
 
-QUERIES = {f.__name__: f for f in (a1_read_messages, a2_chat_json_round_trip, m1_save_turns, m2_recall_topk, m3_get_session, m4_get_session_with_reasoning, m5_clear_sessions, m6_memory_prompt, m7_build_context, m8_replay_prompts, m8_replay_prompts_bounded, m9_keep_system, m11_append_messages, m11_replace_messages)}
+QUERIES = {f.__name__: f for f in (a1_read_messages, a2_chat_json_round_trip, m1_save_turns, m2_recall_topk, m2_recall_indexed, m3_get_session, m4_get_session_with_reasoning, m5_clear_sessions, m6_memory_prompt, m7_build_context, m8_replay_prompts, m8_replay_prompts_bounded, m9_keep_system, m11_append_messages, m11_replace_messages)}
 
 _REPLAY_HIT = f"({_FOLD.format('m.content')} like '%' || {_FOLD.format('u.content')} || '%' or {_FOLD.format('m.reasoning_content')} like '%' || {_FOLD.format('u.content')} || '%')"
 _REPLAY = f"""with {ctes("messages")}, placed_ as (select *, row_number() over (partition by session_id order by seq) pos from messages),
@@ -136,6 +144,7 @@ ORACLE_SQL = {
           case when seq % 2 = 1 then concat('[{{"id":"c', seq, '","type":"function","function":{{"name":"f","arguments":"{{\\"a\\":\\"\\\\n\\"}}"}}}}]') else 'null' end metadata, write_seq from updates)
       select id, session_id, seq, role, content, reasoning_content, ts, metadata from every qualify row_number() over (partition by id order by write_seq desc) = 1""",
     "m2_recall_topk": f"with {ctes('messages', 'recall_queries')}, {_RECALLED} select session_id, q_seq, rn, role, content, reasoning_content from recalled",
+    "m2_recall_indexed": f"with {ctes('messages', 'long_queries')}, {_RECALLED.replace('recall_queries', 'long_queries')} select session_id, q_seq, rn, role, content, reasoning_content from recalled",
     "m3_get_session": f"with {ctes('messages')} select session_id, cast(row_number() over (partition by session_id order by ts, seq) as int) pos, role, content from messages",
     "m4_get_session_with_reasoning": f"with {ctes('messages')} select session_id, cast(row_number() over (partition by session_id order by ts, seq) as int) pos, role, content, reasoning_content from messages",
     "m5_clear_sessions": f"with {ctes('messages')} select * from messages where cast(session_id as bigint) % 3 <> 0",

@@ -29,7 +29,10 @@ def t3_resolve_calls(spark, d):
 
 
 def t4_parse_arguments(spark, d):
-    return T.parse_arguments(_calls(spark, d)).select("session_id", "call_id", "arguments", "ok")
+    """Every seventh call has a key twice."""
+    twice = F.concat(F.lit('{"n": 1, "s": "a", "n": '), "seq", F.lit("}"))
+    calls = _calls(spark, d).withColumn("arguments", F.when(F.col("seq") % 7 == 4, twice).otherwise(F.col("arguments")))
+    return T.parse_arguments(calls).select("session_id", "call_id", "ok", F.to_json("args").alias("args"), F.try_variant_get("args", "$.n", "long").alias("n"))
 
 
 def t5_execute_calls(spark, d):
@@ -48,7 +51,9 @@ def t7_confine_paths(spark, d):
 def t8_check_arguments(spark, d):
     body = F.to_json(F.struct("command", F.when(F.col("timeout") > -15, F.col("timeout")).alias("timeout"), F.when(F.col("command") == "ls", "/tmp").otherwise("").alias("cwd")))
     number = F.concat(F.lit('{"command": 5, "timeout": "9", "cwd": '), F.col("timeout").cast("string"), F.lit("}"))
-    calls = frame(spark, d, "commands").withColumn("arguments", F.when(F.col("command") == "a; b", number).otherwise(body)).select("call_id", "arguments")
+    twice = '{"command": "x", "command": "a && b"}'
+    arguments = F.when(F.col("command") == "a; b", number).when(F.col("command") == "a && b", twice).when(F.col("command") == "a || b", F.concat(body, F.lit(" x"))).otherwise(body)
+    calls = frame(spark, d, "commands").select("call_id", arguments.alias("arguments"))
     return T.check_arguments(calls).select("call_id", "command", "timeout_s", "cwd", "error")
 
 
@@ -113,6 +118,12 @@ def _said(spark, d):
     return frame(spark, d, "messages").filter("role = 'assistant'")
 
 
+def _spoiled(body, path):
+    """Bodies of a third of the sessions as a strict reader doesn't take them; ``path`` is a text field of a body."""
+    k = F.col("session_id").cast("long") % 12
+    return F.when(k == 0, F.concat(body, F.lit(" junk"))).when(k == 1, F.concat(body, body)).when(k == 2, path.replace("?", "7")).when(k == 3, path.replace("?", "NaN")).otherwise(body)
+
+
 def c4_parse_chat_responses(spark, d):
     calls = F.when(F.col("seq") % 3 == 1, F.array(_one_call(F.concat(F.lit("t"), "seq"))))
     message = F.struct("role", "content", F.when(F.col("seq") % 2 == 1, F.col("reasoning_content")).alias("reasoning_content"), calls.alias("tool_calls"))
@@ -120,6 +131,7 @@ def c4_parse_chat_responses(spark, d):
     choices = F.when(F.col("seq") % 5 == 1, F.array(choice)).otherwise(F.filter(F.array(choice), lambda x: F.lit(False)))
     usage = F.struct(F.lit(1).alias("prompt_tokens"), F.length("content").alias("completion"), (F.length("content") + 1).alias("total_tokens"))
     body = F.to_json(F.struct("id", F.lit("m").alias("model"), F.col("ts").alias("created"), choices.alias("choices"), usage.alias("usage")))
+    body = _spoiled(body, '{"id":"x","choices":[{"message":{"role":"assistant","content":?}}]}')
     out = C.parse_chat_responses(_said(spark, d).select(body.alias("body")))
     first = F.get("tool_calls", F.lit(0))
     return out.select("id", "model", "created", "role", "content", "reasoning_content", *_call_columns(first), "finish_reason", "prompt_tokens", "completion", "total_tokens", "error")
@@ -135,6 +147,7 @@ def c6_from_claude_responses(spark, d):
     one, two = F.to_json(text(F.substr("content", F.lit(1), half))), F.to_json(text(F.substr("content", half + 1)))
     use = F.concat(F.lit('{"type":"tool_use","id":"t'), "seq", F.lit('","name":"f","input":{"n":'), "seq", F.lit("}}"))
     body = F.concat(F.lit('{"content":['), one, F.lit(',{"type":"other"},'), use, F.lit(","), two, F.lit("]}"))
+    body = _spoiled(body, '{"content":[{"type":"text","text":?}]}')
     out = C.from_claude_responses(_said(spark, d).select("id", body.alias("body")))
     return out.select("id", "role", "content", *_call_columns(F.get("tool_calls", F.lit(0))), F.size("tool_calls").cast("long").alias("n_calls"), "error")
 
@@ -143,9 +156,9 @@ def c7_from_gemini_responses(spark, d):
     part = F.to_json(F.struct(F.col("content").alias("text")))
     call = F.concat(F.lit('{"functionCall":{"name":"f","args":{"n":'), "seq", F.lit("}}}"))
     full = F.concat(F.lit('{"candidates":[{"content":{"role":"model","parts":['), call, F.lit(","), part, F.lit(","), call, F.lit("]}}]}"))
-    body = F.when(F.col("seq") % 5 == 1, full).otherwise('{"candidates":[]}')
+    body = _spoiled(F.when(F.col("seq") % 5 == 1, full).otherwise('{"candidates":[]}'), '{"candidates":[{"content":{"parts":[{"text":?}]}}]}')
     out = C.from_gemini_responses(_said(spark, d).select("id", body.alias("body")))
-    return out.select("id", "role", "content", *_call_columns(F.get("tool_calls", F.lit(1))))
+    return out.select("id", "role", "content", *_call_columns(F.get("tool_calls", F.lit(1))), "error")
 
 
 def c8_tool_results_to_messages(spark, d):
@@ -167,6 +180,7 @@ def c10_format_transcript(spark, d):
 _ALL = (t1_explode_tool_calls, t3_resolve_calls, t4_parse_arguments, t5_execute_calls, t6_screen_commands, t7_confine_paths, t8_check_arguments, t8_check_file_arguments, t9_join_calls_results, t10_reconstruct_turns, c1_to_openai_messages, c3_build_chat_requests, c4_parse_chat_responses, c5_to_claude_messages, c6_from_claude_responses, c7_from_gemini_responses, c8_tool_results_to_messages, c10_format_transcript)
 QUERIES = {f.__name__: f for f in _ALL}
 
+_READ = "(cast(session_id as bigint) % 12 > 3)"
 _KNOWN = "name in ('click', 'view', 'purchase')"
 _OK = "coalesce(json_valid(arguments) and json_type(case when json_valid(arguments) then arguments else 'null' end) in ('OBJECT', 'NULL'), false)"
 _NOT_FOUND = """concat('{"error": "tool ', name, ' not found"}')"""
@@ -176,7 +190,9 @@ _INDENT = "concat('  ', replace({}, chr(10), concat(chr(10), '  ')))"
 ORACLE_SQL = {
     "t1_explode_tool_calls": f"with {ctes('tool_calls')} select session_id, row_number() over (partition by session_id order by seq) - 1 ord, call_id, name from tool_calls",
     "t3_resolve_calls": f"with {ctes('tool_calls')} select session_id, call_id, {_KNOWN} found, case when not {_KNOWN} then {_NOT_FOUND} end \"content\", not {_KNOWN} is_error from tool_calls",
-    "t4_parse_arguments": f"with {ctes('tool_calls')} select session_id, call_id, arguments, {_OK} ok from tool_calls",
+    "t4_parse_arguments": f"""with {ctes('tool_calls')}, c as (select *, {_OK} ok, seq % 7 = 4 twice from tool_calls)
+      select session_id, call_id, ok or twice ok, case when twice then concat('{{"n":', seq, ',"s":"a"}}') when ok and arguments <> 'null' then cast(json(arguments) as varchar) end args,
+        case when twice then seq end n from c""",
     "t5_execute_calls": f"""with {ctes("tool_calls")}, c as (select *, {_KNOWN} found, {_OK} ok from tool_calls)
       select session_id, seq, call_id, case when not found then {_NOT_FOUND} when not ok then '{T.BAD_ARGUMENTS}'
         when name = 'click' then concat('{{"got": ', arguments, '}}') when name = 'view' then '"seen"'
@@ -189,12 +205,12 @@ ORACLE_SQL = {
         when "rule" is not null then concat('dangerous command blocked: ', command) end "error" from r""",
     "t7_confine_paths": f"""with {ctes("paths")} select page_id, path, case page_id % 5 when 0 then concat(page_id % 4, '/b') when 1 then '../x' when 2 then concat(page_id % 4, '/c')
         when 3 then '..y' else concat(page_id % 4, '/d/e') end "relative", page_id % 5 in (1, 3) denied from paths""",
-    "t8_check_arguments": f"""with {ctes("commands")} select call_id, case when command = 'a; b' then null else command end command,
-        cast(floor(case when command <> 'a; b' and timeout > 0 then timeout else 30 end) as bigint) timeout_s,
-        case when command = 'ls' then '/tmp' end cwd, case when command in ('a; b', '') then 'command must be a non-empty string' end "error" from commands""",
+    "t8_check_arguments": f"""with {ctes("commands")} select call_id, case when command in ('a; b', 'a || b') then null else command end command,
+        cast(floor(case when command not in ('a; b', 'a && b', 'a || b') and timeout > 0 then timeout else 30 end) as bigint) timeout_s,
+        case when command = 'ls' then '/tmp' end cwd, case when command in ('a; b', '') then 'command must be a non-empty string' when command = 'a || b' then '{T.NOT_AN_OBJECT}' end "error" from commands""",
     "t8_check_file_arguments": f"""with {ctes("paths")}, k as (select page_id, page_id % 6 k, path, tool from paths cross join (values ('read'), ('write'), ('list')) t(tool)),
-        c as (select *, case when k in (0, 1, 4) then path when tool = 'list' then '.' end got, case when tool = 'write' then case k when 0 then 'text' when 1 then '' when 2 then 'x' end end body from k)
-      select page_id, tool, got path, body "content", case when got is null then 'path must be a non-empty string' when tool = 'write' and body is null then 'content must be a string' end "error" from c""",
+        c as (select *, case when k in (0, 1, 4) then path when tool = 'list' and k <> 5 then '.' end got, case when tool = 'write' then case k when 0 then 'text' when 1 then '' when 2 then 'x' end end body from k)
+      select page_id, tool, got path, body "content", case when k = 5 then '{T.NOT_AN_OBJECT}' when got is null then 'path must be a non-empty string' when tool = 'write' and body is null then 'content must be a string' end "error" from c""",
     "t9_join_calls_results": f"""with {ctes("tool_calls", "tool_results")} select coalesce(c.session_id, r.session_id) session_id, coalesce(c.call_id, r.call_id) call_id, c.name, r.content, r.is_error,
         case when r.call_id is null then 'unanswered' when c.call_id is null then 'orphan' else 'answered' end status
       from tool_calls c full join tool_results r on c.session_id = r.session_id and c.call_id = r.call_id""",
@@ -208,11 +224,13 @@ ORACLE_SQL = {
     "c4_parse_chat_responses": f"""with {ctes("messages")} select id, 'm' model, ts created, case when ok then 'assistant' end "role", case when ok then content end "content",
         case when ok and seq % 2 = 1 then reasoning_content end reasoning_content, case when ok and seq % 3 = 1 then concat('t', seq) end call_id, case when ok and seq % 3 = 1 then 'function' end call_type,
         case when ok and seq % 3 = 1 then 'f' end call_name, case when ok and seq % 3 = 1 then '{{"a":1}}' end arguments, case when ok then 'stop' end finish_reason, cast(1 as bigint) prompt_tokens, cast(length(content) as bigint) completion, cast(length(content) + 1 as bigint) total_tokens,
-        case when not ok then 'empty choices' end "error" from (select *, seq % 5 = 1 ok from messages where role = 'assistant')""",
+        case when not ok then 'empty choices' end "error" from (select *, seq % 5 = 1 ok from messages where role = 'assistant' and {_READ})
+      union all select null, null, null, null, null, null, null, null, null, null, null, null, null, null, 'bad JSON' from messages where role = 'assistant' and not {_READ}""",
     "c6_from_claude_responses": f"""with {ctes("messages")} select id, 'assistant' "role", content, concat('t', seq) call_id, 'function' call_type, 'f' call_name, concat('{{"n":', seq, '}}') arguments, cast(1 as bigint) n_calls,
-        cast(null as varchar) "error" from messages where role = 'assistant'""",
+        cast(null as varchar) "error" from messages where role = 'assistant' and {_READ}
+      union all select id, 'assistant', null, null, null, null, null, null, 'bad JSON' from messages where role = 'assistant' and not {_READ}""",
     "c7_from_gemini_responses": f"""with {ctes("messages")} select id, case when ok then 'assistant' end "role", case when ok then content end "content", case when ok then 'gemini-f-1' end call_id, case when ok then 'function' end call_type, case when ok then 'f' end call_name,
-        case when ok then concat('{{"n":', seq, '}}') end arguments from (select *, seq % 5 = 1 ok from messages where role = 'assistant')""",
+        case when ok then concat('{{"n":', seq, '}}') end arguments, case when not {_READ} then 'bad JSON' end "error" from (select *, seq % 5 = 1 and {_READ} ok from messages where role = 'assistant')""",
     "c8_tool_results_to_messages": f"with {ctes('tool_calls', 'tool_results')} select session_id, 'tool' \"role\", call_id \"name\", content, is_error from tool_results",
     "c3_build_chat_requests": f"""with {_FULL}, m as (select session_id, seq, concat('{{"role":', to_json("role"), ',"content":', to_json(case when "role" = 'tool' and has_result then 'first' else content end),
         case when reasoning_content <> '' then concat(',"reasoning_content":', to_json(reasoning_content)) else '' end,

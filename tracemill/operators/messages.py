@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import indent
+from tracemill.functions.text import indent, json_object, strict_json
 from tracemill.operators.streams import USAGE
 from tracemill.sources.tables import CALL
 
@@ -18,10 +18,17 @@ CALLS, CALL_ID, CALL_TYPE, CALL_NAME, CALL_ARGUMENTS = "🔧 工具调用:", "
 RESULTS, RESULT_ID, RESULT_ERROR, YES, NO, RESULT_CONTENT = "📊 工具结果:", "🔗 调用ID: ", "⚠️ 错误: ", "❌ 是", "✅ 否", "📄 内容:"
 TOKENS = ("💰 Token 使用: 提示=", ", 完成=", ", 总计=")
 
-CHAT_RESPONSE = f"struct<id:string,model:string,created:long,choices:array<struct<index:int,message:struct<role:string,content:string,reasoning_content:string,tool_calls:array<{CALL}>>,finish_reason:string>>,usage:{USAGE},_bad:string>"
-CLAUDE_RESPONSE = "struct<content:array<struct<type:string,text:string,id:string,name:string,input:string>>,_bad:string>"
-GEMINI_RESPONSE = "struct<candidates:array<struct<content:struct<role:string,parts:array<struct<text:string,functionCall:struct<name:string,args:string>>>>>>,_bad:string>"
-_STRICT = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
+# binary stands for any JSON as it is written
+CHAT_RESPONSE = f"struct<id:string,model:string,created:long,choices:array<struct<index:int,message:struct<role:string,content:string,reasoning_content:string,tool_calls:array<{CALL}>>,finish_reason:string>>,usage:{USAGE}>"
+CLAUDE_RESPONSE = "struct<content:array<struct<type:string,text:string,id:string,name:string,input:binary>>>"
+GEMINI_RESPONSE = "struct<candidates:array<struct<content:struct<role:string,parts:array<struct<text:string,functionCall:struct<name:string,args:binary>>>>>>>"
+BAD_JSON = "bad JSON"
+
+
+def _read(responses: DataFrame, kind: str) -> DataFrame:
+    """responses with ``r``, the body read by strict rules, and ``__bad`` where it isn't what it should be."""
+    read = F.explode(F.array(strict_json(F.col("body"), kind)))  # a generator, so that the body is read once
+    return responses.select("*", read.alias("__read")).select(*responses.columns, F.col("__read.value").alias("r"), (~F.col("__read.ok")).alias("__bad"))
 
 
 def _blank(c: str | Column) -> Column:
@@ -58,45 +65,48 @@ def build_chat_requests(api: DataFrame, model: str, tools: list[dict] | None = N
 
 def parse_chat_responses(responses: DataFrame) -> DataFrame:
     """responses (.., body) -> id, model, created, role, content, reasoning_content, tool_calls, finish_reason, usage
-    columns and ``error``; the message is the first choice's, whole."""
-    r = responses.withColumn("r", F.from_json("body", CHAT_RESPONSE, _STRICT))
+    columns and ``error``; the message is the first choice's, whole. A body is one JSON value of the right types and nothing
+    else, or bad JSON."""
+    r = _read(responses, CHAT_RESPONSE)
     first = F.get("r.choices", F.lit(0))
-    error = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "bad JSON").when(F.coalesce(F.size("r.choices"), F.lit(0)) < 1, "empty choices")
+    error = F.when(F.col("__bad"), BAD_JSON).when(F.coalesce(F.size("r.choices"), F.lit(0)) < 1, "empty choices")
     keys = [c for c in responses.columns if c != "body"]
     return r.select(*keys, error.alias("error"), "r.id", "r.model", "r.created", first["message"]["role"].alias("role"), *[first["message"][c].alias(c) for c in ("content", "reasoning_content", "tool_calls")], first["finish_reason"].alias("finish_reason"), "r.usage.prompt_tokens", "r.usage.completion", "r.usage.total_tokens")
 
 
 def to_claude_messages(messages: DataFrame) -> DataFrame:
-    """messages -> role and content as JSON text: a string, or blocks for tool results and for messages with calls."""
+    """messages -> role and content as JSON text: a string, or blocks for tool results and for messages with calls. A call's
+    input is the JSON object of its arguments (see ``json_object``), left out where they aren't one."""
     block = "struct<type:string,text:string,id:string,name:string,input:variant>"
     text_of = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
     result = F.to_json(F.array(F.struct(F.lit("tool_result").alias("type"), _blank("content").alias("text"), _blank("name").alias("id"))))
     said = F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), *(F.lit(None).cast("string").alias(x) for x in ("id", "name")), F.lit(None).cast("variant").alias("input")).cast(block))).otherwise(F.array().cast(f"array<{block}>"))
-    calls = F.transform("tool_calls", lambda c: F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), _blank(c["id"]).alias("id"), _blank(c["function"]["name"]).alias("name"), F.try_parse_json(c["function"]["arguments"]).alias("input")).cast(block))
+    calls = F.transform("tool_calls", lambda c: F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), _blank(c["id"]).alias("id"), _blank(c["function"]["name"]).alias("name"), json_object(c["function"]["arguments"]).alias("input")).cast(block))
     content = F.when(F.col("role") == "tool", result).when(F.size("tool_calls") > 0, F.to_json(F.concat(said, calls))).otherwise(text_of(F.coalesce("content", F.lit(""))))
     keys = [c for c in messages.columns if c not in ("role", "content", "reasoning_content", "name", "tool_calls", "tool_results")]
     return messages.select(*keys, F.when(F.col("role") == "tool", "user").otherwise(F.col("role")).alias("role"), content.alias("content"))
 
 
 def from_claude_responses(responses: DataFrame) -> DataFrame:
-    """responses (.., body) -> role, content (text blocks joined), tool_calls (arguments as written) and ``error``."""
-    r = responses.withColumn("r", F.from_json("body", CLAUDE_RESPONSE, _STRICT))
+    """responses (.., body) -> role, content (text blocks joined), tool_calls (arguments as written) and ``error``. A body is
+    one JSON value of the right types and nothing else, or bad JSON, which has no content and no calls."""
+    r = _read(responses, CLAUDE_RESPONSE)
     content = F.array_join(F.transform(F.filter("r.content", lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "")
     calls = F.transform(F.filter("r.content", lambda b: b["type"] == "tool_use"), lambda b: _call(b["id"], b["name"], b["input"]))
-    error = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "bad JSON")
+    error = F.when(F.col("__bad"), BAD_JSON)
     keys = [c for c in responses.columns if c != "body"]
     return r.select(*keys, F.lit("assistant").alias("role"), content.alias("content"), calls.alias("tool_calls"), error.alias("error"))
 
 
 def from_gemini_responses(responses: DataFrame) -> DataFrame:
-    """responses (.., body) -> role, content and tool_calls of the first candidate; nulls without one. A call's id is its name
-    and its number among the calls."""
-    r = responses.withColumn("r", F.from_json("body", GEMINI_RESPONSE, _STRICT)).withColumn("p", F.get("r.candidates", F.lit(0))["content"]["parts"])
+    """responses (.., body) -> role, content, tool_calls of the first candidate, and ``error``; nulls without one. A call's id
+    is its name and its number among the calls. A body is one JSON value of the right types and nothing else, or bad JSON."""
+    r = _read(responses, GEMINI_RESPONSE).withColumn("p", F.get("r.candidates", F.lit(0))["content"]["parts"])
     content = F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "")
     calls = F.transform(F.filter("p", lambda x: x["functionCall"].isNotNull()), lambda x, i: _call(F.concat(F.lit("gemini-"), x["functionCall"]["name"], F.lit("-"), i.cast("string")), x["functionCall"]["name"], x["functionCall"]["args"]))
     some = F.coalesce(F.size("r.candidates"), F.lit(0)) > 0
     keys = [c for c in responses.columns if c != "body"]
-    return r.select(*keys, F.when(some, "assistant").alias("role"), F.when(some, content).alias("content"), F.when(some, calls).alias("tool_calls"))
+    return r.select(*keys, F.when(some, "assistant").alias("role"), F.when(some, content).alias("content"), F.when(some, calls).alias("tool_calls"), F.when(F.col("__bad"), BAD_JSON).alias("error"))
 
 
 def tool_results_to_messages(results: DataFrame) -> DataFrame:

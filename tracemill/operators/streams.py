@@ -14,23 +14,20 @@ Parts with a lower or higher index aren't merged; every fold counts them in ``re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import alone, json_value, ordered_text
+from tracemill.functions.text import ordered_text, strict_json
 from tracemill.sources.tables import CALL
 
 PREFIX = "data: "
 DONE = "[DONE]"
 MAX_CALLS = 1024
 PARTS = "array<struct<index:int,id:string,type:string,function:struct<name:string,arguments:string>>>"
-_ANY_PARTS = PARTS.replace("string", "variant")
-USAGE = "struct<prompt_tokens:long,completion:long,total_tokens:long>"
-CHUNK = f"struct<choices:array<struct<index:int,delta:struct<role:variant,content:variant,reasoning_content:variant,tool_calls:{_ANY_PARTS}>,finish_reason:variant,usage:{USAGE}>>>"
+USAGE = "struct<prompt_tokens:decimal(20,0),completion:decimal(20,0),total_tokens:decimal(20,0)>"
+CHUNK = f"struct<choices:array<struct<index:int,delta:struct<role:string,content:string,reasoning_content:string,tool_calls:{PARTS}>,finish_reason:string,usage:{USAGE}>>>"
 
 
 def data_lines(lines: DataFrame, *kept: str) -> DataFrame:
@@ -47,28 +44,14 @@ def cut_done(data: DataFrame) -> DataFrame:
 
 def _choice(data: Column) -> Column:
     """An array of the first choice of a chunk as ``c``; empty where the text isn't a chunk, or one without choices."""
-    given = lambda v: F.try_variant_get(v, "$", "string")
-    text = lambda v: F.coalesce(given(v), F.lit(""))
-    wrong = lambda v: v.isNotNull() & ~F.schema_of_variant(v).isin("STRING", "VOID")
-    either = lambda *tests: reduce(or_, (F.coalesce(t, F.lit(False)) for t in tests))
-
-    def bad(choice: Column) -> Column:
-        delta, used = choice["delta"], choice["usage"]
-        part = lambda p: either(*(wrong(v) for v in (p["id"], p["type"], p["function"]["name"], p["function"]["arguments"])))
-        texts = (wrong(v) for v in (delta["role"], delta["content"], delta["reasoning_content"], choice["finish_reason"]))
-        return either(*texts, *(used[c] < 0 for c in ("prompt_tokens", "completion", "total_tokens")), F.exists(delta["tool_calls"], part))
-
-    def typed(choice: Column) -> Column:
-        delta = choice["delta"]
-        function = lambda p: F.struct(given(p["function"]["name"]).alias("name"), given(p["function"]["arguments"]).alias("arguments"))
-        part = lambda p: F.struct(p["index"].alias("index"), given(p["id"]).alias("id"), given(p["type"]).alias("type"), function(p).alias("function"))
-        calls = F.transform(delta["tool_calls"], part)
-        texts = [text(delta[c]).alias(c) for c in ("role", "content", "reasoning_content")]
-        return F.struct(F.struct(*texts, calls.alias("tool_calls"), given(choice["finish_reason"]).alias("finish_reason"), choice["usage"].alias("usage")).alias("c"))
-
-    read = F.filter(F.array(json_value(data, CHUNK)), lambda r: r["_bad"].isNull() & (r["end"] == 1) & (F.size(r["value"]["choices"]) > 0))
-    strict = F.when(alone(data), F.filter(F.transform(read, lambda r: r["value"]["choices"]), lambda cs: ~F.exists(cs, bad)))
-    return F.transform(strict, lambda cs: typed(cs[0]))
+    blank = lambda delta, c: F.coalesce(delta[c], F.lit("")).alias(c)
+
+    def first(read: Column) -> Column:
+        choice = read["value"]["choices"][0]
+        texts = [blank(choice["delta"], c) for c in ("role", "content", "reasoning_content")]
+        return F.struct(F.struct(*texts, choice["delta"]["tool_calls"].alias("tool_calls"), choice["finish_reason"].alias("finish_reason"), choice["usage"].alias("usage")).alias("c"))
+
+    return F.transform(F.filter(F.array(strict_json(data, CHUNK)), lambda r: F.size(r["value"]["choices"]) > 0), first)
 
 
 def chunk(data: Column) -> Column:

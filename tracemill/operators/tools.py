@@ -8,20 +8,21 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import fold_path, json_kind
+from tracemill.functions.text import fold_path, json_kind, json_object
 
 REGISTRY_ROWS = 10_000
 MAX_TIMEOUT_DEFAULT = 30.0
 # fixed values: the patterns that block a command, in order
 DANGEROUS = (r"(?i)^rm\s+-rf", r"(?i)mkfs\s+", r"(?i)dd\s+if=/dev/zero", r"(?i)^rd\s+/s", r"(?i)^del\s+/s", ";", "&&", r"\|\|")
-BAD_ARGUMENTS = '{"error": "parse arguments failed: not a JSON object"}'
+NOT_AN_OBJECT = "parse arguments failed: not a JSON object"
+BAD_ARGUMENTS = f'{{"error": "{NOT_AN_OBJECT}"}}'
 
 
 def explode_tool_calls(messages: DataFrame) -> DataFrame:
@@ -47,39 +48,83 @@ def resolve_calls(calls: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def parse_arguments(calls: DataFrame, arguments: str = "arguments") -> DataFrame:
-    """calls with ``ok``: whether the arguments are a JSON object or null by strict rules."""
-    return calls.withColumn("ok", F.coalesce(json_kind(F.col(arguments)).isin("object", "null"), F.lit(False)))
-
-
-def execute_calls(calls: DataFrame, registry: DataFrame, handlers: dict[str, Column | Callable[[dict], object]]) -> DataFrame:
+    """calls with ``ok``, whether the arguments are a JSON object or null by strict rules, and ``args``, the object as a VARIANT,
+    in which the last of equal keys counts (see ``json_object``); null for null and where it isn't ok."""
+    ok = F.coalesce(json_kind(F.col(arguments)).isin("object", "null"), F.lit(False))
+    return calls.withColumns({"ok": ok, "args": json_object(F.col(arguments))})
+
+
+@dataclass(frozen=True)
+class Batch:
+    """A Python handler that takes the arguments of many calls at once and gives as many results; an exception among them is
+    the error of its call. Where it raises one, the calls of the batch are tried one by one."""
+
+    run: Callable[[list[dict | None]], list[object]]
+
+
+def _results(handler: Callable[[dict | None], object] | Batch, arguments: list[dict | None]) -> list[object]:
+    """What a handler gives for each call, exceptions in their places."""
+    if isinstance(handler, Batch) and len(arguments) > 1:
+        try:
+            out = list(handler.run(arguments))
+            if len(out) == len(arguments):
+                return out
+        except Exception:  # which call it was is found out below
+            pass
+    one = (lambda a: handler.run([a])[0]) if isinstance(handler, Batch) else handler
+    out = []
+    for a in arguments:
+        try:
+            out.append(one(a))
+        except Exception as e:  # a handler's failure is that call's result
+            out.append(e)
+    return out
+
+
+def _written(result: object) -> tuple[str, bool]:
+    """A result as JSON text, and whether it is an error."""
+    if not isinstance(result, Exception):
+        try:
+            return json.dumps(result, ensure_ascii=False, allow_nan=False), False
+        except Exception as e:
+            result = e
+    return json.dumps({"error": str(result)}, ensure_ascii=False), True
+
+
+def execute_calls(calls: DataFrame, registry: DataFrame, handlers: dict[str, Column | Callable[[dict | None], object] | Batch]) -> DataFrame:
     """(session_id, seq, call_id, content, is_error), one for each call. An unknown tool comes first, then bad arguments,
-    then the handler's own error. Handlers that are columns (over ``arguments``) run as such; Python ones, only for the
-    calls that get that far, in one mapInPandas pass with every exception kept to its row."""
-    checked = parse_arguments(resolve_calls(calls, registry))
+    then the handler's own error. Handlers that are columns (over ``arguments`` as text or ``args`` as VARIANT) run as such.
+    Calls of tools with Python handlers take a way of their own: only they cross to a worker, in Arrow batches, tool by tool."""
     native = {k: h for k, h in handlers.items() if isinstance(h, Column)}
     python = {k: h for k, h in handlers.items() if not isinstance(h, Column)}
-    good = F.col("found") & F.col("ok")
-    own = reduce(lambda acc, k: acc.when(F.col("name") == k, native[k]), native, F.when(F.lit(False), F.lit("")))
-    no_handler = good & ~F.coalesce(F.col("name").isin(list(handlers)), F.lit(False))
-    content = F.when(~F.col("found"), F.col("content")).when(~F.col("ok"), F.lit(BAD_ARGUMENTS)).when(no_handler, error(F.lit("no handler"))).otherwise(own)
-    done = checked.withColumn("content", content).withColumn("is_error", ~good | no_handler)
     keys = ["session_id", "seq", "call_id"]
+
+    def checked(rows: DataFrame) -> DataFrame:
+        done = parse_arguments(resolve_calls(rows, registry))
+        good = F.col("found") & F.col("ok")
+        own = reduce(lambda acc, k: acc.when(F.col("name") == k, native[k]), native, F.when(F.lit(False), F.lit("")))
+        no_handler = good & ~F.coalesce(F.col("name").isin(list(handlers)), F.lit(False))
+        content = F.when(~F.col("found"), F.col("content")).when(~F.col("ok"), F.lit(BAD_ARGUMENTS)).when(no_handler, error(F.lit("no handler"))).otherwise(own)
+        return done.withColumn("content", content).withColumn("is_error", ~good | no_handler)
+
     if not python:
-        return done.select(*keys, "content", "is_error")
+        return checked(calls).select(*keys, "content", "is_error")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            contents, errors = frame["content"].tolist(), frame["is_error"].tolist()
-            for i in np.flatnonzero(frame["__python"].to_numpy()).tolist():
-                try:
-                    contents[i] = json.dumps(python[frame["name"].iat[i]](json.loads(frame["arguments"].iat[i])), ensure_ascii=False, allow_nan=False)
-                except Exception as e:  # a handler's failure is that call's result
-                    contents[i], errors[i] = json.dumps({"error": str(e)}, ensure_ascii=False), True
-            yield frame[keys].assign(content=contents, is_error=errors)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents, errors, names = (batch.column(c).to_pylist() for c in ("content", "is_error", "name"))
+            arguments = batch.column("arguments").to_pylist()
+            for name, handler in python.items():
+                asked = [i for i, n in enumerate(names) if n == name and not errors[i]]
+                for i, result in zip(asked, _results(handler, [json.loads(arguments[i]) for i in asked])):
+                    contents[i], errors[i] = _written(result)
+            kept = {c: batch.column(c) for c in keys}
+            yield pa.RecordBatch.from_pydict(kept | {"content": pa.array(contents, pa.string()), "is_error": pa.array(errors, pa.bool_())})
 
-    by_python = F.coalesce(good & F.col("name").isin(list(python)), F.lit(False)).alias("__python")
-    asked = done.select(*keys, "content", "is_error", F.when(by_python, F.col("name")).alias("name"), F.when(by_python, F.col("arguments")).alias("arguments"), by_python)
-    return asked.mapInPandas(run, done.select(*keys, "content", "is_error").schema)
+    by_python = F.coalesce(F.col("name").isin(list(python)), F.lit(False))
+    here = checked(calls.filter(~by_python)).select(*keys, "content", "is_error")
+    there = checked(calls.filter(by_python)).select(*keys, "content", "is_error", "name", "arguments")
+    return here.union(there.mapInArrow(run, here.schema))
 
 
 def screen_commands(commands: DataFrame, command: str = "command") -> DataFrame:
@@ -103,29 +148,35 @@ def confine_paths(paths: DataFrame, base: str, path: str = "path") -> DataFrame:
     return out.withColumn("denied", F.col("relative").startswith("..")).drop("__p")
 
 
+def _kind(key: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get("args", f"$.{key}", "variant"))
+
+
+def _text(key: str) -> Column:
+    """A string of the arguments; other types aren't strings."""
+    return F.when(_kind(key) == "STRING", F.try_variant_get("args", f"$.{key}", "string"))
+
+
 def check_arguments(calls: DataFrame) -> DataFrame:
-    """calls (arguments: JSON text) with the typed values of a command call: command, timeout in whole seconds (30 unless
-    it is a number over 0), cwd (only when it isn't empty), and ``error``. A number isn't a string."""
-    value = F.try_parse_json("arguments")
-    kind = lambda k: F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant"))
-    text = lambda k: F.when(kind(k) == "STRING", F.try_variant_get(value, f"$.{k}", "string"))
-    number = F.when(kind("timeout").rlike("^(BIGINT|DOUBLE|DECIMAL|INT|SMALLINT|TINYINT|FLOAT)"), F.try_variant_get(value, "$.timeout", "double"))
-    out = calls.withColumns({"command": text("command"), "timeout_s": F.floor(F.when(number > 0, number).otherwise(F.lit(MAX_TIMEOUT_DEFAULT))).cast("long"), "cwd": F.nullif(text("cwd"), F.lit(""))})
-    return out.withColumn("error", F.when(F.coalesce("command", F.lit("")) == "", F.lit("command must be a non-empty string")))
+    """calls (arguments: JSON text, read as ``parse_arguments`` does) with the typed values of a command call: command, timeout
+    in whole seconds (30 unless it is a number over 0), cwd (only when it isn't empty), and ``error``."""
+    number = F.when(_kind("timeout").rlike("^(BIGINT|DOUBLE|DECIMAL|INT|SMALLINT|TINYINT|FLOAT)"), F.try_variant_get("args", "$.timeout", "double"))
+    typed = {"command": _text("command"), "timeout_s": F.floor(F.when(number > 0, number).otherwise(F.lit(MAX_TIMEOUT_DEFAULT))).cast("long"), "cwd": F.nullif(_text("cwd"), F.lit(""))}
+    out = parse_arguments(calls).withColumns(typed)
+    return out.withColumn("error", F.when(~F.col("ok"), NOT_AN_OBJECT).when(F.coalesce("command", F.lit("")) == "", "command must be a non-empty string")).drop("ok", "args")
 
 
 def check_file_arguments(calls: DataFrame, content: bool = False, default: str | None = None) -> DataFrame:
-    """calls (arguments: JSON text) with ``path``, with ``content`` where it is asked for, and ``error``. The path is a string
-    that isn't empty, or else ``default`` (an error where there is none); the content is a string, which may be empty."""
-    value = F.try_parse_json("arguments")
-    kind = lambda k: F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant"))
-    text = lambda k: F.when(kind(k) == "STRING", F.try_variant_get(value, f"$.{k}", "string"))
-    out = calls.withColumn("path", F.coalesce(F.nullif(text("path"), F.lit("")), F.lit(default)))
-    error_ = F.when(F.col("path").isNull(), "path must be a non-empty string")
+    """calls (arguments: JSON text, read as ``parse_arguments`` does) with ``path``, with ``content`` where it is asked for, and
+    ``error``. The path is a string that isn't empty, or else ``default`` (an error where there is none); the content is a
+    string, which may be empty."""
+    out = parse_arguments(calls)
+    out = out.withColumn("path", F.when(F.col("ok"), F.coalesce(F.nullif(_text("path"), F.lit("")), F.lit(default))))
+    error_ = F.when(~F.col("ok"), NOT_AN_OBJECT).when(F.col("path").isNull(), "path must be a non-empty string")
     if content:
-        out = out.withColumn("content", text("content"))
+        out = out.withColumn("content", _text("content"))
         error_ = error_.when(F.col("content").isNull(), "content must be a string")
-    return out.withColumn("error", error_)
+    return out.withColumn("error", error_).drop("ok", "args")
 
 
 def join_calls_results(calls: DataFrame, results: DataFrame) -> DataFrame:
