@@ -1,23 +1,24 @@
 """Plans of tasks as tables: parse, dependencies, readiness, state, re-plans and reports.
 
 Tasks are rows (plan_id, ord, id, description, inputs array, outputs array, state, ...). Everything groups by plan_id;
-logs fold with partial aggregates. Levels, stuck tasks and audits gather each plan's tasks into one row, as the answer that
-they came from was, and order them there.
+logs fold with partial aggregates. Levels, stuck tasks and audits read a plan of usual size in one row, as the answer that it
+came from was, and larger ones wave by wave.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import alone, json_value, let, ordered_text, trim_json_wrapper
+from tracemill.sources.shared import written
 
 TASK = "struct<id:string,description:string,inputs:array<string>,outputs:array<string>,state:string,result:map<string,string>,error:string>"
 PLAN = f"struct<goal:string,tasks:array<{TASK}>>"
 MIN_TASKS, MAX_TASKS = 3, 8
+ROW_TASKS = 128
 MISSING, BLOCKED = "missing input", "blocked"
 # fixed values: the words of reports and prompts
 REPORT, DONE, FAILED = ("目标「", "」已完成，执行结果："), "✓", "✗"
@@ -78,63 +79,86 @@ def ready_tasks(tasks: DataFrame, slots: DataFrame) -> DataFrame:
     return found.groupBy("plan_id", "id").agg(F.every(F.col("key").isNull() | F.coalesce("found", F.lit(False))).alias("ready")).filter("ready").select("plan_id", "id")
 
 
-def waves(tasks: list[dict]) -> Iterator[tuple[str, int]]:
-    """(id, level) of one plan's tasks that can run: those whose inputs earlier waves give."""
-    need = [set(t["inputs"] or ()) for t in tasks]
-    users: dict[str, list[int]] = {}
-    for i, keys in enumerate(need):
-        for key in keys:
-            users.setdefault(key, []).append(i)
-    have: set[str] = set()
-    now, level = [i for i, keys in enumerate(need) if not keys], 0
-    while now:
-        fresh = {k for i in now for k in tasks[i]["outputs"] or ()} - have
-        have |= fresh
-        yield from ((tasks[i]["id"], level) for i in now)
-        now, level = [], level + 1
-        for key in fresh:
-            for i in users.get(key, ()):
-                need[i].discard(key)
-                if not need[i]:
-                    now.append(i)
-
-
-def stuck(tasks: list[dict]) -> Iterator[tuple[str, str]]:
-    """(id, reason) of one plan's tasks that would wait for ever."""
-    runs = {i for i, _ in waves(tasks)}
-    made = {k for t in tasks for k in t["outputs"] or () if k is not None}
-    missing = {t["id"] for t in tasks if not made.issuperset(t["inputs"] or ())}
-    yield from ((t["id"], MISSING if t["id"] in missing else BLOCKED) for t in tasks if t["id"] not in runs)
-
-
-def _gathered() -> Column:
-    return F.collect_list(F.struct("id", "inputs", "outputs")).alias("tasks")
-
-
-def _each_plan(tasks: DataFrame, rule: Callable[[list[dict]], Iterator[tuple]], name: str, kind: str) -> DataFrame:
-    """The rows (plan_id, id, ``name``) that ``rule`` gives for each plan's tasks. A plan comes from one answer of a model,
-    so its tasks fit in a row: one shuffle, no joins or rounds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(plan, *x) for plan, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in rule(own)]
-            if rows:
-                kinds = (batch.schema.field(0).type, pa.string(), pa.int32() if kind == "integer" else pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["plan_id", "id", name])
-
-    plans = tasks.groupBy("plan_id").agg(_gathered())
-    return plans.mapInArrow(run, plans.select("plan_id").schema.add("id", "string").add(name, kind))
+def _waves(tasks: Column) -> Column:
+    """For an array of tasks with inputs and outputs: the wave each can run in, from 0, and null for those that never can."""
+    state = "struct<have:array<string>,levels:array<int>,done:boolean>"
+    none = F.struct(F.array().alias("have"), F.transform(tasks, lambda _: F.lit(None)).alias("levels"), F.lit(False).alias("done")).cast(state)
+
+    def wave(acc: Column, r: Column) -> Column:
+        given = lambda t: F.forall(F.coalesce(t["inputs"], F.array().cast("array<string>")), lambda k: F.coalesce(F.array_contains(acc["have"], k), F.lit(False)))
+        now = F.transform(tasks, lambda t, i: F.get(acc["levels"], i).isNull() & given(t))
+
+        def taken(runs: Column) -> Column:
+            outputs = F.flatten(F.transform(F.filter(tasks, lambda t, i: F.get(runs, i)), lambda t: F.coalesce(t["outputs"], F.array().cast("array<string>"))))
+            levels = F.zip_with(acc["levels"], runs, lambda old, x: F.when(x, r).otherwise(old))
+            return F.struct(F.array_union(acc["have"], F.filter(outputs, lambda k: k.isNotNull())).alias("have"), levels.alias("levels"), (~F.exists(runs, lambda x: x)).alias("done")).cast(state)
+
+        return F.when(acc["done"], acc).otherwise(let(now, taken))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(tasks) - 1), none, wave, lambda acc: acc["levels"])
+
+
+def _small_plans(tasks: DataFrame) -> DataFrame:
+    """``_levelled`` of plans that fit in a row: one shuffle, no joins or rounds."""
+    made = F.array_distinct(F.flatten(F.transform("tasks", lambda t: F.coalesce(t["outputs"], F.array().cast("array<string>")))))
+    lacks = lambda t: F.exists(F.coalesce(t["inputs"], F.array().cast("array<string>")), lambda k: ~F.coalesce(F.array_contains(F.col("made"), k), F.lit(False)))
+    plans = tasks.groupBy("plan_id").agg(F.collect_list(F.struct("id", "ord", "inputs", "outputs")).alias("tasks"))
+    read = plans.withColumns({"levels": _waves(F.col("tasks")), "made": made})
+    rows = read.select("plan_id", F.explode(F.transform("tasks", lambda t, i: F.struct(t["id"].alias("id"), t["ord"].alias("ord"), F.get("levels", i).alias("level"), lacks(t).alias("missing")))).alias("t"))
+    return rows.select("plan_id", "t.*")
+
+
+def _large_plans(tasks: DataFrame) -> DataFrame:
+    """``_levelled`` of plans of any size, wave by wave over written tables. A wave joins the keys that the one before has newly
+    given with what waits for them; there are as many rounds as the deepest plan has waves."""
+    same = lambda a, b: a["plan_id"].eqNullSafe(b["plan_id"]) & (a["key"] == b["key"])
+    rows = written(tasks.withColumn("n", F.monotonically_increasing_id()))
+    keys = lambda c: rows.select("plan_id", "n", F.explode(c).alias("key")).filter("key is not null").distinct()
+    needs, gives = written(keys("inputs")), written(keys("outputs"))
+    never = F.exists(F.coalesce("inputs", F.array().cast("array<string>")), lambda k: k.isNull())
+    waits = rows.select("n", F.size(F.array_distinct(F.coalesce("inputs", F.array().cast("array<string>")))).alias("left"), never.alias("never")).filter(~F.col("never")).drop("never")
+    waits, have, levels, level = written(waits), None, [], 0
+    while True:
+        now = written(waits.filter("left = 0").select("n", F.lit(level).alias("level")))
+        if now.isEmpty():
+            break
+        levels.append(now)
+        fresh = gives.join(now.select("n"), "n", "left_semi").select("plan_id", "key").distinct()
+        fresh = written(fresh if have is None else fresh.join(have, same(fresh, have), "left_anti"))
+        have = fresh if have is None else have.unionByName(fresh)
+        got = needs.join(fresh, same(needs, fresh), "left_semi").groupBy("n").agg(F.count(F.lit(1)).alias("got"))
+        waits = written(waits.filter("left > 0").join(got, "n", "left").select("n", (F.col("left") - F.coalesce("got", F.lit(0))).cast("int").alias("left")))
+        level += 1
+    lacking = needs.join(gives, same(needs, gives), "left_anti").select("n").union(rows.filter(never).select("n")).distinct().withColumn("missing", F.lit(True))
+    done = reduce(DataFrame.unionByName, levels) if levels else waits.limit(0).select("n", F.lit(0).alias("level"))
+    out = rows.select("plan_id", "n", "id", "ord").join(done, "n", "left").join(lacking, "n", "left")
+    return out.select("plan_id", "id", "ord", "level", F.coalesce("missing", F.lit(False)).alias("missing"))
+
+
+def _levelled(tasks: DataFrame) -> DataFrame:
+    """(plan_id, id, ord, level, missing): the earliest wave a task can run in, null for those that would wait for ever, and
+    whether it has an input that nothing gives. Plans of up to ``ROW_TASKS`` tasks are read in one row each; larger ones,
+    that of all tasks without a plan_id among them, are never gathered."""
+    own = tasks.select("plan_id", "id", F.col("ord") if "ord" in tasks.columns else F.lit(0).alias("ord"), "inputs", "outputs")
+    if own.groupBy("plan_id").count().filter(F.col("count") > ROW_TASKS).isEmpty():
+        return _small_plans(own)
+    sized = own.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("plan_id")))
+    return _small_plans(sized.filter(F.col("size") <= ROW_TASKS).drop("size")).unionByName(_large_plans(sized.filter(F.col("size") > ROW_TASKS).drop("size")))
+
+
+def _reason() -> Column:
+    return F.when(F.col("level").isNull(), F.when(F.col("missing"), MISSING).otherwise(BLOCKED))
 
 
 def execution_levels(tasks: DataFrame) -> DataFrame:
     """(plan_id, id, level): the earliest wave a task can run in, from 0; tasks that never can are left out."""
-    return _each_plan(tasks, waves, "level", "integer")
+    return _levelled(tasks).filter("level is not null").select("plan_id", "id", "level")
 
 
 def stuck_tasks(tasks: DataFrame) -> DataFrame:
     """(plan_id, id, reason) of tasks that would wait for ever: an own input that nothing gives, or else what they wait
     for is in or behind a cycle or such a task. A null plan_id is a plan of its own; a null key is given by nothing."""
-    return _each_plan(tasks, stuck, "reason", "string")
+    return _levelled(tasks).withColumn("reason", _reason()).filter("reason is not null").select("plan_id", "id", "reason")
 
 
 def fold_task_events(tasks: DataFrame, events: DataFrame) -> DataFrame:
@@ -220,28 +244,25 @@ def classify_loops(log: DataFrame) -> DataFrame:
 
 
 def task_prompts(tasks: DataFrame, slots: DataFrame) -> DataFrame:
-    """(plan_id, id, inputs_text, output_template): ``key: value`` lines of a task's inputs in order, and the JSON it is
-    to give. Slots are resolved ones (workflow_id, slot, value); an input without a value has an empty one."""
-    wanted = tasks.select("plan_id", "id", F.posexplode_outer("inputs").alias("i", "key"))
-    values = slots.select(F.col("workflow_id").alias("plan_id"), F.col("slot").alias("key"), "value")
-    line = F.when(F.col("key").isNotNull(), F.concat("key", F.lit(": "), F.coalesce("value", F.lit(""))))
-    told = wanted.join(values, ["plan_id", "key"], "left").groupBy("plan_id", "id").agg(ordered_text(F.coalesce("i", F.lit(0)), line, "\n").alias("inputs_text"))
+    """(plan_id, id, inputs_text, output_template), a row for each task: ``key: value`` lines of its inputs in order, and the
+    JSON it is to give. Slots are resolved ones (workflow_id, slot, value); an input without a value has an empty one, and so
+    have all of a task without a plan_id. Repeated rows are tasks each."""
     entry = lambda o: F.concat(F.lit('\t"'), o, F.lit('": "' + PLACE[0]), o, F.lit(PLACE[1] + '"'))
     body = F.array_join(F.transform("outputs", entry), ",\n")
     template = F.concat(F.lit("{\n"), body, F.when(F.size("outputs") > 0, "\n").otherwise(""), F.lit("}"))
-    return tasks.select("plan_id", "id", template.alias("output_template")).join(told, ["plan_id", "id"]).select("plan_id", "id", "inputs_text", "output_template")
+    values = slots.select(F.col("workflow_id").alias("plan_id"), F.col("slot").alias("key"), "value")
+    line = lambda k, v: F.concat(k, F.lit(": "), v)
+    empty = F.array_join(F.transform(F.filter("inputs", lambda k: k.isNotNull()), lambda k: line(k, F.lit(""))), "\n")
+    asked = tasks.select("plan_id", "inputs").filter(F.col("plan_id").isNotNull() & (F.size("inputs") > 0)).distinct()
+    wanted = asked.select("plan_id", "inputs", F.posexplode("inputs").alias("i", "key")).join(values, ["plan_id", "key"], "left")
+    told = wanted.groupBy("plan_id", "inputs").agg(ordered_text(F.col("i"), line(F.col("key"), F.coalesce("value", F.lit(""))), "\n").alias("told"))
+    out = tasks.select("plan_id", "id", "inputs", template.alias("output_template")).join(told, ["plan_id", "inputs"], "left")
+    return out.select("plan_id", "id", F.coalesce("told", empty, F.lit("")).alias("inputs_text"), "output_template")
 
 
 def audit_plans(tasks: DataFrame) -> DataFrame:
     """(plan_id, n_tasks, ids_ok, size_ok, n_missing, n_blocked): the rules that planners are told but nothing checks."""
     ids_ok = F.every(F.coalesce(F.col("id") == F.concat(F.lit("task_"), F.col("ord").cast("string")), F.lit(False)))
-    plans = tasks.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_tasks"), ids_ok.alias("ids_ok"), _gathered())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reasons = [[r for _, r in stuck(own)] for own in batch.column(3).to_pylist()]
-            counts = [pa.array([r.count(x) for r in reasons], pa.int64()) for x in (MISSING, BLOCKED)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *counts], [*batch.schema.names[:3], "n_missing", "n_blocked"])
-
-    out = plans.mapInArrow(run, plans.drop("tasks").schema.add("n_missing", "long").add("n_blocked", "long"))
-    return out.select("plan_id", "n_tasks", "ids_ok", F.col("n_tasks").between(MIN_TASKS, MAX_TASKS).alias("size_ok"), "n_missing", "n_blocked")
+    n = lambda reason: F.count(F.when(F.col("reason") == reason, 1))
+    plans = _levelled(tasks).withColumn("reason", _reason()).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_tasks"), ids_ok.alias("ids_ok"), n(MISSING).alias("n_missing"), n(BLOCKED).alias("n_blocked"))
+    return plans.select("plan_id", "n_tasks", "ids_ok", F.col("n_tasks").between(MIN_TASKS, MAX_TASKS).alias("size_ok"), "n_missing", "n_blocked")
