@@ -85,7 +85,7 @@ def local(steps, rows, batches):
                 codes[b][q] = c
         return codes
 
-    first = told([steps.ask_texts(b, t) for b, t in tables.items()], lambda p, t: steps.answer_texts(t))
+    first = told([steps.ask_texts(b, t) for b, t in tables.items()], steps.answer_texts)
     second = told([steps.ask_windows(b, t, first[b]) for b, t in tables.items()], steps.answer_windows)
     done = [steps.finish(t, *steps.flagged(t, first[b], second[b])) for b, t in tables.items()]
     return sorted((tuple(r.values()) for t in done for r in t.to_pylist()), key=repr)
@@ -116,19 +116,64 @@ def test_weak_hashes_merge_nothing(monkeypatch):
     assert local(suffix_dedup.exchange(np.zeros(0, np.uint64), 1, 60, 16), rows, 4) == brute_bytes(rows, 60)
 
 
-def test_nodes_are_those_of_the_tree():
-    """Sorted windows, and runs of equal ones as the internal nodes of that depth with all their leaves."""
+@pytest.mark.parametrize("weak", [False, True])
+def test_nodes_are_those_of_the_tree(monkeypatch, weak):
+    """Windows in the order of their bytes, runs of equal ones as the internal nodes of that depth with all their leaves, and
+    the depth at which neighbouring nodes part; also where all hashes are the same."""
+    if weak:
+        monkeypatch.setattr(hashing, "range_hashes", lambda data, start, end, step=0: np.zeros(len(start), np.uint64))
     rng = np.random.default_rng(1)
-    data = np.frombuffer(bytes(rng.choice(list(b"ab"), 3000)), np.uint8)
-    start = np.arange(len(data) - 12)
-    order, node = anchors.nodes(data, start, np.full(len(start), 12))
-    leaves = {}
-    for i, n in zip(order.tolist(), node.tolist()):
-        leaves.setdefault(n, []).append(i)
-    want = {}
-    for i in start.tolist():
-        want.setdefault(data[i : i + 12].tobytes(), []).append(i)
-    assert sorted(map(sorted, leaves.values())) == sorted(want.values()) and max(map(len, want.values())) > 2
+    base = bytes(rng.choice(list(b"ab\0"), 1500).tolist())
+    data = np.frombuffer(base + base[100:900] + base[300:500] + base, np.uint8)
+    start = np.arange(len(data) - 40)
+    size = np.where(start % 5 == 0, 11, 12 + 20 * (start % 2))
+    order, node, common = anchors.nodes(data, start, size)
+    text = [data[i : i + n].tobytes() for i, n in zip(start.tolist(), size.tolist())]
+    assert [text[i] for i in order] == sorted(text)
+    kinds = sorted(set(text))
+    assert [text[i] for i in order] == [kinds[n] for n in node]
+    shared = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    assert common.tolist() == [shared(x, y) for x, y in zip(kinds, kinds[1:])] and max(common) > 16
+
+
+def test_maximal_repeats():
+    """By name: repeats that can't be made longer on either side, with all their places."""
+    assert anchors.maximal_repeats(b"xabcdyabcdzabc", 3) == {(b"abcd", (1, 6)), (b"abc", (1, 6, 11))}
+    text = bytes(np.random.default_rng(2).choice(list(b"abc"), 300).tolist())
+    want = set()
+    for n in range(4, 40):
+        places = {}
+        for i in range(len(text) - n + 1):
+            places.setdefault(text[i : i + n], []).append(i)
+        for x, at in places.items():
+            ends, begins = {text[p + n : p + n + 1] for p in at}, {text[p - 1 : p] if p else None for p in at}
+            if len(at) > 1 and (len(ends) > 1) and len(begins) > 1:
+                want.add((x, tuple(at)))
+    assert want and anchors.maximal_repeats(text, 4) == want
+
+
+def test_an_edge_that_all_documents_share(monkeypatch):
+    """Every document has a passage and goes on in its own way, so that the grams at its edge have as many texts as there are
+    documents. No part gets much more than others, in either step."""
+    rng, batches, parts = np.random.default_rng(6), 40, 16
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 8))) for i in range(4000)]
+    steps, sent, most = substring_dedup.exchange(no_prefixes(), parts, 20, 8, 64), {}, []
+    for name in ("ask_texts", "ask_windows"):
+        made = getattr(steps, name)
+        monkeypatch.setattr(steps, name, lambda *a, made=made, name=name: sent.setdefault(name, []).append(t := made(*a)) or t)
+    got = local(steps, rows, batches)
+    assert sum(r[2] for r in got) == 30 * 3999
+    for name in ("ask_texts", "ask_windows"):
+        whole = pa.concat_tables(sent[name])
+        size = {}
+        for p, x in zip(whole.column("part").to_pylist(), whole.column("payload").to_pylist()):
+            size[p] = size.get(p, 0) + len(x)
+        for family in ([v for k, v in size.items() if k < parts], [v for k, v in size.items() if k >= parts]):
+            most.append((name, max(family, default=0) / (sum(family) / parts or 1)))
+    assert all(x < 3 for _, x in most[:1] + most[3:]), most
+    grams = [v for k, v in size.items() if k >= parts]
+    assert len(grams) == parts  # the windows of hot grams are dealt over all parts
 
 
 def test_multikey_order():

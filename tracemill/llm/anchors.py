@@ -4,14 +4,18 @@ To sort each suffix of 100 TB by itself would write the input hundreds of times.
 least-hashed gram in it, and a block is a run of windows of one document with one anchor. Equal windows have equal anchors at
 the same distance, so they lie in blocks of one gram, and a block goes where its anchor's leading symbols send it:
 
-1. a batch of documents sends the distinct texts of its blocks as 128-bit hashes, by gram; a part answers for each whether
-   other batches have it, whether this batch owns it, and whether its gram has other texts too;
-2. texts that their batch owns, of grams with more than one text, are sent as bytes, once each; a part sorts all their windows
-   by multikey quicksort and compares neighbours byte by byte. Equal neighbours are an internal node as deep as a window, or
-   deeper, of the suffix tree, and its leaves the places of one repeat. A bit for each window goes back to its batch.
-
-A gram with over ``HOT`` texts (the edges of a passage that very many documents share) is no group of its own: its windows go
-one by one, by a 128-bit hash of the window, to parts of their own. Every step is a pure function of its rows.
+1. a batch of documents sends the distinct texts of its blocks as 128-bit hashes, dealt by that hash, and of each gram the
+   smallest ``LEAST`` hashes of its texts, dealt by gram; parts answer for each text whether other batches have it and whether
+   this batch owns it, and for each gram whether it has more than one text, and more than ``HOT``;
+2. texts that their batch owns, of grams with more than one text, are sent as bytes, once each; a part brings all their windows
+   into the order of their bytes and measures how far neighbours agree. Neighbours that agree over a whole window are an
+   internal node as deep as a window, or deeper, of the suffix tree, and its leaves the places of one repeat. A bit for each
+   window goes back to its batch.
+
+A gram with over ``HOT`` texts (the edges of a passage that very many documents share) is no group of its own in any step: what
+is gathered of it in the first is ``LEAST`` numbers a batch, and its windows go one by one, by a 128-bit hash of the window, to
+parts of their own. (How many texts a gram has is estimated from the smallest hashes from ``LEAST`` on; results don't depend on
+it.) Every step is a pure function of its rows.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from tracemill.llm import exchange as X
 from tracemill.llm import hashing as H
 
 HOT = 4096
+LEAST = 8
 _STEP = 1 << 18
 _LOW = np.uint64((1 << 21) - 1)
 
@@ -128,42 +133,92 @@ def multikey(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, run
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a : a + size] and data[b : b + size] are equal, for each of the places; sizes are at least 8."""
-    same = np.ones(len(a), bool)
-    live = np.arange(len(a))
-    step = 0
+def agreement(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many bytes data[a : a + size] and data[b : b + size] have in common from their beginnings on, for each pair."""
+    out = size.copy()
+    live, step = np.arange(len(a)), 0
     while len(live):
-        at = np.minimum(step, size[live] - 8)
-        equal = words8(data, a[live] + at) == words8(data, b[live] + at)
-        same[live[~equal]] = False
-        live = live[equal & (size[live] > step + 8)]
+        apart = words8(data, a[live] + step) ^ words8(data, b[live] + step)
+        low = apart & (~apart + np.uint64(1))  # the lowest bit that differs is in the first byte that does
+        first = np.where(apart == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+        out[live] = np.minimum(size[live], step + first)
+        live = live[(apart == 0) & (size[live] > step + 8)]
         step += 8
-    return same
-
-
-def nodes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows data[start : start + size] in sorted order, and of each place in that order its node: windows of one
-    node are equal, byte by byte, and those of different nodes aren't."""
-    symbols = [words8(data, start).byteswap(), words8(data, start + 8).byteswap() if int(size.min(initial=16)) >= 16 else np.zeros(len(start), np.uint64)]
-    symbols.append(H.range_hashes(data, start, start + size))
-    order, run = multikey(symbols)
-    a, b = order[:-1], order[1:]
-    pair = np.flatnonzero(run[1:] == run[:-1])
-    apart = (size[a[pair]] != size[b[pair]]) | ~same_bytes(data, start[a[pair]], start[b[pair]], np.minimum(size[a[pair]], size[b[pair]]))
-    if apart.any():  # equal hashes of different strings: these runs are ordered by their bytes
-        wrong = np.unique(run[pair[apart]])
-        raw = data.tobytes()
+    return out
+
+
+def in_order(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The order of different strings data[start : start + size] by their bytes, by multikey quicksort with symbols of eight
+    bytes; a string comes before those that it begins."""
+    order = np.arange(len(start))
+    run, step = np.zeros(len(order), np.int64), 0
+    open_ = np.arange(len(order) if len(order) > 1 else 0)
+    while len(open_):
+        own = order[open_]
+        left = size[own] - step
+        symbol = words8(data, start[own] + np.minimum(step, size[own])).byteswap()
+        symbol &= np.where(left >= 8, ~np.uint64(0), ~(~np.uint64(0) >> (8 * np.clip(left, 0, 7)).astype(np.uint64)))
+        by = np.lexsort((np.minimum(left, 8), symbol, run[open_]))
+        order[open_], symbol, left = own[by], symbol[by], np.minimum(left[by], 8)
         new = np.zeros(len(order), bool)
         new[1:] = run[1:] != run[:-1]
-        for r in wrong.tolist():
-            i, j = np.searchsorted(run, [r, r + 1])
-            own = sorted(order[i:j].tolist(), key=lambda k: raw[start[k] : start[k] + size[k]])
-            order[i:j] = own
-            texts = [raw[start[k] : start[k] + size[k]] for k in own]
-            new[i + 1 : j] = [x != y for x, y in zip(texts[1:], texts)]
+        apart = np.zeros(len(open_), bool)
+        apart[1:] = (symbol[1:] != symbol[:-1]) | (left[1:] != left[:-1])
+        new[open_] |= apart
         run = np.cumsum(new)
-    return order, run
+        step += 8
+        many = np.bincount(run)[run[open_]] > 1
+        open_ = open_[many & (left >= 8)]
+    return order
+
+
+def nodes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows data[start : start + size] in the order of their bytes; of each place in that order its node: windows of one
+    node are equal, byte by byte, and those of different nodes aren't; and of each two neighbouring nodes how many bytes
+    they agree in: the depth of the inner node of the tree that parts them.
+
+    Windows of one hash and one size are brought together first; where neighbours among them aren't equal, which takes a
+    collision, the bytes alone part them. The order is then made of one window of each node."""
+    hashed = H.range_hashes(data, start, start + size)
+    order = np.lexsort((size, hashed))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashed[order][1:] != hashed[order][:-1]) | (size[order][1:] != size[order][:-1])
+    pair = np.flatnonzero(~new[1:])
+    a, b = order[:-1][pair], order[1:][pair]
+    if (agreement(data, start[a], start[b], size[a]) < size[a]).any():
+        raw, known = data.tobytes(), {}
+        of = np.array([known.setdefault(raw[i : i + n], len(known)) for i, n in zip(start.tolist(), size.tolist())], np.int64)
+        order = np.argsort(of, kind="stable")
+        new = np.append(True, of[order][1:] != of[order][:-1])[: len(order)]
+    heads = order[new]
+    place = np.empty(len(heads), np.int64)
+    sorted_heads = in_order(data, start[heads], size[heads])
+    place[sorted_heads] = np.arange(len(heads))
+    node = place[np.cumsum(new) - 1]
+    by = np.argsort(node, kind="stable")
+    heads = heads[sorted_heads]
+    common = agreement(data, start[heads[:-1]], start[heads[1:]], np.minimum(size[heads[:-1]], size[heads[1:]]))
+    return order[by], node[by], common
+
+
+def maximal_repeats(data: bytes, window: int) -> set[tuple[bytes, tuple[int, ...]]]:
+    """The maximal repeats of at least ``window`` bytes of a small text with all their places: inner nodes of the suffix tree that
+    deep, whose leaves don't all follow the same byte. For looking at what the groups find, not for their work."""
+    buffer = np.frombuffer(data, np.uint8)
+    start = np.arange(len(buffer))
+    order = in_order(buffer, start, len(buffer) - start)
+    depth = agreement(buffer, order[:-1], order[1:], len(buffer) - np.maximum(order[:-1], order[1:]))
+    out, open_ = set(), []  # open nodes: depth, and where their leaves begin in the order
+    for i, d in enumerate([*depth.tolist(), 0]):
+        first = i
+        while open_ and open_[-1][0] > d:
+            deep, first = open_.pop()
+            places = sorted(order[first : i + 1].tolist())
+            if len({data[p - 1 : p] for p in places}) > 1 or places[0] == 0:
+                out.add((data[places[0] : places[0] + deep], tuple(places)))
+        if d >= window and (not open_ or open_[-1][0] < d):
+            open_.append((d, first))
+    return out
 
 
 def settled(order: np.ndarray, run: np.ndarray, doc: np.ndarray | None, place: np.ndarray | None) -> np.ndarray:
@@ -192,47 +247,85 @@ class Repeats:
         self.made, self.part, self.window_bytes, self.finish = made, part, window_bytes, finish
         self.parts, self.later, self.hot = parts, later, hot
 
+    def text_parts(self, blocks: Blocks) -> np.ndarray:
+        return (blocks.text[blocks.texts, 0] % np.uint64(self.parts)).astype(np.int64)
+
+    def grams(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The batch's grams, where their texts begin, how many they are, and the grams' parts: behind those of texts."""
+        gram, first, n = np.unique(blocks.gram[blocks.texts], return_index=True, return_counts=True)  # texts are in the order of grams
+        return gram, first, n, self.parts + (H.mix(gram.copy()) % np.uint64(self.parts)).astype(np.int64)
+
     def ask_texts(self, batch: int, table: pa.Table) -> pa.Table:
         blocks, ids = self.made(table)
+        gram, begin, n, gram_part = self.grams(blocks)
 
-        def payload(i: np.ndarray) -> bytes:
+        def texts(i: np.ndarray) -> bytes:
             first = blocks.texts[i]
-            grams, n = np.unique(blocks.gram[first], return_counts=True)  # texts are in the order of grams
-            head = struct.pack("<II", len(grams), len(i)) + grams.astype("<u8").tobytes() + n.astype("<u4").tobytes()
             docs = ids[first].astype("<i8").tobytes() if self.later else b""
-            return head + np.packbits(blocks.times[i] > 1).tobytes() + blocks.text[first].astype("<u8").tobytes() + docs
+            return struct.pack("<I", len(i)) + np.packbits(blocks.times[i] > 1).tobytes() + blocks.text[first].astype("<u8").tobytes() + docs
+
+        def least(i: np.ndarray) -> bytes:
+            few = np.minimum(n[i], LEAST)
+            hashes = blocks.text[blocks.texts[spans(begin[i], few)], 0]  # the texts of a gram are in the order of their hashes
+            return struct.pack("<I", len(i)) + few.astype("u1").tobytes() + gram[i].astype("<u8").tobytes() + hashes.astype("<u8").tobytes()
 
-        return X.send(batch, self.part(blocks, blocks.texts), payload)
+        return pa.concat_tables([X.send(batch, self.text_parts(blocks), texts), X.send(batch, gram_part, least)])
 
-    def answer_texts(self, table: pa.Table) -> pa.Table:
-        """Four bits for each text: repeated, owned, of a gram with other texts, of a hot gram."""
-        grams, texts, more, docs, counts = [], [], [], [], []
+    def answer_texts(self, part: int, table: pa.Table) -> pa.Table:
+        return self.answer_grams(table) if part >= self.parts else self.answer_owners(table)
+
+    def answer_owners(self, table: pa.Table) -> pa.Table:
+        """Two bits for each text: repeated, owned."""
+        texts, more, docs, counts = [], [], [], []
         for x in table.column("payload"):
             x = x.as_buffer()
-            g, n = struct.unpack_from("<II", x)
-            at = 8 + 12 * g
-            grams.append(np.repeat(np.frombuffer(x, "<u8", g, 8), np.frombuffer(x, "<u4", g, 8 + 8 * g)))
-            more.append(np.unpackbits(np.frombuffer(x, np.uint8, -(-n // 8), at))[:n])
-            texts.append(np.frombuffer(x, "<u8", 2 * n, at - (-n // 8)).reshape(-1, 2))
-            docs.append(np.frombuffer(x, "<i8", n, at - (-n // 8) + 16 * n) if self.later else np.zeros(0, np.int64))
+            n = struct.unpack_from("<I", x)[0]
+            at = 4 - (-n // 8)
+            more.append(np.unpackbits(np.frombuffer(x, np.uint8, at - 4, 4))[:n])
+            texts.append(np.frombuffer(x, "<u8", 2 * n, at).reshape(-1, 2))
+            docs.append(np.frombuffer(x, "<i8", n, at + 16 * n) if self.later else np.zeros(0, np.int64))
             counts.append(n)
-        gram, text, more = np.concatenate(grams), np.concatenate(texts), np.concatenate(more).astype(bool)
+        text, more = np.concatenate(texts), np.concatenate(more).astype(bool)
         owner = np.concatenate(docs) if self.later else np.repeat(table.column("batch").to_numpy(), counts)
-        order = np.lexsort((owner, text[:, 1], text[:, 0], gram))
-        g, t = gram[order], text[order]
+        order = np.lexsort((owner, text[:, 1], text[:, 0]))
+        t = text[order]
         new = np.ones(len(order), bool)
-        new_gram = g[1:] != g[:-1]
-        new[1:] = new_gram | (t[1:] != t[:-1]).any(1)
+        new[1:] = (t[1:] != t[:-1]).any(1)
         which = np.cumsum(new) - 1
-        of_gram = np.cumsum(np.append(True, new_gram)[: len(order)]) - 1
-        kinds = np.bincount(of_gram, new, minlength=1)[of_gram]
-        planes = np.zeros((4, len(order)), bool)
-        planes[:, order] = (np.bincount(which)[which] > 1) | more[order], new, kinds > 1, kinds > self.hot
+        planes = np.zeros((2, len(order)), bool)
+        planes[:, order] = (np.bincount(which)[which] > 1) | more[order], new
         return X.answer(table, counts, *planes)
 
+    def answer_grams(self, table: pa.Table) -> pa.Table:
+        """Two bits for each gram: of several texts, of more than are kept together."""
+        grams, few, hashes, counts = [], [], [], []
+        for x in table.column("payload"):
+            x = x.as_buffer()
+            n = struct.unpack_from("<I", x)[0]
+            few.append(np.frombuffer(x, "u1", n, 4))
+            grams.append(np.frombuffer(x, "<u8", n, 4 + n))
+            hashes.append(np.frombuffer(x, "<u8", int(few[-1].sum()), 4 + 9 * n))
+            counts.append(n)
+        gram, few, hashed = np.concatenate(grams), np.concatenate(few).astype(np.int64), np.concatenate(hashes)
+        known, of = np.unique(gram, return_inverse=True)
+        own = np.repeat(of, few)
+        order = np.lexsort((hashed, own))
+        own, hashed = own[order], hashed[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (own[1:] != own[:-1]) | (hashed[1:] != hashed[:-1])
+        own, hashed = own[new], hashed[new]
+        n = np.bincount(own, minlength=len(known))
+        texts = n.astype(np.float64)  # all of them where they are few
+        many = np.flatnonzero(n >= LEAST)
+        nth = hashed[(np.cumsum(n) - n)[many] + LEAST - 1].astype(np.float64) / 2.0**64
+        texts[many] = np.maximum(LEAST, (LEAST - 1) / np.maximum(nth, 2.0**-64))
+        return X.answer(table, counts, n[of] > 1, texts[of] > self.hot)
+
     def routed(self, blocks: Blocks, codes: dict[int, bytes]) -> tuple[np.ndarray, ...]:
         """The answers (repeated, owned) by text, the blocks to send, and which of them are hot."""
-        repeated, owned, mixed, hot = X.answers(codes, self.part(blocks, blocks.texts), 4)
+        repeated, owned = X.answers(codes, self.text_parts(blocks), 2)
+        _, _, n, gram_part = self.grams(blocks)
+        mixed, hot = np.repeat(X.answers(codes, gram_part, 2), n, axis=1)
         asked = owned & mixed
         return repeated, owned, asked, hot[asked]
 
@@ -300,7 +393,7 @@ class Repeats:
             order, run = multikey([label[:, 0], label[:, 1]])
         else:
             start, size = self.window_bytes(data := np.concatenate(held), np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]))
-            order, run = nodes(data, start, size)
+            order, run, _ = nodes(data, start, size)
         return X.answer(table, counts, settled(order, run, doc, place))
 
     def flagged(self, table: pa.Table, first: dict[int, bytes], second: dict[int, bytes]) -> tuple[Blocks, np.ndarray]:
@@ -325,8 +418,8 @@ class Repeats:
         def one(key: tuple, table: pa.Table) -> pa.Table:
             return self.ask_texts(key[0].as_py(), table)
 
-        def told(table: pa.Table) -> pa.Table:
-            return self.answer_texts(table)
+        def told(key: tuple, table: pa.Table) -> pa.Table:
+            return self.answer_texts(key[0].as_py(), table)
 
         def two(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
             return self.ask_windows(key[0].as_py(), table, codes_of(told, 1))

@@ -4,8 +4,9 @@ Every run of ``window`` words is the label of a path of that depth in the suffix
 internal node lies at that depth or deeper. The tree is never built whole. Suffixes travel in blocks that share an anchor, a
 gram of ``GRAM`` words (see ``anchors``), and a block goes to the group of its anchor's prefix: of 1, 2, 4 or 8 words, the
 shortest whose group fits in memory (counted over all documents first); where none does, of the whole gram. In a group all
-suffixes of its blocks are sorted, and runs of equal ones are its subtree's internal nodes at depth ``window`` or deeper. The
-leaves of a node are the places of one repeat; all but the first, in (doc_id, start) order, are later copies. Their words go.
+suffixes of its blocks are sorted by their bytes, and the depth to which neighbours agree gives its subtree's internal nodes;
+those as deep as the window are its repeats. The leaves of a node are the places of one repeat; all but the first, in (doc_id,
+start) order, are later copies. Their words go.
 
 Equality is that of bytes; only blocks that are equal as a whole, and the windows of hot grams, are known by 128-bit hashes.
 Prefixes are counted in 4 tables of ``_BINS`` bins: from about 1,000 groups on (36 GiB of text), all bins are full and the

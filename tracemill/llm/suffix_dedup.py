@@ -2,8 +2,8 @@
 
 Every suffix is ordered by its first ``length`` bytes; a string of that length repeats where equal neighbours meet. Suffixes
 travel in blocks that share an anchor (see ``anchors``), since each by itself would be written hundreds of times the input.
-Sampled splitters range-partition the blocks by the leading eight bytes of their anchors, and a range's suffixes are sorted by
-multikey quicksort: two symbols of eight bytes, a hash of the rest, and a comparison of neighbours byte by byte.
+Sampled splitters range-partition the blocks by the leading eight bytes of their anchors. In a range the different suffixes are
+brought into the order of their bytes by multikey quicksort, and neighbours are compared byte by byte.
 
 Boundaries: equal strings have equal anchors, and a lead that fills several ranges is cut by the hash of its gram, so all
 blocks of a gram are in one range and equal strings never lie on both sides of a boundary: none is left to compare there. The
@@ -33,6 +33,7 @@ LENGTH = 400
 GRAM = 128
 PART_BYTES = 8 << 20
 SAMPLES = 16
+_SIGN = np.uint64(1 << 63)  # leads are unsigned, Spark's numbers aren't
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -53,10 +54,14 @@ def splitters(docs: DataFrame, parts: int, total: int, length: int, gram: int) -
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [int(b.lead(np.arange(1))[0]) for x in batch.column(0) for b in [_blocks([x.as_py()], length, gram)]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], ["lead"])
-
-    found = np.sort(np.array([r[0] for r in drawn.select(F.substring("data", at, F.lit(length)).alias("w")).mapInArrow(leads, "lead long").collect()], np.int64).view(np.uint64))
-    return found[np.linspace(0, len(found), parts + 1)[1:-1].astype(np.int64)] if len(found) else found
+            yield pa.RecordBatch.from_arrays([pa.array((np.array(out, np.uint64) ^ _SIGN).view(np.int64))], ["lead"])
+
+    found = drawn.select(F.substring("data", at, F.lit(length)).alias("w")).mapInArrow(leads, "lead long")
+    if parts == 1:
+        return np.zeros(0, np.uint64)
+    shares = [k / parts for k in range(1, parts)]
+    cuts = found.agg(F.percentile_approx("lead", shares, max(10_000, 4 * parts))).first()[0]  # quantiles are taken by Spark: one number a part
+    return np.array(cuts or [], np.int64).view(np.uint64) ^ _SIGN
 
 
 def range_of(cuts: np.ndarray, lead: np.ndarray, hashed: np.ndarray) -> np.ndarray:
