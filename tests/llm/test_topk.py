@@ -50,7 +50,7 @@ def test_empty_and_repeated(spark):
 
 def slab_of(v, ids):
     low, width, cells = topk.approximate(v)
-    return topk.Slab(v.shape[1], *(x.tobytes() for x in (ids, v, low, width, cells)))
+    return topk.Slab(v.shape[1], *(x.tobytes() for x in (ids, v, low, width, cells, np.ones(len(ids), np.int64))))
 
 
 def test_cells_bound_their_vectors():
@@ -76,6 +76,28 @@ def test_few_exact_vectors_are_read():
     slab.vectors = slab.vectors.view(Counted)
     got = list(topk.nearest(q, np.full(10, -1), slab, 5, 1024))
     assert sum(read) < 0.05 * 8192 * 10
-    for i, ids, scores in got:
+    for i, places, scores in got:
+        ids = slab.ids[places]
         want = sorted((-int(s), j) for j, s in enumerate(v @ q[i]))[:5]
         assert [(-s, j) for j, s in zip(ids.tolist(), scores.tolist())] == want
+
+
+def test_bounds_hold_in_single_precision():
+    """Wide values, whose products don't fit the digits of single precision."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-(1 << 30), 1 << 30, (200, 300))
+    q = rng.integers(-(1 << 20), 1 << 20, (20, 300))
+    centre, slack = slab_of(v, np.arange(200)).bounds(q, 0, 200)
+    assert (np.abs(q.astype(object) @ v.T.astype(object) - centre) <= slack[:, None]).all()
+
+
+def test_repeated_rows_are_one_candidate_many_times(spark, monkeypatch):
+    """A row that is there very often takes the place of one in its slab."""
+    monkeypatch.setattr(topk, "SLAB", 50)
+    rows = rows_of(120) + [(7777, [0.9] * 12)] * 500
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = [r for r in rows if r[0] is not None and r[0] % 20 == 0]
+    got = [tuple(r) for r in topk.search(vectors, vectors.filter("vec_id % 20 = 0"), 30).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, queries, 30)
+    slabs = topk._slabs(topk.usable(vectors, "vec_id", "embedding", 64).groupBy("id", "v").count().withColumnRenamed("count", "times"), 50, 150)
+    assert max(len(r.ids) // 8 for r in slabs.collect()) < 120
