@@ -237,6 +237,19 @@ def settled(order: np.ndarray, run: np.ndarray, doc: np.ndarray | None, place: n
     return out
 
 
+def _both(first: pa.Table, second: pa.Table, name: str) -> pa.Table:
+    """The bytes of two tables (batch, part, bytes) in one row a batch and part."""
+    one, two = ({(b, p): x for b, p, x in zip(*(c.to_pylist() for c in t.columns))} for t in (first, second))
+    keys = sorted(one.keys() | two.keys())
+    data = [struct.pack("<I", len(x := one.get(k, b""))) + x + two.get(k, b"") for k in keys]
+    return pa.table([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array(data, pa.binary())], ["batch", "part", name])
+
+
+def _parted(data: bytes) -> tuple[bytes, bytes]:
+    n = struct.unpack_from("<I", data)[0]
+    return data[4 : 4 + n], data[4 + n :]
+
+
 class Repeats:
     """The exchange. ``made`` turns a batch's table into its Blocks and the doc_id of each block; ``part`` gives the parts of
     blocks; ``window_bytes(data, sizes, numbers of windows)`` gives the starts and sizes of the windows of the texts that
@@ -251,9 +264,9 @@ class Repeats:
         return (blocks.text[blocks.texts, 0] % np.uint64(self.parts)).astype(np.int64)
 
     def grams(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The batch's grams, where their texts begin, how many they are, and the grams' parts: behind those of texts."""
+        """The batch's grams, where their texts begin, how many they are, and the grams' parts."""
         gram, first, n = np.unique(blocks.gram[blocks.texts], return_index=True, return_counts=True)  # texts are in the order of grams
-        return gram, first, n, self.parts + (H.mix(gram.copy()) % np.uint64(self.parts)).astype(np.int64)
+        return gram, first, n, (H.mix(gram.copy()) % np.uint64(self.parts)).astype(np.int64)
 
     def ask_texts(self, batch: int, table: pa.Table) -> pa.Table:
         blocks, ids = self.made(table)
@@ -269,19 +282,20 @@ class Repeats:
             hashes = blocks.text[blocks.texts[spans(begin[i], few)], 0]  # the texts of a gram are in the order of their hashes
             return struct.pack("<I", len(i)) + few.astype("u1").tobytes() + gram[i].astype("<u8").tobytes() + hashes.astype("<u8").tobytes()
 
-        return pa.concat_tables([X.send(batch, self.text_parts(blocks), texts), X.send(batch, gram_part, least)])
+        return _both(X.send(batch, self.text_parts(blocks), texts), X.send(batch, gram_part, least), "payload")
 
-    def answer_texts(self, part: int, table: pa.Table) -> pa.Table:
-        return self.answer_grams(table) if part >= self.parts else self.answer_owners(table)
+    def answer_texts(self, table: pa.Table) -> pa.Table:
+        first, second = (table.set_column(2, "payload", pa.array(x, pa.binary())) for x in zip(*map(_parted, table.column("payload").to_pylist())))
+        return _both(self.answer_owners(first), self.answer_grams(second), "codes")
 
     def answer_owners(self, table: pa.Table) -> pa.Table:
         """Two bits for each text: repeated, owned."""
         texts, more, docs, counts = [], [], [], []
         for x in table.column("payload"):
             x = x.as_buffer()
-            n = struct.unpack_from("<I", x)[0]
-            at = 4 - (-n // 8)
-            more.append(np.unpackbits(np.frombuffer(x, np.uint8, at - 4, 4))[:n])
+            n = struct.unpack_from("<I", x)[0] if len(x) else 0
+            at = min(len(x), 4) - (-n // 8)
+            more.append(np.unpackbits(np.frombuffer(x, np.uint8, -(-n // 8), min(len(x), 4)))[:n])
             texts.append(np.frombuffer(x, "<u8", 2 * n, at).reshape(-1, 2))
             docs.append(np.frombuffer(x, "<i8", n, at + 16 * n) if self.later else np.zeros(0, np.int64))
             counts.append(n)
@@ -301,12 +315,16 @@ class Repeats:
         grams, few, hashes, counts = [], [], [], []
         for x in table.column("payload"):
             x = x.as_buffer()
+            if not len(x):
+                counts.append(0)
+                continue
             n = struct.unpack_from("<I", x)[0]
             few.append(np.frombuffer(x, "u1", n, 4))
             grams.append(np.frombuffer(x, "<u8", n, 4 + n))
             hashes.append(np.frombuffer(x, "<u8", int(few[-1].sum()), 4 + 9 * n))
             counts.append(n)
-        gram, few, hashed = np.concatenate(grams), np.concatenate(few).astype(np.int64), np.concatenate(hashes)
+        none = np.zeros(0, np.uint64)
+        gram, few, hashed = np.concatenate([none, *grams]), np.concatenate([none, *few]).astype(np.int64), np.concatenate([none, *hashes])
         known, of = np.unique(gram, return_inverse=True)
         own = np.repeat(of, few)
         order = np.lexsort((hashed, own))
@@ -323,9 +341,10 @@ class Repeats:
 
     def routed(self, blocks: Blocks, codes: dict[int, bytes]) -> tuple[np.ndarray, ...]:
         """The answers (repeated, owned) by text, the blocks to send, and which of them are hot."""
-        repeated, owned = X.answers(codes, self.text_parts(blocks), 2)
+        told = {p: _parted(c) for p, c in codes.items()}
+        repeated, owned = X.answers({p: c[0] for p, c in told.items()}, self.text_parts(blocks), 2)
         _, _, n, gram_part = self.grams(blocks)
-        mixed, hot = np.repeat(X.answers(codes, gram_part, 2), n, axis=1)
+        mixed, hot = np.repeat(X.answers({p: c[1] for p, c in told.items()}, gram_part, 2), n, axis=1)
         asked = owned & mixed
         return repeated, owned, asked, hot[asked]
 
@@ -418,8 +437,8 @@ class Repeats:
         def one(key: tuple, table: pa.Table) -> pa.Table:
             return self.ask_texts(key[0].as_py(), table)
 
-        def told(key: tuple, table: pa.Table) -> pa.Table:
-            return self.answer_texts(key[0].as_py(), table)
+        def told(table: pa.Table) -> pa.Table:
+            return self.answer_texts(table)
 
         def two(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
             return self.ask_windows(key[0].as_py(), table, codes_of(told, 1))
