@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from tracemill.llm import near, simhash
 
@@ -104,3 +105,37 @@ def test_nulls_repeats_and_no_words(spark):
     assert got == {(5, 3), (3, 3), (None, None), (9, 7), (8, 7), (7, 7), (6, 6), (11, 6)}
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one(docs, similarity=0.8).collect()) == ["3", "6", "7", "None"]
     assert simhash.components(docs.limit(0), similarity=0.8).count() == 0
+
+
+def templated(n, own, rng, template=60):
+    """Texts that share the beginning and have ``own`` words of their own."""
+    head = " ".join(f"t{i}" for i in range(template))
+    return {i: f"{head} " + " ".join(f"o{x}" for x in rng.integers(0, 10**9, own)) for i in range(n)}
+
+
+def test_texts_of_one_template_never_meet(monkeypatch, spark):
+    """About half alike: they fill buckets together, but have no rare shingle in common. What is alike among them is found."""
+    rng, seen = np.random.default_rng(4), {}
+    rare, blocks = near._rare, near._blocks
+    monkeypatch.setattr(near, "_rare", lambda *a: seen.setdefault("rare", rare(*a)))
+    monkeypatch.setattr(near, "_blocks", lambda named, *a: seen.setdefault("met", []).append(named.count()) or blocks(named, *a))
+    texts = templated(1500, 56, rng)
+    for i in range(0, 200, 10):  # pairs at a little over 0.8
+        words = texts[i].split()
+        texts[5000 + i] = " ".join(words[:-10] + [f"e{x}" for x in rng.integers(0, 10**9, 8)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r[0]: r[1] for r in simhash.components(docs, similarity=0.8).select("doc_id", "component_id").collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i in texts}
+    buckets = {k for t in texts.values() for k in near.keys(near.shingles(t.encode())).tolist()}
+    assert len(buckets) < 0.98 * len(texts) * near.BANDS  # many share a key with others
+    assert seen["rare"].count() < 40 * 60 and seen["met"] == [0]
+
+
+@pytest.mark.parametrize("own", [8, 12, 16, 30])
+def test_templates_near_the_limit(spark, monkeypatch, own):
+    """From templates that are nearly all of a text to such that are less: the same links as by trying all pairs."""
+    monkeypatch.setattr(near, "_SMALL", 4)
+    monkeypatch.setattr(near, "_CHUNK", 16)
+    texts = templated(90, own, np.random.default_rng(own))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r[0]: r[1] for r in simhash.components(docs, similarity=0.8).select("doc_id", "component_id").collect()} == brute_labels(texts)
