@@ -126,3 +126,22 @@ def test_large_files_are_read_in_splits(spark, tmp_path):
         assert [(r.stream_id, r.line) for r in rows] == [(n, x) for n, _, x in want]
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_hot_stream_is_folded_by_spans(spark, monkeypatch):
+    """One stream has nearly all chunks; whatever the span, the message is the same, and no group of rows is larger than it."""
+    role, part = F.when(F.col("seq") % 700 == 3, F.concat(F.lit("r"), "seq")).otherwise(""), F.from_json(F.lit('[{"index":0,"function":{"arguments":"x"}},{"index":-1}]'), S.PARTS)
+    ids = spark.range(30_000).select(F.when(F.col("id") % 1000 == 7, "t").otherwise("s").alias("stream_id"), (F.col("id") * 3 - 5000).alias("seq"))
+    chunks = ids.select("stream_id", "seq", role.alias("role"), F.concat("seq", F.lit(",")).alias("content"), F.lit("").alias("reasoning_content"), F.when(F.col("seq") % 1500 == 1, part).alias("tool_calls")).repartition(5)
+    rows = chunks.collect()
+    want = {}
+    for k in ("s", "t"):
+        own = sorted((r for r in rows if r.stream_id == k), key=lambda r: r.seq)
+        n = sum(r.tool_calls is not None for r in own)
+        want[k] = ([r.role for r in own if r.role][-1] if any(r.role for r in own) else "", "".join(r.content for r in own), "x" * n, n, len(own))
+    for span in (4096, 10, 1 << 30):
+        monkeypatch.setattr(S, "SPAN", span)
+        out = S.assemble_messages(chunks)
+        assert {r.stream_id: (r.role, r.content, "".join(c.function.arguments for c in r.tool_calls), r.refused, r.n_chunks) for r in out.collect()} == want
+    text = S.assemble_messages(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(stream_id") == 2 and "span" in text

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracemill.jobs.fixtures import ctes, frame, plan_texts, sse_lines
+from tracemill.jobs.fixtures import ctes, frame, pieces, plan_texts, sse_lines
+from tracemill.functions.text import ordered_text
 from tracemill.operators import plans as P
 from tracemill.operators.streams import data_lines
 from tracemill.sources import files
@@ -52,24 +53,27 @@ def a4_file_inventory(spark, d):
 
 
 def a5_read_bounded_text(spark, d):
+    """The documents, in pieces of which none comes near the limit, written to files of a sixteenth of it on average; a file
+    over the limit, and paths that aren't allowed or not there."""
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    rows = table(spark, d, "documents").select(F.concat_ws(" ", "doc_id", F.regexp_replace("text", "\n", " ")).alias("value"))
-    # a file has a sixteenth of the limit on average, and only a single document near the limit raises it
-    length = F.octet_length("value").cast("long") + 1
-    size, longest = (x or 0 for x in rows.agg(F.sum(length), F.max(length)).first())
-    limit = files.MAX_BYTES if longest <= files.MAX_BYTES // 2 else files.MAX_BYTES + longest
-    rows.repartition(max(2, -(-16 * size // files.MAX_BYTES))).write.text(f"{folder}/docs")
+    limit = files.MAX_BYTES
+    documents = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", " ").alias("text"))
+    cut = documents.select("doc_id", F.posexplode_outer(pieces("text", limit // 64)).alias("i", "piece"))
+    rows = cut.select(F.concat("doc_id", F.lit(" "), F.coalesce("i", F.lit(0)), F.lit(" "), F.coalesce("piece", F.lit(""))).alias("value"))
+    size = rows.agg(F.sum(F.octet_length("value").cast("long") + 1)).first()[0] or 0
+    rows.repartition(max(2, -(-16 * size // limit))).write.text(f"{folder}/docs")
     spark.range(1).select(F.repeat(F.lit("x"), limit)).coalesce(1).write.text(f"{folder}/large")
     root = f"{folder}/"
     found = files.file_inventory(spark, folder).filter(F.col("name").endswith(".txt")).select(F.substring_index("path", root.rsplit("/", 2)[1] + "/", -1).alias("path"))
     wrong = spark.createDataFrame([("docs/../../outside.txt",), ("docs/none.txt",)], "path string")
     read = files.read_requested(spark, found.union(wrong), folder, limit)
-    told = F.regexp_replace("error", "[0-9]+ bytes.*", "refused")
-    lines = read.select("error", told.alias("told"), "path", F.explode_outer(F.split("content", "\n")).alias("line")).filter("error is not null or line <> ''")
+    part = F.split("line", " ", 3)
+    lines = read.filter("error is null").select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
+    texts = lines.select(part[0].cast("long").alias("doc_id"), part[1].cast("int").alias("i"), part[2].alias("piece")).groupBy("doc_id").agg(F.md5(ordered_text(F.col("i"), F.col("piece"))).alias("text_md5"))
     # a refused part of the documents is a failure of the query, any other refusal a row
     lost = F.raise_error(F.concat_ws(": ", "error", "path")).cast("string")
-    good = F.when(F.col("error").isNotNull() & F.col("path").rlike("^docs/part-"), lost).when(F.col("error").isNull(), F.md5(F.regexp_replace("line", "^[0-9]+ ", ""))).otherwise(F.col("told"))
-    return lines.select(F.split("line", " ")[0].cast("long").alias("doc_id"), good.alias("text_md5"))
+    told = F.when(F.col("path").rlike("^docs/part-"), lost).otherwise(F.regexp_replace("error", "[0-9]+ bytes.*", "refused"))
+    return texts.union(read.filter("error is not null").select(F.lit(None).cast("long"), told))
 
 
 def p1_trim_json_wrapper(spark, d):

@@ -25,6 +25,7 @@ from tracemill.sources.tables import CALL
 PREFIX = "data: "
 DONE = "[DONE]"
 MAX_CALLS = 1024
+SPAN = 4096
 PARTS = "array<struct<index:int,id:string,type:string,function:struct<name:string,arguments:string>>>"
 USAGE = "struct<prompt_tokens:decimal(20,0),completion:decimal(20,0),total_tokens:decimal(20,0)>"
 CHUNK = f"struct<choices:array<struct<index:int,delta:struct<role:string,content:string,reasoning_content:string,tool_calls:{PARTS}>,finish_reason:string,usage:{USAGE}>>>"
@@ -179,12 +180,19 @@ def stream_usage(chunks: DataFrame) -> DataFrame:
 
 def assemble_messages(chunks: DataFrame, streams: DataFrame | None = None, max_calls: int = MAX_CALLS) -> DataFrame:
     """(stream_id, role, content, reasoning_content, tool_calls, n_chunks, refused): deltas concatenated, the role the latest
-    one given, calls as ``fold_calls`` merges them. With ``streams``, those without chunks are empty assistant messages."""
-    order = F.col("seq")
-    parts = F.sort_array(F.collect_list(F.when(F.size("tool_calls") > 0, F.struct("seq", "tool_calls"))))
-    folded = chunks.groupBy("stream_id").agg(
-        _latest("role", order), ordered_text(order, F.col("content")).alias("content"), ordered_text(order, F.col("reasoning_content")).alias("reasoning_content"),
-        F.flatten(F.transform(parts, lambda r: r["tool_calls"])).alias("__parts"), F.count(F.lit(1)).alias("n_chunks"),
+    one given, calls as ``fold_calls`` merges them. With ``streams``, those without chunks are empty assistant messages.
+
+    Chunks are folded by spans of ``SPAN`` seqs first, and spans to messages then: of a stream of very many chunks no task holds
+    more rows than a span has, until the texts of its spans, which are the message, are joined."""
+    listed = lambda own: F.flatten(F.transform(F.sort_array(F.collect_list(own)), lambda r: r["parts"])).alias("parts")
+    seq, span = F.col("seq"), F.col("span")
+    some = F.when(F.size("tool_calls") > 0, F.struct("seq", F.col("tool_calls").alias("parts")))
+    spans = chunks.groupBy("stream_id", F.floor(seq / SPAN).alias("span")).agg(
+        _latest("role", seq), ordered_text(seq, F.col("content")).alias("content"), ordered_text(seq, F.col("reasoning_content")).alias("reasoning_content"), listed(some), F.count(F.lit(1)).alias("n")
+    )
+    folded = spans.groupBy("stream_id").agg(
+        _latest("role", span), ordered_text(span, F.col("content")).alias("content"), ordered_text(span, F.col("reasoning_content")).alias("reasoning_content"),
+        listed(F.when(F.size("parts") > 0, F.struct("span", "parts"))).alias("__parts"), F.sum("n").alias("n_chunks"),
     )
     folded = folded.select("stream_id", "role", "content", "reasoning_content", fold_calls(F.col("__parts"), max_calls).alias("tool_calls"), "n_chunks", count_refused(F.col("__parts"), max_calls).alias("refused"))
     if streams is None:
