@@ -18,7 +18,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_very_long_texts(spark):
     """A text of some megabytes among short ones goes whole through every operator."""
-    from tracemill.llm import langid, near, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts
+    from tracemill.llm import fingerprints, importance, langid, near, packing, quality, ranked, simhash, substring_dedup, suffix_dedup, token_counts
 
     long = " ".join(f"w{i * 7919 % 100003}" for i in range(400_000)) + "\nlast line"
     rows = [(1, "s", long, "en"), (2, "s", long + " and more", "en"), (3, "s", "short text here", "en"), (4, "s", None, "en"), (5, "s", "", "de")]
@@ -34,6 +34,12 @@ def test_very_long_texts(spark):
     assert by(simhash.components(docs))[2]["component_id"] == by(near.components(docs, 0.8))[2]["component_id"] == 1
     assert by(substring_dedup.remove_repeats(docs))[2]["n_removed"] == len(long.split())
     assert by(suffix_dedup.remove_repeats(docs))[1]["n_removed"] == len(long)
+    compared = by(fingerprints.compare_edited(docs))
+    assert compared[1]["n_chars"] == len(long) and compared[1]["near_next"] > 0.99 and compared[4]["n_chars"] == 0
+    drawn = by(importance.resample(docs, spark.createDataFrame([("w1 w2",)], "text string"), share=100))
+    assert drawn[1]["n_features"] == 2 * 400_002 - 1 and drawn[1]["rank"] and drawn[4]["n_features"] == 0
+    asked = spark.createDataFrame([(1, "line w7919 more")], "item_id long, text string")
+    assert [(r["rank"], r["doc_id"]) for r in ranked.search(ranked.build(docs), asked).orderBy("rank").collect()] == [(1, 2), (2, 1)]
     made = langid.fit(docs)
     assert sorted(made) == ["en"] and by(langid.predict(docs, made))[1]["lang_pred"] == "en"
     item = spark.createDataFrame([(7, long[1_500_000:1_500_300])], "item_id long, text string")

@@ -56,9 +56,22 @@ def test_bit_sliced_distances(radius):
     assert (got.astype(bool) == (np.bitwise_count(a[:, None] ^ a[None, :]) <= radius)).all()
 
 
-@pytest.mark.parametrize("bucket", [512, 8])
-def test_large_groups_of_near_copies(spark, monkeypatch, bucket):
+def test_finer_blocks_for_more_fingerprints():
+    """Whatever 3 bits differ, a mask leaves them out; more fingerprints get masks of more bits."""
+    rng = np.random.default_rng(8)
+    for count, tables, bits in ((0, 10, 25), (1 << 29, 10, 25), (1 << 30, 20, 31), (1 << 36, 20, 31), (1 << 37, 35, 36), (1 << 44, 35, 36)):
+        masks = [m & (1 << 64) - 1 for m in simhash._masks(3, count)]
+        assert len(masks) == tables and min(m.bit_count() for m in masks) >= bits
+        for _ in range(300):
+            apart = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+            assert any(not apart & m for m in masks)
+
+
+@pytest.mark.parametrize(("bucket", "count"), [(512, None), (8, None), (8, 1 << 33), (8, 1 << 40)])
+def test_large_groups_of_near_copies(spark, monkeypatch, bucket, count):
     monkeypatch.setattr(simhash, "_BUCKET", bucket)
+    masks = simhash._masks
+    monkeypatch.setattr(simhash, "_masks", lambda radius, n=0: masks(radius, count or n))
     monkeypatch.setattr(simhash, "_SMALL", 4)
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)

@@ -5,7 +5,8 @@ A document's fingerprint has a bit for each of 64 majorities over the hashes of
 
 Scale: equal fingerprints are one node, so a group of copies is one row before anything is compared. With 3 differing
 bits, two of five bit blocks are untouched: each distinct fingerprint goes to the 10 tables of block pairs and is compared
-within its bucket only. A bucket of over ``_BUCKET`` rows is dealt into chunks, and every pair of chunks is a bucket of its
+within its bucket only. Where there are so many fingerprints that buckets of these 25 bits would be large, blocks are finer: 3 of
+6 (32 bits, 20 tables), then 4 of 7 (36 bits, 35 tables), with the same links. A bucket of over ``_BUCKET`` rows is dealt into chunks, and every pair of chunks is a bucket of its
 own: nothing is dropped, and no task gets the whole. Within a bucket, bit planes stand vertically, 64 fingerprints a word;
 carry-save counters add one plane to all distances at once, and words whose 64 distances all exceed the radius are left.
 A bucket sends the spanning stars of its links only, never all pairs.
@@ -21,6 +22,7 @@ fingerprint and a null component_id; a very long text is hashed whole by one tas
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -169,17 +171,20 @@ def _links(radius: int):
     return stream
 
 
-def _masks(radius: int) -> list[int]:
-    """Masks of all choices of two among radius + 2 bit blocks, as signed longs."""
-    blocks = radius + 2
+def _masks(radius: int, count: int = 0) -> list[int]:
+    """Masks of all choices of the blocks that ``radius`` differing bits leave untouched, as signed longs: as few blocks as give
+    ``count`` fingerprints buckets of some ``_SMALL`` on average, and radius + 4 at most."""
+    for blocks in range(radius + 2, radius + 5):
+        if 64 * (blocks - radius) // blocks >= math.log2(max(1, count / _SMALL)):
+            break
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     own = [sum(1 << b for b in range(a, z)) for a, z in zip(cuts, cuts[1:])]
-    return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(own, 2))]
+    return [m - (1 << 64) if m >> 63 else m for m in map(sum, combinations(own, blocks - radius))]
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """nodes (fp distinct, node) -> edges (u, v) that connect what links connect."""
-    each = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks(radius))))
+    each = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks(radius, nodes.count()))))
     keyed = nodes.select("fp", "node", F.explode(each).alias("b")).select("fp", "node", "b.t", "b.key")
     hot = written(keyed.groupBy("t", "key").count().filter(F.col("count") > _BUCKET).select("t", "key", F.ceil(F.col("count") / _BUCKET).cast("int").alias("chunks")))
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
