@@ -39,6 +39,7 @@ def test_quality_draws_repeated_rows_once(spark):
     assert quality.sample(docs, labels, 10) == [(f"text {i}".encode(), i % 2) for i in range(1, 6)] + [(b"a", 1)]
     assert len(quality.sample(docs, labels, 2)) == 4
     assert [len(x) for x, _ in quality.sample(docs, labels, 10, 2 * 64)] == [1]  # texts of at most 2 bytes
+    assert [len(x) for x, _ in quality.sample(docs, labels, 10, max_text=2)] == [1]
 
 
 def test_features_do_not_depend_on_slices(monkeypatch):

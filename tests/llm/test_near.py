@@ -114,10 +114,10 @@ def templated(n, own, rng, template=60):
 
 
 def test_texts_of_one_template_never_meet(monkeypatch, spark):
-    """About half alike: they fill buckets together, but have no rare shingle in common. What is alike among them is found."""
+    """About half alike: they fill buckets together, but have less than 0.8 in common with all others together. What is alike among them is found."""
     rng, seen = np.random.default_rng(4), {}
-    rare, blocks = near._rare, near._blocks
-    monkeypatch.setattr(near, "_rare", lambda *a: seen.setdefault("rare", rare(*a)))
+    shared, blocks = near._shared, near._blocks
+    monkeypatch.setattr(near, "_shared", lambda *a: seen.setdefault("shared", shared(*a)))
     monkeypatch.setattr(near, "_blocks", lambda named, *a: seen.setdefault("met", []).append(named.count()) or blocks(named, *a))
     texts = templated(1500, 56, rng)
     for i in range(0, 200, 10):  # pairs at a little over 0.8
@@ -128,7 +128,7 @@ def test_texts_of_one_template_never_meet(monkeypatch, spark):
     assert got == {i: i - 5000 if i >= 5000 else i for i in texts}
     buckets = {k for t in texts.values() for k in near.keys(near.shingles(t.encode())).tolist()}
     assert len(buckets) < 0.98 * len(texts) * near.BANDS  # many share a key with others
-    assert seen["rare"].count() < 40 * 60 and seen["met"] == [0]
+    assert 2 <= seen["shared"].count() <= 40 and sum(seen.get("met", [])) < 40 * near.BANDS
 
 
 @pytest.mark.parametrize("own", [8, 12, 16, 30])

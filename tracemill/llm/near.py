@@ -8,13 +8,11 @@ on the whole sets of both documents (64-bit hashes of the shingles).
 
 Scale: equal sets are one node, so a group of copies is one row before anything is compared. Keys of one node are left.
 Where up to ``_SMALL`` nodes share a key, all their pairs are checked. A larger bucket is settled in two rounds: first each
-member is checked against one drawn for the bucket, in 8 of the bands. The members of buckets that these links leave apart,
-such as texts made from one template, are then joined by their rare shingles: sets that are alike share one of the first
-|x| - ceil(similarity |x|) + 1 shingles of each, in any one order of all shingles, and in the order of how many members have
-them these are rare ones, which a template isn't. Nothing that is alike is missed by this. Members with no such shingle in
-common never meet, so texts of their own cost what they hold. Few members of one shingle are checked pair by pair, more of them
-chunk against chunk, by tasks that hold the sets of two chunks and send a spanning forest of the links they found, never all
-pairs; members that are connected already don't meet again.
+member is checked against one drawn for the bucket, in 8 of the bands. The members of buckets that these links leave apart
+stay only if as much of their set as ``similarity`` says is in the sets of other members too, which two sets that are alike
+have in common; texts of one template with enough of their own go here, at the cost of what they hold, and nothing that is
+alike does. Every pair of those left in a bucket that isn't connected yet is checked, chunk against chunk, by tasks
+that hold the sets of two chunks and send a spanning forest of the links they found, never all pairs.
 
 Defined cases: letters A-Z are lowered, nothing else; words are split at space and 0x09-0x0D; fewer words than a shingle
 are one shingle; texts without words, and null texts, have the empty set, and equal sets are alike; repeated rows are one node; a very long text is hashed whole by one task; an
@@ -138,39 +136,32 @@ def _apart(named: DataFrame) -> DataFrame:
     return each.groupBy("key").agg(F.sum("count").alias("all"), F.max("count").alias("most"), F.max_by("label", F.struct("count", "label")).alias("main")).filter("all > most")
 
 
-def _rare(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, label, n): of each of the members (node, label) its first shingles, rare ones first, as many as two alike
-    sets must share one of; only those that another member has too. n is the size of its set."""
+def _shared(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The nodes of members (node) that may be alike to another: at least ``similarity`` of their shingles are in others too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 own = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1).slice(a, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).slice(a, 256).to_numpy(), [len(x) for x in own])), pa.array(np.concatenate(own))], ["node", "key"])
+                size = [len(x) for x in own]
+                columns = np.repeat(batch.column(0).slice(a, 256).to_numpy(), size), np.repeat(size, size).astype(np.int32), np.concatenate(own)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "n", "shingle"])
 
-    own = written(members.join(sets, "node"))
-    listed = own.select("node", "own").mapInArrow(run, "node long, key long")
-    common = listed.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = listed.join(common, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
-    n = (F.octet_length("own") / 8).cast("int")
-    first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-6)) + 1 - (F.col("n") - F.size("held"))  # shingles of one member come before these
-    some = own.select("node", "label", n.alias("n")).join(held, "node").withColumn("first", first.cast("int")).filter("first > 0")
-    return some.select("node", "label", "n", F.explode(F.slice("held", F.lit(1), F.col("first"))).alias("h")).select("h.key", "node", "label", "n")
+    listed = members.join(sets, "node").select("node", "own").mapInArrow(run, "node long, n int, shingle long")
+    common = written(listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    held = listed.join(common, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("n"))
+    return held.filter(F.col("held") + F.lit(1e-6) >= F.lit(similarity) * F.col("n")).select("node")
 
 
 def _left(large: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """Links (u, v) within the buckets (key, node) that ``roots`` leaves apart."""
     named = written(large.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", F.coalesce("v", "node").alias("label")))
-    members = written(named.join(_apart(named), "key", "left_semi").select("node", "label").distinct())
+    members = written(named.join(_apart(named), "key", "left_semi").select("node").distinct())
     if not members.limit(1).count():
         return None
-    rare = written(_rare(members, sets, similarity))
-    groups = written(_apart(rare))
-    few, many = (rare.join(groups.filter(c).select("key"), "key", "left_semi") for c in (F.col("all") <= _SMALL, F.col("all") > _SMALL))
-    one, two = (few.select("key", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), F.col("n").alias(f"n_{c}")) for c in ("u", "v"))
-    able = F.least("n_u", "n_v") + F.lit(1e-6) >= F.lit(similarity) * F.greatest("n_u", "n_v")
-    pairs = one.join(two, "key").filter((F.col("u") > F.col("v")) & (F.col("label_u") != F.col("label_v")) & able).select("u", "v").distinct()
-    return _checked(written(pairs), sets, similarity).union(_blocks(many.select("key", "node", "label"), groups.filter(F.col("all") > _SMALL), sets, similarity))
+    able = written(named.join(written(_shared(members, sets, similarity)), "node", "left_semi"))
+    groups = written(_apart(able))
+    return _blocks(able, groups, sets, similarity) if groups.limit(1).count() else None
 
 
 def _blocks(named: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -3,8 +3,8 @@
 Each word, word pair and byte n-gram of a text has a learned vector in a hashed table; a document is the mean of its
 vectors and goes through a softmax. A pair is hashed by the difference of its words, so that any immediate repetition is
 one feature. Training is numpy stochastic gradient descent over a bounded, documented sample of labelled rows: at most
-``per_class`` of each label in hash order, at most ``max_bytes`` of text, and no text of over ``max_text`` bytes, so that a few
-very long ones aren't all that is learned from. At scoring time the two-class softmax
+``per_class`` of each label in hash order, at most ``max_bytes`` of text, and no text of over ``max_text`` bytes (if not given, a
+64th of ``max_bytes``: 384 KiB), so that a few very long ones aren't all that is learned from. At scoring time the two-class softmax
 of a mean is the mean of one number per bucket, so every text is scored whole by table lookups, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no features and score the bias alone; labels that are null, neither 0 nor 1, or
@@ -32,7 +32,6 @@ EPOCHS = 6
 RATE = 2.0
 PER_CLASS = 2500
 MAX_BYTES = 24 << 20
-MAX_TEXT = 384 << 10
 THRESHOLD = 0.7
 _STEP = 1 << 18
 
@@ -90,11 +89,11 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, rate: float = RAT
     return Model((vectors @ (output[1] - output[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, max_text: int = MAX_TEXT) -> list[tuple[bytes, int]]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, max_text: int | None = None) -> list[tuple[bytes, int]]:
     """Texts and labels to train on; the bounds hold whatever the tables' size. Whole texts only."""
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("q_id")).agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other").select("q_id", F.col("label").cast("int").alias("label"))
     text = F.encode(F.col("text").cast("string"), "UTF-8")
-    short = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_text)).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"), text.alias("data"))
+    short = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= (max_bytes // 64 if max_text is None else max_text))).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"), text.alias("data"))
     # repeated rows are drawn once, so that many of one document don't take the places of others
     drawn = short.join(known, short["doc_id"] == known["q_id"]).groupBy("doc_id", "label").agg(F.min("size").alias("size")).withColumn("h", F.xxhash64("doc_id"))
     first = [drawn.filter(F.col("label") == label).orderBy("h", "doc_id").limit(per_class) for label in (0, 1)]
@@ -111,7 +110,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_b
     return [(bytes(data), picked[i]) for i, data in found.sort("doc_id").toLocalIterator()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, max_text: int = MAX_TEXT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, max_text: int | None = None) -> Model:
     """docs: the rows that may be learned from. Only text and quality are learned from; doc_id only joins and draws."""
     return train(sample(docs, labels, per_class, max_bytes, max_text))
 
