@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import contains_like, fold
+from tracemill.functions.text import contains_like, fold, let
 from tracemill.operators.memory import RECALL, recall_topk
 
 GRAM = 3
@@ -42,7 +42,7 @@ def build_recall_index(messages: DataFrame) -> DataFrame:
     the seq, plus 1 for the reasoning."""
     texts = F.array(*[F.struct((F.col("seq") * 2 + i).alias("place"), F.col(c).alias("text")) for i, c in enumerate(_FIELDS)])
     rows = messages.select("session_id", F.floor(F.col("seq") / BLOCK).alias("block"), F.explode(texts).alias("t")).filter("t.text is not null")
-    held = rows.select("session_id", "block", "t.place", F.explode(trigrams(fold(F.col("t.text")))).alias("gram"))
+    held = rows.select("session_id", "block", "t.place", F.explode(let(fold(F.col("t.text")), trigrams)).alias("gram"))
     return held.groupBy("session_id", "block", "gram").agg(F.collect_set("place").alias("places"))
 
 
