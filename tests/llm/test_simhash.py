@@ -4,9 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tracemill.llm import components, queries, simhash
+from tracemill.llm import components, near, queries, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -120,3 +121,17 @@ def test_keep_one_of_similar_documents(spark):
     assert all(label[i] == label[c] for i, c in exact.items())
     kept = {r[0] for r in simhash.keep_one(docs, similarity=0.8).collect()}
     assert kept == {i for i, c in label.items() if i == c}
+
+
+def test_similar_documents_meet_by_their_fingerprints(spark, monkeypatch):
+    """Where no two documents share a band, those of one or nearly one fingerprint are still linked, if they are alike."""
+    rng = np.random.default_rng(7)
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 900)]
+    texts = {4: " ".join(words), 2: " ".join(words[:-5] + ["end"] * 5), 9: " ".join(words).upper(), 6: "again " * 300 + " ".join(words[:60]), 7: "again " * 300 + " ".join(words[100:160])}
+    prints = {i: brute_print(t) for i, t in texts.items()}
+    assert 0 < (prints[4] ^ prints[2]).bit_count() <= 3 and prints[6] == prints[7]
+    prints_of = near._prints
+    monkeypatch.setattr(near, "_prints", lambda docs: prints_of(docs).withColumn("keys", F.array().cast("array<bigint>")))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r[0]: r[1] for r in simhash.components(docs, similarity=0.8).collect()} == {4: 2, 2: 2, 9: 2, 6: 6, 7: 7}
+    assert {r[0]: r[1] for r in near.components(docs, 0.8).collect()} == {4: 4, 2: 2, 9: 4, 6: 6, 7: 7}

@@ -1,7 +1,8 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least ``similarity``, and what
 such links connect.
 
-Candidates come from MinHash bands: 32 keys a document, each of the minima of 5 hash functions over its shingles. Two
+Pairs given as ``first`` (``simhash`` gives those its fingerprints link) are tried first; what they leave apart meets by MinHash
+bands: 32 keys a document, each of the minima of 5 hash functions over its shingles. Two
 documents of similarity s share a key with a chance of 1 - (1 - s**5)**32, which doesn't depend on how many there are: all
 but 3 in a million pairs at 0.8, and fewer are missed above. No fingerprint, sketch or estimate decides: each link is taken
 on the whole sets of both documents (64-bit hashes of the shingles).
@@ -201,21 +202,40 @@ def _blocks(named: DataFrame, groups: DataFrame, sets: DataFrame, similarity: fl
     return dealt.join(sets, "node").select("block", "node", "label", "own").repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
 
 
-def components(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, component_id: the least doc_id that links lead to."""
+def _tried(prints: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs of nodes (u, v), u > v, of pairs of documents (u, v)."""
+    of = prints.filter("doc_id is not null").join(nodes.select("same", "node"), "same").select("doc_id", "node").distinct()
+    one, two = (of.select(F.col("doc_id").alias(c), F.col("node").alias(n)) for c, n in (("u", "a"), ("v", "b")))
+    return first.join(one, "u").join(two, "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+
+
+def components(docs: DataFrame, similarity: float, first: DataFrame | None = None) -> DataFrame:
+    """doc_id, component_id: the least doc_id that links lead to. ``first`` holds pairs of doc_ids (u, v) that are tried before
+    the bands, which then leave out what the links among these connect."""
     prints = written(_prints(docs))
     nodes = written(prints.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").count().filter("count > 1"))
     buckets = written(keyed.join(shared, "key").select("key", "node", "count"))
-    sets = written(_sets(docs, written(buckets.select("node").distinct())))
-    small, large = buckets.filter(F.col("count") <= _SMALL), buckets.filter(F.col("count") > _SMALL).select("key", "node")
-    pairs = small.select("key", F.col("node").alias("u")).join(small.select("key", F.col("node").alias("v")), "key").filter("u > v").select("u", "v")
+    met = buckets.select("node")
+    tried = None if first is None else written(_tried(prints, nodes, first))
+    if tried is not None:
+        met = met.union(tried.select(F.explode(F.array("u", "v"))))
+    sets = written(_sets(docs, written(met.distinct())))
+    roots = None if tried is None else stars(_checked(tried, sets, similarity))
+    if roots is not None:
+        labelled = written(buckets.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", "count", F.coalesce("v", "node").alias("label")))
+    else:
+        labelled = buckets.withColumn("label", F.col("node"))
+    small, large = labelled.filter(F.col("count") <= _SMALL), labelled.filter(F.col("count") > _SMALL).select("key", "node", "label")
+    one, two = (small.select("key", F.col("node").alias(n), F.col("label").alias(c)) for n, c in (("u", "a"), ("v", "b")))
+    pairs = one.join(two, "key").filter("u > v and a <> b").select("u", "v")
     some = large.filter(F.col("key").bitwiseAND(BANDS - 1) < _FIRST)
-    drawn = written(some.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("v")))
-    stars_of = some.join(drawn, "key").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).filter("u <> v")
-    roots = stars(_checked(written(pairs.union(stars_of).distinct()), sets, similarity))
-    if (more := _left(large, roots, sets, similarity)) is not None:
+    drawn = written(some.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "key")).alias("d")).select("key", F.col("d.node").alias("v"), F.col("d.label").alias("b")))
+    stars_of = some.join(drawn, "key").filter("label <> b").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).filter("u <> v")
+    found = _checked(written(pairs.union(stars_of).distinct()), sets, similarity)
+    roots = stars(found if roots is None else roots.union(found))
+    if (more := _left(large.select("key", "node"), roots, sets, similarity)) is not None:
         roots = stars(roots.union(more))
     named = written(nodes.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").select("same", F.coalesce("v", "node").alias("component_id")))
     return prints.join(named, "same", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -11,8 +11,9 @@ own: nothing is dropped, and no task gets the whole. Within a bucket, bit planes
 carry-save counters add one plane to all distances at once, and words whose 64 distances all exceed the radius are left.
 A bucket sends the spanning stars of its links only, never all pairs.
 
-With a ``similarity``, ``components`` and ``keep_one`` go by ``near`` instead: fingerprints three bits apart don't tell
-whether documents share that much of their shingles, and many that do are further apart.
+With a ``similarity``, links of fingerprints are candidates: fingerprints three bits apart don't tell whether documents share that
+much of their shingles, so ``near`` takes each on the whole sets. Many that do share as much are further apart than any
+radius finds: those are left to the bands of ``near``, which leave out what fingerprints have connected.
 
 Defined cases: letters A-Z are lowered, nothing else; words are split at space and 0x09-0x0D; fewer words than a shingle
 are one shingle; no words or a null text give fingerprint zero, which links like any other; rows with a null doc_id get a
@@ -197,13 +198,27 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_links(radius), "u long, v long")
 
 
+def _nodes(prints: DataFrame) -> DataFrame:
+    """(fp, node): distinct fingerprints with their least doc_id."""
+    return prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
+
+
+def candidates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """Pairs of doc_ids (u, v) that connect what fingerprints link: each document and the least of its fingerprint, and the stars
+    of ``links``."""
+    prints = written(fingerprints(docs, shingle, seed))
+    nodes = written(_nodes(prints))
+    own = prints.join(nodes, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).filter("u <> v")
+    return own.union(links(nodes, radius)).distinct()
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, similarity: float | None = None) -> DataFrame:
     """doc_id, fp (signed long), component_id: the least doc_id that links lead to. With ``similarity``, (doc_id,
-    component_id) by the links of ``near`` alone."""
+    component_id) by links of at least that similarity, those of ``candidates`` first and then those that ``near`` finds."""
     if similarity is not None:
-        return near.components(docs, similarity)
+        return near.components(docs, similarity, written(candidates(docs, shingle, radius, seed)))
     prints = written(fingerprints(docs, shingle, seed))
-    nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = written(_nodes(prints))
     roots = stars(links(nodes, radius))
     named = written(nodes.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").select("fp", F.coalesce("v", "node").alias("component_id")))
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
