@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,18 @@ def test_a_hot_stream_is_folded_by_spans(spark, monkeypatch):
         assert {r.stream_id: (r.role, r.content, "".join(c.function.arguments for c in r.tool_calls), r.refused, r.n_chunks) for r in out.collect()} == want
     text = S.assemble_messages(chunks)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(stream_id") == 2 and "span" in text
+
+
+def test_lines_of_a_task_are_one_row_a_stream(monkeypatch):
+    """Whatever the batches, and with lines that aren't chunks."""
+    fields = ("seq", "role", "content", "reasoning_content", "parts", "stop")
+    rows = [{"stream_id": f"s{i % 3}", "seq": i, "ms": 1000 - i, "done": i in (40, 43, 70), "is_chunk": i % 4 > 0, "chunk": dict(zip(fields, (i, "", f"c{i}", "", None, i == 5)))} for i in range(90)]
+    schema = pa.schema([("stream_id", pa.string()), ("seq", pa.int64()), ("ms", pa.int64()), ("done", pa.bool_()), ("is_chunk", pa.bool_()), ("chunk", pa.struct([("seq", pa.int64()), *((f, pa.string()) for f in fields[1:5]), ("stop", pa.bool_())]))])
+    batches = pa.Table.from_pylist(rows[::-1], schema).to_batches(max_chunksize=7)
+    out = [r for b in assemble._packed(iter(batches)) for r in b.to_pylist()]
+    assert [(r["stream_id"], r["ms"], r["end"]) for r in out] == [("s0", 1000, None), ("s1", 999, 40), ("s2", 998, None)]
+    assert [[c["seq"] for c in r["chunks"]] for r in out] == [[i for i in range(90) if i % 3 == k and i % 4] for k in range(3)]
+    monkeypatch.setattr(assemble, "PACK", 10)
+    few = [r for b in assemble._packed(iter(batches)) for r in b.to_pylist()]
+    assert len(few) <= 24 and sorted(c["seq"] for r in few for c in r["chunks"]) == [i for i in range(90) if i % 4]
+    assert not list(assemble._packed(iter([batches[0].slice(0, 0)])))

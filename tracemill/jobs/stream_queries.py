@@ -13,6 +13,9 @@ from tracemill.sources.shared import shared_dir
 from tracemill.sources.tables import read_sse_lines, table, write_sse_lines
 from tracemill.streaming import assemble
 
+#: Files that a batch of the live fold takes: with 8, streams of a large feed came into many batches each.
+FILES = 64
+
 
 def _chunks(spark, d):
     return S.parse_sse(sse_lines(spark, d))
@@ -67,23 +70,26 @@ def _folder(spark):
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def _delivered(spark, d, folder, first, last):
-    """Deliveries of the feed, one after another, as timed lines: seqs below 5, 41, 1001, all others, and what comes after
-    [DONE] two hours later. Every seventh conversation's streams just stop, without [DONE] and what comes after it."""
+def _deliveries(spark, d):
+    """The feed in deliveries (k), written once: seqs below 5, 41, 1001, all others, and what comes after [DONE] two hours
+    later. Every seventh conversation's streams just stop, without [DONE] and what comes after it."""
     seq, ends = F.col("seq"), F.split("stream_id", "_")[0].cast("long") % 7 != 3
     number = F.when(seq < 5, 0).when(seq < 41, 1).when(seq < 1001, 2).when(seq <= 1 << 40, 3).otherwise(4)
     lines = sse_lines(spark, d).filter(ends | (seq < 1 << 40)).withColumn("k", number)
     timed = lines.withColumn("time", F.timestamp_seconds(1704067200 + F.when(F.col("k") == 4, 7200).otherwise(F.col("k") * 60)))
-    for k in range(first, last):
-        write_sse_lines(timed.filter(F.col("k") == k), f"{folder}/feed", "append", timed=True)
+    folder = _folder(spark)
+    timed.write.partitionBy("k").parquet(folder)
+    return spark.read.schema(timed.schema).parquet(folder)
 
 
 def _live(spark, d, **options):
     """The live fold over two starts; what comes after [DONE] is there for the second one only."""
-    folder = _folder(spark)
-    for first, last in ((0, 4), (4, 5)):
-        _delivered(spark, d, folder, first, last)
-        assemble.run_once(assemble.assemble_messages_streaming(read_sse_lines(spark, f"{folder}/feed", live=True, timed=True), **options), f"{folder}/out", f"{folder}/state")
+    folder, lines = _folder(spark), _deliveries(spark, d)
+    for delivered in (range(4), range(4, 5)):
+        for k in delivered:
+            write_sse_lines(lines.filter(F.col("k") == k), f"{folder}/feed", "append", timed=True)
+        feed = read_sse_lines(spark, f"{folder}/feed", live=True, files_per_trigger=FILES, timed=True)
+        assemble.run_once(assemble.assemble_messages_streaming(feed, **options), f"{folder}/out", f"{folder}/state")
     return spark.read.schema(assemble.OUT).parquet(f"{folder}/out")
 
 

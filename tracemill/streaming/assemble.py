@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -14,14 +18,48 @@ from tracemill.sources.tables import CALL
 
 OUT = f"stream_id string, role string, content string, reasoning_content string, tool_calls array<{CALL}>, n_chunks long, refused long, last_seq long, complete boolean, cancelled boolean"
 FOLDED = "stream_id string, role string, content string, reasoning_content string, parts string, n_chunks long, last_seq long, complete boolean, cancelled boolean"
-KEPT = "seq long, role string, content string, reasoning_content string, parts string, stop boolean"
+CHUNK = "seq:long,role:string,content:string,reasoning_content:string,parts:string,stop:boolean"
+PACKED = f"stream_id string, ms long, end long, chunks array<struct<{CHUNK}>>"
+KEPT = "pack string"
 STATUS = "open boolean, last long, due long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MINUTE = 60_000
+PACK = 1 << 17
+PACK_BYTES = 1 << 25
+NEVER = np.iinfo(np.int64).max
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one line each to rows of one stream each, with its chunks as a list: a combiner in front of the shuffle, so that
+    the fold gets a row for some thousand lines of a task and not for each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PACK or sum(b.nbytes for b in held) >= PACK_BYTES:
+            yield _pack(held)
+            held = []
+    if any(b.num_rows for b in held):
+        yield _pack(held)
+
+
+def _pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held).combine_chunks().sort_by([("stream_id", "ascending"), ("seq", "ascending")]).combine_chunks()
+    runs = pc.run_end_encode(rows["stream_id"].combine_chunks(), pa.int32())
+    ends = runs.run_ends.to_numpy()
+    starts = np.append(0, ends[:-1])
+    chunk_at = rows["is_chunk"].combine_chunks()
+    before = np.append(0, np.cumsum(chunk_at.to_numpy(zero_copy_only=False)))
+    fields = [f.name for f in rows.schema.field("chunk").type]
+    own = pa.StructArray.from_arrays([rows["chunk"].combine_chunks().field(i).filter(chunk_at) for i in range(len(fields))], fields)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(before[starts], before[-1]), pa.int32()), own)
+    done = rows["done"].combine_chunks().to_numpy(zero_copy_only=False)
+    end = np.minimum.reduceat(np.where(done, rows["seq"].to_numpy(), NEVER), starts)
+    newest = np.maximum.reduceat(rows["ms"].to_numpy(), starts)
+    return pa.RecordBatch.from_arrays([runs.values, pa.array(newest), pa.array(end, mask=end == NEVER), lists], ["stream_id", "ms", "end", "chunks"])
 
 
 class _Fold(StatefulProcessor):
-    """An open stream has its chunks in a list that grows by what comes in, and a timer that its newest line moves. Once its
+    """An open stream has its packs of chunks in a list that grows by what comes in, and a timer that its newest line moves. Once its
     message is sent, a mark stays in place of the list, so that later lines are known to be late, until its own timer."""
 
     def __init__(self, idle_ms: int, keep_ms: int):
@@ -30,7 +68,7 @@ class _Fold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.status = handle.getValueState("status", STATUS)
-        self.chunks = handle.getListState("chunks", KEPT)
+        self.packs = handle.getListState("packs", KEPT)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         found = self.status.get()
@@ -39,24 +77,24 @@ class _Fold(StatefulProcessor):
             return
         new, end, stopped = [], None, False
         for r in rows:
-            last = max(last, int(r.time.timestamp() * 1000))
-            if r.done:
-                end = r.seq if end is None else min(end, r.seq)
-            elif r.role is not None:
-                new.append((r.seq, r.role, r.content, r.reasoning_content, r.parts, r.stop))
-                stopped = stopped or r.stop
+            last = max(last, r.ms)
+            if r.end is not None:
+                end = r.end if end is None else min(end, r.end)
+            if r.pack != "[]":
+                new.append(r.pack)
+                stopped = stopped or r.stopped
         if end is None and not stopped:
             if new:
-                self.chunks.appendList(new)
+                self.packs.appendList([(p,) for p in new])
             self._wait(True, last, last + self.idle_ms, due)
             return
-        yield self._message(key[0], (list(self.chunks.get()) if found else []) + new, end)
+        yield self._message(key[0], ([r[0] for r in self.packs.get()] if found else []) + new, end)
         self._close(last, due, bool(found))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
         is_open, last, due = self.status.get() or (False, 0, None)
         if is_open:
-            yield self._message(key[0], list(self.chunks.get()), None)
+            yield self._message(key[0], [r[0] for r in self.packs.get()], None)
             self._close(last + self.idle_ms, None, True)
         else:
             self.status.clear()
@@ -70,18 +108,20 @@ class _Fold(StatefulProcessor):
 
     def _close(self, at: int, due: int | None, stored: bool) -> None:
         if stored:
-            self.chunks.clear()
+            self.packs.clear()
         self._wait(False, at, at + self.keep_ms, due)
 
     @staticmethod
-    def _message(stream_id: str, rows: list[tuple], end: int | None) -> Row:
-        own = sorted((tuple(r) for r in rows if end is None or r[0] < end), key=lambda r: r[0])
-        at = next((i for i, r in enumerate(own) if r[5]), None)
+    def _message(stream_id: str, packs: list[str], end: int | None) -> Row:
+        rows = (r for pack in packs for r in json.loads(pack))
+        own = sorted((r for r in rows if end is None or r["seq"] < end), key=lambda r: r["seq"])
+        at = next((i for i, r in enumerate(own) if r["stop"]), None)
         own = own if at is None else own[: at + 1]
-        role = next((r[1] for r in reversed(own) if r[1]), "" if own else "assistant")
-        parts = ",".join(r[4][1:-1] for r in own if r[4] and len(r[4]) > 2)
-        last = own[-1][0] if own else None
-        return Row(stream_id=stream_id, role=role, content="".join(r[2] for r in own), reasoning_content="".join(r[3] for r in own), parts=f"[{parts}]", n_chunks=len(own), last_seq=last, complete=at is None and end is not None, cancelled=at is not None)
+        role = next((r["role"] for r in reversed(own) if r["role"]), "" if own else "assistant")
+        parts = ",".join(p[1:-1] for r in own if len(p := r.get("parts") or "") > 2)
+        text = {c: "".join(r[c] for r in own) for c in ("content", "reasoning_content")}
+        last = own[-1]["seq"] if own else None
+        return Row(stream_id=stream_id, role=role, **text, parts=f"[{parts}]", n_chunks=len(own), last_seq=last, complete=at is None and end is not None, cancelled=at is not None)
 
 
 def assemble_messages_streaming(
@@ -96,14 +136,18 @@ def assemble_messages_streaming(
 
     Lines that come later are ignored, as a reader that has gone doesn't read them: a mark of a few bytes stays for
     ``keep_ms`` of event time. After that, a line of the same stream begins a new one, so ``keep_ms`` should span how late
-    lines come. Event time is the newest ``time`` of all streams less ``delay``; lines older than it are dropped by the engine.
+    lines come. Event time is the newest ``time`` of all streams less ``delay``; lines older than it are dropped by the engine,
+    unless a newer line of their stream came with them: lines of a stream that one task reads go to the fold as one row.
     All timers are on event time, so a query that is triggered for what is available now ends. State holds the chunks of open
-    streams, each written once, and marks; it needs RocksDB (see ``run_once``).
+    streams, in packs that are written once, and marks; it needs RocksDB (see ``run_once``).
     """
-    rows = data_lines(lines, "time").withWatermark("time", delay).withColumn("c", chunk(F.col("data")))
-    halted = F.when(F.col("c").isNotNull(), F.coalesce(stop, F.lit(False))) if stop is not None else F.lit(False)
-    flat = rows.select("stream_id", "seq", "time", F.col("data"), *(F.col(f"c.{c}").alias(c) for c in ("role", "content", "reasoning_content", "tool_calls", "finish_reason", "usage")), "c")
-    chunks = flat.select("stream_id", "seq", "time", (F.col("data") == DONE).alias("done"), "role", "content", "reasoning_content", F.to_json("tool_calls").alias("parts"), F.coalesce(halted, F.lit(False)).alias("stop"))
+    rows = data_lines(lines, "time").withColumn("c", chunk(F.col("data")))
+    halted = F.coalesce(stop, F.lit(False)) if stop is not None else F.lit(False)
+    flat = rows.select("stream_id", "seq", F.unix_millis("time").alias("ms"), "data", *(F.col(f"c.{c}").alias(c) for c in ("role", "content", "reasoning_content", "tool_calls", "finish_reason", "usage")), "c")
+    kept = F.struct("seq", "role", "content", "reasoning_content", F.to_json("tool_calls").alias("parts"), halted.alias("stop"))
+    each = flat.select("stream_id", "seq", "ms", (F.col("data") == DONE).alias("done"), F.col("role").isNotNull().alias("is_chunk"), kept.alias("chunk"))
+    packs = each.mapInArrow(_packed, PACKED).withColumn("time", F.timestamp_millis("ms")).withWatermark("time", delay)
+    chunks = packs.select("stream_id", "time", "ms", "end", F.exists("chunks", lambda c: c["stop"]).alias("stopped"), F.to_json("chunks").alias("pack"))
     folded = chunks.groupBy("stream_id").transformWithState(_Fold(idle_ms, keep_ms), FOLDED, "Append", "EventTime")
     parts = F.from_json("parts", PARTS)
     calls = fold_calls(parts, max_calls).cast(f"array<{CALL}>").alias("tool_calls")
