@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.jobs import stream_queries
 from tracemill.jobs.fixtures import BAD_CHUNKS
 from tracemill.operators import streams as S
 from tracemill.sources import tables
@@ -161,3 +162,9 @@ def test_lines_of_a_task_are_one_row_a_stream(monkeypatch):
     few = [r for b in assemble._packed(iter(batches)) for r in b.to_pylist()]
     assert len(few) <= 24 and sorted(c["seq"] for r in few for c in r["chunks"]) == [i for i in range(90) if i % 4]
     assert not list(assemble._packed(iter([batches[0].slice(0, 0)])))
+
+
+def test_streamed_answers_are_folded_once(spark):
+    """Of the plan that gives the history, only the users' messages read the conversations, in two places."""
+    plan = stream_queries.w2_stream_to_history(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in x and "conv_id" in x for x in plan.splitlines()) == 2

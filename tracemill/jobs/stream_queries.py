@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.jobs.fixtures import frame, sse_lines, tool_deltas
 from tracemill.operators import memory, messages, tools
 from tracemill.operators import streams as S
-from tracemill.sources.shared import shared_dir
+from tracemill.sources.shared import shared_dir, written
 from tracemill.sources.tables import read_sse_lines, table, write_sse_lines
 from tracemill.streaming import assemble
 
@@ -112,7 +112,8 @@ def s10_fan_out(spark, d):
 
 def w2_stream_to_history(spark, d):
     """Streamed answers to full messages, their calls to results, and both behind the users' messages of the conversation."""
-    said = S.assemble_messages(_chunks(spark, d)).withColumn("session_id", F.split("stream_id", "_")[0]).withColumn("turn", F.split("stream_id", "_")[1].cast("long") * 10_000)
+    # three joins and unions read it: written, so that lines are parsed and folded once
+    said = written(S.assemble_messages(_chunks(spark, d))).withColumn("session_id", F.split("stream_id", "_")[0]).withColumn("turn", F.split("stream_id", "_")[1].cast("long") * 10_000)
     calls = tools.explode_tool_calls(said.select("stream_id", "tool_calls")).select(F.col("stream_id").alias("session_id"), F.col("ord").cast("long").alias("seq"), "call.id", "call.function.name", "call.function.arguments")
     registry = spark.createDataFrame([("search",)], "name string")
     results = tools.execute_calls(calls.withColumnRenamed("id", "call_id"), registry, {"search": F.concat(F.lit('{"got":'), "arguments", F.lit("}"))})
