@@ -35,7 +35,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: those linked by 0.8 of their five-word shingles."""
+    """The first document of each group of near copies: those linked by 0.8 of their five-word shingles. Candidates are the
+    documents whose SimHash fingerprints link; copies that are further apart than their radius meet by MinHash bands."""
     return simhash.keep_one(docs, similarity=SIMILARITY)
 
 
