@@ -1,5 +1,6 @@
 """Recall through trigrams against recall that tries every message."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,44 @@ def test_empty_tables(spark):
     index = R.build_recall_index(m.limit(0))
     assert R.recall_indexed(index, m.limit(0), q).count() == 0
     assert R.recall_indexed(R.build_recall_index(m), m, q.limit(0)).count() == 0
+
+
+def test_a_row_of_the_index_is_a_page(spark):
+    m = frame(spark, DATA, "messages")
+    index = R.build_recall_index(m)
+    pages = m.select("session_id", F.floor(F.col("seq") / R.PAGE)).distinct().count()
+    assert index.count() <= pages + spark.sparkContext.defaultParallelism < m.count()
+
+
+def test_pages_in_several_rows_and_repeated_messages(spark):
+    m, q = tables(spark)
+    m = m.unionByName(m).unionByName(m)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        index = R.build_recall_index(m).localCheckpoint()
+        assert index.count() > m.select("session_id", F.floor(F.col("seq") / R.PAGE)).distinct().count()
+        assert rows(R.recall_indexed(index, m, q, 1000)) == rows(recall_topk(m, q, 1000))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("span", [4, 64, 1 << 20])
+def test_slots_hold_every_trigram(spark, monkeypatch, span):
+    """By a plain loop, over spans that part a text; and the hash of a trigram is the one that queries ask with."""
+    monkeypatch.setattr(R, "SPAN", span)
+    texts = [("Abcdé東京𝄞\nz" * 9, ""), (None, "aBc"), ("ab", None), ("", "𝄞𝄞𝄞x"), ("q" * 300 + "END", "end")]
+    places = [-70, -3, 0, 31, 32]
+    given = pa.RecordBatch.from_pydict({"session_id": ["s"] * 5, "block": [s // R.BLOCK for s in places], "seq": places, "content": pa.array([a for a, _ in texts], pa.string()), "reasoning_content": pa.array([b for _, b in texts], pa.string())})
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    grams = {(s, i): {t[j : j + 3] for j in range(len(t) - 2)} for s, both in zip(places, texts) for i, t in enumerate((x or "").translate(lower) for x in both)}
+    every = sorted(set().union(*grams.values()))
+    hashes = dict(spark.createDataFrame([(g,) for g in every], "g string").select("g", R._hash(F.col("g"))).collect())
+    held = {k: set() for k in grams}
+    for piece in R._cut(given):
+        for page in R._pages(piece).to_pylist():
+            assert len(page["slots"]) == 1 << page["bits"]
+            for (s, i), own in held.items():
+                if s // R.PAGE == page["page"]:
+                    own |= {g for g in every if page["slots"][hashes[g] >> (R.WIDE - page["bits"])] >> (s % R.PAGE * 2 + i) & 1}
+    assert all(grams[k] <= held[k] for k in grams)
+    assert not held[0, 0] and not held[-3, 0]

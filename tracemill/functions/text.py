@@ -20,8 +20,14 @@ def fold(text: Column) -> Column:
 
 def contains_like(text: Column, query: Column) -> Column:
     """``text LIKE '%query%'`` with SQLite's rules: ASCII case folds, % and _ are wildcards, backslash is ordinary."""
-    pattern = F.concat(F.lit("%"), F.replace(fold(query), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    return F.call_function("like", fold(text), pattern)
+    return folded_like(fold(text), fold(query))
+
+
+def folded_like(text: Column, query: Column) -> Column:
+    """``contains_like`` for texts and queries that are folded already. A pattern is compiled only for queries with wildcards."""
+    pattern = F.concat(F.lit("%"), F.replace(query, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    wild = F.contains(query, F.lit("%")) | F.contains(query, F.lit("_"))
+    return F.when(wild, F.call_function("like", text, pattern)).otherwise(F.contains(text, query))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

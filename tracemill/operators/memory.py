@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import contains_like, ordered_text
+from tracemill.functions.text import contains_like, fold, folded_like, ordered_text
 
 RECALL = 3
 # fixed values: the lines around recalled memories
@@ -33,12 +33,17 @@ def save_turns(old: DataFrame, new: DataFrame, key: str = "id", order: str = "wr
     return old.join(latest.select(key), key, "left_anti").select(*old.columns).unionByName(latest)
 
 
+def with_folded(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with ``__c`` for each column c: its fold, made once for all pairs that a row is in."""
+    return rows.withColumns({f"__{c}": fold(F.col(c)) for c in columns})
+
+
 def recall_topk(messages: DataFrame, queries: DataFrame, k: int = RECALL, keys: tuple[str, ...] = ("session_id", "q_seq"), before: Column | None = None) -> DataFrame:
     """For each query (session_id, q_seq, q): the k newest messages of its session whose content or reasoning holds q.
     rn counts from 1. ``before`` restricts the pairs further."""
-    hit = contains_like(F.col("m.content"), F.col("q.q")) | contains_like(F.col("m.reasoning_content"), F.col("q.q"))
+    hit = folded_like(F.col("m.__content"), F.col("q.__q")) | folded_like(F.col("m.__reasoning_content"), F.col("q.__q"))
     same = (F.col("m.session_id") == F.col("q.session_id")) & hit
-    pairs = messages.alias("m").join(queries.alias("q"), same if before is None else same & before)
+    pairs = with_folded(messages, "content", "reasoning_content").alias("m").join(with_folded(queries, "q").alias("q"), same if before is None else same & before)
     rows = pairs.select(*[F.col(f"q.{c}") for c in keys], "m.role", "m.content", "m.reasoning_content", "m.ts", "m.seq")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("seq")))
     return rows.withColumn("rn", rank).filter(F.col("rn") <= k).select(*keys, "rn", "role", "content", "reasoning_content")
